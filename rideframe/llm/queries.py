@@ -125,11 +125,11 @@ seeds as (
 ),
 params as (select list(off order by i) as offs, list(skip order by i) as skips from seeds),
 turns(step, owner) as (
-  select 0, list_transform(range({SLOTS}), x -> -1) from params
+  select 0, list_transform(range({SLOTS}), lambda x: -1) from params
   union all
-  select step + 1, list_transform(owner, (v, p) -> case when p - 1 = pick then step % {len(SHARDS)} else v end)
+  select step + 1, list_transform(owner, lambda v, p: case when p - 1 = pick then step % {len(SHARDS)} else v end)
   from (
-    select step, owner, list_filter(list_transform(range({SLOTS}), j -> (offs[step % {len(SHARDS)} + 1] + j * skips[step % {len(SHARDS)} + 1]) % {SLOTS}), s -> owner[s + 1] < 0)[1] as pick
+    select step, owner, list_filter(list_transform(range({SLOTS}), lambda j: (offs[step % {len(SHARDS)} + 1] + j * skips[step % {len(SHARDS)} + 1]) % {SLOTS}), lambda s: owner[s + 1] < 0)[1] as pick
     from turns, params where step < {SLOTS}
   )
 ),
