@@ -1,9 +1,294 @@
-"""Registered queries."""
+"""Registered queries over the driver tables, each with the same question in SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from rideframe.functions import geo, units
+from rideframe.operators import network, segments, signal
+from rideframe.plans import adapters as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str = "") -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+HEADINGS = A.SIGNAL + """, own as (select *, atan2(nlat - lat, nlon - lon) as own from sig
+), head as (select *, coalesce(own, lag(own) over w, 0.0e0) as heading,
+  case when own is null or lag(own) over w is null then 0.0e0 else atan2(sin(own - lag(own) over w), cos(own - lag(own) over w)) end as delta
+  from own window w as (partition by ride_id order by seq))"""
+SPEED = "coalesce(step_mm / 1000.0e0 / greatest(1e-3, (t_us - pt) / 1e6), 0.0e0)"
+GRADED = HEADINGS + """, graded as (select *, arg_max(elv, seq) over g - arg_min(elv, seq) over g as rise, (max(cum_mm) over g - min(cum_mm) over g) / 1000.0e0 as base
+  from head window g as (partition by ride_id order by cum_mm range between 2000000 preceding and 2000000 following))"""
+GRADIENT = "round(case when base > 1e-6 then 100 * rise / base else 0.0e0 end, 4)"
+
+
+@query(f"with {GRADED} select ride_id, seq, step_mm, cum_mm, round(heading, 6) as heading, round(delta, 6) as heading_delta, round({SPEED}, 6) as speed_mps, {GRADIENT} as gradient_pct, t_us - first_value(t_us) over (partition by ride_id order by seq) as rel_us from graded")
+def route_signal(spark, d):
+    s = signal.route_signal(A.trackpoints(spark, d))
+    return s.select("ride_id", "seq", "step_mm", "cum_mm", F.round("heading", 6).alias("heading"), F.round("heading_delta", 6).alias("heading_delta"), F.round("speed_mps", 6).alias("speed_mps"), F.round("gradient_pct", 4).alias("gradient_pct"), "rel_us")
+
+
+@query(f"with {A.SIGNAL} select ride_id, seq, step_mm from sig")
+def step_distance(spark, d):
+    return signal.with_distance(A.trackpoints(spark, d)).select("ride_id", "seq", "step_mm")
+
+
+@query(f"with {A.SIGNAL} select ride_id, seq, cum_mm from sig")
+def cumulative_distance(spark, d):
+    return signal.with_distance(A.trackpoints(spark, d)).select("ride_id", "seq", "cum_mm")
+
+
+@query(f"with {HEADINGS} select ride_id, seq, round(heading, 6) as heading, round(delta, 6) as heading_delta from head")
+def heading(spark, d):
+    return signal.with_heading(A.trackpoints(spark, d)).select("ride_id", "seq", F.round("heading", 6).alias("heading"), F.round("heading_delta", 6).alias("heading_delta"))
+
+
+@query(f"with {A.SIGNAL} select ride_id, seq, round({SPEED}, 6) as speed_mps from sig")
+def speed(spark, d):
+    return signal.with_speed(signal.with_distance(A.trackpoints(spark, d))).select("ride_id", "seq", F.round("speed_mps", 6).alias("speed_mps"))
+
+
+@query(f"with {GRADED} select ride_id, seq, {GRADIENT} as gradient_pct from graded")
+def windowed_gradient(spark, d):
+    return signal.with_gradient(signal.with_distance(A.trackpoints(spark, d)), 2000).select("ride_id", "seq", F.round("gradient_pct", 4).alias("gradient_pct"))
+
+
+@query(f"with {A.SIGNAL}, g as (select ride_id, case when step_mm > 0 then (elv - lag(elv) over (partition by ride_id order by seq)) / (step_mm / 1000.0e0) end as g from sig) select ride_id, round(var_samp(g), 4) as gradient_variation from g group by ride_id")
+def gradient_variation(spark, d):
+    p = signal.with_distance(A.trackpoints(spark, d))
+    g = F.when(F.col("step_mm") > 0, (F.col("elv") - F.lag("elv").over(signal.ride())) / (F.col("step_mm") / 1000.0))
+    return p.select("ride_id", g.alias("g")).groupBy("ride_id").agg(F.round(F.var_samp("g"), 4).alias("gradient_variation"))
+
+
+_X, _Y = "radians({b} - {a}) * cos(radians(lat)) * 6371000.0e0", "radians({b} - {a}) * 6371000.0e0"
+KAPPA = A.SIGNAL + f""", plane as (select *, {_X.format(a='lon', b='nlon')} as x1, {_Y.format(a='lat', b='nlat')} as y1, {_X.format(a='plon', b='lon')} as x0, {_Y.format(a='plat', b='lat')} as y0, {_X.format(a='plon', b='nlon')} as cx, {_Y.format(a='plat', b='nlat')} as cy from sig
+), kap as (select *, case when sqrt(cx * cx + cy * cy) > 1e-6 then abs(atan2(sin(atan2(y1, x1) - atan2(y0, x0)), cos(atan2(y1, x1) - atan2(y0, x0)))) / sqrt(cx * cx + cy * cy) else 0.0e0 end as kappa from plane)"""
+
+
+@query(f"with {KAPPA} select ride_id, seq, round(kappa, 6) as kappa from kap")
+def curvature(spark, d):
+    return signal.curvature(A.trackpoints(spark, d)).select("ride_id", "seq", F.round("kappa", 6).alias("kappa"))
+
+
+@query(f"with {KAPPA} select ride_id, round(sum(case when kappa > 0.01e0 then step_mm else 0 end) / nullif(sum(step_mm), 0)::double, 6) as pct_twisty from kap group by ride_id")
+def curvature_burden(spark, d):
+    p = signal.curvature(signal.with_distance(A.trackpoints(spark, d)))
+    return p.groupBy("ride_id").agg(F.round(F.sum(F.when(F.col("kappa") > 0.01, F.col("step_mm")).otherwise(0)) / F.nullif(F.sum("step_mm"), F.lit(0)), 6).alias("pct_twisty"))
+
+
+@query(f"""with {A.TRACK}, c as (select *, seq // 200 as chunk_id, lead(lat) over w as nlat, lead(lon) over w as nlon from trackpoints window w as (partition by ride_id, seq // 200 order by seq)
+), b as (select *, degrees(atan2(sin(radians(nlon - lon)) * cos(radians(nlat)), cos(radians(lat)) * sin(radians(nlat)) - sin(radians(lat)) * cos(radians(nlat)) * cos(radians(nlon - lon)))) as deg from c
+), b2 as (select *, case when deg < 0 then deg + 360 else deg end as bear from b
+), t as (select *, abs(bear - lag(bear) over (partition by ride_id, chunk_id order by seq)) as dd from b2
+), m as (select *, coalesce(round(avg(case when dd > 180 then 360 - dd else dd end) over (partition by ride_id, chunk_id order by seq rows between 2 preceding and 2 following), 6), 0.0e0) as mean from t)
+select ride_id, seq, least(50, 10 + cast(ceil(mean * 2) as bigint))::bigint as radius from m""")
+def dynamic_radius(spark, d):
+    return signal.dynamic_radius(A.trackpoints(spark, d)).select("ride_id", "seq", "radius")
+
+
+@query(f"with {A.TRACK} select ride_id, min(lat) as south, min(lon) as west, max(lat) as north, max(lon) as east from trackpoints where lat is not null and lon is not null group by ride_id")
+def bounding_box(spark, d):
+    p = A.trackpoints(spark, d).where("lat is not null and lon is not null")
+    return p.groupBy("ride_id").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+
+
+@query(f"with {A.TRACK} select ride_id, seq // 200 as chunk_id, count(*) as n, min(seq) as first_seq from trackpoints group by all")
+def chunk_assignment(spark, d):
+    p = A.trackpoints(spark, d)
+    return p.groupBy("ride_id", F.floor(F.col("seq") / 200).cast("long").alias("chunk_id")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+@query(f"with {A.SIGNAL}, r as (select ride_id, list(step_mm order by step_mm) as v from sig where seq > 0 group by ride_id) select ride_id, len(v)::bigint as n, v[1] as min_mm, v[cast(floor((len(v) - 1) * 0.5e0) as bigint) + 1] as p50_mm, v[cast(floor((len(v) - 1) * 0.95e0) as bigint) + 1] as p95_mm, v[len(v)] as max_mm, round(list_avg(v), 3) as avg_mm from r")
+def step_stats(spark, d):
+    return signal.step_stats(A.trackpoints(spark, d))
+
+
+@query(f"with {A.SIGNAL} select ride_id, seq, cast(sum(case when t_us - pt > 3600000000 then 1 else 0 end) over (partition by ride_id order by seq rows unbounded preceding) as bigint) as track_id from sig")
+def track_gap_split(spark, d):
+    return signal.split_on_gaps(A.trackpoints(spark, d), 3_600_000_000).select("ride_id", "seq", "track_id")
+
+
+@query(f"with {A.SIGNAL} select ride_id, seq, cum_mm from sig where cum_mm >= 1000000")
+def privacy_trim(spark, d):
+    return signal.with_distance(A.trackpoints(spark, d)).where("cum_mm >= 1000000").select("ride_id", "seq", "cum_mm")
+
+
+@query(f"with {A.TRACK}, s as (select *, avg(power_w) over w as m, stddev_samp(power_w) over w as sd from trackpoints window w as (partition by ride_id)) select ride_id, seq, power_w from s where abs(power_w - m) <= 2 * sd")
+def outlier_filter(spark, d):
+    w = signal.Window.partitionBy("ride_id")
+    p = A.trackpoints(spark, d).withColumns({"m": F.avg("power_w").over(w), "sd": F.stddev_samp("power_w").over(w)})
+    return p.where(F.abs(F.col("power_w") - F.col("m")) <= 2 * F.col("sd")).select("ride_id", "seq", "power_w")
+
+
+_KEYS = "case event_type when 'click' then 'gpxtpx:HR' when 'view' then 'ns3.Cad' when 'purchase' then 'power' when 'signup' then 'temp_f' else 'speed_kph' end"
+
+
+@query(f"""with e as (select event_id, user_id as ride_id, {_KEYS} as k, value as v from events),
+c as (select *, regexp_replace(string_split(lower(trim(k)), '.')[-1], '^[^:]*:', '') as ck from e)
+select event_id, case ck when 'hr' then 'hr_bpm' when 'cad' then 'cad_rpm' when 'power' then 'power_w' when 'temp_f' then 'temp_c' else 'speed_mps' end as canonical,
+  round(case ck when 'hr' then trunc(v) when 'cad' then trunc(v) when 'temp_f' then (v - 32.0e0) * 5.0e0 / 9.0e0 when 'speed_kph' then v / 3.6e0 else v end, 6) as canonical_value from c""")
+def extension_canonical(spark, d):
+    out = units.canonical_readings(A.extensions(spark, d), units.rules_table(spark), "ext_key", "ext_value")
+    return out.select("event_id", "canonical", F.round("canonical_value", 6).alias("canonical_value"))
+
+
+@query(f"with {A.TRACK}, a as (select *, last_value(case when elv > 100 then seq end ignore nulls) over (partition by ride_id order by seq rows unbounded preceding) as anchor from trackpoints) select ride_id, anchor, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from a where anchor is not null group by all")
+def asof_attach(spark, d):
+    p = signal.asof_attach(A.trackpoints(spark, d), F.col("elv") > 100)
+    return p.groupBy("ride_id", "anchor").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def _runs_sql(keys: str) -> str:
+    return f"""with {A.PATH}, f as (select *, case when row_number() over w > 1 and ({keys}) is not distinct from lag(({keys})) over w then 0 else 1 end as new from node_path window w as (partition by ride_id order by pos)
+), r as (select *, sum(new) over (partition by ride_id order by pos) - 1 as run_idx from f)"""
+
+
+@query(_runs_sql("way_id % 3") + " select ride_id, run_idx::bigint as run_idx, any_value(way_id % 3) as way_group, min(pos) as start_pos, count(*) as n, round(sum(len_m), 3) as length_m from r group by ride_id, run_idx")
+def way_change_runs(spark, d):
+    p = A.node_path(spark, d).withColumn("way_group", F.col("way_id") % 3)
+    r = network.run_lengths(p, ["way_group"])
+    return r.select("ride_id", "run_idx", "way_group", "start_pos", "n", F.round("length_m", 3).alias("length_m"))
+
+
+@query(f"with {A.EDGES} select * from edges")
+def edge_index(spark, d):
+    return network.edge_index(A.node_path(spark, d))
+
+
+LOOKUP = A.EDGES + """, best as (select u, v, arg_min({'w': way_id, 'd': dir, 'l': len_m}, {'w': way_id, 'd': dir, 'l': len_m}) as e from edges where way_id % 2 = 0 group by u, v)"""
+
+
+@query(f"with {LOOKUP} select p.ride_id, p.pos, p.node_id as u, p.nxt as v, e.w as way_id, coalesce(e.d, 0) as dir, e.l as len_m from pairs p left join best b on p.node_id = b.u and p.nxt = b.v where p.nxt <> p.node_id")
+def edge_lookup(spark, d):
+    p = A.node_path(spark, d)
+    return network.edge_lookup(network.pairs(p), network.edge_index(p).where("way_id % 2 = 0"))
+
+
+@query(f"with {A.EDGES} select ride_id, pos, node_id as u, nxt as v from pairs p where nxt <> node_id and not exists (select 1 from edges e where e.u = p.node_id and e.v = p.nxt and e.way_id % 2 = 0)")
+def missing_edges(spark, d):
+    p = A.node_path(spark, d)
+    return network.pairs(p).select("ride_id", "pos", "u", "v").join(network.edge_index(p).where("way_id % 2 = 0"), ["u", "v"], "left_anti").select("ride_id", "pos", "u", "v")
+
+
+@query(f"with {A.EDGES} select u as node_id, count(distinct v) as degree from edges group by u having count(distinct v) >= 3")
+def node_degree_junctions(spark, d):
+    return network.junctions(network.edge_index(A.node_path(spark, d)))
+
+
+@query(f"with {A.PATH} select ride_id, round(sum(len_m), 3) as distance_m, count(*) as n_nodes, bool_and(len_m > 1) as all_ok from node_path group by ride_id")
+def route_totals(spark, d):
+    return A.node_path(spark, d).groupBy("ride_id").agg(F.round(F.sum("len_m"), 3).alias("distance_m"), F.count("*").alias("n_nodes"), F.every(F.col("len_m") > 1).alias("all_ok"))
+
+
+@query(f"""with {A.PATH}, c as (select ride_id, pos // 3 as chunk, list(node_id % 4 order by pos) as a from node_path group by all
+), s as (select ride_id, chunk, a, lead(a) over (partition by ride_id order by chunk) as b from c)
+select ride_id, chunk, coalesce(list_max(list_filter(range(1, least(len(a), len(b), 50) + 1), lambda k: a[len(a) - k + 1 : len(a)] = b[1 : k])), 0)::int as overlap from s where b is not null""")
+def seam_overlap(spark, d):
+    p = A.node_path(spark, d)
+    c = p.groupBy("ride_id", F.floor(F.col("pos") / 3).cast("long").alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("node_id") % 4).alias("x")))), lambda s: s["x"]).alias("a"))
+    w = signal.Window.partitionBy("ride_id").orderBy("chunk")
+    c = c.withColumn("b", F.lead("a").over(w)).where("b is not null")
+    return c.select("ride_id", "chunk", network.overlap(F.col("a"), F.col("b"), 50).alias("overlap"))
+
+
+@query(f"with {A.SECTIONS} select * from sections")
+def way_tags(spark, d):
+    return A.sections(spark, d)
+
+
+_HRANK = "case highway " + " ".join(f"when '{k}' then {v}e0" for k, v in segments.HIGHWAY_RANK.items()) + " end"
+_SMOOTH = "case smoothness " + " ".join(f"when '{k}' then {v}e0" for k, v in segments.SMOOTHNESS.items()) + " end"
+COSTS = A.SECTIONS + f""", t as (select *, {_HRANK} as hr, {_SMOOTH} as sm, surface in ('asphalt', 'concrete', 'paved', 'paving_stones') as pv from sections
+), l as (select *, row_number() over w as rn, lag(highway) over w as h0, lag(hr) over w as hr0, lag(surface) over w as s0, lag(pv) over w as pv0, lag(sm) over w as sm0, lag(maxspeed) over w as ms0 from t window w as (partition by ride_id order by pos)
+), costed as (select *, case when rn > 1 then least(1.0e0, round(case when highway is distinct from h0 then coalesce(0.5e0 * abs(hr - hr0), 1.0e0) else 0.0e0 end
+  + case when surface is distinct from s0 then case when pv is distinct from pv0 then 0.6e0 else 0.1e0 end else 0.0e0 end
+  + coalesce(0.05e0 * abs(sm - sm0), 0.0e0) + coalesce(0.02e0 * abs(maxspeed - ms0), 0.0e0), 6)) end as cost from l
+), seg as (select *, cast(sum(case when cost >= 0.8e0 then 1 else 0 end) over (partition by ride_id order by pos rows unbounded preceding) as bigint) as segment_id from costed)"""
+
+
+@query(f"with {COSTS} select ride_id, pos, cost from costed")
+def merge_cost(spark, d):
+    return segments.merge_cost(A.sections(spark, d)).select("ride_id", "pos", "cost")
+
+
+@query(f"with {COSTS} select ride_id, pos, segment_id from seg")
+def threshold_segments(spark, d):
+    return segments.threshold_segments(segments.merge_cost(A.sections(spark, d)), 0.8).select("ride_id", "pos", "segment_id")
+
+
+FEATURES = COSTS + """, feat as (select ride_id, segment_id, min(pos) as start_pos, count(*) as n_sections, round(sum(len_m), 3) as length_m, round(avg(maxspeed), 6) as mean_maxspeed,
+  round(sum(case when pv then len_m else 0.0e0 end) / sum(len_m), 6) as paved_share, count(distinct highway) as n_classes from seg group by ride_id, segment_id)"""
+
+
+@query(f"with {FEATURES} select * from feat")
+def segment_features(spark, d):
+    return segments.segment_features(segments.threshold_segments(segments.merge_cost(A.sections(spark, d)), 0.8))
+
+
+@query()
+def greedy_merge(spark, d):
+    return segments.greedy_merge(segments.merge_cost(A.sections(spark, d)), 0.8)
+
+
+@query(f"with {A.TRACK}, r as (select *, avg(power_w) over (partition by ride_id order by t_us range between 86400000000 preceding and current row) as m from trackpoints) select ride_id, round(pow(avg(pow(m, 4)), 0.25e0), 6) as np_w from r group by ride_id")
+def normalized_power(spark, d):
+    return signal.normalized_power(A.trackpoints(spark, d), 86_400).select("ride_id", F.round("np_w", 6).alias("np_w"))
+
+
+@query(f"with {A.TRACK}, r as (" + " union all ".join(f"select ride_id, {s}::bigint as hours, avg(power_w) over (partition by ride_id order by t_us range between {s * 3600000000} preceding and current row) as m from trackpoints" for s in (1, 24, 168)) + ") select ride_id, hours, round(max(m), 6) as best_w from r group by all")
+def power_curve(spark, d):
+    p = A.trackpoints(spark, d)
+    for h in (1, 24, 168):
+        p = signal.rolling_power(p, 3600 * h).withColumnRenamed("rolling_w", f"m{h}")
+    best = p.groupBy("ride_id").agg(*[F.round(F.max(f"m{h}"), 6).alias(f"m{h}") for h in (1, 24, 168)])
+    return best.select("ride_id", F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("hours"), F.col(f"m{h}").alias("best_w")) for h in (1, 24, 168)])).alias("x")).select("ride_id", "x.hours", "x.best_w")
+
+
+@query("""with v as (select vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings),
+h as (select vec_id, i // 2 as k, (max(case when i % 2 = 0 then x end)::double - max(case when i % 2 = 1 then x end)::double) / sqrt(2.0e0) as d from v group by all)
+select vec_id, round(sum(d * d), 6) as energy from h group by vec_id""")
+def wavelet_detail(spark, d):
+    v = A.read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    pick = lambda odd: F.max(F.when(F.col("i") % 2 == odd, F.col("x"))).cast("double")
+    h = v.groupBy("vec_id", F.floor(F.col("i") / 2).alias("k")).agg(((pick(0) - pick(1)) / F.sqrt(F.lit(2.0))).alias("d"))
+    return h.groupBy("vec_id").agg(F.round(F.sum(F.col("d") * F.col("d")), 6).alias("energy"))
+
+
+@query(f"with {A.TRACK} select cast(floor(lat / 0.01e0) as bigint) as cell_y, cast(floor(lon / 0.01e0) as bigint) as cell_x, count(distinct ride_id) as n_rides, count(*) as n_points from trackpoints group by all having count(distinct ride_id) >= 2")
+def popular_cells(spark, d):
+    p = A.trackpoints(spark, d)
+    cells = p.groupBy(F.floor(F.col("lat") / 0.01).cast("long").alias("cell_y"), F.floor(F.col("lon") / 0.01).cast("long").alias("cell_x"))
+    return cells.agg(F.count_distinct("ride_id").alias("n_rides"), F.count("*").alias("n_points")).where("n_rides >= 2")
+
+
+@query(f"with {A.SIGNAL} select ride_id, seq, step_mm from sig where step_mm > 500000")
+def jump_filter(spark, d):
+    return signal.with_distance(A.trackpoints(spark, d)).where("step_mm > 500000").select("ride_id", "seq", "step_mm")
+
+
+@query(f"with {GRADED}, c as (select {GRADIENT} as g from graded) select case when abs(g) < 2 then 'flat' when abs(g) < 5 then 'mild' when abs(g) < 8 then 'steep' else 'wall' end as class, count(*) as n from c group by all")
+def grade_class(spark, d):
+    p = signal.with_gradient(signal.with_distance(A.trackpoints(spark, d)), 2000)
+    return p.groupBy(geo.grade_class(F.round("gradient_pct", 4)).alias("class")).agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
