@@ -97,7 +97,8 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", weights: list[float]
     is rounded by ``pivotal`` in blocks of about ``block_rows`` rows of one source (a hot
     source has many), and the at most one open document of each block is rounded again with
     those of ``fan_in`` other blocks, level by level, until a source has one, which is rounded
-    alone. So a source misses its target by less than one document. Draws depend on ids and
+    alone. So a source misses its target by less than one document, most of which ``_settle``
+    takes back. Draws depend on ids and
     seed only: reruns agree. Null and wordless texts have size 0 and take nothing; null
     sources are one source; rows that repeat are documents of their own.
     """
@@ -122,5 +123,35 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", weights: list[float]
     out = rows.withColumn("copies", F.col("copies") + _last(seed))
     for x in settled:
         out = out.unionByName(x)
-    out = out.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    out = _settle(written(out.select("source", "id", "tie", "size", "copies"), "rounded"), small, seed)
     return out.select(F.col("id").alias(id_column), "tie", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _settle(rounded: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Take back what the last document of each source missed its target by.
+
+    Smaller documents of the source that were rounded the way of the error are rounded the
+    other way, in hash order up to the size of the error. About as many as make up twice the
+    error are looked at; each keeps floor or ceiling of its expected copies.
+    """
+    rows = rounded.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "n")
+    missed = rows.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.max("target")).alias("over"))
+    missed = written(missed, "missed")
+
+    def with_table(df: DataFrame, table: DataFrame) -> DataFrame:
+        table = table.withColumnRenamed("source", "s")
+        if table.limit(20_001).count() <= 20_000:
+            table = F.broadcast(table)
+        return df.join(table, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+    want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(want + 1e-12).cast("long")
+    split = (F.col("size") > 0) & (want - whole > 1e-9) & (F.col("size") <= F.abs("over"))
+    way = F.when(split & (F.col("over") > 0) & (F.col("copies") > whole), -1).when(split & (F.col("over") < 0) & (F.col("copies") == whole), 1).otherwise(0)
+    rows = with_table(rows, missed).withColumn("way", way).withColumn("h", F.pmod(F.xxhash64("id", "tie", F.lit(seed + 1)), F.lit(1 << 40)))
+    able = rows.where("way <> 0")
+    mass = written(able.groupBy("source").agg(F.sum("size").alias("mass")), "mass")
+    few = with_table(able, mass).where(F.col("h") < 2 * F.abs("over") / F.col("mass") * float(1 << 40))
+    upto = few.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("h"))).where(F.col("upto") <= F.abs("over"))
+    last = written(upto.groupBy("source").agg(F.max("h").alias("last")), "settled")
+    return with_table(rows, last).withColumn("copies", F.col("copies") + F.when(F.col("h") <= F.col("last"), F.col("way")).otherwise(0))
