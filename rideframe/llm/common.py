@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 #: Spark drops the shuffle files of a query when it ends, instead of when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Stands for a null id inside the operators; rows without an id are rows that share one.
+NO_ID = -(1 << 63) + 1
 _MASK = (1 << 64) - 1
 
 
@@ -55,6 +57,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def key_of(column: str = "doc_id") -> Column:
+    """The id, with NO_ID for null, so that joins and Python see a plain long."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def with_nulls(df: DataFrame, *columns: str) -> DataFrame:
+    """NO_ID is null again."""
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in columns})
+
+
 def word_count(text: Column) -> Column:
     """Number of WORD runs of a text without nulls."""
     flat = F.trim(F.translate(text, "\t\n\x0b\f\r", "     "))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rideframe.llm.common import written
+from rideframe.llm.common import key_of, with_nulls, written
 
 #: A term is a word, cut every 16 code points.
 TERM = r"[^\x20\x09-\x0D]{1,16}"
@@ -99,9 +99,9 @@ def edited_fingerprints(docs: DataFrame, samples: int = 32, ring_rows: int = 100
     the document that follows by descending doc_id. Null is an empty text; a text without
     words has the fingerprint of no terms, and two of those are alike (1.0). Rows of one
     doc_id with different texts follow each other by hash; rows that repeat in full are
-    fingerprinted once and returned as often as given. An empty table gives an empty result.
+    fingerprinted once and returned as often as given. Null doc_ids come last. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     keys = rows.groupBy("doc_id", "h").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
     keys = written(keys, "keys")
@@ -116,4 +116,5 @@ def edited_fingerprints(docs: DataFrame, samples: int = 32, ring_rows: int = 100
     out = prints.join(after, ["doc_id", "h"]).join(keys.select("doc_id", "h", "copies"), ["doc_id", "h"])
     other = prints.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("text_fingerprint").alias("next_fingerprint"))
     out = out.join(other, ["next_id", "next_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("text_fingerprint").alias("fingerprint"), "edited_fingerprint", likeness(F.col("text_fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("text_fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"))
+    out = out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("text_fingerprint").alias("fingerprint"), "edited_fingerprint", likeness(F.col("text_fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("text_fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"))
+    return with_nulls(out, "doc_id")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rideframe.llm.common import key_of, with_nulls
+
 #: Element names by their part in a page.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 RAW = "script style noscript template iframe textarea noembed noframes xmp title".split()
@@ -282,5 +284,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     that aren't closed end where their container does; comments, scripts and styles that
     aren't closed reach to the end of the page.
     """
-    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return narrow.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    narrow = pages.select(key_of("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return with_nulls(narrow.mapInPandas(_extract, "page_id long, url string, text string, n_chars long"), "page_id")

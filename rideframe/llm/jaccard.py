@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideframe.llm.common import Polynomial, mixed, splitmix, written
+from rideframe.llm.common import Polynomial, key_of, mixed, splitmix, with_nulls, written
 from rideframe.llm.graph import components
 
 TREES, DEPTH = 32, 8
@@ -179,10 +179,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, target:
     read for that once, and only if it has a neighbour.
 
     A text of fewer than n words is one shingle; null, empty and wordless texts are in
-    classes of their own, with no links. Rows that repeat a doc_id share its class. An empty
+    classes of their own, with no links. Rows that repeat a doc_id, or have none (null), count as one where they differ in text. An empty
     table gives an empty result.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     depth = prefix_depth(threshold, target)
     signed = written(narrow.mapInPandas(_signed(n, depth), "doc_id long, n int, set_a long, set_b long, prefixes array<long>"), "forest")
     filled = signed.where("n > 0")
@@ -205,4 +205,5 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, target:
     named = named.select("set_a", "set_b", "n", "copies", "node", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     out = filled.select("doc_id", "set_a", "set_b", "n").join(named, ["set_a", "set_b", "n"])
     out = out.select("doc_id", "class_id", F.col("links").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies")))
+    out = out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies")))
+    return with_nulls(out, "doc_id", "class_id")

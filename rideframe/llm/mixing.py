@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from itertools import cycle
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rideframe.llm.common import join_small, word_count, written
+from rideframe.llm.common import key_of, with_nulls, word_count, written
 
 _LEFT = "source string, block long, id long, tie long, size long, copies long, part double"
 
@@ -102,7 +101,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", weights: list[float]
     seed only: reruns agree. Null and wordless texts have size 0 and take nothing; null
     sources are one source; rows that repeat are documents of their own.
     """
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64("text").alias("tie"), F.col("source").cast("string").alias("source"), word_count(F.coalesce("text", F.lit(""))).alias("size"))
+    base = docs.select(key_of(id_column).alias("id"), F.xxhash64("text").alias("tie"), F.col("source").cast("string").alias("source"), word_count(F.coalesce("text", F.lit(""))).alias("size"))
     base = written(base, "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = written(sizes, "sources")
@@ -124,7 +123,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", weights: list[float]
     for x in settled:
         out = out.unionByName(x)
     out = _settle(written(out.select("source", "id", "tie", "size", "copies"), "rounded"), small, seed)
-    return out.select(F.col("id").alias(id_column), "tie", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return with_nulls(out, "id").select(F.col("id").alias(id_column), "tie", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _settle(rounded: DataFrame, targets: DataFrame, seed: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rideframe.llm.common import join_small, written
+from rideframe.llm.common import join_small, key_of, with_nulls, written
 
 #: Fixed value: the string that the vocabulary file lists as a special token.
 SPECIAL = "<|endoftext|>"
@@ -165,7 +165,7 @@ def best_fit_packing(docs: DataFrame, capacity: int = 2048, folder: str | None =
     """
     from rideframe.llm.quality import tokenizer_folder
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = written(narrow.mapInPandas(_pieces(folder or tokenizer_folder(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     histogram = pieces.groupBy("length").count()
     counts = {r["length"]: r["count"] for r in histogram.collect()}  # at most `capacity` rows
@@ -178,4 +178,4 @@ def best_fit_packing(docs: DataFrame, capacity: int = 2048, folder: str | None =
     ranked = join_small(pieces.withColumn("own", F.row_number().over(order)), sizes, ["length", "block"], "inner")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).alias("rank"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInPandas(_place(plan(counts, capacity)), out)
+    return with_nulls(ranked.mapInPandas(_place(plan(counts, capacity)), out), "doc_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rideframe.llm.common import join_small, written
+from rideframe.llm.common import join_small, key_of, with_nulls, written
 
 #: The symbols that the base rules count.
 SYMBOLS = "#*$%&|<>"
@@ -117,7 +117,7 @@ def measure(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     columns = {c.lower() for c in docs.columns}
     lang = F.col("lang").cast("string") if "lang" in columns else F.lit(None).cast("string")
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
     return narrow.mapInPandas(_measure(folder or tokenizer_folder()), _MEASURED)
 
 
@@ -166,4 +166,4 @@ def fertility_rules(docs: DataFrame, folder: str | None = None, width: float = 4
         band = F.coalesce(*[F.col(f"{m}_{level}") for level in range(3)])
         verdict = verdict.when(~F.round(F.col(m) * scale).between(band["low"], band["high"]), m)
     out = out.withColumn("reason", verdict)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("reason").isNull().alias("kept"), "reason", "group", "n_tokens", "n_pieces", *METRICS)
+    return with_nulls(out, "doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("reason").isNull().alias("kept"), "reason", "group", "n_tokens", "n_pieces", *METRICS)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rideframe.llm.common import Polynomial, mixed, splitmix, written
+from rideframe.llm.common import Polynomial, key_of, mixed, splitmix, with_nulls, written
 
 #: Bytes of the initial buckets, and offsets that share one refinement bucket.
 GRAM, STEP = 32, 128
@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     a global sort. Names are counted with map-side combining and joined back by plain joins,
     which AQE splits when a passage is hot. Of equal hulls one stands for all.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(narrow.mapInPandas(_first(length), _ROW), "buckets")
     often = lambda df, name: df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name)
     live = written(rows.join(often(rows, "core"), "core"), "cores")
@@ -207,8 +207,9 @@ def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     doc_id, n_bytes, n_removed, n_spans, kept (binary). Strings are judged on
     the input: all occurrences go, the first one too, overlaps included. Null is an empty
     text; texts under ``length`` bytes stay whole; a row that repeats makes its own text
-    repeated. doc_id must not be null.
+    repeated. Null doc_ids stay null.
     """
     spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "first", "last")).alias("spans"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return narrow.join(spans, "doc_id", "left").mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    out = narrow.join(spans, "doc_id", "left").mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_nulls(out, "doc_id")
