@@ -286,6 +286,95 @@ def grade_class(spark, d):
     return p.groupBy(geo.grade_class(F.round("gradient_pct", 4)).alias("class")).agg(F.count("*").alias("n"))
 
 
+@query(f"with {A.TRACK}, s as (select *, abs(elv - lag(elv) over w) as jump, stddev_samp(elv) over (partition by ride_id) as sd from trackpoints window w as (partition by ride_id order by seq)) select ride_id, seq, elv from s where jump is null or jump <= sd")
+def elevation_jump_filter(spark, d):
+    p = A.trackpoints(spark, d).withColumns({"jump": F.abs(F.col("elv") - F.lag("elv").over(signal.ride())), "sd": F.stddev_samp("elv").over(signal.Window.partitionBy("ride_id"))})
+    return p.where("jump is null or jump <= sd").select("ride_id", "seq", "elv")
+
+
+@query(f"with {A.TRACK}, r as (select ride_id, avg(power_w) over (partition by ride_id order by seq rows between current row and 29 following) as m from trackpoints) select ride_id, round(pow(avg(pow(m, 4)), 0.25e0), 6) as np_w from r group by ride_id")
+def tapered_np(spark, d):
+    p = A.trackpoints(spark, d).withColumn("m", F.avg("power_w").over(signal.ride().rowsBetween(0, 29)))
+    return p.groupBy("ride_id").agg(F.round(F.pow(F.avg(F.pow("m", F.lit(4.0))), F.lit(0.25)), 6).alias("np_w"))
+
+
+@query(f"with {HEADINGS}, j as (select *, case when abs(heading - lag(heading) over w) > pi() then 1 else 0 end as cut from head window w as (partition by ride_id order by seq)), t as (select *, sum(cut) over (partition by ride_id order by seq) as trace from j) select ride_id, trace::bigint as trace_id, count(*) as n, min(seq) as first_seq from t group by all having count(*) >= 2")
+def heading_trace_split(spark, d):
+    p = signal.with_heading(A.trackpoints(spark, d))
+    p = p.withColumn("cut", F.when(F.abs(F.col("heading") - F.lag("heading").over(signal.ride())) > F.pi(), 1).otherwise(0))
+    p = p.withColumn("trace_id", F.sum("cut").over(signal.so_far()))
+    return p.groupBy("ride_id", "trace_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).where("n >= 2")
+
+
+@query(f"with {A.TRACK} select ride_id, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon from trackpoints group by ride_id")
+def map_centre(spark, d):
+    return A.trackpoints(spark, d).groupBy("ride_id").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+
+
+@query(f"with {A.TRACK} select ride_id, round(avg(case when power_w between 100 and 200 then 1.0e0 else 0.0e0 end), 6) as in_zone, count(*) filter (power_w < 10) as pauses from trackpoints group by ride_id")
+def zone_labels(spark, d):
+    return A.trackpoints(spark, d).groupBy("ride_id").agg(F.round(F.avg(F.when(F.col("power_w").between(100, 200), 1.0).otherwise(0.0)), 6).alias("in_zone"), F.count_if(F.col("power_w") < 10).alias("pauses"))
+
+
+@query(f"with {A.TRACK} select ride_id, seq, lat, lon from trackpoints where lat between 51.5e0 and 51.505e0 and lon between -0.12e0 and -0.11e0")
+def bbox_contains(spark, d):
+    return A.trackpoints(spark, d).where(F.col("lat").between(51.5, 51.505) & F.col("lon").between(-0.12, -0.11)).select("ride_id", "seq", "lat", "lon")
+
+
+@query(_runs_sql("way_id % 3, len_m") + " select ride_id, run_idx::bigint as run_idx, any_value(way_id % 3) as way_group, any_value(len_m) as len_m, count(*) as n from r group by ride_id, run_idx")
+def runs_with_length_key(spark, d):
+    p = A.node_path(spark, d).withColumns({"way_group": F.col("way_id") % 3, "dis": F.col("len_m")})
+    return network.run_lengths(p, ["way_group", "dis"]).select("ride_id", "run_idx", "way_group", F.col("dis").alias("len_m"), "n")
+
+
+@query(f"with {A.PATH}, p as (select *, lead(node_id) over (partition by ride_id order by pos) as nxt from node_path) select ride_id, count(*) filter (nxt <> node_id) as edges, count(*) filter (nxt = node_id) as degenerate from p group by ride_id")
+def degenerate_edges(spark, d):
+    p = A.node_path(spark, d).withColumn("nxt", F.lead("node_id").over(network.path_order()))
+    return p.groupBy("ride_id").agg(F.count_if(F.col("nxt") != F.col("node_id")).alias("edges"), F.count_if(F.col("nxt") == F.col("node_id")).alias("degenerate"))
+
+
+@query(f"with {A.PATH} select ride_id, string_agg(node_id::varchar, ';' order by pos) as nodes from node_path group by ride_id")
+def join_list(spark, d):
+    listed = F.array_sort(F.collect_list(F.struct("pos", "node_id")))
+    return A.node_path(spark, d).groupBy("ride_id").agg(F.array_join(F.transform(listed, lambda x: x["node_id"].cast("string")), ";").alias("nodes"))
+
+
+@query(f"with {COSTS} select ride_id, pos, highway from (select *, lag(highway) over w as h, lag(surface) over w as s, row_number() over w as n from sections window w as (partition by ride_id order by pos)) where n > 1 and (highway is distinct from h or surface is distinct from s)")
+def boundary_proposals(spark, d):
+    p = A.sections(spark, d)
+    changed = lambda c: ~F.col(c).eqNullSafe(F.lag(c).over(segments.ride()))
+    p = p.withColumn("cut", (F.row_number().over(segments.ride()) > 1) & (changed("highway") | changed("surface")))
+    return p.where("cut").select("ride_id", "pos", "highway")
+
+
+@query(f"with {COSTS} select ride_id, arg_min(pos, {{'c': cost, 'p': pos}}) as pos, min(cost) as cost from costed where cost is not null group by ride_id")
+def cheapest_boundary(spark, d):
+    p = segments.merge_cost(A.sections(spark, d)).where("cost is not null")
+    return p.groupBy("ride_id").agg(F.min(F.struct("cost", "pos")).alias("m")).select("ride_id", "m.pos", "m.cost")
+
+
+@query(f"""with {COSTS}, a as (select ride_id, pos from costed where cost >= 0.8e0), b as (select ride_id, pos from costed where cost >= 0.5e0),
+u as (select ride_id, pos, bool_or(x) as x, bool_or(y) as y from (select ride_id, pos, true as x, false as y from a union all select ride_id, pos, false, true from b) group by all)
+select ride_id, round(count(*) filter (x and y) / count(*)::double, 6) as jaccard from u group by ride_id""")
+def breakpoint_jaccard(spark, d):
+    c = segments.merge_cost(A.sections(spark, d)).where("cost >= 0.5")
+    return c.groupBy("ride_id").agg(F.round(F.count_if(F.col("cost") >= 0.8) / F.count("*"), 6).alias("jaccard"))
+
+
+@query(f"with {FEATURES} select ride_id, segment_id, round(least(1.0e0, greatest(0.0e0, 0.4e0 * least(1.0e0, length_m / 100) + 0.3e0 * paved_share + 0.2e0 * (1.0e0 - mean_maxspeed / 50) + 0.1e0 / n_classes)), 5) as tss from feat")
+def tss_scores(spark, d):
+    return segments.suitability(segment_features(spark, d)).select("ride_id", "segment_id", F.round("tss", 5).alias("tss"))
+
+
+LIBRARY = COSTS + """, sg as (select ride_id, segment_id, string_agg(way_id::varchar, '>' order by pos) as ways, sum(len_m) as len from seg group by ride_id, segment_id)"""
+
+
+@query(f"with {LIBRARY} select md5(ways) as segment_key, count(*) as hits, round(avg(len), 3) as mean_length_m from sg group by ways")
+def segment_library(spark, d):
+    s = segments.threshold_segments(segments.merge_cost(A.sections(spark, d)), 0.8)
+    return segments.library(s).select("segment_key", "hits", F.round("mean_length_m", 3).alias("mean_length_m"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

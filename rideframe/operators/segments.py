@@ -84,3 +84,21 @@ def greedy_merge(costed: DataFrame, threshold: float) -> DataFrame:
         return rows[["ride_id", "part", "pos", "segment_id"]]
 
     return parts.select("ride_id", "part", "pos", "len_m", "cost").groupBy("ride_id", "part").applyInPandas(merge, "ride_id long, part long, pos long, segment_id long")
+
+
+#: Our own weights of the suitability score, as none are published: length, paving, calm, unity.
+SUITABILITY = (0.4, 0.3, 0.2, 0.1)
+
+
+def suitability(features: DataFrame) -> DataFrame:
+    """tss, 0 to 1: long, paved, slow and uniform segments score high."""
+    a, b, c, d = SUITABILITY
+    score = a * F.least(F.lit(1.0), F.col("length_m") / 100) + b * F.col("paved_share") + c * (1.0 - F.col("mean_maxspeed") / 50) + d / F.col("n_classes")
+    return features.withColumn("tss", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+
+
+def library(segments: DataFrame) -> DataFrame:
+    """Segments of equal way sequences as one entry: segment_key, hits, mean_length_m."""
+    ways = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "way_id"))), lambda x: x["way_id"].cast("string")), ">")
+    each = segments.groupBy("ride_id", "segment_id").agg(ways.alias("ways"), F.sum("len_m").alias("length_m"))
+    return each.groupBy(F.md5("ways").alias("segment_key")).agg(F.count("*").alias("hits"), F.avg("length_m").alias("mean_length_m"))
