@@ -361,9 +361,9 @@ def breakpoint_jaccard(spark, d):
     return c.groupBy("ride_id").agg(F.round(F.count_if(F.col("cost") >= 0.8) / F.count("*"), 6).alias("jaccard"))
 
 
-@query(f"with {FEATURES} select ride_id, segment_id, round(least(1.0e0, greatest(0.0e0, 0.4e0 * least(1.0e0, length_m / 100) + 0.3e0 * paved_share + 0.2e0 * (1.0e0 - mean_maxspeed / 50) + 0.1e0 / n_classes)), 5) as tss from feat")
+@query(f"with {FEATURES} select ride_id, segment_id, round(least(1.0e0, greatest(0.0e0, 0.4e0 * least(1.0e0, length_m / 100) + 0.3e0 * paved_share + 0.2e0 * (1.0e0 - mean_maxspeed / 50) + 0.1e0 / n_classes)), 10) as tss from feat")
 def tss_scores(spark, d):
-    return segments.suitability(segment_features(spark, d)).select("ride_id", "segment_id", F.round("tss", 5).alias("tss"))
+    return segments.suitability(segment_features(spark, d)).select("ride_id", "segment_id", F.round("tss", 10).alias("tss"))
 
 
 LIBRARY = COSTS + """, sg as (select ride_id, segment_id, string_agg(way_id::varchar, '>' order by pos) as ways, sum(len_m) as len from seg group by ride_id, segment_id)"""
