@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideframe.functions import geo, units
 from rideframe.operators import network, segments, signal
 from rideframe.plans import adapters as A
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str = "") -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
+from rideframe.registry import QUERIES, SQL, Query, query
 
 HEADINGS = A.SIGNAL + """, own as (select *, atan2(nlat - lat, nlon - lon) as own from sig
 ), head as (select *, coalesce(own, lag(own) over w, 0.0e0) as heading,
@@ -375,6 +358,9 @@ def segment_library(spark, d):
     return segments.library(s).select("segment_key", "hits", F.round("mean_length_m", 3).alias("mean_length_m"))
 
 
+from rideframe import catalogue_routes  # noqa: E402, F401  (registers the queries over routes)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
