@@ -12,29 +12,40 @@ from rideframe.llm.queries import identified
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_ids(docs: DataFrame) -> DataFrame:
+    """A document without an id gets a negative one from its text; rows of equal ids are one document in every stage."""
+    made = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    return docs.withColumn("doc_id", F.coalesce("doc_id", made))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told go on, with that language; the others go."""
+    docs = with_ids(docs)
     found = identified(spark, docs).where("kept").select("doc_id", F.col("lang").alias("told")).dropDuplicates(["doc_id"])
     return docs.join(found, "doc_id").withColumn("lang", F.col("told")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each class stays, once."""
+    docs = with_ids(docs)
     kept = jaccard.jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; bytes that are no whole character after a cut go too."""
+    docs = with_ids(docs)
     cut = substrings.cut_repeats(docs).where("n_removed > 0").select("doc_id", substrings.whole_characters("kept").alias("rest")).dropDuplicates(["doc_id"])
     text = F.coalesce("rest", "text")
     return docs.join(cut, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    mix = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(mix, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    """Every document as often as the mix takes it; a row that repeats adds its copies to the first."""
+    docs = with_ids(docs)
+    mix = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"))
+    texts = docs.withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"])
+    return texts.join(mix, ["doc_id", "tie"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

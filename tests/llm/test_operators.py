@@ -244,3 +244,19 @@ def test_pipeline(spark):
     left = brute.cut([(r.doc_id, r.text) for r in one.collect()], 400)
     assert all((len(cut[i].encode()) <= v[0] - v[1]) and len(cut[i].encode()) >= v[0] - v[1] - 6 * v[2] for i, v in left.items())
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_pipeline_on_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    words = " ".join(f"word{i} runs over the old stone bridge" for i in range(30))
+    rows = [(None, words, "en", "web", 1), (None, "another text without any id at all here", None, None, None), (1, None, "en", "web", 0), (2, "", None, "web", 0), (3, "the quick brown fox jumps over the dog", "en", None, 38), (3, "the quick brown fox jumps over the dog", "en", None, 38)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == corpus_pipeline.COLUMNS
+        assert {words, rows[1][1], rows[4][1]} >= {r.text for r in out.collect() if r.text} and out.where("doc_id < 0").count() >= (0 if stage is corpus_pipeline.mixed_sources else 2)
+        assert stage(spark, docs.where("false"), "").count() == 0
+    assert corpus_pipeline.near_duplicates(spark, docs, "").where("doc_id = 3").count() == 1
+    taken = corpus_pipeline.mixed_sources(spark, docs, "").where("doc_id = 3").count()
+    assert taken <= 4  # both rows, at most twice
