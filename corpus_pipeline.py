@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; bytes that are no whole character after a cut go too."""
     docs = with_ids(docs)
-    cut = substrings.cut_repeats(docs).where("n_removed > 0").select("doc_id", substrings.whole_characters("kept").alias("rest")).dropDuplicates(["doc_id"])
+    cut = substrings.cut_repeats(docs, decoded=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("rest")).dropDuplicates(["doc_id"])
     text = F.coalesce("rest", "text")
     return docs.join(cut, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

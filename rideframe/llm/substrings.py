@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rideframe.llm.common import Polynomial, key_of, mixed, splitmix, with_nulls, written
@@ -139,7 +139,7 @@ def _strings(length: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, decoded: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -160,17 +160,12 @@ def _cut(length: int):
                     kept.append(raw[end:a])
                     end = b
                 kept = b"".join([*kept, raw[end:]])
-                rows.append((doc_id, len(raw), len(raw) - len(kept), len(runs), kept))
+                rows.append((doc_id, len(raw), len(raw) - len(kept), len(runs), kept.decode("utf-8", "ignore") if decoded else kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def whole_characters(column: str) -> Column:
-    """Text of UTF-8 bytes, without the bytes of characters that a cut has split."""
-    return F.pandas_udf(lambda x: x.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore"), "string")(column)
-
-
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, text_key, first, last): starts of strings of ``length`` bytes that also start elsewhere.
 
@@ -201,15 +196,16 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return written(settled.unionByName(found), "spans")
 
 
-def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, decoded: bool = False) -> DataFrame:
     """Documents without the bytes that a repeated string of ``length`` bytes covers; one row per input row.
 
-    doc_id, n_bytes, n_removed, n_spans, kept (binary). Strings are judged on
+    doc_id, n_bytes, n_removed, n_spans, kept (binary; ``decoded``: a string, without the
+    bytes of characters that a cut has split, made in the same Python pass). Strings are judged on
     the input: all occurrences go, the first one too, overlaps included. Null is an empty
     text; texts under ``length`` bytes stay whole; a row that repeats makes its own text
     repeated. Null doc_ids stay null.
     """
     spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "first", "last")).alias("spans"))
     narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = narrow.join(spans, "doc_id", "left").mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = narrow.join(spans, "doc_id", "left").mapInPandas(_cut(length, decoded), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
     return with_nulls(out, "doc_id")
