@@ -120,16 +120,16 @@ def status_merge(spark, d):
 
 
 HOPS = 3
-ASKED = "asked as (select distinct u, v from (select ride_id, first(node_id order by pos) as u, last(node_id order by pos) as v from node_path group by ride_id) where u <> v and ride_id % 20 = 0)"
+ASKED = "asked as (select distinct u, v from (select ride_id, first(node_id order by pos) as u, last(node_id order by pos) as v from node_path group by ride_id) where u <> v)"
 
 
-@query(f"""with recursive {A.EDGES}, steps as (select u as node, v as nxt, min(coalesce(len_m, 1.0e0)) as step from edges group by u, v), {ASKED},
-r0 as (select u, v, u as node, 0.0e0 as cost from asked),
-""" + ", ".join(f"r{i} as (select r.u, r.v, s.nxt as node, min(r.cost + s.step) as cost from r{i - 1} r join steps s on r.node = s.node and s.nxt <> r.u where r.node <> r.v or {i} = 1 group by r.u, r.v, s.nxt)" for i in range(1, HOPS + 1))
-    + ", done as (" + " union all ".join(f"select u, v, cost from r{i} where node = v" for i in range(1, HOPS + 1)) + ") select a.u, a.v, min(d.cost) as length_m from asked a left join done d on a.u = d.u and a.v = d.v group by a.u, a.v")
+@query(f"""with {A.EDGES}, steps as (select u as node, v as nxt, min(coalesce(len_m, 1.0e0)) as step from edges group by u, v), {ASKED},
+r0 as (select distinct u, u as node, 0.0e0 as cost from asked),
+""" + ", ".join(f"r{i} as (select r.u, s.nxt as node, min(r.cost + s.step) as cost from r{i - 1} r join steps s on r.node = s.node group by r.u, s.nxt)" for i in range(1, HOPS + 1))
+    + ", done as (" + " union all ".join(f"select * from r{i}" for i in range(HOPS + 1)) + ") select a.u, a.v, min(d.cost) as length_m from asked a left join done d on a.u = d.u and a.v = d.node group by a.u, a.v")
 def connector_path(spark, d):
     p = A.node_path(spark, d)
-    ends = p.groupBy("ride_id").agg(F.min_by("node_id", "pos").alias("u"), F.max_by("node_id", "pos").alias("v")).where("u <> v and ride_id % 20 = 0")
+    ends = p.groupBy("ride_id").agg(F.min_by("node_id", "pos").alias("u"), F.max_by("node_id", "pos").alias("v")).where("u <> v")
     return routes.connectors(network.edge_index(p), ends, HOPS)
 
 

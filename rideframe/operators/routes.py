@@ -69,22 +69,21 @@ def tree_mean(values: Column) -> Column:
 def connectors(edges: DataFrame, asked: DataFrame, hops: int) -> DataFrame:
     """Cheapest length from u to v over directed edges (u, v, len_m), for pairs (u, v) of at most ``hops`` edges.
 
-    The frontier of all asked pairs moves one edge a round: a join on the node it has reached,
-    then the least length per pair and node, so a round never holds more than pairs times
-    reached nodes, and a pair that reaches its end cheaply drops what is longer. Unreached
-    pairs have null. Missing edge lengths count as 1.
+    The frontier of all asked sources moves one edge a round: a join on the node it has
+    reached, then the least length per source and node, so a round never holds more than
+    sources times reached nodes, however many pairs share a source. Unreached pairs have
+    null. Missing edge lengths count as 1; lengths are not negative.
     """
     best = edges.groupBy("u", "v").agg(F.min(F.coalesce("len_m", F.lit(1.0))).alias("step"))
     steps = best.select(F.col("u").alias("at"), F.col("v").alias("next"), "step")
-    front = asked.select("u", "v").distinct().select("u", "v", F.col("u").alias("at"), F.lit(0.0).alias("cost"))
-    reached = None
+    asked = asked.select("u", "v").distinct()
+    front = asked.select("u", F.col("u").alias("at"), F.lit(0.0).alias("cost")).distinct()
+    reached = front
     for _ in range(hops):
-        front = front.join(steps, "at").where("next <> u").groupBy("u", "v", F.col("next").alias("at")).agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
-        done = front.where("at = v").select("u", "v", "cost")
-        reached = done if reached is None else reached.unionByName(done)
-        front = front.where("at <> v")
-    found = reached.groupBy("u", "v").agg(F.min("cost").alias("length_m"))
-    return asked.select("u", "v").distinct().join(found, ["u", "v"], "left")
+        front = front.join(steps, "at").groupBy("u", F.col("next").alias("at")).agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
+        reached = reached.unionByName(front.select(*reached.columns))
+    found = reached.groupBy("u", F.col("at").alias("v")).agg(F.min("cost").alias("length_m"))
+    return asked.join(found, ["u", "v"], "left")
 
 
 def polyline(points: Column, digits: int = 5) -> Column:
