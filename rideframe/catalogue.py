@@ -358,7 +358,7 @@ def segment_library(spark, d):
     return segments.library(s).select("segment_key", "hits", F.round("mean_length_m", 3).alias("mean_length_m"))
 
 
-from rideframe import catalogue_routes  # noqa: E402, F401  (registers the queries over routes)
+from rideframe import catalogue_routes, catalogue_rules  # noqa: E402, F401  (register more queries)
 
 
 def queries() -> dict[str, Query]:

@@ -48,3 +48,16 @@ def overlap(a, b, most: int):
     top = F.least(F.size(a), F.size(b), F.lit(most))
     fits = F.filter(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda k: (k <= top) & (F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k)))
     return F.coalesce(F.array_max(fits), F.lit(0))
+
+
+def assign_runs(points, runs):
+    """The run of every point by distance along the ride: the last run that starts at or before it.
+
+    points: ride_id, seq, at_mm; runs: ride_id, run_idx, start_mm. Starts and points are
+    ordered together and each point takes the latest start, so no point meets more than one
+    run; points of rides without runs have null. A point at a seam belongs to the later run.
+    """
+    starts = runs.select("ride_id", F.col("start_mm").alias("at_mm"), F.lit(0).alias("kind"), "run_idx", F.lit(None).cast("long").alias("seq"))
+    both = starts.unionByName(points.select("ride_id", "at_mm", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("run_idx"), "seq"))
+    w = Window.partitionBy("ride_id").orderBy("at_mm", "kind", "run_idx", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("run_idx", F.last("run_idx", ignorenulls=True).over(w)).where("kind = 1").select("ride_id", "seq", "at_mm", "run_idx")

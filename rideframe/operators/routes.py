@@ -33,6 +33,23 @@ def merge_chunks(chunks: DataFrame, most: int) -> DataFrame:
     return cut.groupBy("ride_id").agg(F.flatten(ordered("chunk", F.col("own"))).alias("nodes"), F.count("*").alias("n_chunks"), F.count_if(F.col("k") == 0).alias("open_seams"))
 
 
+def trim_legs(legs: DataFrame, most: int) -> DataFrame:
+    """Legs (chunk, nodes) without their overlap k with the leg before; legs that are all overlap go.
+
+    Overlaps are judged on the legs as given, so seams do not depend on each other.
+    """
+    cut = legs.withColumn("before", F.lag("nodes").over(Window.partitionBy("ride_id").orderBy("chunk")))
+    cut = cut.withColumn("k", F.when(F.col("before").isNotNull(), overlap(F.col("before"), F.col("nodes"), most)).otherwise(0))
+    cut = cut.where(F.size("nodes") > F.col("k"))
+    return cut.withColumn("nodes", F.slice("nodes", F.col("k") + 1, F.size("nodes"))).drop("before")
+
+
+def leg_geometry(**sources: Column) -> Column:
+    """(chosen, shape): the first source with a point, in the order given; ``polyline`` is decoded at six digits."""
+    read = {name: decode_polyline(c, 6) if name == "polyline" else c for name, c in sources.items()}
+    return F.coalesce(*[F.when(F.size(c) > 0, F.struct(F.lit(name).alias("chosen"), c.alias("shape"))) for name, c in read.items()])
+
+
 def trim_runs(runs: DataFrame, edges: int) -> DataFrame:
     """Runs without the first ``edges`` edges of each ride; a run that is cut keeps its share of length_m."""
     upto = F.sum("n").over(Window.partitionBy("ride_id").orderBy("run_idx").rowsBetween(Window.unboundedPreceding, 0))
@@ -101,7 +118,7 @@ def polyline(points: Column, digits: int = 5) -> Column:
 
 
 def decode_polyline(text: Column, digits: int = 5) -> Column:
-    """Array of (lat, lon) of an encoded polyline; inverse of ``polyline`` up to rounding."""
+    """Array of (lat, lon) of an encoded polyline, null for null; inverse of ``polyline`` up to rounding."""
     state = F.struct(F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("weight"), F.array().cast("array<long>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -114,4 +131,4 @@ def decode_polyline(text: Column, digits: int = 5) -> Column:
     deltas = F.aggregate(F.split(text, ""), state, step, lambda acc: acc["out"])
     total = lambda i, odd: F.aggregate(F.filter(deltas, lambda _, j: (j <= i) & (j % 2 == odd)), F.lit(0).cast("long"), lambda a, x: a + x) / 10.0**digits
     pairs = F.sequence(F.lit(0), F.greatest((F.size(deltas) / 2).cast("int") - 1, F.lit(0)))
-    return F.when(F.size(deltas) < 2, F.array().cast("array<struct<lat:double,lon:double>>")).otherwise(F.transform(pairs, lambda i: F.struct(total(2 * i + 1, 0).alias("lat"), total(2 * i + 1, 1).alias("lon"))))
+    return F.when(text.isNotNull() & (F.size(deltas) < 2), F.array().cast("array<struct<lat:double,lon:double>>")).when(text.isNotNull(), F.transform(pairs, lambda i: F.struct(total(2 * i + 1, 0).alias("lat"), total(2 * i + 1, 1).alias("lon"))))
