@@ -14,6 +14,8 @@ from rideframe.llm.common import Polynomial, key_of, mixed, splitmix, with_nulls
 
 #: Bytes of the initial buckets, and offsets that share one refinement bucket.
 GRAM, STEP = 32, 128
+#: Bytes of kept text after which a batch of results is sent on, so that memory doesn't grow with the batch.
+HELD = 1 << 22
 _ROW = "doc_id long, text_key int, at int, low int, high int, core long, hull long, whole boolean"
 
 
@@ -140,9 +142,11 @@ def _strings(length: int):
 
 
 def _cut(length: int, decoded: bool):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
                 raw = _bytes(text)
                 own = []
@@ -161,7 +165,12 @@ def _cut(length: int, decoded: bool):
                     end = b
                 kept = b"".join([*kept, raw[end:]])
                 rows.append((doc_id, len(raw), len(raw) - len(kept), len(runs), kept.decode("utf-8", "ignore") if decoded else kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                held += len(kept)
+                if held > HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return run
 

@@ -6,6 +6,7 @@ import re
 
 import brute
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,15 @@ def test_substrings_equal_brute_force(docs, rows, empty):
     assert substrings.cut_repeats(empty).count() == 0
 
 
+def test_cut_results_go_on_in_parts_and_stay_whole(monkeypatch):
+    monkeypatch.setattr(substrings, "HELD", 10)
+    texts = ["abcdef", "", "x" * 40, "né", "tail"]
+    batch = pd.DataFrame({"doc_id": range(5), "text": texts, "spans": [None] * 5})
+    parts = list(substrings._cut(400, True)(iter([batch, batch.head(0)])))
+    assert len(parts) > 1
+    assert [(r.doc_id, r.kept, r.n_removed) for p in parts for r in p.itertuples()] == [(i, t, 0) for i, t in enumerate(texts)]
+
+
 def test_packing_is_gapless_and_tight(docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
