@@ -9,6 +9,8 @@ from rideframe.llm import jaccard, mixing, packing, substrings
 from rideframe.llm.common import written
 from rideframe.llm.queries import identified
 
+#: Repeated passages of over 50 words go, and so do repeated strings of 400 bytes.
+PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,14 +34,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated strings; bytes that are no whole character after a cut go too."""
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Texts without their repeated strings of 400 bytes and, if given, of ``words`` words; bytes that are no whole character after a cut go too."""
     docs = with_ids(docs)
-    cut = substrings.cut_repeats(docs, decoded=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("rest")).dropDuplicates(["doc_id"])
+    cut = substrings.cut_repeats(docs, decoded=True, words=words).where("n_removed > 0").select("doc_id", F.col("kept").alias("rest")).dropDuplicates(["doc_id"])
     text = F.coalesce("rest", "text")
     return docs.join(cut, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def passages_and_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, docs, sf_dir, PASSAGE_WORDS)
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; a row that repeats adds its copies to the first."""
     docs = with_ids(docs)
@@ -55,7 +61,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("ngram_jaccard_join", near_duplicates),
-    ("suffix_array_dedup", repeated_passages),
+    ("suffix_array_dedup", passages_and_strings),
     ("source_mixing", mixed_sources),
     ("best_fit_packing", packed),
 ]

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from rideframe.llm.common import Polynomial, key_of, mixed, splitmix, with_nulls, written
 
+#: Words of the grams that passages counted in words are filed under.
+WORD_GRAM = 8
+_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+
 #: Bytes of the initial buckets, and offsets that share one refinement bucket.
 GRAM, STEP = 32, 128
 #: Bytes of kept text after which a batch of results is sent on, so that memory doesn't grow with the batch.
@@ -141,6 +145,103 @@ def _strings(length: int):
     return run
 
 
+class Passages:
+    """Fingerprints of strings of ``words`` words, whatever white space stands between them."""
+
+    def __init__(self, words: int):
+        self.words, self.gram = words, min(WORD_GRAM, words)
+        self.letters, self.order = Polynomial(71), Polynomial(83)
+
+    def sums(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte and end of every word, and prefix sums of the fingerprints of the words."""
+        data = np.frombuffer(raw, np.uint8)
+        edge = np.diff(np.r_[True, _SPACE[data], True].astype(np.int8))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        names = mixed(self.letters.ranges(self.letters.sums(data), begin, end) + (end - begin).astype(np.uint64))
+        self.order._grow(len(names) + 1)
+        return begin, end, np.r_[np.uint64(0), np.cumsum(names * self.order.up[: len(names)])]
+
+    def anchors(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(name, first, last): each run of starts, in words, whose passage has its least gram at one place."""
+        at = np.arange(len(sums) - self.gram)
+        names = mixed(self.order.ranges(sums, at, at + self.gram))
+        order = (names & ~np.uint64(2**31 - 1)) | at.astype(np.uint64)
+        least = (window_least(order, self.words - self.gram + 1) & np.uint64(2**31 - 1)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        return names[least[begin]].astype(np.int64), begin, np.r_[begin[1:] - 1, len(least) - 1]
+
+    def passages(self, sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return mixed(self.order.ranges(sums, starts, starts + self.words)).astype(np.int64)
+
+
+_ANCHOR = "name long, doc_id long, text_key int, first int, last int"
+
+
+def _anchored(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernel = Passages(words)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                parts, held = [], 0
+                for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                    raw = _bytes(text)
+                    if len(raw) < 2 * words - 1:
+                        continue
+                    _, _, sums = kernel.sums(raw)
+                    if len(sums) <= words:
+                        continue
+                    name, first, last = kernel.anchors(sums)
+                    n = len(name)
+                    parts.append((name, np.full(n, doc_id, np.int64), np.full(n, _key(raw), np.int32), first.astype(np.int32), last.astype(np.int32)))
+                    held += n
+                    if held > 100_000:
+                        yield _frame(_ANCHOR, parts)
+                        parts, held = [], 0
+                if parts:
+                    yield _frame(_ANCHOR, parts)
+
+    return run
+
+
+def _passages(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernel = Passages(words)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                parts, held = [], 0
+                for doc_id, key, text, spans in zip(batch["doc_id"], batch["text_key"], batch["text"], batch["spans"]):
+                    raw = _bytes(text)
+                    if _key(raw) != key:
+                        continue
+                    begin, end, sums = kernel.sums(raw)
+                    starts = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
+                    n = len(starts)
+                    parts.append((kernel.passages(sums, starts), np.full(n, doc_id, np.int64), np.full(n, key, np.int32), begin[starts].astype(np.int32), end[starts + words - 1].astype(np.int32)))
+                    held += n
+                    if held > 100_000:
+                        yield _frame(_ANCHOR, parts)
+                        parts, held = [], 0
+                if parts:
+                    yield _frame(_ANCHOR, parts)
+
+    return run
+
+
+def repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_key, first, last): bytes [first, last) of passages of ``words`` words that also stand elsewhere.
+
+    A passage is filed under its least gram of WORD_GRAM words, so equal passages are filed
+    alike; only passages whose gram repeats are named and counted themselves.
+    """
+    narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    often = lambda df: df.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    rows = written(narrow.mapInPandas(_anchored(words), _ANCHOR), "anchors")
+    live = rows.join(often(rows), "name", "left_semi")
+    asked = live.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
+    named = written(narrow.join(asked, "doc_id").mapInPandas(_passages(words), _ANCHOR), "passages")
+    return named.join(often(named), "name", "left_semi").select("doc_id", "text_key", "first", "last").distinct()
+
+
 def _cut(length: int, decoded: bool):
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -205,16 +306,20 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return written(settled.unionByName(found), "spans")
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, decoded: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, decoded: bool = False, words: int | None = None) -> DataFrame:
     """Documents without the bytes that a repeated string of ``length`` bytes covers; one row per input row.
 
+    With ``words``, repeated passages of so many words go too, however few bytes they have.
     doc_id, n_bytes, n_removed, n_spans, kept (binary; ``decoded``: a string, without the
     bytes of characters that a cut has split, made in the same Python pass). Strings are judged on
     the input: all occurrences go, the first one too, overlaps included. Null is an empty
     text; texts under ``length`` bytes stay whole; a row that repeats makes its own text
     repeated. Null doc_ids stay null.
     """
-    spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "first", "last")).alias("spans"))
+    spans = repeated_spans(docs, length)
+    if words:  # _cut adds the length to the last start
+        spans = spans.unionByName(repeated_words(docs, words).withColumn("last", F.col("last") - length))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "first", "last")).alias("spans"))
     narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     out = narrow.join(spans, "doc_id", "left").mapInPandas(_cut(length, decoded), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
     return with_nulls(out, "doc_id")

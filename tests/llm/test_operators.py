@@ -270,3 +270,17 @@ def test_pipeline_on_nulls_and_repeats(spark):
     assert corpus_pipeline.near_duplicates(spark, docs, "").where("doc_id = 3").count() == 1
     taken = corpus_pipeline.mixed_sources(spark, docs, "").where("doc_id = 3").count()
     assert taken <= 4  # both rows, at most twice
+
+
+def test_pipeline_cuts_repeated_passages_of_51_short_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    make = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    passage, short = make(51, 2), make(50, 2)
+    assert len(passage) < 400
+    rows = [(i, f"{make(60, 5)} {passage}\n{make(60, 5)}") for i in range(2)] + [(i, f"{make(60, 5)} {short} {make(60, 5)}") for i in (2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text").cast("long")})
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix_array_dedup"](spark, docs, "").collect()}
+    for i, text in rows:
+        assert got[i] == (text.replace(passage, "") if i < 2 else text)
