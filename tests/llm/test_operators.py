@@ -284,3 +284,16 @@ def test_pipeline_cuts_repeated_passages_of_51_short_words(spark):
     got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix_array_dedup"](spark, docs, "").collect()}
     for i, text in rows:
         assert got[i] == (text.replace(passage, "") if i < 2 else text)
+
+
+def test_texts_in_no_modelled_language_are_rejected(spark):
+    rng = random.Random(7)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    odd = ["Быстрая лиса прыгает через ленивую собаку и бежит дальше по дороге домой", "我们今天去学校学习中文因为这个语言非常有意思也很难", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", noise]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    more = spark.createDataFrame([(-1 - i, t, "en", "src0") for i, t in enumerate(odd)], docs.schema)
+    few = spark.createDataFrame([(-9, "kaikki ihmiset syntyvät vapaina ja tasavertaisina", "fi", "src0")], docs.schema)
+    model = langid.fit_text_model(docs.unionByName(few))  # a language of one row draws no other texts
+    out = langid.identify_languages(docs.unionByName(more), model, F.col("lang"), F.lit(None).cast("string"), [F.col("source")]).collect()
+    assert len([r for r in out if r.doc_id < 0]) == 4
+    assert all(r.kept == (r.doc_id >= 0 and r.n_trigrams > 0) and (r.doc_id >= 0 or r.lang == langid.UNKNOWN) for r in out)
