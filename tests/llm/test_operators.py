@@ -297,3 +297,14 @@ def test_texts_in_no_modelled_language_are_rejected(spark):
     out = langid.identify_languages(docs.unionByName(more), model, F.col("lang"), F.lit(None).cast("string"), [F.col("source")]).collect()
     assert len([r for r in out if r.doc_id < 0]) == 4
     assert all(r.kept == (r.doc_id >= 0 and r.n_trigrams > 0) and (r.doc_id >= 0 or r.lang == langid.UNKNOWN) for r in out)
+
+
+def test_rare_languages_are_modelled(spark):
+    words = {"en": "the of and thing over with that", "fi": "kaikki ihmiset syntyvät vapaina tasavertaisina oikeuksiltaan"}
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(words[lang].split(), k=12)), lang, "web") for i, lang in enumerate(["en"] * 600 + ["fi"] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit_text_model(df, rows=20)
+    assert set(model.languages) >= {"en", "fi"}
+    out = langid.identify_languages(df, model, F.col("lang"), F.lit(None).cast("string"), [F.col("source")]).join(df.select("doc_id", F.col("lang").alias("truth")), "doc_id")
+    assert out.where("kept and lang = truth").count() == len(rows)
