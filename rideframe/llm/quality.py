@@ -23,7 +23,9 @@ SCRIPTS = [(0, "other"), (0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"),
 #: Words whose encodings a worker remembers.
 CACHE = 300_000
 
-METRICS = {"chars_per_token": 100, "fallback_share": 1000, "evenness": 1000}
+METRICS = {"chars_per_token": 1000, "fallback_share": 1000, "evenness": 1000}
+#: Least reach of a band beyond its quartiles, in rounded units: a few pieces more or less never reject a text.
+LEAST_REACH = {"chars_per_token": 10, "fallback_share": 40, "evenness": 5}
 _MEASURED = "doc_id long, group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_pieces long, chars_per_token double, fallback_share double, evenness double"
 
 
@@ -122,7 +124,7 @@ def measure(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def bands(measured: DataFrame, width: float, least: int) -> DataFrame:
-    """Bands [q1 - width * iqr, q3 + width * iqr] per group, length class and metric, over all rows.
+    """Bands [q1 - width * iqr, q3 + width * iqr] per group, length class and metric, over all rows; they reach LEAST_REACH at least.
 
     Quartiles come from exact histograms of the rounded metrics, so reruns agree and a hot
     language is combined before the shuffle. A class of under ``least`` rows uses the band of
@@ -139,11 +141,12 @@ def bands(measured: DataFrame, width: float, least: int) -> DataFrame:
     run = histogram.withColumns({"upto": F.sum("n").over(w.orderBy("value")), "all": F.sum("n").over(w)})
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("value")))
     found = run.groupBy(*keys).agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("all").alias("all")).where(F.col("all") >= least)
-    reach = F.lit(width) * F.greatest(F.col("q3") - F.col("q1"), F.lit(10))
+    least_reach = F.element_at(F.create_map(*[F.lit(x) for pair in LEAST_REACH.items() for x in pair]), F.col("metric"))
+    reach = F.greatest(F.lit(width) * (F.col("q3") - F.col("q1")), least_reach)
     return found.select(*keys, (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 
 
-def fertility_rules(docs: DataFrame, folder: str | None = None, width: float = 4.0, least: int = 50, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def fertility_rules(docs: DataFrame, folder: str | None = None, width: float = 1.5, least: int = 50, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """Verdict per document from base rules and tokeniser-fertility bands; one row per input row.
 
     doc_id, counts, metrics, base_failed, kept and reason ('base', or the metric that is out

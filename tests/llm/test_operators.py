@@ -308,3 +308,16 @@ def test_rare_languages_are_modelled(spark):
     assert set(model.languages) >= {"en", "fi"}
     out = langid.identify_languages(df, model, F.col("lang"), F.lit(None).cast("string"), [F.col("source")]).join(df.select("doc_id", F.col("lang").alias("truth")), "doc_id")
     assert out.where("kept and lang = truth").count() == len(rows)
+
+
+def test_symbols_and_byte_fallbacks_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    texts = [r.text for r in docs.where("lang = 'en'").where(F.size(F.split("text", " ")) > 80).orderBy("doc_id").limit(3).collect()]
+    exotic = [" ".join("\U00010380\U00010381" if i % 10 == 0 else w for i, w in enumerate(t.split())) for t in texts]
+    planted = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(exotic)], docs.schema)
+    out = [r for r in quality.fertility_rules(docs.unionByName(planted)).collect() if not r.base_failed]
+    ridden = [r.kept for r in out if r.doc_id >= 0 and r.n_symbols > r.n_words]
+    clean = [r.kept for r in out if r.doc_id >= 0 and 10 * r.n_symbols <= r.n_words]
+    assert not any(r.kept for r in out if r.doc_id < 0) and sum(r.doc_id < 0 for r in out) == 3
+    assert len(ridden) > 20 and sum(ridden) < 0.4 * len(ridden)
+    assert len(clean) > 500 and sum(clean) > 0.95 * len(clean)
