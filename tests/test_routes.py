@@ -109,3 +109,22 @@ def test_ride_sessions(spark, tmp_path):
     q = ride_sessions(stream, late="0 seconds").writeStream.format("memory").queryName("rides").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("rides").collect()) == [1, 2]
+
+
+def test_known_segments_are_found_anywhere_along_a_route(spark):
+    from rideframe import catalogue_routes as c
+    from rideframe.plans import adapters as A
+
+    data = "/root/testdata/sf0.001"
+    p = [r.ways for r in c.parts(spark, data).collect()]
+    known = {w for w in p if p.count(w) >= 3 and len(w) >= 3}
+    want = []
+    for r in A.sections(spark, data).groupBy("ride_id").agg(routes.ordered("pos", F.col("way_id") % 5).alias("route")).collect():
+        for i in range(len(r.route)):
+            for j in range(i + 1, len(r.route) + 1):
+                w = ";".join(map(str, r.route[i:j]))
+                want += [(r.ride_id, i, w)] * (w in known)
+    got = [tuple(r) for r in c.route_segments_along(spark, data).collect()]
+    assert sorted(got) == sorted(want)
+    heads = [tuple(r) for r in c.route_known_segments(spark, data).collect()]
+    assert sorted(heads) == sorted((a, w) for a, i, w in got if i == 0) and len(got) > len(heads)
