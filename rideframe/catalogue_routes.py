@@ -119,6 +119,10 @@ def status_merge(spark, d):
     return A.node_path(spark, d).groupBy("ride_id").agg(F.when(F.every(F.col("len_m") > 1), "Ok").otherwise("Failed").alias("status"))
 
 
+def ends(p: DataFrame) -> DataFrame:
+    return p.groupBy("ride_id").agg(F.min_by("node_id", "pos").alias("u"), F.max_by("node_id", "pos").alias("v")).where("u <> v")
+
+
 HOPS = 3
 ASKED = "asked as (select distinct u, v from (select ride_id, first(node_id order by pos) as u, last(node_id order by pos) as v from node_path group by ride_id) where u <> v)"
 
@@ -128,9 +132,15 @@ r0 as (select distinct u, u as node, 0.0e0 as cost from asked),
 """ + ", ".join(f"r{i} as (select r.u, s.nxt as node, min(r.cost + s.step) as cost from r{i - 1} r join steps s on r.node = s.node group by r.u, s.nxt)" for i in range(1, HOPS + 1))
     + ", done as (" + " union all ".join(f"select * from r{i}" for i in range(HOPS + 1)) + ") select a.u, a.v, min(d.cost) as length_m from asked a left join done d on a.u = d.u and a.v = d.node group by a.u, a.v")
 def connector_path(spark, d):
+    """Lengths of any number of edges; the SQL stops at HOPS edges, so it has larger or no lengths where the cheapest path has more."""
+    p = A.node_path(spark, d)
+    return routes.connectors(network.edge_index(p), ends(p))
+
+
+@query()
+def connector_nodes(spark, d):
     p = A.node_path(spark, d)
-    ends = p.groupBy("ride_id").agg(F.min_by("node_id", "pos").alias("u"), F.max_by("node_id", "pos").alias("v")).where("u <> v")
-    return routes.connectors(network.edge_index(p), ends, HOPS)
+    return routes.connector_nodes(network.edge_index(p), ends(p))
 
 
 NODES = A.TRACK + ", nodes as (select s_suppkey as node_id, 51.5e0 + (s_suppkey * 37 % 100) / 10000.0e0 as nlat, -0.12e0 + (s_suppkey * 53 % 500) / 10000.0e0 as nlon from supplier)"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rideframe.llm.common import written
 from rideframe.operators.network import overlap, path_order, run_lengths
 
 
@@ -83,26 +84,55 @@ def tree_mean(values: Column) -> Column:
     return F.get(F.aggregate(levels, values, lambda acc, _: half(acc)), F.lit(0))
 
 
-def connectors(edges: DataFrame, asked: DataFrame, hops: int) -> DataFrame:
-    """Cheapest length from u to v over directed edges (u, v, len_m), for pairs (u, v) of at most ``hops`` edges.
-
-    The frontier of all asked sources moves one edge a round: a join on the node it has
-    reached, then the least length per source and node, so a round never holds more than
-    sources times reached nodes, however many pairs share a source. Unreached pairs have
-    null. Missing edge lengths count as 1; lengths are not negative.
+def _reached(edges: DataFrame, asked: DataFrame, hops: int | None) -> DataFrame:
+    """(u, at, cost, before): least cost of every node that matters to an asked source, and the node before it."""
+    steps = written(edges.groupBy("u", "v").agg(F.min(F.coalesce("len_m", F.lit(1.0))).alias("step")).select(F.col("u").alias("at"), F.col("v").alias("next"), "step"), "steps")
+    best = written(asked.select("u", F.col("u").alias("at"), F.lit(0.0).alias("cost")).distinct().withColumn("before", F.lit(None).cast(dict(edges.dtypes)["u"])), "best")
+    front, done = best, 0
+    while (hops is None or done < hops) and not front.isEmpty():
+        told = asked.join(best.select("u", F.col("at").alias("v"), "cost"), ["u", "v"], "left")
+        limit = told.groupBy("u").agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit"))
+        moved = front.join(steps, "at").groupBy("u", F.col("next").alias("at")).agg(F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), F.col("at").alias("before"))).alias("m"))
+        moved = moved.join(best.select("u", "at", F.col("cost").alias("old")), ["u", "at"], "left").join(limit, "u")
+        moved = moved.where("(old is null or m.cost < old) and (limit is null or m.cost < limit)")
+        front = written(moved.select("u", "at", "m.cost", "m.before"), "front")
+        best = written(best.join(front.select("u", "at"), ["u", "at"], "left_anti").select(*front.columns).unionByName(front), "best")
+        done += 1
+    return best
+
+
+def connectors(edges: DataFrame, asked: DataFrame, hops: int | None = None) -> DataFrame:
+    """Cheapest length from u to v over directed edges (u, v, len_m), for pairs (u, v); of at most ``hops`` edges, if given.
+
+    The frontier of all asked sources moves one edge a round, each written, until no cost
+    falls: a join on the node it has reached, then the least length per source and node, so
+    a round never holds more than sources times reached nodes, however many pairs share a
+    source. Once all targets of a source are reached, dearer nodes are left. Unreachable
+    pairs have null. Missing edge lengths count as 1; lengths are not negative.
     """
-    best = edges.groupBy("u", "v").agg(F.min(F.coalesce("len_m", F.lit(1.0))).alias("step"))
-    steps = best.select(F.col("u").alias("at"), F.col("v").alias("next"), "step")
     asked = asked.select("u", "v").distinct()
-    front = asked.select("u", F.col("u").alias("at"), F.lit(0.0).alias("cost")).distinct()
-    reached = front
-    for _ in range(hops):
-        front = front.join(steps, "at").groupBy("u", F.col("next").alias("at")).agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
-        reached = reached.unionByName(front.select(*reached.columns))
-    found = reached.groupBy("u", F.col("at").alias("v")).agg(F.min("cost").alias("length_m"))
+    found = _reached(edges, asked, hops).select("u", F.col("at").alias("v"), F.col("cost").alias("length_m"))
     return asked.join(found, ["u", "v"], "left")
 
 
+def connector_nodes(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """u, v, length_m and the nodes of one cheapest path, ends included; an empty array if v is unreachable."""
+    asked = asked.select("u", "v").distinct()
+    best = _reached(edges, asked, None)
+    back = best.select("u", "at", "before")
+    start = F.when(F.col("cost").isNotNull(), F.array("v")).otherwise(F.array().cast(f"array<{dict(edges.dtypes)['u']}>"))
+    walk = asked.join(best.select("u", F.col("at").alias("v"), "cost"), ["u", "v"], "left")
+    walk = written(walk.select("u", "v", F.col("cost").alias("length_m"), start.alias("nodes")), "walk")
+    whole = walk.where("size(nodes) = 0 or nodes[0] = u")
+    walk = walk.where("size(nodes) > 0 and nodes[0] <> u")
+    while not walk.isEmpty():
+        walk = walk.withColumn("at", F.get("nodes", F.lit(0))).join(back, ["u", "at"])
+        walk = written(walk.select("u", "v", "length_m", F.concat(F.array("before"), "nodes").alias("nodes")), "walk")
+        whole = whole.unionByName(walk.where("nodes[0] = u"))
+        walk = walk.where("nodes[0] <> u")
+    return whole
+
+
 def polyline(points: Column, digits: int = 5) -> Column:
     """Encoded polyline of an array of structs (lat, lon): zigzag deltas in groups of five bits, all in built-in functions."""
     scale = 10.0**digits

@@ -128,3 +128,24 @@ def test_known_segments_are_found_anywhere_along_a_route(spark):
     assert sorted(got) == sorted(want)
     heads = [tuple(r) for r in c.route_known_segments(spark, data).collect()]
     assert sorted(heads) == sorted((a, w) for a, i, w in got if i == 0) and len(got) > len(heads)
+
+
+def test_connectors_of_any_number_of_edges(spark):
+    rng = random.Random(11)
+    edges = [(i, i + 1, float(rng.randrange(1, 5))) for i in range(9)] + [(0, 3, 40.0), (2, 7, 3.0), (4, 1, 0.0), (1, 4, 0.0)]
+    asked = [(a, b) for a in (0, 1, 5) for b in range(10) if a != b]
+    cost = {(a, b): 0.0 if a == b else math.inf for a in range(10) for b in range(10)}
+    step = {(u, v): w for u, v, w in edges}
+    cost.update({k: min(cost[k], w) for k, w in step.items()})
+    for k, a, b in itertools.product(range(10), repeat=3):
+        cost[a, b] = min(cost[a, b], cost[a, k] + cost[k, b])
+    e, pairs = spark.createDataFrame(edges, "u long, v long, len_m double"), spark.createDataFrame(asked, "u long, v long")
+    for got in (routes.connectors(e, pairs).collect(), routes.connector_nodes(e, pairs).collect()):
+        assert sorted((r.u, r.v) for r in got) == sorted(asked)
+        assert all((math.inf if r.length_m is None else r.length_m) == cost[r.u, r.v] for r in got)
+    for r in got:
+        if r.length_m is None:
+            assert r.nodes == []
+        else:
+            assert (r.nodes[0], r.nodes[-1]) == (r.u, r.v) and sum(step[x] for x in zip(r.nodes, r.nodes[1:])) == r.length_m
+    assert max(len(r.nodes) for r in got) > 5
