@@ -179,11 +179,20 @@ def positional_zip(spark, d):
     return A.trackpoints(spark, d).select("ride_id", "seq", "lat").join(lines, ["ride_id", "seq"])
 
 
-@query(f"with {A.TRACK} select ride_id, lpad((seq // 200)::varchar, 6, '0') as chunk, count(*) as n, string_agg(printf('%.4f,%.4f', lon, lat), ' ' order by seq) as coordinates, string_agg((t_us // 1000000)::varchar, ';' order by seq) as timestamps from trackpoints group by ride_id, seq // 200")
+@query(f"""with {A.SIGNAL}, c as (select *, seq // 200 as chunk_id, cast(floor(abs(lon) * 1e6 + 0.5e0) as bigint) * sign(lon)::bigint as x, cast(floor(abs(lat) * 1e6 + 0.5e0) as bigint) * sign(lat)::bigint as y from sig
+), b as (select *, degrees(atan2(sin(radians(nlon - lon)) * cos(radians(nlat)), cos(radians(lat)) * sin(radians(nlat)) - sin(radians(lat)) * cos(radians(nlat)) * cos(radians(nlon - lon)))) as deg from (select * replace (lead(lat) over w as nlat, lead(lon) over w as nlon) from c window w as (partition by ride_id, chunk_id order by seq))
+), b2 as (select *, case when deg < 0 then deg + 360 else deg end as bear from b
+), t as (select *, abs(bear - lag(bear) over (partition by ride_id, chunk_id order by seq)) as dd from b2
+), m as (select *, coalesce(round(avg(case when dd > 180 then 360 - dd else dd end) over (partition by ride_id, chunk_id order by seq rows between 2 preceding and 2 following), 6), 0.0e0) as mean from t)
+select ride_id, lpad(chunk_id::varchar, 6, '0') as chunk, count(*) as n, string_agg(x::varchar || ',' || y::varchar, ' ' order by seq) as coordinates_e6, string_agg((t_us // 1000000)::varchar, ';' order by seq) as timestamps, string_agg(least(50, 10 + cast(ceil(mean * 2) as bigint))::varchar, ';' order by seq) as radiuses from m group by ride_id, chunk_id""")
 def chunk_payload(spark, d):
-    p = A.trackpoints(spark, d).withColumns({"c": F.format_string("%.4f,%.4f", "lon", "lat"), "t": F.floor(F.col("t_us") / 1e6).cast("string")})
-    out = p.groupBy("ride_id", F.floor(F.col("seq") / 200).alias("chunk")).agg(F.count("*").alias("n"), F.array_join(routes.ordered("seq", F.col("c")), " ").alias("coordinates"), F.array_join(routes.ordered("seq", F.col("t")), ";").alias("timestamps"))
-    return out.withColumn("chunk", F.lpad(F.col("chunk").cast("string"), 6, "0"))
+    """What a match request of a chunk carries; coordinates are whole millionths of a degree, so that no text depends on rounding."""
+    p = signal.dynamic_radius(A.trackpoints(spark, d))
+    whole = lambda c: (F.floor(F.abs(c) * 1e6 + 0.5) * F.signum(c)).cast("long").cast("string")
+    p = p.withColumns({"c": F.concat_ws(",", whole("lon"), whole("lat")), "t": F.floor(F.col("t_us") / 1e6).cast("string"), "r": F.col("radius").cast("string")})
+    join = lambda c, by: F.array_join(routes.ordered("seq", F.col(c)), by)
+    out = p.groupBy("ride_id", "chunk_id").agg(F.count("*").alias("n"), join("c", " ").alias("coordinates_e6"), join("t", ";").alias("timestamps"), join("r", ";").alias("radiuses"))
+    return out.withColumn("chunk", F.lpad(F.col("chunk_id").cast("string"), 6, "0")).drop("chunk_id")
 
 
 BEST = A.EDGES + ", best as (select u, v, min({'w': way_id, 'd': dir, 'l': len_m}) as e from edges group by u, v)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rideframe.llm.common import written
+from rideframe.storage import written
 from rideframe.operators.network import overlap, path_order, run_lengths
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +18,12 @@ def ride():
     return Window.partitionBy("ride_id").orderBy("pos")
 
 
-#: Merge-cost weights.
+#: Merge-cost weights, and barriers that control access.
 HIGHWAY_RANK = {"trunk": 1.9, "primary": 1.8, "secondary": 1.5, "tertiary": 1.0, "unclassified": 1.0, "road": 1.0, "residential": 0.5, "living_street": 0.0}
 SMOOTHNESS = {"excellent": 1.0, "good": 0.9, "intermediate": 0.7, "bad": 0.5, "horrible": 0.4, "very_horrible": 0.2}
 PAVED = ["asphalt", "concrete", "paved", "paving_stones"]
-HIGHWAY_STEP, SMOOTHNESS_STEP, SPEED_STEP, PAVING_CHANGE, SURFACE_CHANGE, CYCLEWAY_CHANGE = 0.5, 0.05, 0.02, 0.6, 0.1, 1.0
+BARRIERS = ["block", "bollard", "cattle_grid", "chain", "cycle_barrier", "debris", "gate", "jersey_barrier", "log", "rope", "yes"]
+HIGHWAY_STEP, SMOOTHNESS_STEP, SPEED_STEP, PAVING_CHANGE, SURFACE_CHANGE, CYCLEWAY_CHANGE, CYCLEWAY_END = 0.5, 0.05, 0.02, 0.6, 0.1, 0.2, 1.0
 
 
 def lookup(column: Column, table: dict[str, float]) -> Column:
@@ -28,17 +33,25 @@ def lookup(column: Column, table: dict[str, float]) -> Column:
 def merge_cost(rows: DataFrame) -> DataFrame:
     """cost of the boundary before each section, 0 to 1; null at the first of a ride.
 
-    A change to, from or between classes without a rank costs 1.
+    A change to, from or between classes without a rank costs 1, and so does a motorway. The
+    columns cycleway, junction, barrier and mountain_pass are optional: a junction, an
+    access barrier, a pass or an impassable surface on either side costs 1, a cycleway that
+    begins or ends 1 and one that changes CYCLEWAY_CHANGE.
     """
     prev = lambda c: F.lag(c).over(ride())
     rank = lookup(F.col("highway"), HIGHWAY_RANK)
-    rows = rows.withColumns({"rank": rank, "smooth": lookup(F.col("smoothness"), SMOOTHNESS), "paved": F.col("surface").isin(PAVED)})
+    rules = {"highway": F.col("highway") == "motorway", "smoothness": F.col("smoothness") == "impassable", "junction": F.col("junction").isNotNull(), "barrier": F.col("barrier").isin(BARRIERS), "mountain_pass": F.col("mountain_pass") == "yes"}
+    hard = reduce(lambda a, b: a | b, [F.coalesce(rule, F.lit(False)) for c, rule in rules.items() if c in rows.columns])
+    rows = rows.withColumns({"rank": rank, "smooth": lookup(F.col("smoothness"), SMOOTHNESS), "paved": F.col("surface").isin(PAVED), "hard": hard})
     changed = lambda c: ~F.col(c).eqNullSafe(prev(c))
     cost = F.when(changed("highway"), F.coalesce(HIGHWAY_STEP * F.abs(F.col("rank") - prev("rank")), F.lit(1.0))).otherwise(0.0)
     cost += F.when(changed("surface"), F.when(changed("paved"), PAVING_CHANGE).otherwise(SURFACE_CHANGE)).otherwise(0.0)
     cost += F.coalesce(SMOOTHNESS_STEP * F.abs(F.col("smooth") - prev("smooth")), F.lit(0.0))
     cost += F.coalesce(SPEED_STEP * F.abs(F.col("maxspeed") - prev("maxspeed")), F.lit(0.0))
-    return rows.withColumn("cost", F.when(F.row_number().over(ride()) > 1, F.least(F.lit(1.0), F.round(cost, 6)))).drop("rank", "smooth", "paved")
+    if "cycleway" in rows.columns:
+        cost += F.when(changed("cycleway"), F.when(F.col("cycleway").isNull() | prev("cycleway").isNull(), CYCLEWAY_END).otherwise(CYCLEWAY_CHANGE)).otherwise(0.0)
+    cost = F.when(F.col("hard") | prev("hard"), 1.0).otherwise(F.least(F.lit(1.0), F.round(cost, 6)))
+    return rows.withColumn("cost", F.when(F.row_number().over(ride()) > 1, cost)).drop("rank", "smooth", "paved", "hard")
 
 
 def threshold_segments(costed: DataFrame, threshold: float) -> DataFrame:
@@ -54,36 +67,104 @@ def segment_features(segments: DataFrame) -> DataFrame:
     )
 
 
-def greedy_merge(costed: DataFrame, threshold: float) -> DataFrame:
-    """Merge the cheapest boundary until none is under the threshold; hard boundaries (cost 1) never merge.
+def boundary_cost(a: tuple, b: tuple) -> float:
+    """``merge_cost`` of two sections (highway, surface, smoothness, maxspeed) without tags that make a boundary hard."""
+    cost = 0.0
+    if a[0] != b[0]:
+        ranks = HIGHWAY_RANK.get(a[0]), HIGHWAY_RANK.get(b[0])
+        cost += 1.0 if None in ranks else HIGHWAY_STEP * abs(ranks[1] - ranks[0])
+    if a[1] != b[1]:
+        cost += PAVING_CHANGE if (a[1] in PAVED) != (b[1] in PAVED) else SURFACE_CHANGE
+    smooth = SMOOTHNESS.get(a[2]), SMOOTHNESS.get(b[2])
+    if None not in smooth:
+        cost += SMOOTHNESS_STEP * abs(smooth[1] - smooth[0])
+    if not (math.isnan(a[3]) or math.isnan(b[3])):
+        cost += SPEED_STEP * abs(b[3] - a[3])
+    return min(1.0, round(cost, 6))
 
-    A merged segment keeps the length-weighted mean of its costs: the boundary costs next to
-    it are averaged with the removed one by length, so a later boundary may rise or fall. The
-    order is data-dependent, so each part between hard boundaries is one pandas group.
+
+def merge_part(costs: list[float], lengths: list[float], tags: list[tuple], threshold: float) -> list[int]:
+    """Segment of each section of one part; costs[i] is that of the boundary before section i, for i > 0.
+
+    The cheapest boundary goes first (ties: the first of them), by a heap whose stale entries
+    are skipped. A merged section has the tags of its longer side (ties: the first side).
     """
+    n = len(costs)
+    before, after, cost = [*range(-1, n - 1)], [*range(1, n), -1], list(costs)
+    heap = [(cost[i], i) for i in range(1, n) if cost[i] < threshold]
+    heapq.heapify(heap)
+    head = [True] * n
+    while heap:
+        c, i = heapq.heappop(heap)
+        if not head[i] or c != cost[i]:
+            continue
+        a, z = before[i], after[i]
+        head[i] = False
+        after[a] = z
+        if lengths[i] > lengths[a]:
+            tags[a] = tags[i]
+            if before[a] >= 0:
+                cost[a] = boundary_cost(tags[before[a]], tags[a])
+                heapq.heappush(heap, (cost[a], a)) if cost[a] < threshold else None
+        elif z >= 0:
+            cost[z] = boundary_cost(tags[a], tags[z])
+            heapq.heappush(heap, (cost[z], z)) if cost[z] < threshold else None
+        if z >= 0:
+            before[z] = a
+        lengths[a] += lengths[i]
+    return [x - 1 for x in np.cumsum(head).tolist()]
+
+
+_SECTION = ["highway", "surface", "smoothness", "maxspeed"]
+
+
+def _merge_rides(threshold: float):
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        ride, part = rows["ride_id"].to_numpy(), rows["part"].to_numpy()
+        begin = np.flatnonzero(np.r_[True, (ride[1:] != ride[:-1]) | (part[1:] != part[:-1])])
+        end = np.r_[begin[1:], len(rows)]
+        segment = np.arange(len(rows)) - np.repeat(begin, end - begin)  # every section its own
+        low = rows["cost"].to_numpy() < threshold
+        low[begin] = False
+        for k in np.flatnonzero(np.add.reduceat(low, begin)):
+            own = rows.iloc[begin[k] : end[k]]
+            tags = list(zip(own["highway"], own["surface"], own["smoothness"], own["maxspeed"].astype(float)))
+            segment[begin[k] : end[k]] = merge_part(own["cost"].tolist(), own["len_m"].tolist(), tags, threshold)
+        return pd.DataFrame({"ride_id": ride, "part": part, "pos": rows["pos"], "segment_id": segment})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the ride that the last batch ended in
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["ride_id"].iloc[-1]
+            if held and batch["ride_id"].iloc[0] == last == held[0]["ride_id"].iloc[0]:
+                held.append(batch)
+                continue
+            own = batch["ride_id"].to_numpy() == last
+            whole = pd.concat([*held, batch[~own]], ignore_index=True)
+            if len(whole):
+                yield settle(whole)
+            held = [batch[own]]
+        if held:
+            yield settle(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def greedy_merge(sections: DataFrame, threshold: float) -> DataFrame:
+    """Merge the cheapest boundary, refresh its neighbours, until none is under the threshold: ride_id, part, pos, segment_id.
+
+    Boundaries of cost 1 never merge: they part a ride, and segments count from 0 in each
+    part. The order depends on the data, so rides are dealt to tasks whole and in order (the
+    shuffle of the cost windows), and one Python pass a task settles them; parts without a
+    boundary under the threshold never leave numpy.
+    """
+    costed = merge_cost(sections.repartition("ride_id"))
     hard = F.when(F.col("cost") >= 1, 1).otherwise(0)
     parts = costed.withColumn("part", F.sum(hard).over(ride().rowsBetween(Window.unboundedPreceding, 0)))
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", ignore_index=True)
-        segments = [[i] for i in range(len(rows))]
-        lengths, costs = rows["len_m"].tolist(), rows["cost"].tolist()
-        while len(segments) > 1:
-            k = min(range(1, len(segments)), key=lambda i: costs[i])
-            if not costs[k] < threshold:
-                break
-            total = lengths[k - 1] + lengths[k] or 1.0
-            if k + 1 < len(segments):
-                costs[k + 1] = (costs[k + 1] * lengths[k] + costs[k] * lengths[k - 1]) / total
-            segments[k - 1] += segments.pop(k)
-            lengths[k - 1] += lengths.pop(k)
-            costs.pop(k)
-        rows["segment_id"] = 0
-        for s, members in enumerate(segments):
-            rows.loc[members, "segment_id"] = s
-        return rows[["ride_id", "part", "pos", "segment_id"]]
-
-    return parts.select("ride_id", "part", "pos", "len_m", "cost").groupBy("ride_id", "part").applyInPandas(merge, "ride_id long, part long, pos long, segment_id long")
+    narrow = parts.select("ride_id", "part", "pos", F.col("len_m").cast("double").alias("len_m"), "cost", "highway", "surface", "smoothness", F.col("maxspeed").cast("double").alias("maxspeed"))
+    return narrow.sortWithinPartitions("ride_id", "pos").mapInPandas(_merge_rides(threshold), "ride_id long, part long, pos long, segment_id long")
 
 
 #: Our own weights of the suitability score, as none are published: length, paving, calm, unity.
