@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rideframe.storage import dropped, written  # noqa: F401  (used through this module)
+
 #: A word is a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a lookup table that is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
-#: Spark drops the shuffle files of a query when it ends, instead of when the driver collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Stands for a null id inside the operators; rows without an id are rows that share one.
 NO_ID = -(1 << 63) + 1
 _MASK = (1 << 64) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which every executor sees; a temporary one where none is set (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rideframe-"))
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage, so that a lost executor never recomputes what came before, and lets
-    the shuffle files behind ``df`` go.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    schema = df.schema
-    return spark.read.schema(schema).parquet(path)
-
-
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a written lookup table: by broadcast if it has at most ``limit`` rows, else by a shuffle that AQE may split."""
     if small.limit(limit + 1).count() <= limit:
