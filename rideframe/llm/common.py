@@ -12,6 +12,8 @@ from rideframe.storage import dropped, written  # noqa: F401  (used through this
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a lookup table that is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Fewest rows of a name that is joined by broadcast instead of a shuffle.
+HOT_ROWS = 1000
 #: Stands for a null id inside the operators; rows without an id are rows that share one.
 NO_ID = -(1 << 63) + 1
 _MASK = (1 << 64) - 1
@@ -24,6 +26,33 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left"
     return df.join(small, on, how)
 
 
+def repeated(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (a written table) with ``again``: true where ``name`` stands in two rows or more, else null; null names are alone.
+
+    Names are counted with map-side combining. A name of HOT_ROWS rows or of a 2000th of all
+    rows is hot: there are at most 2000 of those, so they are broadcast, and the shuffle
+    join sees only names that few rows share.
+    """
+    counts = written(rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("times")).where("times > 1"), "counts")
+    hot = max(HOT_ROWS, rows.count() // 2000)
+    many = F.broadcast(counts.where(F.col("times") >= hot).select(name))
+    few = counts.where(F.col("times") < hot).select(name, F.lit(True).alias("again"))
+    cold = rows.join(many, name, "left_anti").join(few, name, "left")
+    return rows.join(many, name, "left_semi").withColumn("again", F.lit(True)).select(*rows.columns, "again").unionByName(cold.select(*rows.columns, "again"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join ``left`` (a written table) with ``right``, which has a value of ``on`` once at most.
+
+    Values of HOT_ROWS rows or of a 2000th of all rows of ``left``, of which there are 2000 at
+    most, meet their rows of ``right`` by broadcast; the others by a shuffle.
+    """
+    hot = max(HOT_ROWS, left.count() // 2000)
+    many = F.broadcast(left.groupBy(on).agg(F.count("*").alias("times")).where(F.col("times") >= hot).select(on))
+    spread = left.join(many, on, "left_semi").join(F.broadcast(right.join(many, on, "left_semi")), on, how)
+    return spread.unionByName(left.join(many, on, "left_anti").join(right, on, how))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

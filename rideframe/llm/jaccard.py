@@ -1,8 +1,7 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification."""
+"""N-gram Jaccard join: a MinHash LSH forest of prefix tries, then exact verification."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideframe.llm.common import Polynomial, key_of, mixed, splitmix, with_nulls, written
+from rideframe.llm.common import HOT_ROWS, Polynomial, dropped, key_of, mixed, splitmix, spread_join, with_nulls, written
 from rideframe.llm.graph import components
 
+#: Tries, and levels of each: a signature is a long whose bytes are the levels, so tries are sorted by number and a prefix is a shift.
 TREES, DEPTH = 32, 8
+#: The shortest prefix, against which recall is measured: it loses one pair in 20 million at similarity 0.8.
+FLOOR = 4
+#: Recall is measured with every document whose id is divisible by this as a query.
+QUERY_STEP = 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -48,40 +52,39 @@ class Shingles:
 
 
 class Forest:
-    """Prefixes of MinHash signatures, one per tree."""
+    """MinHash signatures, one per trie: DEPTH levels of one byte each, the first level in the highest byte."""
 
-    def __init__(self, depth: int, trees: int = TREES):
-        self.depth, self.trees = depth, trees
-        self.flip = splitmix(trees * depth, 101)
-        self.scale = splitmix(trees * depth, 102) | np.uint64(1)
-        self.level = splitmix(depth, 103) | np.uint64(1)
-        self.tree = splitmix(trees, 104)
+    def __init__(self, trees: int = TREES):
+        self.trees = trees
+        self.flip = splitmix(trees * DEPTH, 101)
+        self.scale = splitmix(trees * DEPTH, 102) | np.uint64(1)
+        self.place = np.uint64(1) << (np.uint64(8) * np.arange(DEPTH - 1, -1, -1, dtype=np.uint64))
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.full(self.trees * self.depth, np.uint64(2**64 - 1))
+        least = np.full(self.trees * DEPTH, np.uint64(2**64 - 1))
         for i in range(0, len(shingles), 2048):
             part = shingles[i : i + 2048]
             for j in range(0, len(least), 16):
                 x = (part[None, :] ^ self.flip[j : j + 16, None]) * self.scale[j : j + 16, None]
                 least[j : j + 16] = np.minimum(least[j : j + 16], x.min(axis=1))
-        signature = mixed(least).reshape(self.trees, self.depth)
-        return mixed((signature * self.level).sum(axis=1, dtype=np.uint64) + self.tree)
+        level = mixed(least).reshape(self.trees, DEPTH) >> np.uint64(56)
+        return (level * self.place).sum(axis=1, dtype=np.uint64)
 
 
-def _signed(n: int, depth: int):
+def _signed(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, forest = Shingles(n), Forest(depth)
+        shingles, forest = Shingles(n), Forest()
         with np.errstate(over="ignore"):
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
                     s = shingles(text)
                     if not len(s):
-                        rows.append((doc_id, 0, 0, 0, None))
+                        rows.append((doc_id, key, 0, 0, 0, None))
                         continue
                     a, b = (mixed(s * k + np.uint64(1)).sum(dtype=np.uint64) for k in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)))
-                    rows.append((doc_id, len(s), a.astype(np.int64), b.astype(np.int64), forest(s).astype(np.int64)))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "set_a", "set_b", "prefixes"])
+                    rows.append((doc_id, key, len(s), a.astype(np.int64), b.astype(np.int64), forest(s).astype(np.int64)))
+                yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "set_a", "set_b", "signature"])
 
     return run
 
@@ -91,8 +94,14 @@ def _sets(n: int):
         shingles = Shingles(n)
         with np.errstate(over="ignore"):
             for batch in batches:
-                batch["shingles"] = [shingles(x).tobytes() for x in batch["text"]]
-                yield batch.drop(columns="text")
+                rows = []
+                for rep, query, signature, text, met in zip(batch["rep"], batch["query"], batch["signature"], batch["text"], batch["met"]):
+                    nodes, homes, at = np.zeros(TREES, np.int64), np.zeros(TREES, np.int64), {}
+                    for m in met:
+                        nodes[m["tree"]], homes[m["tree"]] = m["node"], m["home"]
+                        at[m["home"]] = max(m["blocks"], at.get(m["home"], 1))
+                    rows.append((rep, query, np.asarray(signature, np.int64).tobytes(), nodes.tobytes(), homes.tobytes(), shingles(text).tobytes(), [{"home": h, "blocks": b} for h, b in at.items()]))
+                yield pd.DataFrame(rows, columns=["rep", "query", "signature", "nodes", "homes", "shingles", "at"])
 
     return run
 
@@ -133,14 +142,27 @@ def similar_pairs(sets: list[np.ndarray], first: int, threshold: float) -> Itera
             yield np.full(len(j), i), j
 
 
-def _verify(threshold: float):
+def _prefixes(signatures: np.ndarray) -> np.ndarray:
+    """Levels that two signatures share from the first on, given their exclusive or."""
+    out = np.zeros(signatures.shape, np.int64)
+    for level in range(1, DEPTH + 1):
+        out += (signatures >> np.uint64(8 * (DEPTH - level))) == 0
+    return out
+
+
+def _verify(threshold: float, queries_only: bool):
+    """Links of one group of sets: (a, b, links, depth, n), the spanning forest and link counts, or with ``queries_only`` the deepest prefix of each link of a query, counted."""
+    columns = ["a", "b", "links", "depth", "times"]
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "doc_id"], ignore_index=True)
+        rows = rows.drop_duplicates(["rep", "side"]).sort_values(["side", "rep"], ignore_index=True)
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        first = int((rows["side"] == 0).sum())
-        root, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
-        if key[1] == key[2]:
-            first = len(sets)
+        first = int((rows["side"] == 0).sum()) if key[1] != key[2] else len(sets)
+        nodes = np.array([np.frombuffer(x, np.int64) for x in rows["nodes"]]).reshape(len(rows), -1)
+        homes = np.array([np.frombuffer(x, np.int64) for x in rows["homes"]]).reshape(len(rows), -1)
+        signatures = np.array([np.frombuffer(x, np.uint64) for x in rows["signature"]]).reshape(len(rows), -1)
+        query = rows["query"].to_numpy(bool)
+        root, links, depths = np.arange(len(sets)), np.zeros(len(sets), np.int64), np.zeros(DEPTH + 1, np.int64)
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -149,61 +171,129 @@ def _verify(threshold: float):
             return x
 
         for i, js in similar_pairs(sets, first, threshold):
-            links[i[0]] += len(js)
+            i = int(i[0])
+            # a pair that meets in several tries is counted in the group of the least of its nodes only
+            met = (nodes[i] == nodes[js]) & (nodes[i] != 0)
+            least = np.where(met, nodes[i], np.iinfo(np.int64).max).argmin(axis=1)
+            js = js[met.any(axis=1) & (homes[i][least] == key[0])]
+            if queries_only:
+                js = js[query[js] | query[i]]
+                depths += np.bincount(_prefixes(signatures[i] ^ signatures[js]).max(axis=1), minlength=DEPTH + 1) if len(js) else 0
+                continue
+            links[i] += len(js)
             links[js] += 1
             for j in js:
-                a, b = find(int(i[0])), find(int(j))
+                a, b = find(i), find(int(j))
                 if a != b:
                     root[max(a, b)] = min(a, b)
-        ids = rows["doc_id"].to_numpy()
-        top = [find(x) for x in range(len(sets))]
-        out = pd.DataFrame({"a": ids, "b": ids[top], "links": links})
+        if queries_only:
+            return pd.DataFrame([(0, 0, 0, d, n) for d, n in enumerate(depths) if n], columns=columns)
+        ids = rows["rep"].to_numpy()
+        out = pd.DataFrame({"a": ids, "b": ids[[find(x) for x in range(len(sets))]], "links": links, "depth": 0, "times": 0})
         return out[out["links"] > 0]
 
     return run
 
 
+_LINK = "a long, b long, links long, depth int, times long"
+
+
+class _Join:
+    """Distinct sets with their signatures, and how those that meet in the forest are verified."""
+
+    def __init__(self, narrow: DataFrame, reps: DataFrame, threshold: float, n: int, block_rows: int, block_shingles: int):
+        self.narrow, self.reps, self.threshold, self.n = narrow, reps, threshold, n
+        self.block_rows, self.block_shingles = block_rows, block_shingles
+
+    def verified(self, depth: int, queries_only: bool = False) -> DataFrame:
+        """Links of the sets that share a prefix of ``depth`` levels in some trie; ``queries_only``: counts of the links of queries.
+
+        A trie node is named by its members, so that nodes of equal members in several tries
+        are one. A set goes to every node that it shares with another, and nodes to groups:
+        small ones by hash, many in a group, large ones in blocks of their own that meet
+        pairwise. No closure of candidates is formed: what verifies is what meets in a node.
+        """
+        tries = self.reps.select("rep", "size", "query", F.posexplode("signature").alias("tree", "s")).withColumn("prefix", F.shiftrightunsigned("s", 8 * (DEPTH - depth)))
+        named = F.xxhash64(F.count("*"), F.bit_xor("rep"), F.bit_xor(F.xxhash64("rep", F.lit(7))))
+        asked = "n > 1 and asked" if queries_only else "n > 1"
+        nodes = tries.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.some("query").alias("asked"), named.alias("node")).where(asked)
+        blocks = F.ceil(F.greatest(F.col("n") / self.block_rows, F.col("weight") / self.block_shingles)).cast("long")
+        nodes = written(nodes.select(F.xxhash64("tree", "prefix").alias("at"), "node", "n", "weight", blocks.alias("blocks")), "nodes")
+        total = nodes.select("node", "weight").distinct().agg(F.sum("weight")).first()[0] or 0
+        bins = max(1, int(total // self.block_shingles) + 1)
+        home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("node"), F.lit(bins))).otherwise(F.col("node").bitwiseOR(F.lit(-(1 << 63))))  # large nodes: below 0
+        # nodes of many sets, 2000 at most, meet theirs by broadcast
+        hot = max(HOT_ROWS, TREES * self.reps.count() // 2000)
+        told = nodes.select("at", "n", "node", "blocks", home.alias("home"))
+        many, few = F.broadcast(told.where(F.col("n") >= hot)), told.where(F.col("n") < hot)
+        keyed = tries.select("rep", F.col("tree").cast("int").alias("tree"), F.xxhash64("tree", "prefix").alias("at"))
+        met = keyed.join(many, "at").unionByName(keyed.join(many.select("at"), "at", "left_anti").join(few, "at"))
+        placed = met.groupBy("rep").agg(F.collect_list(F.struct("tree", "node", "home", "blocks")).alias("met"))  # TREES at most
+        placed = self.reps.select("rep", "query", "signature", "src").join(placed, "rep").select("rep", "query", "signature", "src.doc_id", "src.text_key", "met")
+        texts = self.narrow.join(placed, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+        sets = texts.mapInPandas(_sets(self.n), "rep long, query boolean, signature binary, nodes binary, homes binary, shingles binary, at array<struct<home:long,blocks:long>>")
+        sets = sets.select("rep", "query", "signature", "nodes", "homes", "shingles", F.explode("at").alias("at")).select("*", "at.home", "at.blocks").drop("at")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+        dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("rep", "query", "signature", "nodes", "homes", "shingles", "home", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        out = written(dealt.groupBy("home", "x", "y").applyInPandas(_verify(self.threshold, queries_only), _LINK), "verified")
+        dropped(nodes)
+        return out
+
+    def recall(self) -> dict[int, float]:
+        """Share of the queries' links that prefixes of each length find, of those that the shortest finds."""
+        found = {r["depth"]: r["n"] for r in self.verified(FLOOR, True).groupBy("depth").agg(F.sum("times").alias("n")).collect()}
+        total = sum(found.values())
+        return {d: sum(n for k, n in found.items() if k >= d) / total if total else 1.0 for d in range(FLOOR, DEPTH + 1)}
+
+
+def chosen_depth(threshold: float, target: float, recall: dict[int, float]) -> int:
+    """Shorten the prefix until a pair at the threshold meets with the target probability and the measured recall reaches it too."""
+    depth = prefix_depth(threshold, target)
+    while depth > FLOOR and recall[depth] < target:
+        depth -= 1
+    return depth
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, target: float = 0.9999, block_rows: int = 2000, block_shingles: int = 2_000_000) -> DataFrame:
     """Similarity classes of all documents; one row per input row.
 
-    doc_id, class_id, n_links, n_copies. Two documents are linked if the Jaccard similarity
-    of their sets of n-word shingles is at or above the threshold; a class is a connected
-    component, named by its least doc_id. n_copies counts the other rows of an equal set,
-    n_links the linked different sets.
+    doc_id, class_id, n_links, n_copies, text_key, class_key. Two documents are linked if the
+    Jaccard similarity of their sets of n-word shingles is at or above the threshold; a class
+    is a connected component, named by its least doc_id. n_copies counts the other rows of an
+    equal set, n_links the linked different sets. text_key tells rows of one id apart, and
+    (class_id, class_key) is the row that stands for the class.
 
-    Equal sets are one representative. Representatives that meet in the LSH forest (an equal
-    signature prefix in one of TREES trees, shortened by ``prefix_depth`` until pairs at the
-    threshold meet with probability ``target``) form neighbourhoods; inside them similarity
-    is counted exactly for every pair, in blocks of about ``block_rows`` documents or
-    ``block_shingles`` shingles against each other, from which only counts and a spanning forest leave. A document's text is
-    read for that once, and only if it has a neighbour.
+    Equal sets are one representative. Its signatures stand in TREES tries. The prefix by
+    which representatives meet is shortened from DEPTH levels until a pair at the threshold
+    meets with probability ``target`` in some trie, and further until the links of a fixed
+    query set (ids divisible by QUERY_STEP, against all rows) are found to that share, as
+    measured. What meets in a node is verified exactly, in groups of about ``block_shingles``
+    shingles (large nodes: ``block_rows`` sets a block), from which only counts and a spanning
+    forest leave.
 
     A text of fewer than n words is one shingle; null, empty and wordless texts are in
-    classes of their own, with no links. Rows that repeat a doc_id, or have none (null), count as one where they differ in text. An empty
-    table gives an empty result.
+    classes of their own, with no links. Rows that repeat an id and differ in text, and rows
+    without an id, are documents of their own. An empty table gives an empty result; a very
+    long text is one set, in one task.
     """
-    narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    depth = prefix_depth(threshold, target)
-    signed = written(narrow.mapInPandas(_signed(n, depth), "doc_id long, n int, set_a long, set_b long, prefixes array<long>"), "forest")
-    filled = signed.where("n > 0")
-    reps = written(filled.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("prefixes", "doc_id").alias("prefixes")), "sets")
-    # trie nodes with two or more representatives: each is linked to the least of its node
-    nodes = reps.select("rep", F.explode("prefixes").alias("prefix"))
-    heads = nodes.groupBy("prefix").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("prefix", "head")
-    near = written(components(nodes.join(heads, "prefix").select(F.col("rep").alias("a"), F.col("head").alias("b"))).withColumnRenamed("class_id", "hood"), "hoods")
-    weighed = near.join(reps.select(F.col("rep").alias("node"), F.col("n").alias("size")), "node")
-    sizes = weighed.groupBy("hood").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("size") / block_shingles)).cast("long").alias("blocks"))
-    placed = near.join(sizes, "hood").select(F.col("node").alias("doc_id"), "hood", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    texts = narrow.join(placed, "doc_id").dropDuplicates(["doc_id"])
-    sets = texts.mapInPandas(_sets(n), "doc_id long, hood long, blocks long, block long, shingles binary")
-    against = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = sets.withColumn("other", against).select("doc_id", "hood", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "shingles")
-    found = written(dealt.groupBy("hood", "x", "y").applyInPandas(_verify(threshold), "a long, b long, links long"), "verified")
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select(key_of().alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    signed = written(narrow.mapInPandas(_signed(n), "doc_id long, text_key long, n int, set_a long, set_b long, signature array<long>"), "forest")
+    filled = signed.where("n > 0").withColumn("rep", F.xxhash64("set_a", "set_b", "n"))
+    source = F.min(F.struct("doc_id", "text_key")).alias("src")
+    reps = filled.groupBy("rep").agg(source, F.count("*").alias("copies"), F.first("n").alias("size"), F.first("signature").alias("signature"))  # equal sets, equal signatures
+    reps = written(reps.withColumn("query", F.pmod(F.col("src.doc_id"), F.lit(QUERY_STEP)) == 0), "sets")
+    join = _Join(narrow, reps, threshold, n, block_rows, block_shingles)
+    found = join.verified(chosen_depth(threshold, target, join.recall()))
     classes = components(found.select("a", "b"))
-    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = reps.select("set_a", "set_b", "n", "copies", F.col("rep").alias("node")).join(classes, "node", "left").join(links, "node", "left")
-    named = named.select("set_a", "set_b", "n", "copies", "node", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = filled.select("doc_id", "set_a", "set_b", "n").join(named, ["set_a", "set_b", "n"])
-    out = out.select("doc_id", "class_id", F.col("links").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    out = out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies")))
-    return with_nulls(out, "doc_id", "class_id")
+    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    named = reps.select("rep", "src", "copies").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
+    named = written(named.select("rep", "src", "copies", F.coalesce("class_id", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "named")
+    least = named.groupBy("class").agg(F.min("src").alias("least"))
+    named = written(spread_join(named, least, "class", "inner").select("rep", "least", "copies", "links"), "classes")
+    out = spread_join(written(filled.select("doc_id", "text_key", "rep"), "members"), named, "rep", "inner")
+    out = out.select("doc_id", F.col("least.doc_id").alias("class_id"), F.col("links").alias("n_links"), (F.col("copies") - 1).alias("n_copies"), "text_key", F.col("least.text_key").alias("class_key"))
+    none = F.lit(0).cast("long")
+    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies"), "text_key", F.col("text_key").alias("class_key"))
+    return with_nulls(out.unionByName(alone), "doc_id", "class_id")
