@@ -40,7 +40,7 @@ def identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identified(spark, table(spark, sf_dir, "documents"))
+    return identified(spark, table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.cut_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    """The removal is by strings of 400 bytes; n_passage_bytes tells of repeated passages of 51 words, which may be shorter."""
+    return substrings.cut_repeats(table(spark, sf_dir, "documents"), report=51).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +88,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from rideframe.llm import pipeline as stages
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

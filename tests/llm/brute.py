@@ -82,6 +82,22 @@ def cut(docs, length):
     return out
 
 
+def cut_words(docs, words):
+    """{doc_id: text without repeated passages of so many words}, from first letter to last; white space around a passage stays."""
+    spans = {i: [m.span() for m in WORD.finditer(t or "")] for i, t in docs}
+    tokens = {i: [(t or "")[a:b] for a, b in spans[i]] for i, t in docs}
+    seen = Counter(tuple(w[k : k + words]) for w in tokens.values() for k in range(len(w) - words + 1))
+    out = {}
+    for i, t in docs:
+        gone = bytearray(len(t or ""))
+        for k in range(len(tokens[i]) - words + 1):
+            if seen[tuple(tokens[i][k : k + words])] > 1:
+                a, b = spans[i][k][0], spans[i][k + words - 1][1]
+                gone[a:b] = b"\1" * (b - a)
+        out[i] = "".join(c for c, g in zip(t or "", gone) if not g)
+    return out
+
+
 def pieces(encode, text, capacity=2048):
     import numpy as np
 

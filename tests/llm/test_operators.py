@@ -80,8 +80,8 @@ def test_substrings_equal_brute_force(docs, rows, empty):
 def test_cut_results_go_on_in_parts_and_stay_whole(monkeypatch):
     monkeypatch.setattr(substrings, "HELD", 10)
     texts = ["abcdef", "", "x" * 40, "né", "tail"]
-    batch = pd.DataFrame({"doc_id": range(5), "text": texts, "spans": [None] * 5})
-    parts = list(substrings._cut(400, True)(iter([batch, batch.head(0)])))
+    batch = pd.DataFrame({"doc_id": range(5), "text": texts, "spans": [None] * 5, "told": [None] * 5})
+    parts = list(substrings._cut(True, [], False)(iter([batch, batch.head(0)])))
     assert len(parts) > 1
     assert [(r.doc_id, r.kept, r.n_removed) for p in parts for r in p.itertuples()] == [(i, t, 0) for i, t in enumerate(texts)]
 
@@ -251,8 +251,7 @@ def test_pipeline(spark):
     pairs = [(r.doc_id, r.text) for r in kept.collect()]
     assert {r.doc_id for r in one.collect()} == {i for i, v in brute.classes(pairs).items() if v[0] == i}
     cut = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, one, data).collect()}
-    left = brute.cut([(r.doc_id, r.text) for r in one.collect()], 400)
-    assert all((len(cut[i].encode()) <= v[0] - v[1]) and len(cut[i].encode()) >= v[0] - v[1] - 6 * v[2] for i, v in left.items())
+    assert cut == brute.cut_words([(r.doc_id, r.text) for r in one.collect()], 51)
     assert corpus_pipeline.run(spark, data).count() > 0
 
 
@@ -262,6 +261,7 @@ def test_pipeline_on_nulls_and_repeats(spark):
     words = " ".join(f"word{i} runs over the old stone bridge" for i in range(30))
     rows = [(None, words, "en", "web", 1), (None, "another text without any id at all here", None, None, None), (1, None, "en", "web", 0), (2, "", None, "web", 0), (3, "the quick brown fox jumps over the dog", "en", None, 38), (3, "the quick brown fox jumps over the dog", "en", None, 38)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.packed(spark, docs, "").count() == 6 and corpus_pipeline.packed(spark, docs.where("false"), "").count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         assert out.columns == corpus_pipeline.COLUMNS
