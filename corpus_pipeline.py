@@ -1,77 +1,5 @@
-"""A corpus pipeline over five of the text operators; every stage works on all that the stage before kept."""
+"""The corpus pipeline of rideframe.llm.pipeline, under the names that its callers look for."""
 
-from __future__ import annotations
+from rideframe.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, language_id, mixed_sources, near_duplicates, packed, repeated_passages, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rideframe.llm import jaccard, mixing, packing, substrings
-from rideframe.llm.common import written
-from rideframe.llm.queries import identified
-
-#: Repeated passages of over 50 words go, and so do repeated strings of 400 bytes.
-PASSAGE_WORDS = 51
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def with_ids(docs: DataFrame) -> DataFrame:
-    """A document without an id gets a negative one from its text; rows of equal ids are one document in every stage."""
-    made = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))
-    return docs.withColumn("doc_id", F.coalesce("doc_id", made))
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told go on, with that language; the others go."""
-    docs = with_ids(docs)
-    found = identified(spark, docs).where("kept").select("doc_id", F.col("lang").alias("told")).dropDuplicates(["doc_id"])
-    return docs.join(found, "doc_id").withColumn("lang", F.col("told")).select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class stays, once."""
-    docs = with_ids(docs)
-    kept = jaccard.jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
-    """Texts without their repeated strings of 400 bytes and, if given, of ``words`` words; bytes that are no whole character after a cut go too."""
-    docs = with_ids(docs)
-    cut = substrings.cut_repeats(docs, decoded=True, words=words).where("n_removed > 0").select("doc_id", F.col("kept").alias("rest")).dropDuplicates(["doc_id"])
-    text = F.coalesce("rest", "text")
-    return docs.join(cut, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def passages_and_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark, docs, sf_dir, PASSAGE_WORDS)
-
-
-def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; a row that repeats adds its copies to the first."""
-    docs = with_ids(docs)
-    mix = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"))
-    texts = docs.withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"])
-    return texts.join(mix, ["doc_id", "tie"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("ngram_jaccard_join", near_duplicates),
-    ("suffix_array_dedup", passages_and_strings),
-    ("source_mixing", mixed_sources),
-    ("best_fit_packing", packed),
-]
-
-#: Tokens, similarity classes and repeated strings are beyond SQL on whole tables; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "language_id", "mixed_sources", "near_duplicates", "packed", "repeated_passages", "run"]
