@@ -35,10 +35,11 @@ def repeated(rows: DataFrame, name: str) -> DataFrame:
     """
     counts = written(rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("times")).where("times > 1"), "counts")
     hot = max(HOT_ROWS, rows.count() // 2000)
-    many = F.broadcast(counts.where(F.col("times") >= hot).select(name))
+    many = F.broadcast(counts.where(F.col("times") >= hot).select(name, F.lit(True).alias("hot")))
     few = counts.where(F.col("times") < hot).select(name, F.lit(True).alias("again"))
-    cold = rows.join(many, name, "left_anti").join(few, name, "left")
-    return rows.join(many, name, "left_semi").withColumn("again", F.lit(True)).select(*rows.columns, "again").unionByName(cold.select(*rows.columns, "again"))
+    told = rows.join(many, name, "left")
+    cold = told.where("hot is null").join(few, name, "left")
+    return told.where("hot").select(*rows.columns, F.col("hot").alias("again")).unionByName(cold.select(*rows.columns, "again"))
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
@@ -48,9 +49,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
     most, meet their rows of ``right`` by broadcast; the others by a shuffle.
     """
     hot = max(HOT_ROWS, left.count() // 2000)
-    many = F.broadcast(left.groupBy(on).agg(F.count("*").alias("times")).where(F.col("times") >= hot).select(on))
-    spread = left.join(many, on, "left_semi").join(F.broadcast(right.join(many, on, "left_semi")), on, how)
-    return spread.unionByName(left.join(many, on, "left_anti").join(right, on, how))
+    many = F.broadcast(left.groupBy(on).agg(F.count("*").alias("times")).where(F.col("times") >= hot).select(on, F.lit(True).alias("hot")))
+    told = left.join(many, on, "left")
+    spread = told.where("hot").join(F.broadcast(right.join(many.select(on), on, "left_semi")), on, how).drop("hot")
+    return spread.unionByName(told.where("hot is null").drop("hot").join(right, on, how))
 
 
 def text_or_empty(column: str = "text") -> Column:

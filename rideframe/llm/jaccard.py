@@ -220,7 +220,7 @@ class _Join:
         blocks = F.ceil(F.greatest(F.col("n") / self.block_rows, F.col("weight") / self.block_shingles)).cast("long")
         nodes = written(nodes.select(F.xxhash64("tree", "prefix").alias("at"), "node", "n", "weight", blocks.alias("blocks")), "nodes")
         total = nodes.select("node", "weight").distinct().agg(F.sum("weight")).first()[0] or 0
-        bins = max(1, int(total // self.block_shingles) + 1)
+        bins = int(4 * total // self.block_shingles) + 1
         home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("node"), F.lit(bins))).otherwise(F.col("node").bitwiseOR(F.lit(-(1 << 63))))  # large nodes: below 0
         # nodes of many sets, 2000 at most, meet theirs by broadcast
         hot = max(HOT_ROWS, TREES * self.reps.count() // 2000)
