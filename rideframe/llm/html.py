@@ -24,9 +24,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BAD = set("nav footer aside form menu dialog search".split())
 GOOD = set("article main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id and role that tell what a container holds.
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|copyright|discussion|disqus|disclaimer|footer|foot|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|notification|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|side|sitemap|skip|social|sponsor\w*|subscribe|subscription|tags?|teaser|toolbar|topbar|widget\w*|alert|complementary|contentinfo|search)(?=$|[\s_-])", re.I)
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
+#: Words in class, id and role that tell what a container holds; a name is taken word by word.
+BAD_NAMES = re.compile(r"ad|ads|adv|advert\w*|alert|banner|breadcrumbs?|byline|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|discussion|disqus|disclaimer|foot|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|notification|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|side|sidebar|sitemap|skip|social|sponsor\w*|subscribe|subscription|tags?|teaser|toolbar|topbar|widget\w*", re.I)
+GOOD_NAMES = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
+#: First words of names that tell of a page or its state, such as no-sidebar or tag-news, and not of what the element holds.
+STATES = set("no has with without not type tag category cat format status is on hide show".split())
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+")
 
 _ATTRIBUTES = r"(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
 _TOKEN = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?/](?=[^a-zA-Z]|[dD\[])[^>]*(?:>|\Z)", re.S)
@@ -48,10 +51,67 @@ class Block:
         return len(self.text.split())
 
 
+@lru_cache(4096)
+def told(name: str) -> int:
+    """What one class, id or role tells: 1 for a container of the article, -1 for one of other page parts, else 0.
+
+    The header of an entry, post or story is part of it.
+    """
+    words = _WORDS.findall(name)
+    if len(words) > 1 and words[0].lower() in STATES:
+        return 0
+    good = any(GOOD_NAMES.fullmatch(w) for w in words)
+    bad = [w for w in words if BAD_NAMES.fullmatch(w)]
+    if bad and not (good and all(w.lower() == "header" for w in bad)):
+        return -1
+    return int(good)
+
+
+class _Stack:
+    """Open elements, with the places of each name, so that every tag costs the same however many are open."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool, bool, bool, str]] = []  # name, good, bad, hidden, nearest kind
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, name: str) -> int:
+        return (self.places.get(name) or [-1])[-1]
+
+    def push(self, name: str, *rest) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        if name in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((name, *rest))
+
+    def cut(self, at: int) -> None:
+        """Close everything from ``at`` on."""
+        while len(self.open) > at:
+            name = self.open.pop()[0]
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag: of a block, it closes what is inside too; of another element, not beyond a block."""
+        at = self.last(name)
+        if at >= 0 and (name in BLOCKS or at > (self.blocks or [-1])[-1]):
+            self.cut(at)
+
+    def make_room(self, name: str) -> None:
+        """A block ends an open paragraph, with the inline elements that it left open; items and cells end the one before them."""
+        if name in _CLOSES_P and self.blocks and self.open[self.blocks[-1]][0] == "p":
+            self.cut(self.blocks[-1])
+        if name in ("li", "dt", "dd", "td", "th", "tr"):
+            around = max(map(self.last, ("ul", "ol", "menu", "dl", "table", *(() if name == "tr" else ("tr",)))))
+            if self.last(name) > around:
+                self.cut(self.last(name))
+
+
 def blocks(page: str) -> list[Block]:
     """Flat blocks of visible text, in page order: what stands between two block-level tags."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, str]] = []  # name, good, bad, hidden, nearest kind
+    stack = _Stack()
     pieces: list[str] = []
     linked: list[str] = []
     links = 0
@@ -61,13 +121,13 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                top = stack[-1] if stack else ("", False, False, False, "")
+                top = stack.open[-1] if stack.open else ("", False, False, False, "")
                 out.append(Block(text, len("".join(linked).split()), top[4], top[1], top[2]))
             pieces.clear()
         linked = []
 
     def take(raw: str) -> None:
-        if raw and not (stack and stack[-1][3]):
+        if raw and not (stack.open and stack.open[-1][3]):
             text = entities.unescape(raw)
             pieces.append(text)
             if links:
@@ -85,12 +145,7 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if name in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCKS and stack[i][0] in BLOCKS:
-                    break
+            stack.close(name)
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -103,49 +158,35 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            if name in _CLOSES_P:
-                # an open paragraph ends here, with whatever inline elements it left open
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            if name in ("li", "dt", "dd", "td", "th", "tr"):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "menu", "dl", "table") or (stack[i][0] == "tr" and name != "tr"):
-                        break
+            stack.make_room(name)
             links = 0
         if name == "a":
             links = 1
         if name in VOID:
             continue
-        good, bad, hidden, kind = stack[-1][1:] if stack else (False, False, False, "")
+        good, bad, hidden, kind = stack.open[-1][1:] if stack.open else (False, False, False, "")
         if name in GOOD and not bad:
             good = True
         if name in BAD or name == "header" and not good:
             bad = True
-        named = ""
+        named: list[int] = []
         for k, *values in _NAMES.findall(match[3]) if match[3].strip("/ ") else ():
             value = "".join(values)
             k = k.lower()
             if k in ("class", "id", "role"):
-                named += " " + value
+                named += map(told, value.split())
             elif k == "style":
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif k == "hidden" or value.lower() == "true":
                 hidden = True
         if named and name in BLOCKS and name not in ("body", "html"):
-            if BAD_NAMES.search(named) and not (name in GOOD or name in HEADINGS):
+            if -1 in named and not (name in GOOD or name in HEADINGS):
                 bad = True
-            elif GOOD_NAMES.search(named) and not bad:
+            elif 1 in named and not bad:
                 good = True
         if name in BLOCKS:
             kind = name
-        stack.append((name, good, bad, hidden or name in SKIPPED, kind))
+        stack.push(name, good, bad, hidden or name in SKIPPED, kind)
     take(page[at:])
     flush()
     return out
@@ -172,7 +213,7 @@ def features(found: list[Block]) -> np.ndarray:
     return x
 
 
-def labelled_blocks(seed: int = 5, pages: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(seed: int = 5, pages: int = 240) -> tuple[np.ndarray, np.ndarray]:
     """The small labelled table: blocks of invented pages in several layouts, 1 for main text."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("aeiouklmnrst") for _ in range(rng.randint(1, 9)))
@@ -187,6 +228,7 @@ def labelled_blocks(seed: int = 5, pages: int = 200) -> tuple[np.ndarray, np.nda
         parts: list[tuple[str, int]] = []
         if chance(0.5):
             parts.append((rng.choice(["<header>{}</header>", '<div class="header">{}</div>', '<div id="masthead">{}</div>']).format(f"<h1>{words(1, 5)}</h1>" + paragraphs(rng.randint(0, 1), 2, 20)), 0))
+        alone = rng.random() < 0.25  # a page of its text only
         if chance(0.4):
             parts.append((rng.choice(['<div class="cookie-notice">{}</div>', '<div id="consent" role="dialog">{}</div>', '<div class="alert notice">{}</div>']).format(paragraphs(1, 4, 40)), 0))
         menu = "".join(f"<li>{link(1, 3)}</li>" for _ in range(rng.randint(2, 8)))
@@ -202,6 +244,10 @@ def labelled_blocks(seed: int = 5, pages: int = 200) -> tuple[np.ndarray, np.nda
                 body.append(("<ul>" + "".join(f"<li>{words(1, 14)}</li>" for _ in range(3)) + "</ul>", 1))
             elif kind < 0.3 and marked:
                 body.append((paragraphs(1, 1, 6), 1))
+            elif kind < 0.36:  # a list of links is a menu wherever it stands; a lone one belongs to the text
+                body.append(("<ul>" + "".join(f"<li>{link(1, 8)}</li>" for _ in range(rng.randint(4, 9))) + "</ul>", 0))
+            elif kind < 0.4 and marked:
+                body.append((f"<p>{link(2, 8)}</p>", 1))
             elif kind < 0.5 and marked:
                 inner = rng.choice(['<div class="ad">{}</div>', "<aside>{}</aside>", "<form>{}</form>", '<div class="share">{}</div>', '<div class="related">{}</div>', '<div class="comments">{}</div>', "<footer>{}</footer>"])
                 body.append((inner.format(paragraphs(rng.randint(1, 2), 1, 60)), 0))
@@ -209,15 +255,19 @@ def labelled_blocks(seed: int = 5, pages: int = 200) -> tuple[np.ndarray, np.nda
                 body.append((f"<p>{words(12, 90)}{' ' + link(1, 3) if rng.random() < 0.3 else ''}</p>", 1))
                 if not marked and rng.random() < 0.3:
                     body += [(paragraphs(1, 1, 6), 1), (paragraphs(1, 14, 60), 1)]
+        if marked and rng.random() < 0.3:
+            body.append((paragraphs(1, 1, 6), 1))
+        if alone and marked:
+            parts.clear()
         before, after = {"article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "named": ('<div class="post-content">', "</div>"), "bare": ("<div>", "</div>")}[layout]
         parts += [(before + x + after, label) for x, label in body]
-        if rng.random() < 0.5:
+        if rng.random() < 0.5 and not (alone and marked):
             parts.append((f"<aside><h3>{words(1, 4)}</h3>{paragraphs(3, 2, 40)}</aside>" if rng.random() < 0.5 else f'<div class="sidebar"><h3>{words(1, 4)}</h3>{paragraphs(2, 2, 40)}</div>' if marked else "".join(f"<div>{link(3, 9)}</div>" for _ in range(3)), 0))
-        if chance(0.5):
+        if chance(0.5) and not alone:
             parts.append((f"<section class='comments'><h2>{words(1, 3)}</h2>{paragraphs(3, 3, 60)}</section>", 0))
-        if chance(0.3):
+        if chance(0.3) and not alone:
             parts.append((f"<div>{words(1, 30)}</div>", 0))
-        if rng.random() < 0.8:
+        if rng.random() < 0.8 and not (alone and marked):
             parts.append((f"<footer>&copy; {words(1, 25)}</footer>" if marked else f"<div>{link(1, 2)}</div><div>&copy; {words(1, 4)}</div>", 0))
         found, labels = [], []
         for part, label in parts:
@@ -262,18 +312,21 @@ def judge(node, row: np.ndarray) -> bool:
     return node >= 0.5
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model=None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    model = tree()
+    model = tree() if model is None else model
     return "\n\n".join(b.text for b, row in zip(found, features(found)) if judge(model, row))
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch["text"] = [main_text(x) for x in batch["html"]]
-        yield batch.drop(columns="html").assign(n_chars=[len(x) for x in batch["text"]])
+def _extract(model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["text"] = [main_text(x, model) for x in batch["html"]]
+            yield batch.drop(columns="html").assign(n_chars=[len(x) for x in batch["text"]])
+
+    return run
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -282,7 +335,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     text joins the blocks that the tree takes for the article with two line feeds. Null, empty
     and tag-only pages have an empty text, and so have pages without a main block. Elements
     that aren't closed end where their container does; comments, scripts and styles that
-    aren't closed reach to the end of the page.
+    aren't closed reach to the end of the page. Rows that repeat give equal texts; an empty
+    table gives an empty result. A page is read once from start to end, however long it is or
+    however many elements it leaves open.
     """
     narrow = pages.select(key_of("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return with_nulls(narrow.mapInPandas(_extract, "page_id long, url string, text string, n_chars long"), "page_id")
+    return with_nulls(narrow.mapInPandas(_extract(tree()), "page_id long, url string, text string, n_chars long"), "page_id")

@@ -6,6 +6,7 @@ import re
 
 import brute
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,41 @@ def test_html(spark):
     assert got[2] == got[3] == got[5] == ("", 0)
 
 
+def test_class_names_are_taken_word_by_word(spark):
+    article = "<h1>Title</h1><p>A first paragraph of some words that tells the story, and then goes on.</p><p>Second one.</p>"
+    whole = "Title\n\nA first paragraph of some words that tells the story, and then goes on.\n\nSecond one."
+    pages = [f'<div class="main-content no-sidebar">{article}</div>', f'<div class="post type-post tag-news">{article}</div>', f'<div class="post"><div class="entry-header"><h1>Title</h1></div>{article[14:]}</div>', f'<div class="site-header"><p>Site of news</p></div><div id="mainContent">{article}</div><div class="post-comments"><p>I read all of this and think it is good.</p></div><div class="left-sidebar"><p>More.</p></div>']
+    for page in pages:
+        assert html.main_text(f"<html><body>{page}</body></html>") == whole, page
+
+
+def test_pages_of_open_elements_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        begin = time.perf_counter()
+        html.blocks("<i><div>" + "<b>" * n + "</i>" * n + "x")
+        html.blocks("<li><p>" * n + "</b></td>" * n)
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 4 * took[0] + 0.2
+
+
+def test_words_density_and_neighbours_decide():
+    """Without one of them the tree is worse on held-out pages: names alone do not tell menus in an article or pages without names."""
+    x, y = html.labelled_blocks(seed=99, pages=80)
+    x0, y0 = html.labelled_blocks()
+
+    def score(keep):
+        model = html.grow(x0[:, keep], y0, 8)
+        return np.mean([html.judge(model, row) == bool(label) for row, label in zip(x[:, keep], y)])
+
+    everything = list(range(len(html.FEATURES)))
+    whole = score(everything)
+    assert whole > score([6, 7, 8, 9, 10]) + 0.03  # neither words nor density
+    assert whole > score([0, 1, *range(6, 11)]) + 0.004  # no neighbours
+
+
 def test_tree_on_held_out_pages():
     x, y = html.labelled_blocks(seed=99, pages=80)
     right = sum(html.judge(html.tree(), row) == bool(label) for row, label in zip(x, y))
