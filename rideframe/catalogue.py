@@ -227,7 +227,7 @@ def _pair_cost(a: str, b: str) -> str:
     smooth = lambda x: f"case {x}.m " + " ".join(f"when '{k}' then {v}e0" for k, v in segments.SMOOTHNESS.items()) + " end"
     paved = lambda x: f"{x}.s in ('asphalt', 'concrete', 'paved', 'paving_stones')"
     return f"""least(1.0e0, round(case when {a}.h is distinct from {b}.h then coalesce(0.5e0 * abs({rank(b)} - {rank(a)}), 1.0e0) else 0.0e0 end
-      + case when {a}.s is distinct from {b}.s then case when {paved(a)} <> {paved(b)} then 0.6e0 else 0.1e0 end else 0.0e0 end
+      + case when {a}.s is distinct from {b}.s then case when ({paved(a)}) is distinct from ({paved(b)}) then 0.6e0 else 0.1e0 end else 0.0e0 end
       + coalesce(0.05e0 * abs({smooth(b)} - {smooth(a)}), 0.0e0) + coalesce(0.02e0 * abs({b}.v - {a}.v), 0.0e0), 6))"""
 
 
@@ -402,7 +402,7 @@ def segment_library(spark, d):
     return segments.library(s).select("segment_key", "hits", F.round("mean_length_m", 3).alias("mean_length_m"))
 
 
-from rideframe import catalogue_routes, catalogue_rules  # noqa: E402, F401  (register more queries)
+from rideframe import catalogue_routes, catalogue_rules, catalogue_more  # noqa: E402, F401, I001  (register more queries)
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rideframe.functions import geo
-from rideframe.operators import matching, network, profile, routes, segments, signal
+from rideframe.operators import matching, network, profile, routes, scoring, segments, signal
 from rideframe.plans import adapters as A
 from rideframe.registry import query
 
@@ -39,7 +39,7 @@ select ride_id, array_to_string(list_filter(j, lambda x, i: i = 1 or x <> j[i -
 
 def _flatten(spark, d, most: int) -> DataFrame:
     legs = chunks(spark, d).groupBy("ride_id").agg(routes.ordered("chunk", F.col("nodes")).alias("legs"))
-    return legs.select("ride_id", listed(routes.flatten_nodes(F.col("legs"), most)).alias("nodes"))
+    return routes.flatten_nodes(legs, most).select("ride_id", listed(F.col("nodes")).alias("nodes"))
 
 
 @query(_flatten_sql(1))
@@ -103,9 +103,13 @@ def merge_run_lists(spark, d):
 
 @query(f"with {A.PATH}{RUNS} select r.ride_id, r.run_idx, array_to_string(list(p.node_id order by p.pos), ';') as nodes from runs r join node_path p on p.ride_id = r.ride_id and p.pos between r.start_pos and r.start_pos + r.n group by all")
 def slice_by_runs(spark, d):
-    path = A.node_path(spark, d).groupBy("ride_id").agg(routes.ordered("pos", F.col("node_id")).alias("path"))
-    cut = F.slice("path", (F.col("start_pos") + 1).cast("int"), (F.col("n") + 1).cast("int"))
-    return runs(spark, d).join(path, "ride_id").select("ride_id", "run_idx", listed(cut).alias("nodes"))
+    """Nodes of each run with the one that follows it: every step tells its run, and the first of a run the one before too."""
+    w = network.path_order()
+    p = A.node_path(spark, d).withColumn("way_group", F.col("way_id") % 3)
+    p = p.withColumn("new", F.when((F.row_number().over(w) > 1) & F.col("way_group").eqNullSafe(F.lag("way_group").over(w)), 0).otherwise(1))
+    p = p.withColumn("run_idx", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    of = F.when((F.col("new") == 1) & (F.col("run_idx") > 0), F.array("run_idx", F.col("run_idx") - 1)).otherwise(F.array("run_idx"))
+    return p.select("ride_id", "pos", "node_id", F.explode(of).alias("run_idx")).groupBy("ride_id", "run_idx").agg(listed(routes.ordered("pos", F.col("node_id"))).alias("nodes"))
 
 
 @query(f"with {A.PATH}, l1 as (select ride_id, pos // 2 as i, avg(len_m) as c from node_path group by all), l2 as (select ride_id, i // 2 as i, avg(c) as c from l1 group by all), l3 as (select ride_id, i // 2 as i, avg(c) as c from l2 group by all), l4 as (select ride_id, i // 2 as i, avg(c) as c from l3 group by all), l5 as (select ride_id, i // 2 as i, avg(c) as c from l4 group by all), l6 as (select ride_id, i // 2 as i, avg(c) as c from l5 group by all) select ride_id, round(c, 6) as confidence from l6")
@@ -199,9 +203,9 @@ def adaptive_segments(spark, d):
 @query()
 def polyline_roundtrip(spark, d):
     p = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 200).cast("long").alias("chunk")).agg(routes.ordered("seq", F.struct("lat", "lon")).alias("points"))
-    p = p.withColumn("polyline", routes.polyline(F.col("points")))
-    back = routes.decode_polyline(F.col("polyline"))
-    return p.select("ride_id", "chunk", "polyline", F.size("points").alias("n"), F.every(F.lit(True)).over(Window.partitionBy("ride_id", "chunk")).alias("one"), (F.size(back) == F.size("points")).alias("same_size")).drop("one")
+    p = p.withColumn("polyline", routes.polyline(F.col("points"))).withColumn("back", routes.decode_polyline(F.col("polyline")))
+    off = F.aggregate(F.zip_with("points", "back", lambda a, b: F.greatest(F.abs(a["lat"] - b["lat"]), F.abs(a["lon"] - b["lon"]))), F.lit(0.0), lambda worst, x: F.greatest(worst, x))
+    return p.select("ride_id", "chunk", "polyline", F.size("points").alias("n"), F.size("back").alias("n_back"), (off <= 0.51e-5).alias("same_points"))
 
 
 TIMED = A.SIGNAL + ", c as (select *, seq // 50 as chunk from sig), d as (select *, first(t_us) over w as t0, last(t_us) over w as t1, cum_mm - first(cum_mm) over w as along, last(cum_mm) over w - first(cum_mm) over w as total, row_number() over (partition by ride_id, chunk order by seq) - 1 as i, count(*) over w as n from c window w as (partition by ride_id, chunk order by seq rows between unbounded preceding and unbounded following))"
@@ -292,18 +296,6 @@ def timestamp_fill(spark, d):
     return p.select("ride_id", "seq", F.coalesce("t", F.lag("t").over(signal.ride()) + 1_000_000, F.lead("t").over(signal.ride()) - 1_000_000).alias("t_us"))
 
 
-@query(f"""with {A.SIGNAL}, f as (select *, list({{'c': cum_mm, 'e': elv}} order by cum_mm, seq) over (partition by ride_id order by cum_mm range between 5000000 preceding and 5000000 following) as near from sig)
-select ride_id, seq, round(list_sum(list_transform(near, lambda x: x.e * exp(-0.5e0 * pow((x.c - cum_mm) / (5000000.0e0 / 3), 2)))) / list_sum(list_transform(near, lambda x: exp(-0.5e0 * pow((x.c - cum_mm) / (5000000.0e0 / 3), 2)))), 4) as smoothed from f""")
-def smoothed_gradient(spark, d):
-    """Gaussian mean of the elevation within reach of cumulative distance; weights depend on the centre, so the frame is folded."""
-    reach = 5_000_000
-    w = Window.partitionBy("ride_id").orderBy("cum_mm").rangeBetween(-reach, reach)
-    p = signal.with_distance(A.trackpoints(spark, d)).withColumn("near", F.collect_list(F.struct("cum_mm", "elv")).over(w))
-    weight = lambda x: F.exp(-0.5 * F.pow((x["cum_mm"] - F.col("cum_mm")) / (reach / 3.0), F.lit(2.0)))
-    total = lambda f: F.aggregate("near", F.lit(0.0), lambda acc, x: acc + f(x))
-    return p.select("ride_id", "seq", F.round(total(lambda x: x["elv"] * weight(x)) / total(weight), 4).alias("smoothed"))
-
-
 @query(f"with {profile.WAYS_SQL} select way_id, speed_kmh, access, push from profiled")
 def profile_speed(spark, d):
     return profile.with_speed(A.ways(spark, d)).select("way_id", "speed_kmh", "access", "push")
@@ -339,20 +331,10 @@ def library_match(spark, d):
     return p.join(lib, "ways").where(F.abs(F.col("length_m") - F.col("lib_m")) / F.col("lib_m") < 0.05).select("ride_id", "segment_id", "ways", "hits")
 
 
-@query(f"with {PARTS}, known as (select ways from lib where len(ways) >= 3), w as (select ride_id, string_agg((way_id % 5)::varchar, ';' order by pos) as route from sections group by ride_id) select ride_id, ways from w join known on starts_with(route, ways) and contains(';' || route || ';', ';' || ways || ';')")
-def route_known_segments(spark, d):
-    """Known segments that a route starts with, joined on its prefixes, so that the join stays an equi-join."""
-    p = parts(spark, d)
-    known = p.groupBy("ways").agg(F.count("*").alias("hits")).where("hits >= 3 and length(ways) >= 3").select("ways")
-    route = A.sections(spark, d).groupBy("ride_id").agg(routes.ordered("pos", F.col("way_id") % 5).alias("route"))
-    heads = route.select("ride_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("route")), lambda k: listed(F.slice(F.col("route"), F.lit(1), k)))).alias("ways"))
-    return heads.join(known, "ways").select("ride_id", "ways")
-
-
 @query(f"""with {PARTS}, known as (select ways, len(string_split(ways, ';')) as n from lib where len(ways) >= 3), w as (select ride_id, list((way_id % 5)::varchar order by pos) as route from sections group by ride_id
 ), starts as (select ride_id, route, unnest(range(1, len(route) + 1)) as i from w), sizes as (select distinct n from known), cuts as (select ride_id, i - 1 as position, array_to_string(route[i : i + n - 1], ';') as ways from starts, sizes where i + n - 1 <= len(route))
 select ride_id, position, ways from cuts join known using (ways)""")
-def route_segments_along(spark, d):
+def route_known_segments(spark, d):
     """Known segments anywhere along a route, with the position they start at: every start and every known size, joined on the slice."""
     p = parts(spark, d)
     known = p.groupBy("ways").agg(F.count("*").alias("hits")).where("hits >= 3 and length(ways) >= 3").select("ways")
@@ -369,14 +351,10 @@ RANKS = A.SECTIONS + ", a as (select ride_id, sum(len_m) as x, avg(maxspeed) as
 
 @query(f"with {RANKS} select round(corr(rx, ry), 6) as spearman from r")
 def rank_correlation(spark, d):
-    """Spearman correlation; ranks come from counts per value (a running sum over the distinct values), not from all rows in one task."""
+    """Spearman correlation; ranks are counted inside ranges of values, which running totals of the ranges complete."""
     a = A.sections(spark, d).groupBy("ride_id").agg(F.sum("len_m").alias("x"), F.avg("maxspeed").alias("y"))
 
-    def ranks(c: str) -> DataFrame:
-        n = a.groupBy(c).agg(F.count("*").alias("n"))
-        return n.select(c, (F.sum("n").over(Window.orderBy(c)) - F.col("n") + 1 + (F.col("n") - 1) / 2.0).alias(f"r{c}"))
-
-    return a.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    return a.join(scoring.mean_ranks(a, "x"), "x").join(scoring.mean_ranks(a, "y"), "y").agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
 
 
 DETAIL = """v as (select vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings),

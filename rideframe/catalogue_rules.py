@@ -264,23 +264,29 @@ def edge_metric_concat(spark, d):
 LEGS = A.TRACK + ", l as (select ride_id, seq // 5 as leg, list({'lat': lat, 'lon': lon} order by seq) as c from trackpoints group by all)"
 
 
-@query(f"with {LEGS} select ride_id, leg, case leg % 4 when 0 then 'coordinates' when 1 then 'polyline' when 2 then 'line' else 'points' end as chosen, case leg % 4 when 2 then least(2, len(c)) else len(c) end as n_points, case when leg % 4 = 1 then round(c[1].lat, 6) else c[1].lat end as first_lat from l")
+@query(f"with {LEGS} select ride_id, leg, case leg % 6 when 0 then 'coordinates' when 1 then 'polyline' when 2 then 'steps' when 3 then 'slice' when 4 then 'line' else 'gpx_list' end as chosen, case leg % 6 when 4 then least(2, len(c)) when 3 then greatest(len(c) - 1, 1) else len(c) end as n_points, case when leg % 6 = 1 then round(c[1].lat, 6) when leg % 6 = 3 and len(c) > 1 then c[2].lat else c[1].lat end as first_lat from l")
 def leg_geometry(spark, d):
-    """Geometry of a leg from the first source that has any."""
+    """Geometry of a leg from the first of six sources that has any."""
     legs = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 5).alias("leg")).agg(routes.ordered("seq", F.struct("lat", "lon")).alias("c"))
-    kind = F.col("leg") % 4
+    kind = F.col("leg") % 6
     ends = F.concat(F.slice("c", 1, 1), F.when(F.size("c") > 1, F.slice("c", -1, 1)).otherwise(F.slice("c", 1, 0)))
-    legs = legs.withColumns({"coordinates": F.when(kind == 0, F.col("c")), "polyline": F.when(kind == 1, routes.polyline(F.col("c"), 6)), "line": F.when(kind == 2, ends), "points": F.when(kind == 3, F.col("c"))})
-    out = legs.withColumn("g", routes.leg_geometry(coordinates=F.col("coordinates"), polyline=F.col("polyline"), line=F.col("line"), points=F.col("points")))
+    halves = F.array(F.slice("c", 1, 2), F.slice("c", 3, 9))
+    named = F.transform("c", lambda p, i: F.when(i % 2 == 0, F.create_map(F.lit("latitude"), p["lat"], F.lit("lng"), p["lon"])).otherwise(F.create_map(F.lit("Lat"), p["lat"], F.lit("lon"), p["lon"])))
+    cut = F.when(F.size("c") > 1, F.slice("c", 2, 9)).otherwise(F.col("c"))
+    sources = {"coordinates": F.col("c"), "polyline": routes.polyline(F.col("c"), 6), "steps": halves, "slice": cut, "line": ends, "gpx_list": named}
+    legs = legs.withColumns({name: F.when(kind == i, source) for i, (name, source) in enumerate(sources.items())})
+    out = legs.withColumn("g", routes.leg_geometry(**{name: F.col(name) for name in sources}))
     return out.select("ride_id", "leg", "g.chosen", F.size("g.shape").cast("long").alias("n_points"), F.col("g.shape")[0]["lat"].alias("first_lat"))
 
 
 @query(f"with {A.TRACK}, g as (select ride_id, seq // 7 as segment, min_by(lat, seq) as a, max_by(lat, seq) as b, count(*) filter (elv > 100) as n, min_by(lat, seq) filter (elv > 100) as f from trackpoints group by all) select ride_id, segment, case when n >= 2 then n else 2 end as n_points, case when n >= 2 then f else a end as first_lat from g")
 def segment_geometry(spark, d):
-    """Points of a segment that have a place; with fewer than two, the straight line between its ends."""
+    """Points of a segment that have a place, however it is spelled; with fewer than two, the straight line between its ends."""
     s = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 7).alias("segment")).agg(routes.ordered("seq", F.struct("lat", "lon", "elv")).alias("c"))
-    had = F.filter("c", lambda p: p["elv"] > 100)
-    shape = F.when(F.size(had) >= 2, had).otherwise(F.array(F.element_at("c", 1), F.element_at("c", -1)))
+    place = F.transform("c", lambda p, i: F.when(p["elv"] > 100, F.when(i % 3 == 0, F.create_map(F.lit("Latitude"), p["lat"], F.lit("Longitude"), p["lon"])).otherwise(F.create_map(F.lit("lat"), p["lat"], F.lit("lon"), p["lon"]))).otherwise(F.create_map(F.lit("lat"), p["lat"])))
+    had = routes.spelled_points(place)
+    ends = F.transform(F.array(F.element_at("c", 1), F.element_at("c", -1)), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    shape = F.when(F.size(had) >= 2, had).otherwise(ends)
     return s.select("ride_id", "segment", F.size(shape).cast("long").alias("n_points"), F.element_at(shape, 1)["lat"].alias("first_lat"))
 
 

@@ -27,11 +27,39 @@ TRANSFORMS = {
 }
 
 
+#: Readings over these are no rides.
+CEILINGS = {"power_w": 2000.0, "cad_rpm": 200.0, "hr_bpm": 250.0}
+
+
+def under_ceilings(readings: DataFrame, ceilings: dict[str, float] = CEILINGS) -> DataFrame:
+    """Canonical readings whose size is at most the ceiling of their sensor; nulls and sensors without a ceiling stay."""
+    over = F.lit(False)
+    for name, most in ceilings.items():
+        over = over | ((F.col("canonical") == name) & F.coalesce(F.abs("canonical_value") > most, F.lit(False)))
+    return readings.where(~over)
+
+
 def clean_key(key: Column) -> Column:
     """Trimmed, lower case, last dotted part, without a name space."""
     return F.regexp_replace(F.element_at(F.split(F.lower(F.trim(key)), "[.]"), -1), "^[^:]*:", "")
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The table of a rule file {"rules": [{"canonical", "synonyms", "coerce", "transform"}]}, synonyms in lower case, the first rule of each kept."""
+    rule = "rules array<struct<canonical:string,synonyms:array<string>,coerce:string,transform:string>>"
+    rows = spark.read.schema(rule).option("multiLine", True).json(path).select(F.posexplode("rules").alias("i", "r")).select("i", "r", F.explode("r.synonyms").alias("s"))
+    first = rows.groupBy(F.lower("s").alias("synonym")).agg(F.min_by("r", "i").alias("r"))
+    return first.select("synonym", "r.canonical", "r.coerce", "r.transform")
+
+
+def extension_maps(readings: DataFrame, rules: DataFrame, point: str, order: str, key: str, value: str) -> DataFrame:
+    """One map of canonical names per point; of several readings of a name the first wins, unknown keys go."""
+    known = canonical_readings(readings, rules, key, value).where("canonical_value is not null")
+    first = known.groupBy(point, "canonical").agg(F.min_by("canonical_value", order).alias("v"))
+    pairs = F.array_sort(F.collect_list(F.struct("canonical", "v")))  # as many as canonical names at most
+    return first.groupBy(point).agg(F.map_from_entries(pairs).alias("extensions"))
+
+
 def rules_table(spark: SparkSession) -> DataFrame:
     """(synonym, canonical, coerce, transform), one row per synonym, the first rule kept."""
     first: dict[str, tuple] = {}

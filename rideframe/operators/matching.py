@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rideframe.functions import geo
 
@@ -36,6 +37,29 @@ def nearest(points: DataFrame, nodes: DataFrame, keys: list[str], reach_m: float
     return points.select(*keys).join(best, keys, "left").select(*keys, "b.node_id", "b.distance_m")
 
 
+def kept_pieces(pieces: DataFrame, raw: DataFrame, least_m: float, least_hits: int, reach_m: float) -> DataFrame:
+    """(ride_id, part, hits) of the matched pieces (ride_id, part, seq, lat, lon, step_mm) that are no spurs.
+
+    A piece stays if it is ``least_m`` long and ``least_hits`` raw points of its ride are within
+    ``reach_m`` of a vertex. Vertices and points meet by ride and grid cell.
+    """
+    first = F.row_number().over(Window.partitionBy("ride_id", "part").orderBy("seq")) == 1
+    length = pieces.withColumn("own", F.when(first, 0).otherwise(F.col("step_mm"))).groupBy("ride_id", "part").agg(F.sum("own").alias("length_mm"))
+    high = reach_m / 111_000.0
+    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    around = F.explode(F.array(*[F.struct((cell("lat", high) + dy).alias("cy"), (cell("lon", 2 * high) + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    vertices = pieces.select("ride_id", "part", F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), around.alias("c")).select("ride_id", "part", "vlat", "vlon", "c.cy", "c.cx").distinct()
+    met = raw.select("ride_id", "seq", "lat", "lon", cell("lat", high).alias("cy"), cell("lon", 2 * high).alias("cx")).join(vertices, ["ride_id", "cy", "cx"])
+    met = met.where(geo.haversine(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) <= reach_m)
+    hits = met.groupBy("ride_id", "part").agg(F.count_distinct("seq").alias("hits"))
+    return hits.join(length.where(F.col("length_mm") >= 1000 * least_m), ["ride_id", "part"]).where(F.col("hits") >= least_hits).select("ride_id", "part", "hits")
+
+
+def position_sigma(near: DataFrame) -> DataFrame:
+    """(ride_id, sigma_m): 1.4826 times the median distance of a ride's points to the road."""
+    return near.where("distance_m is not null").groupBy("ride_id").agg((1.4826 * F.median("distance_m")).alias("sigma_m"))
+
+
 def viterbi(points: DataFrame, nodes: DataFrame, reach_m: float, sigma: float, beta: float) -> DataFrame:
     """ride_id, chunk, seq, node_id: the likeliest node of each point that has a candidate.
 

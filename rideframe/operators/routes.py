@@ -15,11 +15,26 @@ def ordered(order: str, value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
 
 
-def flatten_nodes(legs: Column, most: int) -> Column:
-    """Legs in order as one array: each leg loses its largest overlap (<= most) with what came before; then equal neighbours collapse."""
-    rest = F.slice(legs, F.lit(2), F.greatest(F.size(legs) - 1, F.lit(0)))
-    joined = F.aggregate(rest, F.element_at(legs, 1), lambda acc, leg: F.concat(acc, F.slice(leg, overlap(acc, leg, most) + 1, F.size(leg))))
-    return F.filter(joined, lambda x, i: (i == 0) | (x != F.get(joined, i - 1)))
+def flatten_nodes(legs: DataFrame, most: int) -> DataFrame:
+    """(ride_id, nodes): legs (ride_id, legs) in order as one array: each leg loses its largest overlap (<= most) with what came before; then equal neighbours collapse.
+
+    Only the last ``most`` nodes can overlap, so the fold keeps that tail and the cut legs,
+    which are joined once; equal neighbours are told by the array beside itself shifted.
+    """
+    kind = dict(legs.dtypes)["legs"].removeprefix("array<").removesuffix(">")
+    none = F.array().cast(kind)
+
+    def step(acc, leg):
+        own = F.slice(leg, overlap(acc["tail"], leg, most) + 1, F.size(leg))
+        both = F.concat(acc["tail"], own)
+        tail = F.slice(both, F.greatest(F.size(both) - most + 1, F.lit(1)), F.lit(most))
+        return F.struct(tail.alias("tail"), F.concat(acc["cut"], F.array(own)).alias("cut"))
+
+    cut = F.aggregate("legs", F.struct(none.alias("tail"), F.array().cast(f"array<{kind}>").alias("cut")), step, lambda acc: F.flatten(acc["cut"]))
+    joined = legs.select("ride_id", cut.alias("j"))
+    shifted = joined.withColumn("b", F.concat(F.array(F.lit(None)), F.slice("j", F.lit(1), F.greatest(F.size("j") - 1, F.lit(0)))))
+    pairs = shifted.select("ride_id", F.arrays_zip("j", "b").alias("p"))
+    return pairs.select("ride_id", F.transform(F.filter("p", lambda x: ~x["j"].eqNullSafe(x["b"])), lambda x: x["j"]).alias("nodes"))
 
 
 def merge_chunks(chunks: DataFrame, most: int) -> DataFrame:
@@ -37,20 +52,40 @@ def merge_chunks(chunks: DataFrame, most: int) -> DataFrame:
 def trim_legs(legs: DataFrame, most: int) -> DataFrame:
     """Legs (chunk, nodes) without their overlap k with the leg before; legs that are all overlap go.
 
-    Overlaps are judged on the legs as given, so seams do not depend on each other.
+    Overlaps are judged on the legs as given, so seams do not depend on each other. With a
+    column metres, one length a node, distance is the sum of what is left.
     """
     cut = legs.withColumn("before", F.lag("nodes").over(Window.partitionBy("ride_id").orderBy("chunk")))
     cut = cut.withColumn("k", F.when(F.col("before").isNotNull(), overlap(F.col("before"), F.col("nodes"), most)).otherwise(0))
     cut = cut.where(F.size("nodes") > F.col("k"))
+    if "metres" in cut.columns:
+        cut = cut.withColumn("metres", F.slice("metres", F.col("k") + 1, F.size("metres")))
+        cut = cut.withColumn("distance", F.aggregate("metres", F.lit(0.0), lambda a, x: a + x))
     return cut.withColumn("nodes", F.slice("nodes", F.col("k") + 1, F.size("nodes"))).drop("before")
 
 
 def leg_geometry(**sources: Column) -> Column:
-    """(chosen, shape): the first source with a point, in the order given; ``polyline`` is decoded at six digits."""
-    read = {name: decode_polyline(c, 6) if name == "polyline" else c for name, c in sources.items()}
+    """(chosen, shape): the first source with a point, in the order given.
+
+    ``polyline`` is decoded at six digits, ``steps`` is an array of shapes to join, ``gpx_list``
+    an array of maps in any spelling.
+    """
+    read = {"polyline": lambda c: decode_polyline(c, 6), "steps": F.flatten, "gpx_list": spelled_points}
+    read = {name: read.get(name, lambda c: c)(c) for name, c in sources.items()}
     return F.coalesce(*[F.when(F.size(c) > 0, F.struct(F.lit(name).alias("chosen"), c.alias("shape"))) for name, c in read.items()])
 
 
+#: How points spell their place.
+LATITUDES, LONGITUDES = ["lat", "latitude", "Lat", "Latitude"], ["lon", "lng", "longitude", "Lon", "Longitude"]
+
+
+def spelled_points(points: Column) -> Column:
+    """Array of (lat, lon) from an array of maps under any of the known spellings; points without both are left out."""
+    first = lambda m, names: F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in names])
+    found = F.transform(points, lambda m: F.struct(first(m, LATITUDES).alias("lat"), first(m, LONGITUDES).alias("lon")))
+    return F.filter(found, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+
+
 def trim_runs(runs: DataFrame, edges: int) -> DataFrame:
     """Runs without the first ``edges`` edges of each ride; a run that is cut keeps its share of length_m."""
     upto = F.sum("n").over(Window.partitionBy("ride_id").orderBy("run_idx").rowsBetween(Window.unboundedPreceding, 0))
@@ -133,11 +168,25 @@ def connector_nodes(edges: DataFrame, asked: DataFrame) -> DataFrame:
     return whole
 
 
+def stitched(chunks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """ride_id, chunk, u, v, length_m: a connector leg for each seam without an overlap, from the last node before it to the first one after."""
+    seams = chunks.withColumn("before", F.lag("nodes").over(Window.partitionBy("ride_id").orderBy("chunk"))).where("before is not null")
+    seams = seams.where(overlap(F.col("before"), F.col("nodes"), most) == 0)
+    seams = written(seams.select("ride_id", "chunk", F.element_at("before", -1).alias("u"), F.element_at("nodes", 1).alias("v")), "seams")
+    return seams.join(connectors(edges, seams.select("u", "v")), ["u", "v"], "left").select("ride_id", "chunk", "u", "v", "length_m")
+
+
 def polyline(points: Column, digits: int = 5) -> Column:
     """Encoded polyline of an array of structs (lat, lon): zigzag deltas in groups of five bits, all in built-in functions."""
     scale = 10.0**digits
-    scaled = F.transform(points, lambda p: F.array(F.round(p["lat"] * scale).cast("long"), F.round(p["lon"] * scale).cast("long")))
-    deltas = F.flatten(F.transform(scaled, lambda p, i: F.when(i == 0, p).otherwise(F.zip_with(p, F.get(scaled, i - 1), lambda a, b: a - b))))
+    whole = lambda p: F.struct(F.round(p["lat"] * scale).cast("long").alias("a"), F.round(p["lon"] * scale).cast("long").alias("b"))
+    state = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<long>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        w = whole(p)
+        return F.struct(w["a"].alias("a"), w["b"].alias("b"), F.concat(acc["out"], F.array(w["a"] - acc["a"], w["b"] - acc["b"])).alias("out"))
+
+    deltas = F.aggregate(points, state, step, lambda acc: acc["out"])
 
     def letters(v: Column) -> Column:
         z = F.when(v < 0, -2 * v - 1).otherwise(2 * v)
@@ -148,17 +197,25 @@ def polyline(points: Column, digits: int = 5) -> Column:
 
 
 def decode_polyline(text: Column, digits: int = 5) -> Column:
-    """Array of (lat, lon) of an encoded polyline, null for null; inverse of ``polyline`` up to rounding."""
-    state = F.struct(F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("weight"), F.array().cast("array<long>").alias("out"))
+    """Array of (lat, lon) of an encoded polyline, null for null; inverse of ``polyline`` up to rounding.
+
+    One fold over the letters holds the running latitude and longitude, so no sum is taken twice.
+    """
+    zero = F.lit(0).cast("long")
+    point = "struct<lat:double,lon:double>"
+    state = F.struct(zero.alias("value"), F.lit(1).cast("long").alias("weight"), zero.alias("lat"), zero.alias("lon"), F.lit(False).alias("half"), F.array().cast(f"array<{point}>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
         b = F.ascii(c) - 63
         value = acc["value"] + (b % 32) * acc["weight"]
         delta = F.when(value % 2 == 1, (-(value + 1) / 2).cast("long")).otherwise((value / 2).cast("long"))
         more = b >= 32
-        return F.struct(F.when(more, value).otherwise(0).cast("long").alias("value"), F.when(more, acc["weight"] * 32).otherwise(1).cast("long").alias("weight"), F.when(more, acc["out"]).otherwise(F.concat(acc["out"], F.array(delta))).alias("out"))
-
-    deltas = F.aggregate(F.split(text, ""), state, step, lambda acc: acc["out"])
-    total = lambda i, odd: F.aggregate(F.filter(deltas, lambda _, j: (j <= i) & (j % 2 == odd)), F.lit(0).cast("long"), lambda a, x: a + x) / 10.0**digits
-    pairs = F.sequence(F.lit(0), F.greatest((F.size(deltas) / 2).cast("int") - 1, F.lit(0)))
-    return F.when(text.isNotNull() & (F.size(deltas) < 2), F.array().cast("array<struct<lat:double,lon:double>>")).when(text.isNotNull(), F.transform(pairs, lambda i: F.struct(total(2 * i + 1, 0).alias("lat"), total(2 * i + 1, 1).alias("lon"))))
+        lat = F.when(more | acc["half"], acc["lat"]).otherwise(acc["lat"] + delta)
+        lon = F.when(~more & acc["half"], acc["lon"] + delta).otherwise(acc["lon"])
+        done = F.struct((lat / 10.0**digits).alias("lat"), (lon / 10.0**digits).alias("lon")).cast(point)
+        return F.struct(
+            F.when(more, value).otherwise(0).cast("long").alias("value"), F.when(more, acc["weight"] * 32).otherwise(1).cast("long").alias("weight"), lat.cast("long").alias("lat"), lon.cast("long").alias("lon"),
+            (more & acc["half"] | ~more & ~acc["half"]).alias("half"), F.when(~more & acc["half"], F.concat(acc["out"], F.array(done))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.when(text.isNotNull(), F.aggregate(F.split(text, ""), state, step, lambda acc: acc["out"]))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rideframe.operators.rides import by_whole_rides
+
 
 def ride():
     return Window.partitionBy("ride_id").orderBy("pos")
@@ -74,7 +75,8 @@ def boundary_cost(a: tuple, b: tuple) -> float:
         ranks = HIGHWAY_RANK.get(a[0]), HIGHWAY_RANK.get(b[0])
         cost += 1.0 if None in ranks else HIGHWAY_STEP * abs(ranks[1] - ranks[0])
     if a[1] != b[1]:
-        cost += PAVING_CHANGE if (a[1] in PAVED) != (b[1] in PAVED) else SURFACE_CHANGE
+        paved = [None if x is None else x in PAVED for x in (a[1], b[1])]
+        cost += PAVING_CHANGE if paved[0] != paved[1] else SURFACE_CHANGE
     smooth = SMOOTHNESS.get(a[2]), SMOOTHNESS.get(b[2])
     if None not in smooth:
         cost += SMOOTHNESS_STEP * abs(smooth[1] - smooth[0])
@@ -119,7 +121,7 @@ _SECTION = ["highway", "surface", "smoothness", "maxspeed"]
 
 
 def _merge_rides(threshold: float):
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(rows: pd.DataFrame, _) -> pd.DataFrame:
         ride, part = rows["ride_id"].to_numpy(), rows["part"].to_numpy()
         begin = np.flatnonzero(np.r_[True, (ride[1:] != ride[:-1]) | (part[1:] != part[:-1])])
         end = np.r_[begin[1:], len(rows)]
@@ -132,39 +134,73 @@ def _merge_rides(threshold: float):
             segment[begin[k] : end[k]] = merge_part(own["cost"].tolist(), own["len_m"].tolist(), tags, threshold)
         return pd.DataFrame({"ride_id": ride, "part": part, "pos": rows["pos"], "segment_id": segment})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # rows of the ride that the last batch ended in
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = batch["ride_id"].iloc[-1]
-            if held and batch["ride_id"].iloc[0] == last == held[0]["ride_id"].iloc[0]:
-                held.append(batch)
-                continue
-            own = batch["ride_id"].to_numpy() == last
-            whole = pd.concat([*held, batch[~own]], ignore_index=True)
-            if len(whole):
-                yield settle(whole)
-            held = [batch[own]]
-        if held:
-            yield settle(pd.concat(held, ignore_index=True))
-
-    return run
+    return settle
 
 
 def greedy_merge(sections: DataFrame, threshold: float) -> DataFrame:
     """Merge the cheapest boundary, refresh its neighbours, until none is under the threshold: ride_id, part, pos, segment_id.
 
     Boundaries of cost 1 never merge: they part a ride, and segments count from 0 in each
-    part. The order depends on the data, so rides are dealt to tasks whole and in order (the
-    shuffle of the cost windows), and one Python pass a task settles them; parts without a
-    boundary under the threshold never leave numpy.
+    part. The order depends on the data, so one Python pass a task settles whole rides; parts
+    without a boundary under the threshold never leave numpy.
     """
-    costed = merge_cost(sections.repartition("ride_id"))
+    costed = merge_cost(sections)
     hard = F.when(F.col("cost") >= 1, 1).otherwise(0)
     parts = costed.withColumn("part", F.sum(hard).over(ride().rowsBetween(Window.unboundedPreceding, 0)))
     narrow = parts.select("ride_id", "part", "pos", F.col("len_m").cast("double").alias("len_m"), "cost", "highway", "surface", "smoothness", F.col("maxspeed").cast("double").alias("maxspeed"))
-    return narrow.sortWithinPartitions("ride_id", "pos").mapInPandas(_merge_rides(threshold), "ride_id long, part long, pos long, segment_id long")
+    return by_whole_rides(narrow, "pos", _merge_rides(threshold), "ride_id long, part long, pos long, segment_id long")
+
+
+#: Our own bins and weights of the five zones, as none are published: trait -> weight, a minus before a trait means its absence.
+ZONES = {
+    "endurance": [("long", 0.4), ("smooth", 0.2), ("free", 0.2), ("steady", 0.2)],
+    "tempo": [("long", 0.3), ("smooth", 0.2), ("free", 0.3), ("climb", 0.2)],
+    "threshold": [("climb", 0.4), ("steady", 0.3), ("free", 0.3)],
+    "vo2max": [("climb", 0.5), ("-long", 0.3), ("free", 0.2)],
+    "anaerobic": [("-long", 0.5), ("climb", 0.3), ("-free", 0.2)],
+}
+
+
+def ride_features(points: DataFrame, segment: str) -> DataFrame:
+    """Features of each segment of a ride from its points (seq, elv, step_mm, gradient_pct, kappa, speed_mps).
+
+    length_m, gain_m (sum of rises), mean_grade, var_grade (sample), mean_kappa, stops (points
+    under 0.5 m/s after the first) and stops a kilometre. One shuffle serves the rise and the sums.
+    """
+    w = Window.partitionBy("ride_id").orderBy("seq")
+    rise = F.greatest(F.col("elv") - F.lag("elv").over(w), F.lit(0.0))
+    own = points.withColumn("rise", F.when(F.col(segment) == F.lag(segment).over(w), rise).otherwise(0.0))
+    stop = (F.col("speed_mps") < 0.5) & (F.col("seq") > 0)
+    out = own.groupBy("ride_id", segment).agg(
+        (F.sum("step_mm") / 1000.0).alias("length_m"), F.sum("rise").alias("gain_m"), F.avg("gradient_pct").alias("mean_grade"), F.var_samp("gradient_pct").alias("var_grade"), F.avg("kappa").alias("mean_kappa"), F.count_if(stop).alias("stops"),
+    )
+    return out.withColumn("stops_per_km", F.col("stops") / F.greatest(F.col("length_m") / 1000.0, F.lit(0.1)))
+
+
+def zone_scores(features: DataFrame, long_m: float = 5000.0, steep: float = 8.0) -> DataFrame:
+    """A score from 0 to 1 for each of the five training zones, by binned traits and the weights of ZONES."""
+    binned = lambda c, edges: sum((F.when(c >= e, 1.0).otherwise(0.0) for e in edges), F.lit(0.0)) / len(edges)
+    t = {
+        "long": binned(F.col("length_m"), [long_m / 4, long_m / 2, long_m, 2 * long_m]),
+        "climb": binned(F.col("mean_grade"), [steep / 4, steep / 2, steep]),
+        "smooth": 1.0 - binned(F.col("mean_kappa"), [0.001, 0.01, 0.1]),
+        "free": 1.0 - binned(F.col("stops_per_km"), [0.1, 0.5, 2.0]),
+        "steady": 1.0 - binned(F.coalesce("var_grade", F.lit(0.0)), [1.0, 10.0, 100.0]),
+    }
+    return features.withColumns({zone: sum((w * (1.0 - t[k[1:]] if k[0] == "-" else t[k]) for k, w in parts), F.lit(0.0)) for zone, parts in ZONES.items()})
+
+
+def propose_boundaries(points: DataFrame, turn: float, stop_mps: float, least_m: float) -> DataFrame:
+    """Points where a way begins, the heading turns by more than ``turn`` radians or the rider stops, at least ``least_m`` after the proposal before.
+
+    points: ride_id, seq, cum_mm, heading_delta, speed_mps, way_id. The guard compares with the
+    last proposal of any kind, so a run of close ones keeps its first only: cut, why.
+    """
+    w = Window.partitionBy("ride_id").orderBy("seq")
+    way = ~F.col("way_id").eqNullSafe(F.lag("way_id").over(w))
+    why = F.when(way, "way").when(F.abs("heading_delta") > turn, "turn").when(F.col("speed_mps") < stop_mps, "stop")
+    cuts = points.withColumn("why", F.when(F.row_number().over(w) > 1, why)).where("why is not null")
+    return cuts.withColumn("since", F.col("cum_mm") - F.lag("cum_mm", 1).over(w)).where(F.col("since").isNull() | (F.col("since") >= 1000 * least_m)).drop("since")
 
 
 #: Our own weights of the suitability score, as none are published: length, paving, calm, unity.
@@ -178,6 +214,41 @@ def suitability(features: DataFrame) -> DataFrame:
     return features.withColumn("tss", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
+def set_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """jaccard of two sets of (ride_id, pos) per ride that is in either."""
+    both = a.distinct().withColumn("x", F.lit(1)).unionByName(b.distinct().withColumn("x", F.lit(2))).groupBy("ride_id", "pos").agg(F.sum("x").alias("x"))
+    return both.groupBy("ride_id").agg((F.count_if(F.col("x") == 3) / F.count("*")).alias("jaccard"))
+
+
+def wavelet_footprint(values: DataFrame, key: str, levels: int, gamma: float) -> DataFrame:
+    """key, level, k, d: Haar details over gamma times the standard deviation of their level; values: key, i, x.
+
+    Each level pairs the means of the one before, so it has half its rows; a value without a
+    partner ends there. Details and deviations are compared to nine places.
+    """
+    w, out = Window.partitionBy(key), None
+    for level in range(1, levels + 1):
+        pick = lambda odd: F.max(F.when(F.col("i") % 2 == odd, F.col("x")))
+        pairs = values.groupBy(key, F.floor(F.col("i") / 2).cast("long").alias("k")).agg(pick(0).alias("a"), pick(1).alias("b"), F.count("*").alias("n")).where("n = 2")
+        root = F.sqrt(F.lit(2.0))
+        d = pairs.select(key, F.lit(level).alias("level"), "k", ((F.col("a") - F.col("b")) / root).alias("d")).withColumn("s", F.stddev_pop("d").over(w))
+        d = d.where(F.abs(F.round("d", 9)) > gamma * F.round("s", 9)).drop("s")
+        out = d if out is None else out.unionByName(d)
+        values = pairs.select(key, F.col("k").alias("i"), ((F.col("a") + F.col("b")) / root).alias("x"))
+    return out
+
+
+def upsert_library(library: DataFrame, more: DataFrame) -> DataFrame:
+    """(segment_key, hits, mean_tss, last_ride) of a library with those of new rides: hits add up, the mean runs on, the last ride is the later one."""
+    both = library.unionByName(more)
+    return both.groupBy("segment_key").agg((F.sum(F.col("mean_tss") * F.col("hits")) / F.sum("hits")).alias("mean_tss"), F.sum("hits").alias("hits"), F.max("last_ride").alias("last_ride"))
+
+
+def prune_library(library: DataFrame, least_hits: int, before: int) -> DataFrame:
+    """Entries of few hits go once they have not been seen since ``before``."""
+    return library.where((F.col("hits") >= least_hits) | (F.col("last_ride") >= before))
+
+
 def library(segments: DataFrame) -> DataFrame:
     """Segments of equal way sequences as one entry: segment_key, hits, mean_length_m."""
     ways = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "way_id"))), lambda x: x["way_id"].cast("string")), ">")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rideframe.functions import geo
+from rideframe.operators.rides import by_whole_rides
 
 
 def ride():
@@ -79,6 +82,48 @@ def curvature(points: DataFrame) -> DataFrame:
     return points.withColumn("kappa", F.when(chord > 1e-6, F.abs(turn) / chord).otherwise(0.0))
 
 
+def curvature_burden(points: DataFrame, critical: float) -> DataFrame:
+    """pct_twisty: the share of the way that bends by more than ``critical`` a metre; cbi: the mean of what is over it, by length."""
+    over = F.greatest(F.col("kappa") - critical, F.lit(0.0))
+    total = F.nullif(F.sum("step_mm"), F.lit(0))
+    return points.groupBy("ride_id").agg((F.sum(F.when(F.col("kappa") > critical, F.col("step_mm")).otherwise(0)) / total).alias("pct_twisty"), (F.sum(over * F.col("step_mm")) / total).alias("cbi"))
+
+
+def smoothed_gradient(points: DataFrame, reach_m: float, boost: float = 0.6, full: float = 10.0) -> DataFrame:
+    """ride_id, seq, smoothed: Gaussian mean of gradient_pct within reach_m of cumulative distance (sigma a third of it), steep points weighing up to 1 + boost.
+
+    Weights depend on the centre, so numpy takes whole rides: one pass for each distance in
+    rows, up to the longest frame, over all rides of a batch at once.
+    """
+
+    def run(rows: pd.DataFrame, begin: np.ndarray) -> pd.DataFrame:
+        n, at, g = len(rows), rows["cum_mm"].to_numpy() / 1000.0, rows["gradient_pct"].to_numpy()
+        ride = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, n]))
+        own = 1.0 + boost * np.minimum(np.abs(g) / full, 1.0)
+        total, weight = own * g, own.copy()
+        for k in range(1, n):
+            near = (ride[k:] == ride[:-k]) & (at[k:] - at[:-k] <= reach_m)
+            i = np.flatnonzero(near)
+            if not len(i):
+                break  # distances grow along a ride: farther rows are farther away
+            w = np.exp(-0.5 * ((at[i + k] - at[i]) / (reach_m / 3.0)) ** 2)
+            np.add.at(total, i, w * own[i + k] * g[i + k])
+            np.add.at(weight, i, w * own[i + k])
+            np.add.at(total, i + k, w * own[i] * g[i])
+            np.add.at(weight, i + k, w * own[i])
+        return pd.DataFrame({"ride_id": rows["ride_id"], "seq": rows["seq"], "smoothed": total / weight})
+
+    return by_whole_rides(points.select("ride_id", "seq", "cum_mm", "gradient_pct"), "seq", run, "ride_id long, seq long, smoothed double")
+
+
+def fill_gaps(points: DataFrame, column: str) -> DataFrame:
+    """Zeros, NaN and nulls of a column become the mean of the nearest good values before and after, or the one there is."""
+    good = F.when(~F.isnan(column) & (F.col(column) != 0), F.col(column))
+    before = F.last(good, ignorenulls=True).over(so_far())
+    after = F.first(good, ignorenulls=True).over(ride().rowsBetween(0, Window.unboundedFollowing))
+    return points.withColumn(column, F.coalesce(good, (before + after) / 2, before, after))
+
+
 def rolling_power(points: DataFrame, seconds: int) -> DataFrame:
     w = Window.partitionBy("ride_id").orderBy("t_us").rangeBetween(-1_000_000 * seconds, 0)
     return points.withColumn("rolling_w", F.avg("power_w").over(w))

@@ -124,10 +124,9 @@ def test_known_segments_are_found_anywhere_along_a_route(spark):
             for j in range(i + 1, len(r.route) + 1):
                 w = ";".join(map(str, r.route[i:j]))
                 want += [(r.ride_id, i, w)] * (w in known)
-    got = [tuple(r) for r in c.route_segments_along(spark, data).collect()]
+    got = [tuple(r) for r in c.route_known_segments(spark, data).collect()]
     assert sorted(got) == sorted(want)
-    heads = [tuple(r) for r in c.route_known_segments(spark, data).collect()]
-    assert sorted(heads) == sorted((a, w) for a, i, w in got if i == 0) and len(got) > len(heads)
+    assert any(i > 0 for _, i, _ in got)
 
 
 def test_connectors_of_any_number_of_edges(spark):
