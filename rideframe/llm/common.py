@@ -35,6 +35,8 @@ def repeated(rows: DataFrame, name: str) -> DataFrame:
     """
     counts = written(rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("times")).where("times > 1"), "counts")
     hot = max(HOT_ROWS, rows.count() // 2000)
+    if counts.where(F.col("times") >= hot).isEmpty():
+        return rows.join(counts.select(name, F.lit(True).alias("again")), name, "left").select(*rows.columns, "again")
     many = F.broadcast(counts.where(F.col("times") >= hot).select(name, F.lit(True).alias("hot")))
     few = counts.where(F.col("times") < hot).select(name, F.lit(True).alias("again"))
     told = rows.join(many, name, "left")

@@ -262,13 +262,13 @@ def _runs(spans) -> list[list[int]]:
     return out
 
 
-def _cut(decoded: bool, carried: list[str], passages: bool):
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", *(["n_passage_bytes"] if passages else []), "kept", *carried]
+def _cut(decoded: bool, carried: list[str]):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carried]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
-            for doc_id, text, spans, told, *rest in zip(batch["doc_id"], batch["text"], batch["spans"], batch["told"], *[batch[c] for c in carried]):
+            for doc_id, text, spans, *rest in zip(batch["doc_id"], batch["text"], batch["spans"], *[batch[c] for c in carried]):
                 raw = _bytes(text)
                 runs = _runs(spans)
                 kept, end = [], 0
@@ -276,8 +276,7 @@ def _cut(decoded: bool, carried: list[str], passages: bool):
                     kept.append(raw[end:a])
                     end = b
                 kept = b"".join([*kept, raw[end:]])
-                more = [sum(b - a for a, b in _runs(told))] if passages else []
-                rows.append((doc_id, len(raw), len(raw) - len(kept), len(runs), *more, kept.decode("utf-8", "ignore") if decoded else kept, *rest))
+                rows.append((doc_id, len(raw), len(raw) - len(kept), len(runs), kept.decode("utf-8", "ignore") if decoded else kept, *rest))
                 held += len(kept)
                 if held > HELD:
                     yield pd.DataFrame(rows, columns=columns, dtype=object)
@@ -320,16 +319,14 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return out
 
 
-def cut_repeats(docs: DataFrame, length: int | None = 400, decoded: bool = False, words: int | None = None, carry: list[str] = (), report: int | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int | None = 400, decoded: bool = False, words: int | None = None, carry: list[str] = ()) -> DataFrame:
     """Documents without the bytes that a repeated string of ``length`` bytes covers; one row per input row.
 
     With ``words``, repeated passages of so many words go too, however few bytes they have;
     ``length`` None leaves those alone to go.
     doc_id, n_bytes, n_removed, n_spans, kept (binary; ``decoded``: a string, without the
     bytes of characters that a cut has split, made in the same Python pass), then the columns
-    of ``carry``. With ``report``, n_passage_bytes before kept counts the bytes that repeated
-    passages of so many words cover, which stay unless a string takes them. Strings are judged
-    on the input: all occurrences go, the first one too, overlaps included. Null is an empty
+    of ``carry``. Strings are judged on the input: all occurrences go, the first one too, overlaps included. Null is an empty
     text; texts under ``length`` bytes (``words`` words) stay whole; a row that repeats makes
     its own text repeated; an empty table gives an empty result. One document's spans are
     gathered in one task, with its text. Null doc_ids stay null.
@@ -342,11 +339,7 @@ def cut_repeats(docs: DataFrame, length: int | None = 400, decoded: bool = False
     both = spans[0] if len(spans) == 1 else spans[0].unionByName(spans[1])
     narrow = docs.select(key_of().alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     out = narrow.join(gathered(both, "spans"), keys, "left")
-    if report:
-        out = out.join(gathered(repeated_words(docs, report), "told"), keys, "left")
-    else:
-        out = out.withColumn("told", F.lit(None).cast("array<struct<first:int,last:int>>"))
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", _COUNTS, *(["n_passage_bytes long"] if report else []), f"kept {'string' if decoded else 'binary'}", *[f"`carried_{c}` {kinds[c]}" for c in carry]])
-    out = out.mapInPandas(_cut(decoded, [f"carried_{c}" for c in carry], bool(report)), schema)
+    schema = ", ".join(["doc_id long", _COUNTS, f"kept {'string' if decoded else 'binary'}", *[f"`carried_{c}` {kinds[c]}" for c in carry]])
+    out = out.mapInPandas(_cut(decoded, [f"carried_{c}" for c in carry]), schema)
     return with_nulls(out, "doc_id").withColumnsRenamed({f"carried_{c}": c for c in carry})

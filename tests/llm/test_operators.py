@@ -81,8 +81,8 @@ def test_substrings_equal_brute_force(docs, rows, empty):
 def test_cut_results_go_on_in_parts_and_stay_whole(monkeypatch):
     monkeypatch.setattr(substrings, "HELD", 10)
     texts = ["abcdef", "", "x" * 40, "né", "tail"]
-    batch = pd.DataFrame({"doc_id": range(5), "text": texts, "spans": [None] * 5, "told": [None] * 5})
-    parts = list(substrings._cut(True, [], False)(iter([batch, batch.head(0)])))
+    batch = pd.DataFrame({"doc_id": range(5), "text": texts, "spans": [None] * 5})
+    parts = list(substrings._cut(True, [])(iter([batch, batch.head(0)])))
     assert len(parts) > 1
     assert [(r.doc_id, r.kept, r.n_removed) for p in parts for r in p.itertuples()] == [(i, t, 0) for i, t in enumerate(texts)]
 
