@@ -26,35 +26,46 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left"
     return df.join(small, on, how)
 
 
+def _met(rows: DataFrame, on: str, many: DataFrame, few: DataFrame) -> DataFrame:
+    """``rows`` with ``found``: the struct r that ``many`` or ``few`` (on, r) have for ``on``, a long; null where neither has it.
+
+    Rows of a value of ``many`` (2000 values at most) meet it by broadcast; in the shuffle to
+    ``few`` they go by a hash of the whole row, so that no task gets all of them.
+    """
+    told = rows.join(F.broadcast(many.select(on, F.lit(True).alias("hot"), F.col("r").alias("hot_r"))), on, "left")
+    told = told.withColumn("met_key", F.when(F.col("hot"), F.xxhash64(*rows.columns)).otherwise(F.col(on)))
+    out = told.join(few.select(F.col(on).alias("met_key"), "r"), "met_key", "left")
+    return out.select(*rows.columns, F.when(F.col("hot"), F.col("hot_r")).otherwise(F.col("r")).alias("found"))
+
+
 def repeated(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` (a written table) with ``again``: true where ``name`` stands in two rows or more, else null; null names are alone.
 
     Names are counted with map-side combining. A name of HOT_ROWS rows or of a 2000th of all
-    rows is hot: there are at most 2000 of those, so they are broadcast, and the shuffle
-    join sees only names that few rows share.
+    rows is hot: there are at most 2000 of those, so ``_met`` broadcasts them.
     """
     counts = written(rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("times")).where("times > 1"), "counts")
     hot = max(HOT_ROWS, rows.count() // 2000)
-    if counts.where(F.col("times") >= hot).isEmpty():
-        return rows.join(counts.select(name, F.lit(True).alias("again")), name, "left").select(*rows.columns, "again")
-    many = F.broadcast(counts.where(F.col("times") >= hot).select(name, F.lit(True).alias("hot")))
-    few = counts.where(F.col("times") < hot).select(name, F.lit(True).alias("again"))
-    told = rows.join(many, name, "left")
-    cold = told.where("hot is null").join(few, name, "left")
-    return told.where("hot").select(*rows.columns, F.col("hot").alias("again")).unionByName(cold.select(*rows.columns, "again"))
+    told = counts.select(name, "times", F.struct(F.lit(True).alias("again")).alias("r"))
+    out = _met(rows, name, told.where(F.col("times") >= hot), told.where(F.col("times") < hot))
+    return out.select(*rows.columns, F.col("found.again").alias("again"))
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Join ``left`` (a written table) with ``right``, which has a value of ``on`` once at most.
+    """Join ``left`` (a written table) with ``right``, which has a value of ``on``, a long, once at most.
 
     Values of HOT_ROWS rows or of a 2000th of all rows of ``left``, of which there are 2000 at
-    most, meet their rows of ``right`` by broadcast; the others by a shuffle.
+    most, meet their rows of ``right`` by broadcast, the others by a shuffle. A hot value that
+    ``right`` lacks is left to the shuffle.
     """
     hot = max(HOT_ROWS, left.count() // 2000)
-    many = F.broadcast(left.groupBy(on).agg(F.count("*").alias("times")).where(F.col("times") >= hot).select(on, F.lit(True).alias("hot")))
-    told = left.join(many, on, "left")
-    spread = told.where("hot").join(F.broadcast(right.join(many.select(on), on, "left_semi")), on, how).drop("hot")
-    return spread.unionByName(told.where("hot is null").drop("hot").join(right, on, how))
+    many = left.groupBy(on).agg(F.count("*").alias("times")).where(F.col("times") >= hot).select(on)
+    more = [c for c in right.columns if c != on]
+    told = right.select(on, F.struct(*more).alias("r"))
+    out = _met(left, on, told.join(F.broadcast(many), on), told)
+    if how == "inner":
+        out = out.where("found is not null")
+    return out.select(*left.columns, *[F.col("found")[c].alias(c) for c in more])
 
 
 def text_or_empty(column: str = "text") -> Column:
