@@ -357,3 +357,47 @@ def test_symbols_and_byte_fallbacks_are_rejected(spark):
     assert not any(r.kept for r in out if r.doc_id < 0) and sum(r.doc_id < 0 for r in out) == 3
     assert len(ridden) > 20 and sum(ridden) < 0.4 * len(ridden)
     assert len(clean) > 500 and sum(clean) > 0.95 * len(clean)
+
+
+def test_collisions_follow_generalised_jaccard(spark, docs, rows):
+    from collections import Counter
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    pairs = []
+    for share in (0.0, 0.2, 0.4, 0.6, 0.8, 0.9, 1.0) * 3:
+        a = rng.choices(vocabulary, k=80)
+        pairs.append((" ".join(a), " ".join(w if rng.random() < share else rng.choice(vocabulary) for w in a)))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "doc_id long, a string, b string").repartition("doc_id")
+    out = fingerprint.weighted_samples(df, ["doc_id"], ["a", "b"], 512)
+    got = {r.doc_id: r.near for r in out.select("doc_id", fingerprint.likeness(F.col("a_fingerprint"), F.col("b_fingerprint"), 512).alias("near")).collect()}
+    for i, texts in enumerate(pairs):
+        x, y = ({w: n * len(w) ** 2 for w, n in Counter(t.split()).items()} for t in texts)
+        want = sum(min(x.get(w, 0), y.get(w, 0)) for w in {*x, *y}) / sum(max(x.get(w, 0), y.get(w, 0)) for w in {*x, *y})
+        assert abs(got[i] - want) < 4 * (want * (1 - want) / 512) ** 0.5 + 0.01
+    prints = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs, ring_rows=10).collect()}
+    order = sorted(prints, reverse=True)
+    for a, b in zip(order, order[1:] + order[:1]):
+        parts = [re.findall("." * 6, prints[k].fingerprint) for k in (a, b)]
+        assert prints[a].near_next == sum(p == q for p, q in zip(*parts)) / 32
+
+
+def test_bands_equal_brute_force(spark):
+    rng = random.Random(12)
+    measured = [(rng.choice(["lang:en", "lang:en", "lang:de", "script:han"]), rng.randrange(5, 8), rng.choice([0, 60, 90]), *(round(rng.gauss(3, 1), 2) for _ in range(3))) for _ in range(700)]
+    df = spark.createDataFrame(measured, "group string, class int, n_words long, chars_per_token double, fallback_share double, evenness double")
+    got = {(r.group, r["class"], r.metric): (r.low, r.high) for r in quality.bands(df, 1.5, 50).collect()}
+    want = {}
+    for metric, at in (("chars_per_token", 3), ("fallback_share", 4), ("evenness", 5)):
+        keyed = {}
+        for m in measured:
+            if m[2] > 0:
+                for key in ((m[0], m[1]), (m[0], None), (None, None)):
+                    keyed.setdefault(key, []).append(round(m[at] * 1000))
+        for key, values in keyed.items():
+            if len(values) >= 50:
+                values.sort()
+                q1, q3 = (values[-int(-len(values) * q // 1) - 1] for q in (0.25, 0.75))
+                reach = max(1.5 * (q3 - q1), quality.LEAST_REACH[metric])
+                want[(*key, metric)] = (q1 - reach, q3 + reach)
+    assert got == want
