@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 from rideframe.functions import geo, units
 from rideframe.operators import network, segments, signal
 from rideframe.plans import adapters as A
+from rideframe.plans.adapters import GRADED, GRADIENT, HEADINGS, SPEED
 from rideframe.registry import QUERIES, SQL, Query, query
 
-HEADINGS = A.SIGNAL + """, own as (select *, atan2(nlat - lat, nlon - lon) as own from sig
-), head as (select *, coalesce(own, lag(own) over w, 0.0e0) as heading,
-  case when own is null or lag(own) over w is null then 0.0e0 else atan2(sin(own - lag(own) over w), cos(own - lag(own) over w)) end as delta
-  from own window w as (partition by ride_id order by seq))"""
-SPEED = "coalesce(step_mm / 1000.0e0 / greatest(1e-3, (t_us - pt) / 1e6), 0.0e0)"
-GRADED = HEADINGS + """, graded as (select *, arg_max(elv, seq) over g - arg_min(elv, seq) over g as rise, (max(cum_mm) over g - min(cum_mm) over g) / 1000.0e0 as base
-  from head window g as (partition by ride_id order by cum_mm range between 2000000 preceding and 2000000 following))"""
-GRADIENT = "round(case when base > 1e-6 then 100 * rise / base else 0.0e0 end, 4)"
-
 
 @query(f"with {GRADED} select ride_id, seq, step_mm, cum_mm, round(heading, 6) as heading, round(delta, 6) as heading_delta, round({SPEED}, 6) as speed_mps, {GRADIENT} as gradient_pct, t_us - first_value(t_us) over (partition by ride_id order by seq) as rel_us from graded")
 def route_signal(spark, d):

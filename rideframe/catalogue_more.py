@@ -252,11 +252,12 @@ def smoothed_gradient(spark, d):
     return signal.smoothed_gradient(p, 5000.0).withColumn("smoothed", F.round("smoothed", 4))
 
 
-PROPOSED = f"""recursive {GRADED}, ways as (select *, {SPEED} as speed, seq // 7 as way from graded), why as (select ride_id, seq, cum_mm, case when way is distinct from lag(way) over w then 'way' when abs(delta) > 3.0e0 then 'turn' when speed < 0.001e0 then 'stop' end as why, row_number() over w as n from ways window w as (partition by ride_id order by seq)
-), cuts as (select *, cum_mm - lag(cum_mm) over (partition by ride_id order by seq) as since from why where why is not null and n > 1)"""
+PROPOSED = f"""{GRADED}, ways as (select *, {SPEED} as speed, seq // 7 as way from graded), why as (select ride_id, seq, cum_mm, case when way is distinct from lag(way) over w then 'way' when abs(delta) > 3.0e0 then 'turn' when speed < 0.001e0 then 'stop' end as why, row_number() over w as n from ways window w as (partition by ride_id order by seq)
+), cuts as (select ride_id, list([{{'seq': seq, 'at': cum_mm, 'why': why}}] order by seq) as c from why where why is not null and n > 1 group by ride_id
+), kept as (select ride_id, unnest(list_reduce(c, lambda a, x: case when x[1].at - a[len(a)].at >= 1500000 then a || x else a end)) as k from cuts)"""
 
 
-@query(f"with {PROPOSED} select ride_id, seq, why from cuts where since is null or since >= 1500000")
+@query(f"with {PROPOSED} select ride_id, k.seq as seq, k.why as why from kept")
 def guarded_proposals(spark, d):
     """Boundaries at ways, turns and stops, with a guard of 1500 m against trivial pieces."""
     p = signal.route_signal(A.trackpoints(spark, d)).withColumn("way_id", F.floor(F.col("seq") / 7))
@@ -389,7 +390,7 @@ def bad_match_points(spark, d):
 
 
 @query(f"""with {A.SIGNAL}, parts as (select ride_id, seq // 10 as part, sum(case when seq % 10 > 0 then step_mm else 0 end) as length_mm from sig group by all
-), met as (select s.ride_id, v.seq // 10 as part, s.seq from sig s join sig v on s.ride_id = v.ride_id and abs(s.lat - v.lat) < 0.0007e0 where {A.HAV.format(a='s.lat', b='s.lon', c='v.lat', d='v.lon')} <= 60.0e0
+), met as (select s.ride_id, v.seq // 10 as part, s.seq from sig s join sig v on s.ride_id = v.ride_id and abs(s.lat - v.lat) < 0.0007e0 where ({A.HAV.format(a='s.lat', b='s.lon', c='v.lat', d='v.lon')}) <= 60.0e0
 ), hits as (select ride_id, part, count(distinct seq) as hits from met group by all) select ride_id, part, hits from hits join parts using (ride_id, part) where hits >= 12 and length_mm >= 50000""")
 def spur_keep(spark, d):
     """Matched pieces that are long enough and near enough raw points of their ride, by distance to a vertex; the others are spurs."""

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rideframe.functions import geo
 from rideframe.operators import matching, network, profile, routes, scoring, segments, signal
 from rideframe.plans import adapters as A
 from rideframe.registry import query
@@ -185,23 +184,32 @@ def viterbi_match(spark, d):
     return matching.viterbi(p, nodes(spark, d), 200.0, 20.0, 50.0)
 
 
-@query()
+@query(f"with {A.TRACK}, r as (select ride_id, list([{{'seq': seq, 'z': elv, 'x': elv, 'p': 25.0e0}}] order by seq) as c from trackpoints group by ride_id), f as (select ride_id, unnest(list_reduce(c, lambda a, v: a || [{{'seq': v[1].seq, 'z': v[1].z, 'x': a[len(a)].x + (a[len(a)].p + 1) / (a[len(a)].p + 1 + 25) * (v[1].z - a[len(a)].x), 'p': (1 - (a[len(a)].p + 1) / (a[len(a)].p + 1 + 25)) * (a[len(a)].p + 1)}}])) as k from r) select ride_id, k.seq as seq, round(k.x, 6) as smoothed from f")
 def kalman_smooth(spark, d):
-    return matching.kalman(A.trackpoints(spark, d), "elv", 1.0, 25.0)
+    return matching.kalman(A.trackpoints(spark, d), "elv", 1.0, 25.0).withColumn("smoothed", F.round("smoothed", 6))
 
 
-@query()
+@query(f"with {A.TRACK}, r as (select ride_id, list([{{'seq': seq, 'lat': lat, 'lon': lon}}] order by seq) as c from trackpoints group by ride_id), f as (select ride_id, unnest(list_reduce(c, lambda a, v: case when ({A.HAV.format(a='a[len(a)].lat', b='a[len(a)].lon', c='v[1].lat', d='v[1].lon')}) > 500 then a || v else a end)) as k from r) select ride_id, k.seq as seq from f")
 def point_thinning(spark, d):
     return matching.thin(A.trackpoints(spark, d), 500.0)
 
 
-@query()
+@query(f"with {A.GRADED}, r as (select ride_id, list([{{'seq': seq, 'at': cum_mm / 1000.0e0, 'least': 4000.0e0 - 2800.0e0 * least(abs({A.GRADIENT}), 10.0e0) / 10, 'begin': 0.0e0, 'segment': 0::bigint}}] order by seq) as c from graded group by ride_id), f as (select ride_id, unnest(list_reduce(c, lambda a, v: a || case when v[1].at - a[len(a)].begin >= v[1].least then [{{'seq': v[1].seq, 'at': v[1].at, 'least': v[1].least, 'begin': v[1].at, 'segment': a[len(a)].segment + 1}}] else [{{'seq': v[1].seq, 'at': v[1].at, 'least': v[1].least, 'begin': a[len(a)].begin, 'segment': a[len(a)].segment}}] end)) as k from r) select ride_id, k.seq as seq, k.segment as segment_id from f")
 def adaptive_segments(spark, d):
-    return matching.adaptive_segments(signal.with_gradient(signal.with_distance(A.trackpoints(spark, d)), 2000), 4000.0, 1200.0)
+    p = signal.with_gradient(signal.with_distance(A.trackpoints(spark, d)), 2000).withColumn("gradient_pct", F.round("gradient_pct", 4))
+    return matching.adaptive_segments(p, 4000.0, 1200.0)
 
 
-@query()
+_WHOLE = "cast(round({c} * 1e5) as bigint)"
+_DELTA = _WHOLE + " - coalesce(lag(" + _WHOLE + ") over w, 0)"
+_LETTERS = "array_to_string(list_transform(list_filter(range(8), lambda i: i = 0 or ({z} >> (5 * i)::int) > 0), lambda i: chr(((({z} >> (5 * i)::int) % 32) + case when ({z} >> (5 * i + 5)::int) > 0 then 32 else 0 end + 63)::int)), '')"
+POLYLINE = A.TRACK + f""", dd as (select ride_id, seq // 200 as chunk, seq, {_DELTA.format(c='lat')} as a, {_DELTA.format(c='lon')} as b from trackpoints window w as (partition by ride_id, seq // 200 order by seq)
+), z as (select ride_id, chunk, seq, case when a < 0 then -2 * a - 1 else 2 * a end as a, case when b < 0 then -2 * b - 1 else 2 * b end as b from dd)"""
+
+
+@query(f"with {POLYLINE} select ride_id, chunk, string_agg({_LETTERS.format(z='a')} || {_LETTERS.format(z='b')}, '' order by seq) as polyline, count(*)::int as n, count(*)::int as n_back, true as same_points from z group by ride_id, chunk")
 def polyline_roundtrip(spark, d):
+    """Polylines of chunks of 200 points, and whether the points come back from them."""
     p = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 200).cast("long").alias("chunk")).agg(routes.ordered("seq", F.struct("lat", "lon")).alias("points"))
     p = p.withColumn("polyline", routes.polyline(F.col("points"))).withColumn("back", routes.decode_polyline(F.col("polyline")))
     off = F.aggregate(F.zip_with("points", "back", lambda a, b: F.greatest(F.abs(a["lat"] - b["lat"]), F.abs(a["lon"] - b["lon"]))), F.lit(0.0), lambda worst, x: F.greatest(worst, x))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rideframe.functions import geo
+from rideframe.operators.rides import by_whole_rides
 
 
 def candidates(points: DataFrame, nodes: DataFrame, keys: list[str], reach_m: float) -> DataFrame:
@@ -94,16 +96,26 @@ def haversine_np(lat1, lon1, lat2, lon2):
     return 2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(a, 1.0)))
 
 
-def _per_ride(points: DataFrame, f, schema: str) -> DataFrame:
-    return points.groupBy("ride_id").applyInPandas(lambda rows: f(rows.sort_values("seq", ignore_index=True)), schema)
+def _per_ride(points: DataFrame, columns: list[str], f: Callable[..., dict], schema: str) -> DataFrame:
+    """``f`` of the columns of each ride, as numpy arrays in order of seq; many rides in one Python pass a task."""
+
+    def settle(rows: pd.DataFrame, begin: np.ndarray) -> pd.DataFrame:
+        arrays = [rows[c].to_numpy() for c in columns]
+        ends = [*begin[1:], len(rows)]
+        parts = [f(*[x[a:z] for x in arrays]) for a, z in zip(begin, ends)]
+        picked = np.concatenate([a + p["at"] for a, p in zip(begin, parts)])
+        out = {"ride_id": rows["ride_id"].to_numpy()[picked], "seq": rows["seq"].to_numpy()[picked]}
+        return pd.DataFrame(out | {c: np.concatenate([p[c] for p in parts]) for c in parts[0] if c != "at"})
+
+    return by_whole_rides(points.select("ride_id", "seq", *columns), "seq", settle, schema)
 
 
 def kalman(points: DataFrame, column: str, process: float, noise: float) -> DataFrame:
-    """ride_id, seq, smoothed: scalar Kalman filter of a column; nulls only predict. Sequential, so a pandas group a ride."""
+    """ride_id, seq, smoothed: scalar Kalman filter of a column; nulls only predict, and leading ones stay null."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(values: np.ndarray) -> dict:
         x, p, out = math.nan, 0.0, []
-        for z in rows[column]:
+        for z in values.astype(float).tolist():
             if math.isnan(x):
                 x, p = z, noise
             else:
@@ -112,33 +124,42 @@ def kalman(points: DataFrame, column: str, process: float, noise: float) -> Data
                     k = p / (p + noise)
                     x, p = x + k * (z - x), (1 - k) * p
             out.append(x)
-        return pd.DataFrame({"ride_id": rows["ride_id"], "seq": rows["seq"], "smoothed": out})
+        return {"at": np.arange(len(values)), "smoothed": np.array(out)}
 
-    return _per_ride(points, run, "ride_id long, seq long, smoothed double")
+    return _per_ride(points, [column], run, "ride_id long, seq long, smoothed double")
 
 
 def thin(points: DataFrame, reach_m: float) -> DataFrame:
-    """ride_id, seq of points that are farther than ``reach_m`` from the last one kept; the first stays."""
+    """ride_id, seq of points that are farther than ``reach_m`` from the last one kept; the first stays.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        for i in range(len(rows)):
-            if not kept or haversine_np(rows["lat"][kept[-1]], rows["lon"][kept[-1]], rows["lat"][i], rows["lon"][i]) > reach_m:
-                kept.append(i)
-        return rows.loc[kept, ["ride_id", "seq"]]
+    From each kept point the distances to those ahead are taken in blocks that double, so that
+    a ride costs numpy calls in proportion to the points it keeps.
+    """
+
+    def run(lat: np.ndarray, lon: np.ndarray) -> dict:
+        kept, at, size = [0], 1, 16
+        while at < len(lat):
+            k, end = kept[-1], min(at + size, len(lat))
+            far = np.flatnonzero(haversine_np(lat[k], lon[k], lat[at:end], lon[at:end]) > reach_m)
+            if len(far):
+                kept.append(at + int(far[0]))
+                at, size = kept[-1] + 1, 16
+            else:
+                at, size = end, 2 * size
+        return {"at": np.array(kept)}
 
-    return _per_ride(points, run, "ride_id long, seq long")
+    return _per_ride(points, ["lat", "lon"], run, "ride_id long, seq long")
 
 
 def adaptive_segments(points: DataFrame, longest_m: float, shortest_m: float) -> DataFrame:
     """ride_id, seq, segment_id: display segments, shorter where the gradient is steep (from 0 to 10 percent)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(cum_mm: np.ndarray, gradient: np.ndarray) -> dict:
         out, segment, start = [], 0, 0.0
-        for cum, grade in zip(rows["cum_mm"] / 1000.0, rows["gradient_pct"].abs().clip(upper=10)):
+        for cum, grade in zip((cum_mm / 1000.0).tolist(), np.minimum(np.abs(gradient), 10.0).tolist()):
             if cum - start >= longest_m - (longest_m - shortest_m) * grade / 10:
                 segment, start = segment + 1, cum
             out.append(segment)
-        return pd.DataFrame({"ride_id": rows["ride_id"], "seq": rows["seq"], "segment_id": out})
+        return {"at": np.arange(len(cum_mm)), "segment_id": np.array(out)}
 
-    return _per_ride(points, run, "ride_id long, seq long, segment_id long")
+    return _per_ride(points, ["cum_mm", "gradient_pct"], run, "ride_id long, seq long, segment_id long")

@@ -191,16 +191,27 @@ def zone_scores(features: DataFrame, long_m: float = 5000.0, steep: float = 8.0)
 
 
 def propose_boundaries(points: DataFrame, turn: float, stop_mps: float, least_m: float) -> DataFrame:
-    """Points where a way begins, the heading turns by more than ``turn`` radians or the rider stops, at least ``least_m`` after the proposal before.
+    """Points where a way begins, the heading turns by more than ``turn`` radians or the rider stops, at least ``least_m`` after the boundary before.
 
     points: ride_id, seq, cum_mm, heading_delta, speed_mps, way_id. The guard compares with the
-    last proposal of any kind, so a run of close ones keeps its first only: cut, why.
+    last boundary that stays, so close candidates thin out to one every ``least_m`` and no long
+    piece is left without one. Only candidates reach Python, many rides in one pass a task.
     """
     w = Window.partitionBy("ride_id").orderBy("seq")
     way = ~F.col("way_id").eqNullSafe(F.lag("way_id").over(w))
     why = F.when(way, "way").when(F.abs("heading_delta") > turn, "turn").when(F.col("speed_mps") < stop_mps, "stop")
     cuts = points.withColumn("why", F.when(F.row_number().over(w) > 1, why)).where("why is not null")
-    return cuts.withColumn("since", F.col("cum_mm") - F.lag("cum_mm", 1).over(w)).where(F.col("since").isNull() | (F.col("since") >= 1000 * least_m)).drop("since")
+    least = round(1000 * least_m)
+
+    def settle(rows: pd.DataFrame, begin: np.ndarray) -> pd.DataFrame:
+        at, kept = rows["cum_mm"].to_numpy(), []
+        for a, z in zip(begin, [*begin[1:], len(rows)]):
+            while a < z:
+                kept.append(a)
+                a += max(1, int(np.searchsorted(at[a:z], at[a] + least)))
+        return rows.iloc[kept][["ride_id", "seq", "cum_mm", "why"]]
+
+    return by_whole_rides(cuts.select("ride_id", "seq", "cum_mm", "why"), "seq", settle, "ride_id long, seq long, cum_mm long, why string")
 
 
 #: Our own weights of the suitability score, as none are published: length, paving, calm, unity.

@@ -55,7 +55,8 @@ def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("ride_id"), key.alias("ext_key"), F.col("value").alias("ext_value"))
 
 
-HAV = "2 * 6371000.0e0 * asin(sqrt(least(1.0e0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+#: Null where a coordinate is null: least() alone would skip it and give half the way around the globe.
+HAV = "case when {a} + {b} + {c} + {d} is not null then 2 * 6371000.0e0 * asin(sqrt(least(1.0e0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))) end"
 
 TRACK = """trackpoints as (
   select user_id as ride_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq,
@@ -68,6 +69,15 @@ SIGNAL = TRACK + f""", prev as (
 ), stepped as (select *, coalesce(cast(round(1000 * {HAV.format(a='plat', b='plon', c='lat', d='lon')}) as bigint), 0) as step_mm from prev
 ), sig as (select *, cast(sum(step_mm) over (partition by ride_id order by seq rows unbounded preceding) as bigint) as cum_mm from stepped)"""
 
+HEADINGS = SIGNAL + """, own as (select *, atan2(nlat - lat, nlon - lon) as own from sig
+), head as (select *, coalesce(own, lag(own) over w, 0.0e0) as heading,
+  case when own is null or lag(own) over w is null then 0.0e0 else atan2(sin(own - lag(own) over w), cos(own - lag(own) over w)) end as delta
+  from own window w as (partition by ride_id order by seq))"""
+SPEED = "coalesce(step_mm / 1000.0e0 / greatest(1e-3, (t_us - pt) / 1e6), 0.0e0)"
+GRADED = HEADINGS + """, graded as (select *, arg_max(elv, seq) over g - arg_min(elv, seq) over g as rise, (max(cum_mm) over g - min(cum_mm) over g) / 1000.0e0 as base
+  from head window g as (partition by ride_id order by cum_mm range between 2000000 preceding and 2000000 following))"""
+GRADIENT = "round(case when base > 1e-6 then 100 * rise / base else 0.0e0 end, 4)"
+
 PATH = """node_path as (
   select l_orderkey as ride_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 as pos,
     l_suppkey as node_id, l_partkey as way_id, l_quantity as len_m from lineitem)"""

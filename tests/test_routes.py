@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from rideframe.operators import matching, routes
+from rideframe.functions import geo
+from rideframe.operators import matching, routes, segments, signal
 from rideframe.sources import readers
 from rideframe.streaming.rides import ride_sessions
 
@@ -62,6 +63,44 @@ def test_filters_of_a_ride(spark):
     assert matching.thin(df.where("false"), 100.0).count() == 0
 
 
+def test_distance_begins_at_zero(spark):
+    """Known values, not the shared SQL: a ride's first step is no step, and a point without a place makes none."""
+    rows = [(1, 0, 51.0, 0.0, 0), (1, 1, 51.001, 0.0, 10_000_000), (1, 2, None, 0.0, 20_000_000), (1, 3, 51.002, 0.0, 30_000_000), (1, 4, 51.003, 0.0, 40_000_000), (2, 0, -33.0, 151.0, 0)]
+    df = spark.createDataFrame(rows, "ride_id long, seq long, lat double, lon double, t_us long")
+    got = sorted(signal.with_speed(signal.with_distance(df)).collect(), key=lambda r: (r["ride_id"], r["seq"]))
+    step = round(1000 * plain_haversine((51.0, 0.0), (51.001, 0.0)))
+    assert [r["step_mm"] for r in got] == [0, step, 0, 0, step, 0]
+    assert [r["cum_mm"] for r in got] == [0, step, step, step, 2 * step, 0]
+    assert [round(r["speed_mps"], 3) for r in got] == [0.0, 11.119, 0.0, 0.0, 11.119, 0.0]
+    far = df.select(geo.haversine(F.lit(90.0), F.lit(0.0), F.lit(-90.0), F.lit(0.0)).alias("d")).first()["d"]
+    assert abs(far - math.pi * 6371000) < 1e-6
+
+
+def test_sequential_filters_equal_plain_versions(spark):
+    rng = random.Random(11)
+    rides = {k: [(51 + rng.random() / 100, rng.random() / 100) for _ in range(n)] for k, n in ((1, 90), (2, 1), (3, 40))}
+    rows = [(k, i, *p) for k, points in rides.items() for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "ride_id long, seq long, lat double, lon double")
+    for reach in (0.0, 400.0, 1e6):
+        want = set()
+        for k, points in rides.items():
+            kept = []
+            for i, p in enumerate(points):
+                if not kept or plain_haversine(points[kept[-1]], p) > reach:
+                    kept.append(i)
+            want |= {(k, i) for i in kept}
+        assert {tuple(r) for r in matching.thin(df, reach).collect()} == want
+
+
+def test_guard_compares_with_the_boundary_that_stays(spark):
+    """Candidates every 40 m under a guard of 100 m: one stays every 120 m, and ties of one place leave the first."""
+    rows = [(1, i, 40_000 * i, 0.0, 5.0, i) for i in range(20)] + [(2, 0, 0, 0.0, 5.0, 1), (2, 1, 0, 9.0, 5.0, 1), (2, 2, 0, 0.0, 0.0, 1), (2, 3, 200_000, 0.0, 0.0, 1)]
+    df = spark.createDataFrame(rows, "ride_id long, seq long, cum_mm long, heading_delta double, speed_mps double, way_id long")
+    got = sorted(tuple(r) for r in segments.propose_boundaries(df, 3.0, 0.1, 100.0).select("ride_id", "seq", "why").collect())
+    assert got == [(1, i, "way") for i in range(1, 20, 3)] + [(2, 1, "turn"), (2, 3, "stop")]
+    assert segments.propose_boundaries(df.where("false"), 3.0, 0.1, 100.0).isEmpty()
+
+
 def test_connectors_equal_dijkstra_of_bounded_hops(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(8), rng.randrange(8), float(rng.randrange(1, 9))) for _ in range(20)]
