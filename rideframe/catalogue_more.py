@@ -13,7 +13,57 @@ from rideframe.functions import text, units
 from rideframe.operators import access, matching, network, profile, routes, scoring, segments, signal
 from rideframe.plans import adapters as A
 from rideframe.registry import query
-from rideframe.sources import matches
+from rideframe.sources import matches, readers
+from rideframe.storage import written_files
+
+
+# ---- files: rides and maps are written as XML to the shared folder, then scanned
+
+def xml_files(lines: DataFrame, root: str, name: str) -> str:
+    """Files of one root element around the elements of a group: lines of (part, line)."""
+    whole = F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("line"), ""), F.lit(f"</{root}>"))
+    return written_files(lines.groupBy("part").agg(whole.alias("text")).select("text"), name)
+
+
+@query(f"with {A.TRACK} select cast(seq % 50 as int) as i, lat, lon, elv, 1704067200 + cast(floor(t_us / 1e6) as bigint) as epoch_s from trackpoints")
+def gpx_scan(spark, d):
+    """Points of track segments of 50 points, by their place in the segment; the written files have no ride's name."""
+    stamp = F.expr("date_format(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, floor(t_us / 1e6)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
+    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele><time>%s</time></trkpt>', *[F.col(c).cast("string") for c in ("lat", "lon", "elv")], stamp)
+    segment = F.concat(F.lit("<trkseg>"), F.array_join(routes.ordered("seq", point), ""), F.lit("</trkseg>"))
+    lines = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 50)).agg(segment.alias("line"))
+    back = readers.read_gpx(spark, xml_files(lines.withColumn("part", F.floor(F.col("ride_id") / 10)), "gpx", "gpx"))
+    return back.select("i", "lat", "lon", "elv", F.unix_timestamp("time").alias("epoch_s"))
+
+
+def osm_nodes(spark, d) -> DataFrame:
+    line = F.format_string('<node id="%d" lat="%s" lon="%s"><tag k="a" v="b"/></node>', "node_id", F.col("nlat").cast("string"), F.col("nlon").cast("string"))
+    placed = nodes(spark, d).where("node_id % 97 <> 0").select(F.floor(F.col("node_id") / 1000).alias("part"), line.alias("line"))
+    return readers.read_osm_nodes(spark, xml_files(placed, "osm", "nodes"))
+
+
+@query(f"with {NODES} select node_id, nlat as lat, nlon as lon from nodes where node_id % 97 <> 0")
+def osm_nodes_scan(spark, d):
+    return osm_nodes(spark, d)
+
+
+def osm_ways(spark, d) -> DataFrame:
+    refs = F.array_join(routes.ordered("pos", F.format_string('<nd ref="%d"/>', "node_id")), "")
+    line = F.format_string('<way id="%d">%s<tag k="highway" v="kind%d"/></way>', "ride_id", "refs", F.col("ride_id") % 3)
+    lines = A.node_path(spark, d).groupBy("ride_id").agg(refs.alias("refs")).select(F.floor(F.col("ride_id") / 1000).alias("part"), line.alias("line"))
+    return readers.read_osm_ways(spark, xml_files(lines, "osm", "ways"))
+
+
+@query(f"with {A.PATH} select ride_id as way_id, array_to_string(list(node_id order by pos), ';') as nodes, 'kind' || (ride_id % 3) as highway from node_path group by ride_id having count(*) >= 2")
+def osm_ways_scan(spark, d):
+    return osm_ways(spark, d).select("way_id", listed(F.col("nodes")).alias("nodes"), F.col("tags")["highway"].alias("highway"))
+
+
+@query(f"""with {NODES}, {A.PATH}, l as (select p.ride_id as way_id, cast(pos as int) as seq, p.node_id as a, lead(p.node_id) over w as b, nlat as alat, nlon as alon, lead(nlat) over w as blat, lead(nlon) over w as blon, bool_and(p.node_id % 97 <> 0) over (partition by ride_id) as whole from node_path p left join nodes n using (node_id) window w as (partition by ride_id order by pos)
+), e as (select *, round({A.HAV.format(a='alat', b='alon', c='blat', d='blon')}, 3) as len_m from l where whole and b is not null) select a as u, b as v, way_id, 1::int as dir, seq, len_m from e union select b, a, way_id, (-1)::int, seq, len_m from e""")
+def osm_way_edges(spark, d):
+    """Edges both ways of scanned ways all of whose nodes have a place."""
+    return readers.way_edges(osm_ways(spark, d), osm_nodes(spark, d)).withColumn("len_m", F.round("len_m", 3))
 
 
 # ---- match results: written as JSON from the rides, then read back

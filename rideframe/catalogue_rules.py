@@ -325,10 +325,10 @@ def tss_confidence(spark, d):
     return scoring.confidence(segment_features(spark, d)).select("ride_id", "segment_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"with {FEATURES}, n as (select ride_id, segment_id, least(1.0e0, length_m / 100) as a, paved_share as b, greatest(0.0e0, 1.0e0 - mean_maxspeed / 50) as c, 1.0e0 / n_classes as d from feat) select ride_id, segment_id, round(0.6e0 * a + 0.2e0 * b + 0.2e0 * d, 6) as endurance, round(0.7e0 * (1 - b) + 0.3e0 * (1 - d), 6) as exploration, round(0.5e0 * a + 0.5e0 * d, 6) as interval, round(0.6e0 * b + 0.4e0 * a, 6) as race, round(0.7e0 * c + 0.3e0 * b, 6) as safety from n")
+@query(f"with {FEATURES}, n as (select ride_id, segment_id, least(1.0e0, length_m / 100) as a, paved_share as b, greatest(0.0e0, 1.0e0 - mean_maxspeed / 50) as c, 1.0e0 / n_classes as d from feat) select ride_id, segment_id, round(0.6e0 * a + 0.2e0 * b + 0.2e0 * d, 10) as endurance, round(0.7e0 * (1 - b) + 0.3e0 * (1 - d), 10) as exploration, round(0.5e0 * a + 0.5e0 * d, 10) as interval, round(0.6e0 * b + 0.4e0 * a, 10) as race, round(0.7e0 * c + 0.3e0 * b, 10) as safety from n")
 def alt_scores(spark, d):
     out = scoring.alternatives(segment_features(spark, d))
-    return out.select("ride_id", "segment_id", *[F.round(k, 6).alias(k) for k in scoring.ALTERNATIVES])
+    return out.select("ride_id", "segment_id", *[F.round(k, 10).alias(k) for k in scoring.ALTERNATIVES])
 
 
 @query("select event_id, 1 + len(substr(props, 1, 5)) - len(replace(substr(props, 1, 5), chr(10), '')) as line, 6 as col, substr(props, 1, 65) || chr(10) || '     ^' as snippet from events where len(props) >= 5")

@@ -49,3 +49,10 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written_files(texts: DataFrame, name: str) -> str:
+    """The path in the shared folder of the texts (one string column), each in a file of its own."""
+    path = f"{shared_folder(texts.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return path
