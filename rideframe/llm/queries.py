@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideframe.llm import chat, fingerprint, html, jaccard, langid, mixing, packing, quality, sharding, substrings, tokenfiles
+from rideframe.llm import chat, fingerprint, html, jaccard, langid, mixing, packing, quality, sharding, substrings, tokenfiles, whitening
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
 SLOTS = 8191
@@ -86,6 +86,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_checksums(tokenfiles.read_token_files(spark, tokenfiles.write_token_files(table(spark, sf_dir, "documents"))))
 
@@ -97,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_html_extraction, op2_ngram_jaccard_join, op3_tokeniser_fertility, op4_document_fingerprints, op5_language_id, op6_chat_formatting, op7_sharding, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing, op13_token_files, pipeline, llm_page_languages]
+    own = [op1_html_extraction, op2_ngram_jaccard_join, op3_tokeniser_fertility, op4_document_fingerprints, op5_language_id, op6_chat_formatting, op7_sharding, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing, op11_embedding_whitening, op13_token_files, pipeline, llm_page_languages]
     return {f.__name__: f for f in own}
 
 
