@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideframe.llm import chat, fingerprint, html, jaccard, langid, mixing, packing, quality, sharding, substrings, tokenfiles, whitening
+from rideframe.llm import chat, fingerprint, html, jaccard, langid, mixing, packing, quality, sharding, substrings, timeparts, tokenfiles, whitening
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
 SLOTS = 8191
@@ -90,6 +90,23 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def click_moment() -> Column:
+    """ts; an eighth of the ids moved back by the days of their cube, an eighth floored to Monday."""
+    k, ts = F.pmod(F.crc32(F.col("click_id").cast("string")), F.lit(128)).cast("int"), F.col("ts").cast("timestamp_ntz")
+    back = F.make_dt_interval((k + 6) * (k + 6) * (k + 6))
+    monday = F.date_sub(ts.cast("date"), F.weekday(ts)).cast("timestamp_ntz")
+    return F.when(k < 16, ts - back).when(k > 111, monday).otherwise(ts)
+
+
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    limit, order = 1 + clicks.count() // 650, ["arrived_at", "click_id"]
+    early = F.col("arrived_at").cast("timestamp_ntz") < F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    start = timeparts.write_layout(clicks.where(early), click_moment(), limit, order)
+    final = timeparts.write_layout(clicks, click_moment(), limit, order, is_new=~early, previous=start)
+    return timeparts.layout_report(final, "click_id")
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_checksums(tokenfiles.read_token_files(spark, tokenfiles.write_token_files(table(spark, sf_dir, "documents"))))
 
@@ -101,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_html_extraction, op2_ngram_jaccard_join, op3_tokeniser_fertility, op4_document_fingerprints, op5_language_id, op6_chat_formatting, op7_sharding, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing, op11_embedding_whitening, op13_token_files, pipeline, llm_page_languages]
+    own = [op1_html_extraction, op2_ngram_jaccard_join, op3_tokeniser_fertility, op4_document_fingerprints, op5_language_id, op6_chat_formatting, op7_sharding, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing, op11_embedding_whitening, op12_time_partitions, op13_token_files, pipeline, llm_page_languages]
     return {f.__name__: f for f in own}
 
 

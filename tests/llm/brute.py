@@ -1,9 +1,11 @@
 """Plain versions of the text operators, for small tables."""
 
+import calendar
 import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -122,3 +124,78 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
             free.discard(s)
         left = share * sum(sizes.values()) - sum(v for s, v in out.items())
     return out
+
+
+def click_moment(click_id, ts):
+    k = zlib.crc32(str(click_id).encode()) % 128 if click_id is not None else 64
+    if ts is None:
+        return None
+    if k < 16:
+        return ts - timedelta(days=(k + 6) ** 3)
+    if k > 111:
+        return datetime(ts.year, ts.month, ts.day) - timedelta(days=ts.weekday())
+    return ts
+
+
+def leaves(moments, limit):
+    """{(level, key): leaf name} by walking siblings in time order; a leaf above the limit has the name of its hour."""
+    counts = [Counter(m.timetuple()[: k + 1] for m in moments) for k in range(4)]
+    out = {}
+
+    def walk(level, nodes, prefix):
+        run, size = [], 0
+        runs = []
+        for node in nodes:
+            n = counts[level][node]
+            if n > limit:
+                if level == 3:
+                    runs.append(([node], n))
+                else:
+                    year, month = node[0], node[1] if level else 0
+                    children = {0: [(*node, m) for m in range(1, 13)], 1: [(*node, d) for d in range(1, calendar.monthrange(year, month)[1] + 1)] if level == 1 else [], 2: [(*node, h) for h in range(24)]}[level]
+                    walk(level + 1, children, prefix + [f"{node[-1]:02d}" if level else f"{node[-1]:04d}"])
+                run, size = [], 0
+                continue
+            if run and size + n <= limit:
+                run.append(node)
+                size += n
+                runs[-1] = (run, size)
+            else:
+                run, size = [node], n
+                runs.append((run, size))
+        for members, n in runs:
+            if n:
+                form = "{:02d}" if level else "{:04d}"
+                name = "/".join([*prefix, form.format(members[0][-1]) + "-" + form.format(members[-1][-1])])
+                out.update({m: name for m in members})
+
+    if moments:
+        walk(0, [(y,) for y in range(min(m.year for m in moments), max(m.year for m in moments) + 1)], [])
+    return out
+
+
+def layout(rows, limit):
+    """{(leaf, part): rows} of rows (moment, arrived_at, click_id, ...)."""
+    told = leaves([r[0] for r in rows if r[0] is not None], limit)
+    groups = defaultdict(list)
+    for r in rows:
+        leaf = "null" if r[0] is None else next(told[r[0].timetuple()[:k]] for k in range(1, 5) if r[0].timetuple()[:k] in told)
+        groups[leaf].append(r)
+    out = {}
+    for leaf, own in groups.items():
+        own.sort(key=lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in (r[0] or datetime(1, 1, 1), r[1], r[2])) + (repr(r),))
+        out |= {(leaf, k // limit + 1): own[k : k + limit] for k in range(0, len(own), limit)}
+    return out
+
+
+def relayout(clicks, limit, early):
+    """{(leaf, part): (n_rows, n_new, rewritten, sha256 of the ids)} for clicks (click_id, ts, arrived_at, ...)."""
+    rows = [(click_moment(c[0], c[1]), c[2], c[0], *c) for c in clicks]
+    before = layout([r for r in rows if r[1] is not None and r[1] < early], limit)
+    out = {}
+    for at, own in layout(rows, limit).items():
+        new = sum(r[1] is None or r[1] >= early for r in own)
+        same = at in before and Counter(map(repr, before[at])) == Counter(map(repr, own))
+        ids = ",".join("" if r[2] is None else str(r[2]) for r in own)
+        out[at] = (len(own), new, not same, hashlib.sha256(ids.encode()).hexdigest())
+    return out
