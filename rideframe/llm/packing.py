@@ -161,16 +161,18 @@ def best_fit_packing(docs: DataFrame, capacity: int = 2048, folder: str | None =
     The plan has rows for lengths and free spaces only: its size is bounded by ``capacity``,
     whatever the input, and it goes to the executors with the placing function. The rank of a
     piece within its length is its rank within (length, block) plus the sizes of the blocks
-    before, so a length that a third of all pieces share is spread over many tasks.
+    before, so a length that a third of all pieces share is spread over many tasks, and so are
+    rows that repeat. An empty table has no pieces; a very long text is encoded whole in one task.
     """
     from rideframe.llm.quality import tokenizer_folder
 
     narrow = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = written(narrow.mapInPandas(_pieces(folder or tokenizer_folder(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = narrow.mapInPandas(_pieces(folder or tokenizer_folder(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = written(pieces.withColumn("spot", F.monotonically_increasing_id()), "pieces")  # tells rows that repeat apart
     histogram = pieces.groupBy("length").count()
     counts = {r["length"]: r["count"] for r in histogram.collect()}  # at most `capacity` rows
     blocks = max(1, math.ceil(sum(counts.values()) / block_rows))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks)).cast("int"))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "spot"), F.lit(blocks)).cast("int"))
     sizes = pieces.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = written(sizes.select("length", "block", before.alias("before")), "ranks")

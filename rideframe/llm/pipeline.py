@@ -15,8 +15,8 @@ from rideframe.llm import jaccard, mixing, packing, substrings
 from rideframe.llm.common import dropped, written
 from rideframe.llm.queries import identified
 
-#: Repeated passages of over 50 words go, however few bytes they have.
-PASSAGE_WORDS = 51
+#: Repeated strings of so many bytes go, and repeated passages of over 50 words, however few bytes they have.
+PASSAGE_BYTES, PASSAGE_WORDS = 400, 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -45,8 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of PASSAGE_WORDS words that also stand elsewhere; all documents go on."""
-    cut = substrings.cut_repeats(with_ids(docs), length=None, words=PASSAGE_WORDS, decoded=True, carry=["lang", "source"])
+    """Texts without the strings of PASSAGE_BYTES bytes, and the passages of PASSAGE_WORDS words, that also stand elsewhere; all documents go on."""
+    cut = substrings.cut_repeats(with_ids(docs), length=PASSAGE_BYTES, words=PASSAGE_WORDS, decoded=True, carry=["lang", "source"])
     return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
