@@ -394,7 +394,7 @@ def segment_library(spark, d):
     return segments.library(s).select("segment_key", "hits", F.round("mean_length_m", 3).alias("mean_length_m"))
 
 
-from rideframe import catalogue_routes, catalogue_rules, catalogue_more  # noqa: E402, F401, I001  (register more queries)
+from rideframe import catalogue_routes, catalogue_rules, catalogue_more, catalogue_roads  # noqa: E402, F401, I001  (register more queries)
 
 
 def queries() -> dict[str, Query]:

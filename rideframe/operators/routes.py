@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rideframe.storage import written
+from rideframe.storage import dropped, written
 from rideframe.operators.network import overlap, path_order, run_lengths
 
 
@@ -119,53 +119,153 @@ def tree_mean(values: Column) -> Column:
     return F.get(F.aggregate(levels, values, lambda acc, _: half(acc)), F.lit(0))
 
 
-def _reached(edges: DataFrame, asked: DataFrame, hops: int | None) -> DataFrame:
-    """(u, at, cost, before): least cost of every node that matters to an asked source, and the node before it."""
-    steps = written(edges.groupBy("u", "v").agg(F.min(F.coalesce("len_m", F.lit(1.0))).alias("step")).select(F.col("u").alias("at"), F.col("v").alias("next"), "step"), "steps")
-    best = written(asked.select("u", F.col("u").alias("at"), F.lit(0.0).alias("cost")).distinct().withColumn("before", F.lit(None).cast(dict(edges.dtypes)["u"])), "best")
-    front, done = best, 0
-    while (hops is None or done < hops) and not front.isEmpty():
-        told = asked.join(best.select("u", F.col("at").alias("v"), "cost"), ["u", "v"], "left")
-        limit = told.groupBy("u").agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit"))
-        moved = front.join(steps, "at").groupBy("u", F.col("next").alias("at")).agg(F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), F.col("at").alias("before"))).alias("m"))
-        moved = moved.join(best.select("u", "at", F.col("cost").alias("old")), ["u", "at"], "left").join(limit, "u")
-        moved = moved.where("(old is null or m.cost < old) and (limit is null or m.cost < limit)")
-        front = written(moved.select("u", "at", "m.cost", "m.before"), "front")
-        best = written(best.join(front.select("u", "at"), ["u", "at"], "left_anti").select(*front.columns).unionByName(front), "best")
-        done += 1
-    return best
+def _steps(edges: DataFrame) -> DataFrame:
+    """side, at, next, step: the least length of every edge; side 0 goes forward, side 1 back."""
+    least = edges.groupBy("u", "v").agg(F.min(F.coalesce("len_m", F.lit(1.0))).cast("double").alias("step"))
+    ways = [F.struct(F.lit(0).alias("side"), F.col("u").alias("at"), F.col("v").alias("next")), F.struct(F.lit(1).alias("side"), F.col("v").alias("at"), F.col("u").alias("next"))]
+    return least.select(F.explode(F.array(*ways)).alias("e"), "step").select("e.*", "step")
+
+
+def _search(edges: DataFrame, asked: DataFrame, hops: int | None, keep: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v, cost, meet) of the pairs, written, and with ``keep`` the labels of both searches, as tables (side, root, at, cost, before, hop).
+
+    A frontier leaves every source and one every target, backwards; both move one edge a
+    round. Where labels of a pair meet, their sum is a way. With r rounds done, a way that is
+    not found yet has more than 2 r edges, so it begins with a label of the one frontier and ends
+    with one of the other: once the least labels of both together cost as much as the way at hand, or one
+    frontier is empty, the pair is settled. A label moves on only while it can still make an
+    open pair of its root cheaper, and labels of roots without open pairs are put aside.
+    """
+    kind = dict(edges.dtypes)["u"]
+    steps = written(_steps(edges), "steps")
+    nothing, same = F.lit(None).cast(kind), F.col("u") == F.col("v")
+    pairs = asked.select("u", "v").where("u is not null and v is not null").distinct()
+    pairs = written(pairs.select("u", "v", F.when(same, 0.0).alias("cost"), F.when(same, F.col("u")).alias("meet"), (~same).alias("open"), F.lit(0.0).alias("least_u"), F.lit(0.0).alias("least_v")), "pairs")
+
+    def ends(df: DataFrame) -> DataFrame:
+        both = [F.struct(F.lit(0).alias("side"), F.col("u").alias("root"), F.col("v").alias("other"), F.col("least_v").alias("ahead")), F.struct(F.lit(1).alias("side"), F.col("v").alias("root"), F.col("u").alias("other"), F.col("least_u").alias("ahead"))]
+        return df.select("u", "v", "cost", F.explode(F.array(*both)).alias("e")).select("u", "v", "cost", "e.*")
+
+    labels = ends(pairs).select("side", "root").distinct()
+    labels = written(labels.select("side", "root", F.col("root").alias("at"), F.lit(0.0).alias("cost"), nothing.alias("before"), F.lit(0).alias("hop"), F.lit(True).alias("fresh")), "labels")
+    kept, done = [labels] if keep else [], 0
+    key = ["side", "root", "at"]
+    while (hops is None or 2 * done < hops) and not pairs.where("open").isEmpty():
+        # how much a label of each root may cost at most to be of use
+        room = ends(pairs.where("open")).groupBy("side", "root").agg(F.max(F.coalesce(F.col("cost") - F.col("ahead"), F.lit(float("inf")))).alias("room"))
+        live = labels.join(room, ["side", "root"])
+        front = live.where("fresh and cost < room")
+        if hops is not None and 2 * done + 1 == hops:
+            front = front.where("side = 0")
+        moved = front.join(steps, ["side", "at"]).groupBy("side", "root", F.col("next").alias("at")).agg(F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), F.col("at").alias("before"))).alias("m"))
+        both = live.select(*key, "cost", "before", "hop").join(moved, key, "full")
+        better = F.col("cost").isNull() | F.coalesce(F.col("m.cost") < F.col("cost"), F.lit(False))
+        pick = lambda new, old: F.when(better, new).otherwise(F.col(old)).alias(old)
+        after = written(both.select(*key, pick(F.col("m.cost"), "cost"), pick(F.col("m.before"), "before"), pick(F.lit(done + 1), "hop"), better.alias("fresh")), "labels")
+        fresh = after.where("fresh")
+        meets = fresh.join(ends(pairs.where("open")).drop("cost", "ahead"), ["side", "root"])
+        there = after.select((1 - F.col("side")).alias("side"), F.col("root").alias("other"), "at", F.col("cost").alias("rest"))
+        meets = meets.join(there, ["side", "other", "at"]).groupBy("u", "v").agg(F.min(F.struct((F.col("cost") + F.col("rest")).alias("cost"), F.col("at").alias("meet"))).alias("m"))
+        least = fresh.groupBy("side", "root").agg(F.min("cost").alias("least"))
+        least_u, least_v = (least.where(F.col("side") == k).select(F.col("root").alias(c), F.col("least").alias(f"new_{c}")) for k, c in enumerate(("u", "v")))
+        told = pairs.where("open").join(meets, ["u", "v"], "left").join(least_u, "u", "left").join(least_v, "v", "left")
+        found = F.coalesce(F.col("m.cost") < F.col("cost"), F.col("m.cost").isNotNull())
+        told = told.withColumns({"cost": F.when(found, F.col("m.cost")).otherwise(F.col("cost")), "meet": F.when(found, F.col("m.meet")).otherwise(F.col("meet"))})
+        still = F.col("new_u").isNotNull() & F.col("new_v").isNotNull() & F.coalesce(F.col("new_u") + F.col("new_v") < F.col("cost"), F.lit(True))
+        told = told.select("u", "v", "cost", "meet", still.alias("open"), F.col("new_u").alias("least_u"), F.col("new_v").alias("least_v"))
+        now = written(pairs.where("not open").unionByName(told), "pairs")
+        if keep:
+            # what no open pair needs any more is not read again by later rounds
+            gone = after.join(ends(now.where("open")).select("side", "root").distinct(), ["side", "root"], "left_anti")
+            kept.append(written(gone.select(*key, "cost", "before", "hop"), "settled"))
+            if done == 0:
+                kept.pop(0)
+        dropped(labels, pairs)
+        labels, pairs, done = after, now, done + 1
+    if keep:
+        rest = labels.join(ends(pairs.where("open")).select("side", "root").distinct(), ["side", "root"])
+        kept.append(written(rest.select(*key, "cost", "before", "hop"), "settled"))
+    dropped(steps, labels)
+    return pairs.select("u", "v", "cost", "meet"), kept
 
 
 def connectors(edges: DataFrame, asked: DataFrame, hops: int | None = None) -> DataFrame:
     """Cheapest length from u to v over directed edges (u, v, len_m), for pairs (u, v); of at most ``hops`` edges, if given.
 
-    The frontier of all asked sources moves one edge a round, each written, until no cost
-    falls: a join on the node it has reached, then the least length per source and node, so
-    a round never holds more than sources times reached nodes, however many pairs share a
-    source. Once all targets of a source are reached, dearer nodes are left. Unreachable
-    pairs have null. Missing edge lengths count as 1; lengths are not negative.
+    Searches from both ends (``_search``), so a pair stops once its way is proven; an unreachable
+    target ends with the smaller of the two searches, not with all that the source reaches.
+    A round keeps its own tables only. Unreachable pairs have null; a node is 0 from itself.
+    Missing edge lengths count as 1; lengths are not negative.
     """
-    asked = asked.select("u", "v").distinct()
-    found = _reached(edges, asked, hops).select("u", F.col("at").alias("v"), F.col("cost").alias("length_m"))
-    return asked.join(found, ["u", "v"], "left")
+    return _search(edges, asked, hops, False)[0].select("u", "v", F.col("cost").alias("length_m"))
 
 
 def connector_nodes(edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """u, v, length_m and the nodes of one cheapest path, ends included; an empty array if v is unreachable."""
-    asked = asked.select("u", "v").distinct()
-    best = _reached(edges, asked, None)
-    back = best.select("u", "at", "before")
-    start = F.when(F.col("cost").isNotNull(), F.array("v")).otherwise(F.array().cast(f"array<{dict(edges.dtypes)['u']}>"))
-    walk = asked.join(best.select("u", F.col("at").alias("v"), "cost"), ["u", "v"], "left")
-    walk = written(walk.select("u", "v", F.col("cost").alias("length_m"), start.alias("nodes")), "walk")
-    whole = walk.where("size(nodes) = 0 or nodes[0] = u")
-    walk = walk.where("size(nodes) > 0 and nodes[0] <> u")
-    while not walk.isEmpty():
-        walk = walk.withColumn("at", F.get("nodes", F.lit(0))).join(back, ["u", "at"])
-        walk = written(walk.select("u", "v", "length_m", F.concat(F.array("before"), "nodes").alias("nodes")), "walk")
-        whole = whole.unionByName(walk.where("nodes[0] = u"))
-        walk = walk.where("nodes[0] <> u")
-    return whole
+    """u, v, length_m and the nodes of one cheapest path, ends included; an empty array if v is unreachable.
+
+    From the node where the two searches meet, pointer doubling over the labels marks the nodes
+    back to either end, for all pairs at once, in as many rounds as the logarithm of the longest half.
+    """
+    kind = dict(edges.dtypes)["u"]
+    pairs, kept = _search(edges, asked, None, True)
+    labels = kept[0].select("side", "root", "at", "before", "hop")
+    for x in kept[1:]:
+        labels = labels.unionByName(x.select(*labels.columns))
+    met = pairs.where("meet is not null")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("root")), F.struct(F.lit(1).alias("side"), F.col("v").alias("root"))))
+    marks = written(met.select("u", "v", "meet", both.alias("e")).select("u", "v", "meet", "e.*", F.col("meet").alias("at")), "marks")
+    hops = written(labels.select("side", "root", "at", "hop"), "hops")
+    jumps = written(labels.where("before is not null").select("side", "root", "at", F.col("before").alias("to")), "jumps")
+    dropped(*kept)
+    longest = hops.agg(F.max("hop")).first()[0] or 0
+    key = ["side", "root", "at"]
+    for k in range(longest.bit_length()):
+        more = marks.join(jumps, key).select("u", "v", "meet", "side", "root", F.col("to").alias("at"))
+        marks, was = written(marks.unionByName(more), "marks"), [marks]
+        if k + 1 < longest.bit_length():
+            far = jumps.select("side", "root", F.col("at").alias("to"), F.col("to").alias("beyond"))
+            was, jumps = [*was, jumps], written(jumps.join(far, ["side", "root", "to"]).select(*key, F.col("beyond").alias("to")), "jumps")
+        dropped(*was)
+    placed = marks.join(hops, key).withColumn("place", F.when(F.col("side") == 0, F.col("hop")).otherwise(-F.col("hop")))
+    placed = placed.where("side = 0 or at <> meet")  # the meeting node stands in both halves
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("side", "place", "at"))), lambda x: x["at"])
+    paths = placed.groupBy("u", "v").agg(nodes.alias("nodes"))
+    return pairs.join(paths, ["u", "v"], "left").select("u", "v", F.col("cost").alias("length_m"), F.coalesce("nodes", F.array().cast(f"array<{kind}>")).alias("nodes"))
+
+
+def spliced(chunks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """ride_id, pos, node_id, kind, chunk, step_m of ONE route per ride: matched chunks in order, joined where they overlap and by cheapest ways where not.
+
+    chunks: ride_id, chunk, nodes; a chunk without nodes is a gap that the way between its
+    neighbours fills. A chunk loses its largest overlap (<= ``most``) with the one before;
+    where there is none, the inner nodes of the cheapest way over ``edges`` come between (kind
+    connector). Where no way exists the route goes on with kind open. step_m is the least
+    length of the edge from the node before: 0 at the first node, at an open seam and where a node
+    repeats, null where there is no such edge. Rides without a matched chunk have no rows.
+    """
+    w = Window.partitionBy("ride_id").orderBy("chunk")
+    rows = chunks.where("size(nodes) > 0").withColumn("before", F.lag("nodes").over(w))
+    rows = written(rows.withColumn("k", F.when(F.col("before").isNotNull(), overlap(F.col("before"), F.col("nodes"), most)).otherwise(0)).select("ride_id", "chunk", "nodes", "k", F.element_at("before", -1).alias("u"), F.element_at("nodes", 1).alias("v")), "chunks")
+    seam = F.col("u").isNotNull() & (F.col("k") == 0)
+    ways = connector_nodes(edges, rows.where(seam).select("u", "v")).withColumnRenamed("nodes", "way")
+    rows = rows.join(ways, ["u", "v"], "left")
+    found = seam & (F.size("way") > 0)
+    inner = F.when(found & (F.size("way") > 2), F.slice("way", F.lit(2), F.greatest(F.size("way") - 2, F.lit(1))))
+    told = lambda c, kind: F.transform(c, lambda x, i: F.struct(x.alias("node_id"), kind(i).alias("kind")))
+    own = F.slice("nodes", F.col("k") + 1, F.size("nodes"))
+    parts = F.concat(F.coalesce(told(inner, lambda i: F.lit("connector")), told(F.slice("nodes", F.lit(1), F.lit(0)), lambda i: F.lit(""))), told(own, lambda i: F.when((i == 0) & seam & ~found, "open").otherwise("chunk")))
+    flat = rows.select("ride_id", "chunk", F.posexplode(parts).alias("i", "p")).select("ride_id", "chunk", "i", "p.*")
+    order = Window.partitionBy("ride_id").orderBy("chunk", "i")
+    flat = flat.withColumns({"pos": F.row_number().over(order).cast("long") - 1, "u": F.lag("node_id").over(order)})
+    least = edges.groupBy("u", F.col("v").alias("node_id")).agg(F.min(F.coalesce("len_m", F.lit(1.0))).alias("len"))
+    still = F.col("u").isNull() | (F.col("kind") == "open") | (F.col("u") == F.col("node_id"))
+    return flat.join(least, ["u", "node_id"], "left").select("ride_id", "pos", "node_id", "kind", "chunk", F.when(still, 0.0).otherwise(F.col("len")).alias("step_m"))
+
+
+def spliced_totals(route: DataFrame) -> DataFrame:
+    """ride_id, n_nodes, n_filled, open_seams, missing_steps, length_m of routes of ``spliced``."""
+    kind = F.col("kind")
+    return route.groupBy("ride_id").agg(F.count("*").alias("n_nodes"), F.count_if(kind == "connector").alias("n_filled"), F.count_if(kind == "open").alias("open_seams"), F.count_if(F.col("step_m").isNull()).alias("missing_steps"), F.sum("step_m").alias("length_m"))
 
 
 def stitched(chunks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
