@@ -146,9 +146,9 @@ def _search(edges: DataFrame, asked: DataFrame, hops: int | None, keep: bool) ->
         both = [F.struct(F.lit(0).alias("side"), F.col("u").alias("root"), F.col("v").alias("other"), F.col("least_v").alias("ahead")), F.struct(F.lit(1).alias("side"), F.col("v").alias("root"), F.col("u").alias("other"), F.col("least_u").alias("ahead"))]
         return df.select("u", "v", "cost", F.explode(F.array(*both)).alias("e")).select("u", "v", "cost", "e.*")
 
-    labels = ends(pairs).select("side", "root").distinct()
+    labels = ends(pairs.where("open")).select("side", "root").distinct()
     labels = written(labels.select("side", "root", F.col("root").alias("at"), F.lit(0.0).alias("cost"), nothing.alias("before"), F.lit(0).alias("hop"), F.lit(True).alias("fresh")), "labels")
-    kept, done = [labels] if keep else [], 0
+    kept, done = [], 0
     key = ["side", "root", "at"]
     while (hops is None or 2 * done < hops) and not pairs.where("open").isEmpty():
         # how much a label of each root may cost at most to be of use
@@ -178,8 +178,6 @@ def _search(edges: DataFrame, asked: DataFrame, hops: int | None, keep: bool) ->
             # what no open pair needs any more is not read again by later rounds
             gone = after.join(ends(now.where("open")).select("side", "root").distinct(), ["side", "root"], "left_anti")
             kept.append(written(gone.select(*key, "cost", "before", "hop"), "settled"))
-            if done == 0:
-                kept.pop(0)
         dropped(labels, pairs)
         labels, pairs, done = after, now, done + 1
     if keep:
@@ -211,7 +209,7 @@ def connector_nodes(edges: DataFrame, asked: DataFrame) -> DataFrame:
     labels = kept[0].select("side", "root", "at", "before", "hop")
     for x in kept[1:]:
         labels = labels.unionByName(x.select(*labels.columns))
-    met = pairs.where("meet is not null")
+    met = pairs.where("meet is not null and u <> v")
     both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("root")), F.struct(F.lit(1).alias("side"), F.col("v").alias("root"))))
     marks = written(met.select("u", "v", "meet", both.alias("e")).select("u", "v", "meet", "e.*", F.col("meet").alias("at")), "marks")
     hops = written(labels.select("side", "root", "at", "hop"), "hops")
@@ -230,7 +228,8 @@ def connector_nodes(edges: DataFrame, asked: DataFrame) -> DataFrame:
     placed = placed.where("side = 0 or at <> meet")  # the meeting node stands in both halves
     nodes = F.transform(F.array_sort(F.collect_list(F.struct("side", "place", "at"))), lambda x: x["at"])
     paths = placed.groupBy("u", "v").agg(nodes.alias("nodes"))
-    return pairs.join(paths, ["u", "v"], "left").select("u", "v", F.col("cost").alias("length_m"), F.coalesce("nodes", F.array().cast(f"array<{kind}>")).alias("nodes"))
+    alone = F.when(F.col("u") == F.col("v"), F.array("u")).otherwise(F.array().cast(f"array<{kind}>"))
+    return pairs.join(paths, ["u", "v"], "left").select("u", "v", F.col("cost").alias("length_m"), F.coalesce("nodes", alone).alias("nodes"))
 
 
 def spliced(chunks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
