@@ -220,21 +220,24 @@ def _pair_cost(a: str, b: str) -> str:
     paved = lambda x: f"{x}.s in ('asphalt', 'concrete', 'paved', 'paving_stones')"
     return f"""least(1.0e0, round(case when {a}.h is distinct from {b}.h then coalesce(0.5e0 * abs({rank(b)} - {rank(a)}), 1.0e0) else 0.0e0 end
       + case when {a}.s is distinct from {b}.s then case when ({paved(a)}) is distinct from ({paved(b)}) then 0.6e0 else 0.1e0 end else 0.0e0 end
-      + coalesce(0.05e0 * abs({smooth(b)} - {smooth(a)}), 0.0e0) + coalesce(0.02e0 * abs({b}.v - {a}.v), 0.0e0), 6))"""
+      + coalesce(0.05e0 * abs({smooth(b)} - {smooth(a)}), 0.0e0) + coalesce(0.02e0 * abs({b}.v - {a}.v), 0.0e0)
+      + case when {a}.c is distinct from {b}.c then case when {a}.c is null or {b}.c is null then 1.0e0 else 0.2e0 end else 0.0e0 end, 6))"""
 
 
-GREEDY = "recursive " + COSTS + f""", parted as (select *, cast(sum(case when cost >= 1 then 1 else 0 end) over (partition by ride_id order by pos rows unbounded preceding) as bigint) as part from costed
+def greedy_sql(costs: str, cycleway: str) -> str:
+    """Merges by recursion, one a step; sections with a hard tag are parts of their own and stay."""
+    return "recursive " + costs + f""", parted as (select *, cast(sum(case when cost >= 1 then 1 else 0 end) over (partition by ride_id order by pos rows unbounded preceding) as bigint) as part from costed
 ), steps(ride_id, part, x, step) as (
-  select ride_id, part, list({{'p': [pos], 'l': len_m::double, 'h': highway, 's': surface, 'm': smoothness, 'v': maxspeed}} order by pos), 0 from parted group by ride_id, part
+  select ride_id, part, list({{'p': [pos], 'l': len_m::double, 'h': highway, 's': surface, 'm': smoothness, 'v': maxspeed, 'c': {cycleway}}} order by pos), 0 from parted group by ride_id, part
   union all
-  select ride_id, part, x[1 : k - 1] || [{{'p': x[k].p || x[k + 1].p, 'l': x[k].l + x[k + 1].l, 'h': t.h, 's': t.s, 'm': t.m, 'v': t.v}}] || x[k + 2 : len(x)], step + 1
+  select ride_id, part, x[1 : k - 1] || [{{'p': x[k].p || x[k + 1].p, 'l': x[k].l + x[k + 1].l, 'h': t.h, 's': t.s, 'm': t.m, 'v': t.v, 'c': t.c}}] || x[k + 2 : len(x)], step + 1
   from (select *, case when x[k + 1].l > x[k].l then x[k + 1] else x[k] end as t from (
     select *, list_position(c, list_min(c)) as k from (select *, list_transform(range(1, len(x)), lambda i: {_pair_cost("x[i]", "x[i + 1]")}) as c from steps where len(x) > 1) where list_min(c) < 0.8e0))
 ), settled as (select ride_id, part, arg_max(x, step) as x from steps group by ride_id, part
 ), numbered as (select ride_id, part, unnest(x).p as p, unnest(range(len(x))) as segment_id from settled)"""
 
 
-@query(f"with {GREEDY} select ride_id, part, unnest(p) as pos, segment_id from numbered")
+@query(f"with {greedy_sql(COSTS, 'null::varchar')} select ride_id, part, unnest(p) as pos, segment_id from numbered")
 def greedy_merge(spark, d):
     return segments.greedy_merge(A.sections(spark, d), 0.8)
 
@@ -252,17 +255,35 @@ def tagged_sections(spark, d):
     })
 
 
-@query(f"""with {A.SECTIONS}, x as (select * replace (case when way_id % 103 = 0 then 'impassable' else smoothness end as smoothness){EXTRA_TAGS} from sections
+TAG_COSTS = A.SECTIONS + f""", x as (select * replace (case when way_id % 103 = 0 then 'impassable' else smoothness end as smoothness){EXTRA_TAGS} from sections
 ), t as (select *, {_HRANK} as hr, {_SMOOTH} as sm, surface in ('asphalt', 'concrete', 'paved', 'paving_stones') as pv, coalesce(highway = 'motorway', false) or coalesce(smoothness = 'impassable', false) or junction is not null or coalesce(barrier in ('gate', 'bollard', 'chain', 'yes'), false) or coalesce(mountain_pass = 'yes', false) as hard from x
-), l as (select *, row_number() over w as rn, lag(highway) over w as h0, lag(hr) over w as hr0, lag(surface) over w as s0, lag(pv) over w as pv0, lag(sm) over w as sm0, lag(maxspeed) over w as ms0, lag(cycleway) over w as c0, lag(hard) over w as hard0 from t window w as (partition by ride_id order by pos))
-select ride_id, pos, case when rn > 1 then case when hard or hard0 then 1.0e0 else least(1.0e0, round(case when highway is distinct from h0 then coalesce(0.5e0 * abs(hr - hr0), 1.0e0) else 0.0e0 end
+), l as (select *, row_number() over w as rn, lag(highway) over w as h0, lag(hr) over w as hr0, lag(surface) over w as s0, lag(pv) over w as pv0, lag(sm) over w as sm0, lag(maxspeed) over w as ms0, lag(cycleway) over w as c0, lag(hard) over w as hard0 from t window w as (partition by ride_id order by pos)
+), costed as (select *, case when rn > 1 then case when hard or hard0 then 1.0e0 else least(1.0e0, round(case when highway is distinct from h0 then coalesce(0.5e0 * abs(hr - hr0), 1.0e0) else 0.0e0 end
   + case when surface is distinct from s0 then case when pv is distinct from pv0 then 0.6e0 else 0.1e0 end else 0.0e0 end
-  + coalesce(0.05e0 * abs(sm - sm0), 0.0e0) + coalesce(0.02e0 * abs(maxspeed - ms0), 0.0e0) + case when cycleway is distinct from c0 then case when cycleway is null or c0 is null then 1.0e0 else 0.2e0 end else 0.0e0 end, 6)) end end as cost from l""")
+  + coalesce(0.05e0 * abs(sm - sm0), 0.0e0) + coalesce(0.02e0 * abs(maxspeed - ms0), 0.0e0) + case when cycleway is distinct from c0 then case when cycleway is null or c0 is null then 1.0e0 else 0.2e0 end else 0.0e0 end, 6)) end end as cost from l)"""
+
+
+@query(f"with {TAG_COSTS} select ride_id, pos, cost from costed")
 def merge_cost_tags(spark, d):
     """Merge costs with cycleways, junctions, barriers, passes and impassable ways."""
     return segments.merge_cost(tagged_sections(spark, d)).select("ride_id", "pos", "cost")
 
 
+LANED = TAG_COSTS.replace("when way_id % 23 = 0 then 'lane' when way_id % 23 = 1 then 'track' end as cycleway", "when way_id % 5 < 2 then 'lane' when way_id % 5 < 4 then 'track' end as cycleway")
+
+
+def laned_sections(spark, d):
+    """Tagged sections most of which have a cycleway."""
+    kind = F.when(F.col("way_id") % 5 < 2, "lane").when(F.col("way_id") % 5 < 4, "track")
+    return tagged_sections(spark, d).withColumn("cycleway", kind)
+
+
+@query(f"with {greedy_sql(LANED, 'cycleway')} select ride_id, part, unnest(p) as pos, segment_id from numbered")
+def greedy_merge_tags(spark, d):
+    """Greedy merges with cycleways, whose change a merge carries to the next boundary, and hard tags."""
+    return segments.greedy_merge(laned_sections(spark, d), 0.8)
+
+
 @query(f"with {A.TRACK}, r as (select *, avg(power_w) over (partition by ride_id order by t_us range between 86400000000 preceding and current row) as m from trackpoints) select ride_id, round(pow(avg(pow(m, 4)), 0.25e0), 6) as np_w from r group by ride_id")
 def normalized_power(spark, d):
     return signal.normalized_power(A.trackpoints(spark, d), 86_400).select("ride_id", F.round("np_w", 6).alias("np_w"))

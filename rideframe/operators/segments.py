@@ -69,7 +69,10 @@ def segment_features(segments: DataFrame) -> DataFrame:
 
 
 def boundary_cost(a: tuple, b: tuple) -> float:
-    """``merge_cost`` of two sections (highway, surface, smoothness, maxspeed) without tags that make a boundary hard."""
+    """``merge_cost`` of two sections (highway, surface, smoothness, maxspeed, cycleway) without tags that make a boundary hard.
+
+    A section with such a tag is a part of its own, so that no merge refreshes its boundaries.
+    """
     cost = 0.0
     if a[0] != b[0]:
         ranks = HIGHWAY_RANK.get(a[0]), HIGHWAY_RANK.get(b[0])
@@ -82,6 +85,8 @@ def boundary_cost(a: tuple, b: tuple) -> float:
         cost += SMOOTHNESS_STEP * abs(smooth[1] - smooth[0])
     if not (math.isnan(a[3]) or math.isnan(b[3])):
         cost += SPEED_STEP * abs(b[3] - a[3])
+    if a[4] != b[4]:
+        cost += CYCLEWAY_END if None in (a[4], b[4]) else CYCLEWAY_CHANGE
     return min(1.0, round(cost, 6))
 
 
@@ -117,9 +122,6 @@ def merge_part(costs: list[float], lengths: list[float], tags: list[tuple], thre
     return [x - 1 for x in np.cumsum(head).tolist()]
 
 
-_SECTION = ["highway", "surface", "smoothness", "maxspeed"]
-
-
 def _merge_rides(threshold: float):
     def settle(rows: pd.DataFrame, _) -> pd.DataFrame:
         ride, part = rows["ride_id"].to_numpy(), rows["part"].to_numpy()
@@ -130,7 +132,7 @@ def _merge_rides(threshold: float):
         low[begin] = False
         for k in np.flatnonzero(np.add.reduceat(low, begin)):
             own = rows.iloc[begin[k] : end[k]]
-            tags = list(zip(own["highway"], own["surface"], own["smoothness"], own["maxspeed"].astype(float)))
+            tags = list(zip(own["highway"], own["surface"], own["smoothness"], own["maxspeed"].astype(float), own["cycleway"]))
             segment[begin[k] : end[k]] = merge_part(own["cost"].tolist(), own["len_m"].tolist(), tags, threshold)
         return pd.DataFrame({"ride_id": ride, "part": part, "pos": rows["pos"], "segment_id": segment})
 
@@ -138,7 +140,7 @@ def _merge_rides(threshold: float):
 
 
 def greedy_merge(sections: DataFrame, threshold: float) -> DataFrame:
-    """Merge the cheapest boundary, refresh its neighbours, until none is under the threshold: ride_id, part, pos, segment_id.
+    """Merge the cheapest boundary, refresh its neighbours by all terms of ``merge_cost``, until none is under the threshold: ride_id, part, pos, segment_id.
 
     Boundaries of cost 1 never merge: they part a ride, and segments count from 0 in each
     part. The order depends on the data, so one Python pass a task settles whole rides; parts
@@ -147,7 +149,7 @@ def greedy_merge(sections: DataFrame, threshold: float) -> DataFrame:
     costed = merge_cost(sections)
     hard = F.when(F.col("cost") >= 1, 1).otherwise(0)
     parts = costed.withColumn("part", F.sum(hard).over(ride().rowsBetween(Window.unboundedPreceding, 0)))
-    narrow = parts.select("ride_id", "part", "pos", F.col("len_m").cast("double").alias("len_m"), "cost", "highway", "surface", "smoothness", F.col("maxspeed").cast("double").alias("maxspeed"))
+    narrow = parts.select("ride_id", "part", "pos", F.col("len_m").cast("double").alias("len_m"), "cost", "highway", "surface", "smoothness", F.col("maxspeed").cast("double").alias("maxspeed"), (F.col("cycleway") if "cycleway" in sections.columns else F.lit(None)).cast("string").alias("cycleway"))
     return by_whole_rides(narrow, "pos", _merge_rides(threshold), "ride_id long, part long, pos long, segment_id long")
 
 

@@ -88,18 +88,28 @@ def plain_merge(sections, threshold):
 def test_greedy_merge_equals_a_plain_version():
     rng = random.Random(4)
     for n in [1, 2, 3, *[rng.randrange(4, 60) for _ in range(60)]]:
-        sections = [(float(rng.randrange(1, 9)), (rng.choice(["primary", "secondary", "tertiary"]), rng.choice(["asphalt", "gravel", "concrete"]), rng.choice(["good", "bad", None]), float(rng.randrange(10, 40)))) for _ in range(n)]
+        lanes = rng.choice([[None], ["lane", "track"], ["lane", "track", None]])
+        sections = [(float(rng.randrange(1, 9)), (rng.choice(["primary", "secondary", "tertiary"]), rng.choice(["asphalt", "gravel", "concrete"]), rng.choice(["good", "bad", None]), float(rng.randrange(10, 40)), rng.choice(lanes))) for _ in range(n)]
         costs = [math.nan] + [segments.boundary_cost(a[1], b[1]) for a, b in zip(sections, sections[1:])]
         got = segments.merge_part(costs, [s[0] for s in sections], [s[1] for s in sections], 0.6)
         assert got == plain_merge(sections, 0.6)
 
 
+def test_a_merge_carries_the_cycleway_on(spark):
+    """Surface 0.1, then cycleway 0.2 and surface 0.1: after the first merge the other boundary still costs 0.2."""
+    rows = [(1, 0, 100.0, "gravel", "lane"), (1, 1, 10.0, "dirt", "lane"), (1, 2, 50.0, "gravel", "track")]
+    df = spark.createDataFrame(rows, "ride_id long, pos long, len_m double, surface string, cycleway string").selectExpr("*", "'primary' as highway", "'good' as smoothness", "30 as maxspeed")
+    got = lambda df: [r.segment_id for r in segments.greedy_merge(df, 0.2).orderBy("pos").collect()]
+    assert got(df) == [0, 0, 1]
+    assert got(df.drop("cycleway")) == [0, 0, 0]
+
+
 def test_one_cost_for_columns_and_plain_sections(spark):
     rng = random.Random(6)
-    rows = [(1, i, rng.choice(["primary", "residential", "primary_link", None]), rng.choice(["asphalt", "gravel", None]), rng.choice(["good", "bad", None]), rng.choice([20, 30, None])) for i in range(80)]
-    df = segments.merge_cost(spark.createDataFrame(rows, "ride_id long, pos long, highway string, surface string, smoothness string, maxspeed int"))
+    rows = [(1, i, rng.choice(["primary", "residential", "primary_link", None]), rng.choice(["asphalt", "gravel", None]), rng.choice(["good", "bad", None]), rng.choice([20, 30, None]), rng.choice(["lane", "track", None])) for i in range(80)]
+    df = segments.merge_cost(spark.createDataFrame(rows, "ride_id long, pos long, highway string, surface string, smoothness string, maxspeed int, cycleway string"))
     got = {r.pos: r.cost for r in df.collect()}
-    tags = [(r[2], r[3], r[4], math.nan if r[5] is None else float(r[5])) for r in rows]
+    tags = [(r[2], r[3], r[4], math.nan if r[5] is None else float(r[5]), r[6]) for r in rows]
     for i in range(1, 80):
         assert got[i] == pytest.approx(segments.boundary_cost(tags[i - 1], tags[i]))
 
