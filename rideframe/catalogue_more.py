@@ -236,13 +236,13 @@ ROAD_TAGS = {
 _CLASS = "case p_type when 'LARGE' then 'primary' when 'MEDIUM' then 'secondary' when 'STANDARD' then 'footway' when 'SMALL' then 'residential' when 'PROMO' then '' else 'motorway' end"
 
 
-def roads(spark, d) -> DataFrame:
+def roads(spark, d, tags: dict = ROAD_TAGS) -> DataFrame:
     kind = A._case(F.col("p_type"), {"LARGE": "primary", "MEDIUM": "secondary", "STANDARD": "footway", "SMALL": "residential", "PROMO": ""}, "motorway")
-    return A.read(spark, d, "part").select(F.col("p_partkey").alias("way_id"), kind.alias("highway"), tagged(ROAD_TAGS))
+    return A.read(spark, d, "part").select(F.col("p_partkey").alias("way_id"), kind.alias("highway"), tagged(tags))
 
 
-def _roads_sql() -> str:
-    return f"""r as (select p_partkey as way_id, {_CLASS} as highway, {tagged_sql(ROAD_TAGS)} from part
+def _roads_sql(tags: dict = ROAD_TAGS) -> str:
+    return f"""r as (select p_partkey as way_id, {_CLASS} as highway, {tagged_sql(tags)} from part
 ), a as (select *, coalesce(bicycle, access) as acc, coalesce(coalesce(bicycle, access) in ('yes', 'permissive', 'designated'), false) as is_open from r where highway <> '' or route is not null or railway is not null or amenity is not null or man_made is not null or public_transport is not null or bridge is not null
 ), f as (select *, case when bridge = 'movable' then 'bridge' when route = 'ferry' then 'ferry' when railway = 'platform' or public_transport = 'platform' then 'platform' when is_open and railway = 'tram' then 'railway' when amenity = 'parking' then 'parking' when highway in ('primary', 'secondary', 'residential') then 'class' when is_open then 'open' end as rule from a where not coalesce(acc in ('no', 'private'), false)
 ), s as (select *, case rule when 'bridge' then 5.0e0 when 'ferry' then 5.0e0 when 'platform' then 4.0e0 when 'railway' then 10.0e0 when 'parking' then 10.0e0 when 'class' then case highway when 'primary' then 60.0e0 when 'secondary' then 37.5e0 else 27.5e0 end when 'open' then 25.0e0 end as raw,

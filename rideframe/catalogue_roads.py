@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideframe.catalogue_routes import NODES, OVERLAP, nodes
-from rideframe.operators import network, roads, routes
+from rideframe import catalogue_more
+from rideframe.catalogue_routes import NODES, OVERLAP, ends, nodes
+from rideframe.catalogue_rules import _FLOW, _PENALTY, WAY_TAGS, tagged, tagged_sql
+from rideframe.operators import access, network, roads, routes, turns
 from rideframe.plans import adapters as A
 from rideframe.registry import query
 
@@ -76,3 +78,68 @@ def spliced_totals(spark, d):
 def spliced_routes(spark, d):
     """The nodes of every ride as one route, failed chunks filled by ways."""
     return routes.spliced(gapped_chunks(spark, d), network.edge_index(A.node_path(spark, d)), 64)
+
+
+# ---- one profile, and the turn graph
+
+BOTH_TAGS = {**WAY_TAGS, **catalogue_more.ROAD_TAGS}
+JUNCTION_TAGS = {"barrier": ("s_suppkey", 12, {0: "fence", 1: "gate"}), "cargo_bike": ("s_suppkey", 14, {0: "no"}), "highway": ("s_suppkey", 5, {0: "traffic_signals"})}
+_SIDE = """case when narrow or cargo_bike = 'no' then 'inaccessible' when bicycle = 'dismount' then 'pushing' when {r} is not null then case when rides then 'cycling' else base_mode end when {p} is not null then 'pushing' else 'inaccessible' end"""
+_PACE = """case when narrow or cargo_bike = 'no' then 0.0e0 when bicycle = 'dismount' then 4.0e0 else coalesce({r}, {p}, 0.0e0) end"""
+PROFILE = catalogue_more._roads_sql(BOTH_TAGS) + f""", pf as (select *, junction is not null or highway = 'motorway' as implied, coalesce(base_mode, 'cycling') = 'cycling' as rides, coalesce(width = '0.8', false) as narrow from w
+), pg as (select *, coalesce({_FLOW.format(c='"oneway:bicycle"')}, {_FLOW.format(c='oneway')}, case when implied then 'forward' end, 'both') as flow,
+  coalesce(cycleway = 'lane', false) as la, coalesce("cycleway:left" = 'lane', false) as ll, coalesce("cycleway:right" = 'track', false) as lr, coalesce("cycleway:left" = 'opposite_lane', false) as ol, coalesce("cycleway:right" = 'opposite', false) as opr from pf
+), ph as (select *, flow = 'both' and not implied as two_way from pg
+), pi as (select *, case when two_way then la or lr or ol else ol or opr or ((la or ll or lr) and flow <> 'backward') end as cycleway_forward, case when two_way then la or ll or opr else ol or opr or ((la or ll or lr) and flow = 'backward') end as cycleway_backward from ph
+), pj as (select *, case when rides and cycleway_forward then least(30.0e0, sv, mv) when flow <> 'backward' then base_speed end as rf, case when rides and cycleway_backward then least(30.0e0, sv, mv) when flow <> 'forward' then base_speed end as rb,
+  case when coalesce(foot, '') <> 'no' then case when highway = 'footway' or man_made = 'pier' or foot = 'yes' or may_push then 4.0e0 end end as wf, case when coalesce(foot, '') <> 'no' then case when highway = 'footway' or man_made = 'pier' or (foot = 'yes' and not implied) or may_push then 4.0e0 end end as wb from pi
+), pm as (select *, {_SIDE.format(r='rf', p='wf')} as forward_mode, {_PACE.format(r='rf', p='wf')} as forward_speed, {_SIDE.format(r='rb', p='wb')} as backward_mode, {_PACE.format(r='rb', p='wb')} as backward_speed from pj
+), profiled as (select way_id, flow, forward_mode, backward_mode, forward_speed, backward_speed, forward_speed / 3.6e0 * case when cycleway_forward then 1.0e0 else {_PENALTY} end as forward_rate, backward_speed / 3.6e0 * case when cycleway_backward then 1.0e0 else {_PENALTY} end as backward_rate from pm)"""
+
+
+@query(f"with {PROFILE} select way_id, flow, forward_mode, backward_mode, forward_speed, backward_speed, round(forward_rate, 6) as forward_rate, round(backward_rate, 6) as backward_rate from profiled")
+def profile_ways(spark, d):
+    """All rules of ways in one pipeline, with modes, speeds and rates of both directions."""
+    out = access.profile_ways(catalogue_more.roads(spark, d, BOTH_TAGS), width=1.0, cargo=True)
+    return out.select("way_id", "flow", "forward_mode", "backward_mode", "forward_speed", "backward_speed", F.round("forward_rate", 6).alias("forward_rate"), F.round("backward_rate", 6).alias("backward_rate"))
+
+
+def profiled_edges(spark, d) -> DataFrame:
+    """Roads with the way and direction of the steps that they come from, timed by the profile."""
+    e = network.edge_index(A.node_path(spark, d)).select("u", "v", "way_id", "dir").distinct().join(road_edges(spark, d), ["u", "v"])
+    return turns.timed_edges(e, access.profile_ways(catalogue_more.roads(spark, d, BOTH_TAGS), width=1.0, cargo=True))
+
+
+def junction_nodes(spark, d) -> DataFrame:
+    n = A.read(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), tagged(JUNCTION_TAGS))
+    return n.select("node_id", access.node_barrier(cargo=True).alias("barrier"), (F.coalesce(access.tag("highway"), F.lit("")) == "traffic_signals").alias("signal"))
+
+
+TURNS = ROADS + ", " + PROFILE + f""", te as (select distinct e.u, e.v, e.way_id, e.dir, r.ulat, r.ulon, r.vlat, r.vlon, r.len_m from edges e join roads r on e.u = r.u and e.v = r.v
+), tm as (select te.*, case when dir > 0 then forward_mode else backward_mode end as mode, case when dir > 0 then forward_rate else backward_rate end as rate from te join profiled using (way_id)
+), tb as (select u, v, min({{'s': len_m / rate, 'w': way_id, 'm': mode, 'a': ulat, 'b': ulon, 'c': vlat, 'd': vlon}}) as b from tm where mode <> 'inaccessible' and rate > 0 group by u, v
+), timed as (select u, v, b.w as way_id, b.m as mode, b.s as seconds, degrees(atan2((b.d - b.b) * cos(radians(b.a)), b.c - b.a)) as bearing from tb
+), jn as (select s_suppkey as node_id, {tagged_sql(JUNCTION_TAGS)} from supplier
+), jj as (select node_id, coalesce(barrier = 'fence', false) or coalesce(cargo_bike = 'no', false) as shut, coalesce(highway = 'traffic_signals', false) as signal from jn
+), tt as (select a.u, a.v as via, b.v as w, signal, a.mode as m1, b.mode as m2, b.seconds as s2, case when a.u = b.v then 180.0e0 else (b.bearing - a.bearing) - 360.0e0 * floor((b.bearing - a.bearing + 180.0e0) / 360.0e0) end as degrees from timed a join timed b on a.v = b.u join jj on jj.node_id = a.v where not shut
+), turns as (select u, via, w, degrees, {catalogue_more.profile.turn_cost_sql('degrees')} + case when signal then 2.0e0 else 0.0e0 end + case when m1 = 'cycling' and m2 <> 'cycling' then 30.0e0 else 0.0e0 end as weight, s2 from tt)"""
+
+
+@query(f"with {TURNS} select u, via, w, round(degrees, 4) as degrees, round(weight, 4) as weight, round(weight + s2, 4) as seconds from turns")
+def turn_graph(spark, d):
+    """Turns from edge to edge with their angles and costs."""
+    t = turns.turn_edges(profiled_edges(spark, d), junction_nodes(spark, d))
+    return t.select("u", "via", "w", *[F.round(c, 4).alias(c) for c in ("degrees", "weight", "seconds")])
+
+
+#: The SQL walks so many edges, the query any number.
+TURN_HOPS = 24
+_WALK = ", ".join(f"h{i} as (select r.src, t.via as a, t.w as b, min(r.c + t.weight + t.s2) as c from h{i - 1} r join turns t on r.a = t.u and r.b = t.via group by all)" for i in range(1, TURN_HOPS))
+TURN_ASKED = "asked as (select distinct u, v from (select ride_id, first(node_id order by pos) as u, last(node_id order by pos) as v from node_path group by ride_id) where u <> v)"
+
+
+@query(f"with {TURNS}, {TURN_ASKED}, h0 as (select u as src, u as a, v as b, seconds as c from timed where u in (select u from asked)), {_WALK}, ha as ({' union all '.join(f'select * from h{i}' for i in range(TURN_HOPS))}), hb as (select src, b, min(c) as c from ha group by all) select k.u, k.v, round(hb.c, 3) as seconds from asked k left join hb on hb.src = k.u and hb.b = k.v")
+def turn_paths(spark, d):
+    """Quickest rides between the ends of every ride, turns included."""
+    out = turns.turn_paths(profiled_edges(spark, d), junction_nodes(spark, d), ends(A.node_path(spark, d)).select("u", "v"))
+    return out.select("u", "v", F.round("seconds", 3).alias("seconds"))
