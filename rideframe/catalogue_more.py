@@ -369,14 +369,21 @@ LIB = COSTS + """, sg as (select ride_id, segment_id, md5(string_agg(way_id::var
 ), e as (select segment_key, count(*) as hits, avg(tss) as mean_tss, max(ride_id) as last_ride from sg join tss using (ride_id, segment_id) group by segment_key)"""
 
 
+def scored_segments(spark, d) -> DataFrame:
+    s = segments.threshold_segments(segments.merge_cost(A.sections(spark, d)), 0.8)
+    keys = s.groupBy("ride_id", "segment_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "way_id"))), lambda x: x["way_id"].cast("string")), ">")).alias("segment_key"))
+    return segments.suitability(segments.segment_features(s)).select("ride_id", "segment_id", "tss").join(keys, ["ride_id", "segment_id"])
+
+
+def library_entries(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("segment_key").agg(F.count("*").alias("hits"), F.avg("tss").alias("mean_tss"), F.max("ride_id").alias("last_ride"))
+
+
 @query(f"with {LIB.replace(', sg as', FEATURES.removeprefix(COSTS) + ', sg as')} select segment_key, hits, round(mean_tss, 8) as mean_tss, last_ride from e where hits >= 2 or last_ride >= (select max(last_ride) / 2 from e)")
 def library_upsert(spark, d):
     """A library of the even rides, with the odd ones upserted: hits and running mean score; rare entries that are long unseen go."""
-    s = segments.threshold_segments(segments.merge_cost(A.sections(spark, d)), 0.8)
-    keys = s.groupBy("ride_id", "segment_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "way_id"))), lambda x: x["way_id"].cast("string")), ">")).alias("segment_key"))
-    scored = segments.suitability(segments.segment_features(s)).select("ride_id", "segment_id", "tss").join(keys, ["ride_id", "segment_id"])
-    entries = lambda df: df.groupBy("segment_key").agg(F.count("*").alias("hits"), F.avg("tss").alias("mean_tss"), F.max("ride_id").alias("last_ride"))
-    both = segments.upsert_library(entries(scored.where("ride_id % 2 = 0")), entries(scored.where("ride_id % 2 = 1")))
+    scored = scored_segments(spark, d)
+    both = segments.upsert_library(library_entries(scored.where("ride_id % 2 = 0")), library_entries(scored.where("ride_id % 2 = 1")))
     newest = F.broadcast(both.agg((F.max("last_ride") / 2).alias("before")))  # one row
     out = segments.prune_library(both.join(newest), 2, F.col("before"))
     return out.select("segment_key", "hits", F.round("mean_tss", 8).alias("mean_tss"), "last_ride")

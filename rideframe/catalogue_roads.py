@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideframe import catalogue_more
+from rideframe import catalogue_more, storage
+from rideframe.catalogue import COSTS, FEATURES
 from rideframe.catalogue_routes import NODES, OVERLAP, ends, nodes
 from rideframe.catalogue_rules import _FLOW, _PENALTY, WAY_TAGS, tagged, tagged_sql
-from rideframe.operators import access, network, roads, routes, turns
+from rideframe.operators import access, matching, network, roads, routes, segments, simplify, turns
 from rideframe.plans import adapters as A
 from rideframe.registry import query
-from rideframe.sources import pbf, readers
+from rideframe.sources import pbf, readers, stored
 
 #: Roads of the driver's tables: steps of the paths, both ways, whose ends are this close.
 ROAD_M = 400.0
@@ -168,3 +169,58 @@ def pbf_way_edges(spark, d):
     rows = binary_map(spark, d)
     edges = readers.way_edges(pbf.map_ways(rows), pbf.map_nodes(rows).drop("tags"))
     return edges.where("u <> v").select("u", "v", "way_id", "dir").distinct()
+
+
+# ---- fewer points, stored tables
+
+_OFF = """greatest(sqrt(pow(x - share * dx, 2) + pow(y - share * dy, 2)) / 400.0e0, coalesce(abs(elv - (ea + share * (eb - ea))) / 60.0e0, 0.0e0))"""
+SIMPLE = A.TRACK + f""", t as (select ride_id, seq, lat, lon, elv from trackpoints where lat is not null and lon is not null), r as (select ride_id, count(*) - 1 as z, list([lat, lon, elv] order by seq) as p from t group by ride_id
+), recursive_base as (select ride_id, 0::bigint as a, z as b from r
+), walk(ride_id, a, b, k) as (
+  select ride_id, a, b, null::bigint from recursive_base union all
+  select ride_id, unnest([a, k]) as a, unnest([k, b]) as b, k from (
+    select ride_id, a, b, arg_max(i, {{'o': off, 'i': -i}}) as k, max(off) as off from (
+      select *, {_OFF} as off from (select *, case when dx * dx + dy * dy > 0 then least(1.0e0, greatest(0.0e0, (x * dx + y * dy) / (dx * dx + dy * dy))) else 0.0e0 end as share from (
+        select w.ride_id, w.a, w.b, i, p[i + 1][3] as elv, p[a + 1][3] as ea, p[b + 1][3] as eb, (p[i + 1][2] - p[a + 1][2]) * cos(radians(p[a + 1][1])) * {K}e0 as x, (p[i + 1][1] - p[a + 1][1]) * {K}e0 as y, (p[b + 1][2] - p[a + 1][2]) * cos(radians(p[a + 1][1])) * {K}e0 as dx, (p[b + 1][1] - p[a + 1][1]) * {K}e0 as dy
+        from (select *, unnest(range(a + 1, b)) as i from walk where b - a > 1) w join r using (ride_id)))) group by ride_id, a, b) where off > 1
+), kept as (select distinct ride_id, unnest([a, b]) as i from walk), numbered as (select ride_id, seq, row_number() over (partition by ride_id order by seq) - 1 as i from t)"""
+
+
+@query(f"with recursive {SIMPLE} select ride_id, seq from kept join numbered using (ride_id, i)")
+def simplified_rides(spark, d):
+    """Points that stay so that the others are within 400 m of the line and 60 m of its elevation."""
+    return simplify.simplified(A.trackpoints(spark, d), 400.0, 60.0)
+
+
+THINNED = PROJECTED + f""", sg as (select ride_id, 1.4826e0 * median(b.d) as sigma from near group by ride_id), tol as (select ride_id, greatest(100.0e0, coalesce(20 * sigma, 100.0e0)) as reach from (select distinct ride_id from trackpoints) left join sg using (ride_id)
+), pr as (select ride_id, list([{{'seq': seq, 'lat': lat, 'lon': lon, 'r': reach}}] order by seq) as c from trackpoints join tol using (ride_id) group by ride_id)"""
+
+
+@query(f"with {THINNED}, f as (select ride_id, unnest(list_reduce(c, lambda a, v: case when ({A.HAV.format(a='a[len(a)].lat', b='a[len(a)].lon', c='v[1].lat', d='v[1].lon')}) > a[1].r then a || v else a end)) as k from pr) select ride_id, k.seq as seq from f")
+def thinned_by_accuracy(spark, d):
+    """Points farther apart than twenty times the accuracy of their ride, told by its distances to the nearest roads."""
+    p = A.trackpoints(spark, d)
+    near = roads.nearest_road(p, road_edges(spark, d).where("u < v"), ["ride_id", "seq"], 60.0)
+    told = simplify.by_accuracy(p, matching.position_sigma(near), 20.0, 100.0)
+    return simplify.thinned(told, F.col("tolerance_m"))
+
+
+@query("with v as (select l_partkey as way_id, l_shipdate as version, l_returnflag as tags from lineitem) select way_id, max(version) as version, (select min(tags) from v w where w.way_id = v.way_id and w.version = max(v.version)) as tags from v group by way_id")
+def stored_ways(spark, d):
+    """Versions of ways in three batches that come out of order, and one of them twice, merged into a stored table."""
+    v = A.read(spark, d, "lineitem").select(F.col("l_partkey").alias("way_id"), F.col("l_shipdate").alias("version"), F.col("l_returnflag").alias("tags"), "l_linenumber")
+    schema = ", ".join(f"{c} {t}" for c, t in v.drop("l_linenumber").dtypes)
+    table = stored.StoredTable(spark, storage.new_folder(spark, "ways"), "way_id", schema, stored.last_version("way_id", "version"), 16)
+    for batch, k in enumerate((1, 0, 0, 2)):
+        table.upsert(v.where(F.col("l_linenumber") % 3 == k).drop("l_linenumber"), batch)
+    return table.read()
+
+
+@query(f"with {catalogue_more.LIB.replace(', sg as', FEATURES.removeprefix(COSTS) + ', sg as')} select segment_key, hits, round(mean_tss, 8) as mean_tss, last_ride from e")
+def stored_library(spark, d):
+    """The segment library as a stored table: the even rides, the odd ones, and the odd ones again, which changes nothing."""
+    scored = catalogue_more.scored_segments(spark, d)
+    table = stored.StoredTable(spark, storage.new_folder(spark, "library"), "segment_key", "segment_key string, hits long, mean_tss double, last_ride long", segments.merged_library, 16)
+    for batch, k in ((1, 0), (2, 1), (2, 1)):
+        table.upsert(catalogue_more.library_entries(scored.where(F.col("ride_id") % 2 == k)), batch)
+    return table.read().select("segment_key", "hits", F.round("mean_tss", 8).alias("mean_tss"), "last_ride")

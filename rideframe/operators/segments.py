@@ -253,7 +253,11 @@ def wavelet_footprint(values: DataFrame, key: str, levels: int, gamma: float) ->
 
 def upsert_library(library: DataFrame, more: DataFrame) -> DataFrame:
     """(segment_key, hits, mean_tss, last_ride) of a library with those of new rides: hits add up, the mean runs on, the last ride is the later one."""
-    both = library.unionByName(more)
+    return merged_library(library.unionByName(more))
+
+
+def merged_library(both: DataFrame) -> DataFrame:
+    """One entry per segment_key of entries of a library and of new rides."""
     return both.groupBy("segment_key").agg((F.sum(F.col("mean_tss") * F.col("hits")) / F.sum("hits")).alias("mean_tss"), F.sum("hits").alias("hits"), F.max("last_ride").alias("last_ride"))
 
 

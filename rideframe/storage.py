@@ -51,6 +51,11 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder in the shared folder that does not exist yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written_files(texts: DataFrame, name: str) -> str:
     """The path in the shared folder of the texts (one string column), each in a file of its own."""
     path = f"{shared_folder(texts.sparkSession)}/{name}-{uuid.uuid4().hex}"
