@@ -9,7 +9,7 @@ from rideframe import catalogue_more, storage
 from rideframe.catalogue import COSTS, FEATURES
 from rideframe.catalogue_routes import NODES, OVERLAP, ends, nodes
 from rideframe.catalogue_rules import _FLOW, _PENALTY, WAY_TAGS, tagged, tagged_sql
-from rideframe.operators import access, matching, network, roads, routes, segments, simplify, turns
+from rideframe.operators import access, corridors, matching, network, roads, routes, segments, simplify, turns
 from rideframe.plans import adapters as A
 from rideframe.registry import query
 from rideframe.sources import pbf, readers, stored
@@ -224,3 +224,24 @@ def stored_library(spark, d):
     for batch, k in ((1, 0), (2, 1), (2, 1)):
         table.upsert(catalogue_more.library_entries(scored.where(F.col("ride_id") % 2 == k)), batch)
     return table.read().select("segment_key", "hits", F.round("mean_tss", 8).alias("mean_tss"), "last_ride")
+
+
+# ---- corridors
+
+CELLS = A.TRACK + """, cl as (select distinct ride_id, floor(lat / 0.0004e0)::bigint as cy, floor(lon / 0.0012e0)::bigint as cx from trackpoints where lat is not null and lon is not null
+), dc as (select (cy + 1073741824) * 2147483648 + cx + 1073741824 as cell, cy, cx, count(*) as n_rides from cl group by cy, cx having count(*) >= 9
+), nb as (select a.cell as u, b.cell as v from dc a join dc b on abs(a.cy - b.cy) <= 1 and abs(a.cx - b.cx) <= 1 and a.cell <> b.cell
+), walk(cell, root) as (select cell, cell from dc union select nb.v, walk.root from walk join nb on nb.u = walk.cell
+), comp as (select cell, min(root) as corridor from walk group by cell), big as (select corridor from comp group by corridor having count(*) >= 3)"""
+
+
+@query(f"with recursive {CELLS} select corridor, cell, cy, cx, n_rides from dc join comp using (cell) join big using (corridor)")
+def shared_corridors(spark, d):
+    """Cells of nine rides or more that hang together, three or more of them."""
+    return corridors.corridors(A.trackpoints(spark, d), 0.0004, 0.0012, 9, 3)
+
+
+@query()
+def corridor_paths(spark, d):
+    """A path from end to end of every shared corridor."""
+    return corridors.corridor_paths(corridors.corridors(A.trackpoints(spark, d), 0.0004, 0.0012, 9, 3))
