@@ -45,23 +45,33 @@ class Block:
     kind: str
     good: bool  # inside an article or main container
     bad: bool  # inside a container of other page parts
+    wrapped: bool  # inside an article or main container that stands in one with a name of other page parts
+    box: int  # number of the outermost such container, -1 outside of any
+    layers: int  # how many such containers stand around it
 
     @property
     def words(self) -> int:
         return len(self.text.split())
 
 
+#: Words of names that say nothing of what an element holds.
+FRAMES = set("area block box container group inner item items list outer section site top wrap wrapper page bottom".split())
+
+
 @lru_cache(4096)
-def told(name: str) -> int:
+def told(name: str, strict: bool = False) -> int:
     """What one class, id or role tells: 1 for a container of the article, -1 for one of other page parts, else 0.
 
-    The header of an entry, post or story is part of it.
+    The header of an entry, post or story is part of it. Names of paragraphs and sections are
+    often about their subject (``strict``), so there every word has to tell of another page part, or of nothing.
     """
     words = _WORDS.findall(name)
     if len(words) > 1 and words[0].lower() in STATES:
         return 0
     good = any(GOOD_NAMES.fullmatch(w) for w in words)
     bad = [w for w in words if BAD_NAMES.fullmatch(w)]
+    if strict and len(bad) + sum(w.lower() in FRAMES for w in words) < len(words):
+        return 0
     if bad and not (good and all(w.lower() == "header" for w in bad)):
         return -1
     return int(good)
@@ -71,7 +81,7 @@ class _Stack:
     """Open elements, with the places of each name, so that every tag costs the same however many are open."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, bool, bool, str]] = []  # name, good, bad, hidden, nearest kind
+        self.open: list[tuple] = []  # name, hidden, nearest kind, good, bad, soft, wrapped, box, layers
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
 
@@ -108,12 +118,20 @@ class _Stack:
                 self.cut(self.last(name))
 
 
+OUTSIDE = ("", False, "", False, False, False, False, -1, 0)
+
+
 def blocks(page: str) -> list[Block]:
-    """Flat blocks of visible text, in page order: what stands between two block-level tags."""
+    """Flat blocks of visible text, in page order: what stands between two block-level tags.
+
+    A container that only its name, or a form, makes another page part is soft: an article or
+    main container inside it is one again, but wrapped, and the tree decides what that is worth.
+    """
     out: list[Block] = []
     stack = _Stack()
     pieces: list[str] = []
     linked: list[str] = []
+    boxes: list[str] = []
     links = 0
 
     def flush() -> None:
@@ -121,13 +139,13 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                top = stack.open[-1] if stack.open else ("", False, False, False, "")
-                out.append(Block(text, len("".join(linked).split()), top[4], top[1], top[2]))
+                _, _, kind, good, bad, _, wrapped, box, layers = stack.open[-1] if stack.open else OUTSIDE
+                out.append(Block(text, len("".join(linked).split()), kind, good, bad, wrapped, box, layers))
             pieces.clear()
         linked = []
 
     def take(raw: str) -> None:
-        if raw and not (stack.open and stack.open[-1][3]):
+        if raw and not (stack.open and stack.open[-1][1]):
             text = entities.unescape(raw)
             pieces.append(text)
             if links:
@@ -164,39 +182,46 @@ def blocks(page: str) -> list[Block]:
             links = 1
         if name in VOID:
             continue
-        good, bad, hidden, kind = stack.open[-1][1:] if stack.open else (False, False, False, "")
-        if name in GOOD and not bad:
-            good = True
-        if name in BAD or name == "header" and not good:
-            bad = True
+        _, hidden, kind, good, bad, soft, wrapped, box, layers = stack.open[-1] if stack.open else OUTSIDE
         named: list[int] = []
         for k, *values in _NAMES.findall(match[3]) if match[3].strip("/ ") else ():
             value = "".join(values)
             k = k.lower()
             if k in ("class", "id", "role"):
-                named += map(told, value.split())
+                named += [told(x, name in ("p", "section")) for x in value.split()]
             elif k == "style":
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif k == "hidden" or value.lower() == "true":
                 hidden = True
-        if named and name in BLOCKS and name not in ("body", "html"):
-            if -1 in named and not (name in GOOD or name in HEADINGS):
-                bad = True
-            elif 1 in named and not bad:
-                good = True
+        if name not in BLOCKS or name in ("body", "html"):
+            named = []
+        other = name in BAD or name == "header" and not good
+        told_bad = -1 in named and not (name in GOOD or name in HEADINGS)
+        if other or told_bad:
+            soft = (soft or not bad) and (told_bad and not other or name == "form")
+            box = box if bad or wrapped else len(boxes)
+            boxes.append(name)
+            bad, layers = True, layers + 1
+        elif -1 not in named and (name in GOOD or 1 in named):
+            wrapped, good, bad = wrapped or bad and soft, good or not bad or soft, bad and not soft
+        elif name in GOOD and not bad:
+            good = True
         if name in BLOCKS:
             kind = name
-        stack.push(name, good, bad, hidden or name in SKIPPED, kind)
+        stack.push(name, hidden or name in SKIPPED, kind, good, bad, soft, wrapped, box, layers)
     take(page[at:])
     flush()
     return out
 
 
-FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "item", "good", "bad", "page_good"]
+FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "item", "good", "bad", "page_good", "paragraph", "wrapped", "share", "layers"]
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """Word count and link density of every block and its neighbours, and where it stands."""
+    """Word count and link density of every block and its neighbours, and where it stands.
+
+    share: of the unlinked words of its box and of those outside of any, how many are in the box; 0 outside.
+    """
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
     if not n:
@@ -209,11 +234,18 @@ def features(found: list[Block]) -> np.ndarray:
     x[:, 7] = [b.kind in ("li", "dd", "dt", "td", "th", "a") for b in found]
     x[:, 8] = [b.good for b in found]
     x[:, 9] = [b.bad for b in found]
-    x[:, 10] = any(b.good and not b.bad for b in found)
+    x[:, 10] = any(b.good and not b.bad and not b.wrapped for b in found)
+    x[:, 11] = [b.kind == "p" for b in found]
+    x[:, 12] = [b.wrapped for b in found]
+    held: dict[int, int] = {}
+    for b in found:
+        held[b.box] = held.get(b.box, 0) + b.words - b.linked
+    x[:, 13] = [held[b.box] / max(1, held[b.box] + held.get(-1, 0)) if b.box >= 0 else 0.0 for b in found]
+    x[:, 14] = [b.layers for b in found]
     return x
 
 
-def labelled_blocks(seed: int = 5, pages: int = 240) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(seed: int = 5, pages: int = 480) -> tuple[np.ndarray, np.ndarray]:
     """The small labelled table: blocks of invented pages in several layouts, 1 for main text."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("aeiouklmnrst") for _ in range(rng.randint(1, 9)))
@@ -229,6 +261,7 @@ def labelled_blocks(seed: int = 5, pages: int = 240) -> tuple[np.ndarray, np.nda
         if chance(0.5):
             parts.append((rng.choice(["<header>{}</header>", '<div class="header">{}</div>', '<div id="masthead">{}</div>']).format(f"<h1>{words(1, 5)}</h1>" + paragraphs(rng.randint(0, 1), 2, 20)), 0))
         alone = rng.random() < 0.25  # a page of its text only
+        inside = rng.random() < 0.25  # a container of the whole page has a name of other page parts
         if chance(0.4):
             parts.append((rng.choice(['<div class="cookie-notice">{}</div>', '<div id="consent" role="dialog">{}</div>', '<div class="alert notice">{}</div>']).format(paragraphs(1, 4, 40)), 0))
         menu = "".join(f"<li>{link(1, 3)}</li>" for _ in range(rng.randint(2, 8)))
@@ -257,25 +290,33 @@ def labelled_blocks(seed: int = 5, pages: int = 240) -> tuple[np.ndarray, np.nda
                     body += [(paragraphs(1, 1, 6), 1), (paragraphs(1, 14, 60), 1)]
         if marked and rng.random() < 0.3:
             body.append((paragraphs(1, 1, 6), 1))
-        if alone and marked:
+        if alone:
             parts.clear()
+            if not marked and rng.random() < 0.5:
+                body = [(paragraphs(1, 1, 12), 1) for _ in range(rng.randint(1, 6))]
+        if inside and marked and rng.random() < 0.5:
+            parts = [(x, y) for x, y in parts if x.startswith("<nav>") or x.startswith("<header>")]
         before, after = {"article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "named": ('<div class="post-content">', "</div>"), "bare": ("<div>", "</div>")}[layout]
         parts += [(before + x + after, label) for x, label in body]
-        if rng.random() < 0.5 and not (alone and marked):
+        first = len(parts) - len(body)
+        if rng.random() < 0.5 and not alone:
             parts.append((f"<aside><h3>{words(1, 4)}</h3>{paragraphs(3, 2, 40)}</aside>" if rng.random() < 0.5 else f'<div class="sidebar"><h3>{words(1, 4)}</h3>{paragraphs(2, 2, 40)}</div>' if marked else "".join(f"<div>{link(3, 9)}</div>" for _ in range(3)), 0))
         if chance(0.5) and not alone:
             parts.append((f"<section class='comments'><h2>{words(1, 3)}</h2>{paragraphs(3, 3, 60)}</section>", 0))
-        if chance(0.3) and not alone:
+        if rng.random() < 0.4 and not alone and not inside:
+            holder = rng.choice(["comments", "related-posts", "replies"])
+            parts.append((f'<div class="{holder}">' + "".join(f"<article>{paragraphs(rng.randint(1, 2), 3, 50)}</article>" for _ in range(rng.randint(1, 6 if marked else 2))) + "</div>", 0))
+        if chance(0.3) and not alone and not inside:
             parts.append((f"<div>{words(1, 30)}</div>", 0))
-        if rng.random() < 0.8 and not (alone and marked):
+        if rng.random() < 0.8 and not alone:
             parts.append((f"<footer>&copy; {words(1, 25)}</footer>" if marked else f"<div>{link(1, 2)}</div><div>&copy; {words(1, 4)}</div>", 0))
-        found, labels = [], []
-        for part, label in parts:
-            own = blocks(part)
-            found += own
-            labels += [label] * len(own)
-        xs.append(features(found))
-        ys += labels
+        ys += [label for part, label in parts for _ in blocks(part)]
+        texts = [part for part, _ in parts]
+        if inside:
+            a, z = rng.choice([(0, len(texts)), (first, first + len(body))])
+            opened, closed = rng.choice([("<form>", "</form>"), *((f'<div class="{x}">', "</div>") for x in ("content-sidebar-wrap", "layout-with-nav", "menu-open", "search-page", "ad-free"))])
+            texts[a], texts[z - 1] = opened + texts[a], texts[z - 1] + closed
+        xs.append(features(blocks("".join(texts))))
     return np.vstack(xs), np.array(ys)
 
 

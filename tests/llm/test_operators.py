@@ -229,6 +229,52 @@ def test_class_names_are_taken_word_by_word(spark):
         assert html.main_text(f"<html><body>{page}</body></html>") == whole, page
 
 
+BODY = "<h1>Title of it</h1><p>" + "some words of the article stand here " * 9 + "</p><p>Short one.</p><p>" + "and more of them stand here too " * 9 + "</p>"
+NAV = "<nav><ul>" + "".join(f'<li><a href="/{i}">part {i}</a></li>' for i in range(5)) + "</ul></nav>"
+
+
+def whole_page(inner):
+    return html.main_text(f"<html><body>{NAV}{inner}<footer>&copy; all rights</footer></body></html>")
+
+
+def test_wrappers_with_names_of_other_parts_keep_the_article():
+    whole = whole_page(f"<article>{BODY}</article>")
+    side = '<div class="sidebar"><h3>More</h3><p>other text stands here</p></div>'
+    pages = [
+        f'<div class="content-sidebar-wrap"><main>{BODY}</main>{side}</div>', f'<div class="layout-with-sidebar"><article>{BODY}</article></div>', f'<div id="wrapper" class="nav-collapsed"><main>{BODY}</main></div>',
+        f'<div class="ad-free-layout"><article>{BODY}</article></div>', f'<div class="search-page"><article>{BODY}</article></div>', f'<form id="page">{NAV}<article>{BODY}</article></form>', f'<div class="nav-open">{NAV}<div class="post-content">{BODY}</div>{side}</div>',
+    ]
+    for page in pages:
+        assert whole_page(page) == whole, page
+        assert html.main_text(f"<html><body>{page}</body></html>") == whole, page
+    assert "Short one." in whole and "part" not in whole
+
+
+def test_articles_of_readers_and_links_are_not_the_text():
+    whole = whole_page(f"<article>{BODY}</article>")
+    comment = "<article><p>" + "a reader says very much of this " * 30 + "</p></article>"
+    for other in (f'<div class="comments">{comment * 3}</div>', f'<div class="related-posts">{comment}</div>', '<section id="comments"><p>good</p></section>', f'<aside><article>{BODY}</article></aside>'):
+        assert whole_page(f"<article>{BODY}</article>{other}") == whole, other
+
+
+def test_sections_and_paragraphs_are_named_for_their_subject():
+    for inner, text in [
+        ('<section id="side-effects"><p>Some side effects are known and listed here.</p></section>', "Some side effects are known and listed here."),
+        ('<section id="related-work"><h2>Related work</h2><p>Others did this before.</p></section>', "Related work\n\nOthers did this before."),
+        ('<p id="share-price">The share price rose by ten.</p>', "The share price rose by ten."),
+        ('<section class="comments-area"><p>good</p></section>', None),
+    ]:
+        got = whole_page(f"<article>{BODY}{inner}</article>")
+        assert text is None and "good" not in got or text is not None and got.endswith(text)
+    assert html.main_text("<body><p>One short.</p><p>Two short words.</p><p>Last.</p></body>") == "One short.\n\nTwo short words.\n\nLast."
+
+
+def test_html_of_empty_tables_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Some text.</p>", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [(r.page_id, r.text, r.n_chars) for r in html.extract_pages(df).collect()] == [(1, "Some text.", 10)]
+    assert html.extract_pages(df.where("false")).count() == 0
+
+
 def test_pages_of_open_elements_take_linear_time():
     import time
 
