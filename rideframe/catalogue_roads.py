@@ -13,6 +13,7 @@ from rideframe.operators import access, corridors, matching, network, roads, rou
 from rideframe.plans import adapters as A
 from rideframe.registry import query
 from rideframe.sources import pbf, readers, stored
+from rideframe.streaming import state
 
 #: Roads of the driver's tables: steps of the paths, both ways, whose ends are this close.
 ROAD_M = 400.0
@@ -245,3 +246,58 @@ def shared_corridors(spark, d):
 def corridor_paths(spark, d):
     """A path from end to end of every shared corridor."""
     return corridors.corridor_paths(corridors.corridors(A.trackpoints(spark, d), 0.0004, 0.0012, 9, 3))
+
+
+# ---- streams
+
+def stream_points(spark, d) -> DataFrame:
+    e = A.trackpoints(spark, d).select("ride_id", F.col("event_id").alias("point_id"), F.timestamp_micros(F.col("t_us") + F.lit(1_704_067_200_000_000)).alias("time"), "lat", "lon")
+    return e.select(*[F.col(c).cast(t) for c, t in (x.split() for x in state.POINTS.split(", "))])
+
+
+DAY_US = 86_400_000_000
+TRACKED = A.TRACK + f""", g as (select *, case when t_us - lag(t_us) over w > {DAY_US} then 1 else 0 end as cut from trackpoints window w as (partition by ride_id order by t_us, event_id)
+), p as (select *, cast(sum(cut) over (partition by ride_id order by t_us, event_id rows unbounded preceding) as bigint) as part from g
+), l as (select *, lag(lat) over w as plat, lag(lon) over w as plon from p window w as (partition by ride_id, part order by t_us, event_id)
+), s as (select *, coalesce(cast(round(1000 * {A.HAV.format(a='plat', b='plon', c='lat', d='lon')}) as bigint), 0) as step_mm from l)"""
+
+
+@query(f"with {TRACKED} select ride_id, event_id as point_id, part, step_mm, cast(sum(step_mm) over (partition by ride_id order by t_us, event_id rows unbounded preceding) as bigint) as cum_mm from s")
+def streamed_rides(spark, d):
+    """Parts and running distances of all rides, from a stream whose points come up to a day late and in any order within days.
+
+    The points are written in the order of their arrival, a folder's files at a time, and
+    followed by two points of a later year that move the watermark past all of them.
+    """
+    points = stream_points(spark, d)
+    source, out = storage.new_folder(spark, "points"), storage.new_folder(spark, "tracked")
+    points = points.withColumn("arrived", F.unix_micros("time") + F.pmod(F.xxhash64("point_id"), F.lit(DAY_US)))
+    a, z = points.agg(F.min("arrived"), F.max("arrived")).first()
+    last = [] if a is None else range(a // (7 * DAY_US), z // (7 * DAY_US) + 1)
+    for week in last:
+        points.where(F.floor(F.col("arrived") / (7 * DAY_US)) == week).drop("arrived").write.mode("append").parquet(source)
+    for year in (2050, 2051):
+        end = spark.range(1).select(F.lit(-1).alias("ride_id"), F.lit(-1).alias("point_id"), F.lit(f"{year}-01-01").cast("timestamp").alias("time"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+        end.select(*[F.col(c).cast(t) for c, t in (x.split() for x in state.POINTS.split(", "))]).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(state.POINTS).option("maxFilesPerTrigger", 8).parquet(source)
+    tracked = state.tracked_stream(stream, 86_400.0, "10 days")
+    tracked.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(tracked.schema).parquet(out).where("ride_id >= 0").select("ride_id", "point_id", "part", "step_mm", "cum_mm")
+
+
+def most_hits(rows: DataFrame) -> DataFrame:
+    """The latest state of each entry: that of most hits."""
+    return rows.groupBy("segment_key").agg(F.max(F.struct("hits", "mean_tss", "last_ride")).alias("e")).select("segment_key", "e.*")
+
+
+@query(f"with {catalogue_more.LIB.replace(', sg as', FEATURES.removeprefix(COSTS) + ', sg as')} select segment_key, hits, round(mean_tss, 8) as mean_tss, last_ride from e")
+def streamed_library(spark, d):
+    """The segment library from a stream of scored segments: running means in state, merged batch by batch into a stored table."""
+    source, out = storage.new_folder(spark, "scores"), storage.new_folder(spark, "library")
+    scored = catalogue_more.scored_segments(spark, d).select("segment_key", "ride_id", "tss")
+    scored.repartition(8, "ride_id").write.parquet(source)
+    table = stored.StoredTable(spark, out, "segment_key", state.LIBRARY, most_hits, 16)
+    stream = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    entries = state.library_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}-state")
+    entries.foreachBatch(lambda rows, batch: table.upsert(rows, batch) and None).trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("segment_key", "hits", F.round("mean_tss", 8).alias("mean_tss"), "last_ride")
