@@ -9,7 +9,7 @@ from rideframe import catalogue_more, storage
 from rideframe.catalogue import COSTS, FEATURES
 from rideframe.catalogue_routes import NODES, OVERLAP, ends, nodes
 from rideframe.catalogue_rules import _FLOW, _PENALTY, WAY_TAGS, tagged, tagged_sql
-from rideframe.operators import access, corridors, matching, network, roads, routes, segments, simplify, turns
+from rideframe.operators import access, corridors, matching, network, roads, routes, segments, signal, simplify, turns
 from rideframe.plans import adapters as A
 from rideframe.registry import query
 from rideframe.sources import pbf, readers, stored
@@ -301,3 +301,60 @@ def streamed_library(spark, d):
     entries = state.library_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}-state")
     entries.foreachBatch(lambda rows, batch: table.upsert(rows, batch) and None).trigger(availableNow=True).start().awaitTermination()
     return table.read().select("segment_key", "hits", F.round("mean_tss", 8).alias("mean_tss"), "last_ride")
+
+
+# ---- proposals by attributes, complete features, rides of files
+
+ATTRIBUTES = catalogue_more.GRADED + ", " + A.WAYS + f""", pw as (select g.*, {catalogue_more.SPEED} as speed, 1 + (ride_id + seq // 7) % 20 as way_id from graded g
+), ax as (select pw.*, w.highway, w.surface from pw left join ways w using (way_id)
+), why as (select ride_id, seq, cum_mm, case when highway is distinct from lag(highway) over w then 'highway' when surface is distinct from lag(surface) over w then 'surface' when abs(delta) > 3.0e0 then 'turn' when speed < 0.001e0 then 'stop' end as why, row_number() over w as n from ax window w as (partition by ride_id order by seq)
+), cuts as (select ride_id, list([{{'seq': seq, 'at': cum_mm, 'why': why}}] order by seq) as c from why where why is not null and n > 1 group by ride_id
+), kept as (select ride_id, unnest(list_reduce(c, lambda a, x: case when x[1].at - a[len(a)].at >= 1500000 then a || x else a end)) as k from cuts)"""
+
+
+@query(f"with {ATTRIBUTES} select ride_id, k.seq as seq, k.why as why from kept")
+def attribute_proposals(spark, d):
+    """Boundaries where class or surface change, at turns and stops, with the guard of 1500 m; a change of way alone is none."""
+    p = signal.route_signal(A.trackpoints(spark, d)).withColumn("way", 1 + (F.col("ride_id") + F.floor(F.col("seq") / 7)) % 20)
+    p = p.join(A.ways(spark, d).select(F.col("way_id").alias("way"), "highway", "surface"), "way", "left").withColumn("way_id", F.lit(0))
+    return segments.propose_boundaries(p, 3.0, 0.001, 1500.0, ["highway", "surface"]).select("ride_id", "seq", "why")
+
+
+COMPLETE = PROJECTED + ", " + A.WAYS + ", " + catalogue_more.RIDE_FEATURES.removeprefix(A.TRACK + ", ") + f""", jc as (select u as node_id from edges group by u having count(distinct v) >= 3), jn as (select n.* from nodes n join jc using (node_id)
+), jm as (select ride_id, seq // 9 as segment, count(distinct node_id) as n_junctions from (select ride_id, seq, node_id, {A.HAV.format(a='lat', b='lon', c='nlat', d='nlon')} as dist from trackpoints, jn where abs(lat - nlat) < 0.001e0) where dist <= 40 group by all
+), ru as (select ride_id, seq, w.highway, w.surface, w.maxspeed from near left join ways w on w.way_id = 1 + (b.u + b.v) % 100
+), rs as (select g.ride_id, g.seq // 9 as segment, g.step_mm, ru.* exclude (ride_id, seq) from graded g left join ru on g.ride_id = ru.ride_id and g.seq = ru.seq
+), rr as (select ride_id, segment, sum(step_mm) filter (highway is not null) as road_mm, sum(step_mm) as all_mm, sum(step_mm) filter (surface in ('asphalt', 'concrete', 'paved', 'paving_stones')) as paved_mm, sum(maxspeed * step_mm) as speed_mm, sum(step_mm) filter (maxspeed is not null) as limit_mm, count(distinct highway) as n_classes from rs group by all)"""
+
+
+@query(f"""with {COMPLETE} select ride_id, segment, round(length_m, 3) as length_m, round(gain_m, 4) as gain_m, round(mean_grade, 4) as mean_grade, stops, coalesce(n_junctions, 0) as n_junctions, round(coalesce(n_junctions, 0) / greatest(length_m / 1000.0e0, 0.1e0), 4) as junctions_per_km,
+  round(coalesce(road_mm, 0) / nullif(all_mm, 0)::double, 6) as on_road, round(coalesce(paved_mm, 0) / nullif(coalesce(road_mm, 0), 0)::double, 6) as paved_share, round(speed_mm / nullif(coalesce(limit_mm, 0), 0)::double, 6) as mean_maxspeed, n_classes from fx left join rr using (ride_id, segment) left join jm using (ride_id, segment)""")
+def complete_features(spark, d):
+    """Features of the ride and of its road, with the junctions met, of every segment in one table."""
+    track = A.trackpoints(spark, d)
+    p = signal.curvature(signal.route_signal(track)).withColumn("segment", F.floor(F.col("seq") / 9).cast("long"))
+    busy = network.junctions(network.edge_index(A.node_path(spark, d))).join(nodes(spark, d), "node_id")
+    met = matching.candidates(track, busy, ["ride_id", "seq"], 40.0).select("ride_id", "seq", "node_id")
+    near = roads.nearest_road(track, road_edges(spark, d).where("u < v"), ["ride_id", "seq"], 60.0)
+    under = near.withColumn("way_id", 1 + (F.col("u") + F.col("v")) % 100).join(A.ways(spark, d), "way_id").select("ride_id", "seq", "highway", "surface", "maxspeed")
+    out = segments.complete_features(p, "segment", met, under)
+    r = lambda c, n: F.round(c, n).alias(c)
+    return out.select("ride_id", "segment", r("length_m", 3), r("gain_m", 4), r("mean_grade", 4), "stops", "n_junctions", r("junctions_per_km", 4), r("on_road", 6), r("paved_share", 6), r("mean_maxspeed", 6), "n_classes")
+
+
+@query(f"with {A.TRACK} select ride_id, seq // 50 as segment, cast(seq % 50 as int) as i, seq, lat, lon, elv from trackpoints")
+def gpx_rides(spark, d):
+    """Rides of files of one ride each, in segments of 50 points, with ride, segment and order as read."""
+    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele></trkpt>', *[F.col(c).cast("string") for c in ("lat", "lon", "elv")])
+    lines = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 50).alias("part")).agg(F.concat(F.lit("<trkseg>"), F.array_join(routes.ordered("seq", point), "\n"), F.lit("</trkseg>")).alias("line"))
+    whole = lines.groupBy("ride_id").agg(F.concat(F.lit("<gpx>\n"), F.array_join(routes.ordered("part", F.col("line")), "\n"), F.lit("\n</gpx>")).alias("text"))
+    folder = storage.new_folder(spark, "rides")
+    whole.withColumn("ride", F.col("ride_id")).drop("ride_id").repartition("ride").write.partitionBy("ride").text(folder)
+    back = readers.read_gpx(spark, folder, r"/ride=(-?[0-9]+)/")
+    return back.select(F.col("ride_id").cast("long").alias("ride_id"), "segment", "i", "seq", "lat", "lon", "elv")
+
+
+@query(f"with n as (select s_suppkey as node_id, {tagged_sql(JUNCTION_TAGS)} from supplier) select node_id, coalesce(barrier = 'fence', false) or coalesce(cargo_bike = 'no', false) as barrier, coalesce(highway = 'traffic_signals', false) as signal from n")
+def profile_nodes(spark, d):
+    """Barriers of nodes, to cargo bikes too, and traffic lights."""
+    return junction_nodes(spark, d)

@@ -343,15 +343,12 @@ def library_match(spark, d):
 ), starts as (select ride_id, route, unnest(range(1, len(route) + 1)) as i from w), sizes as (select distinct n from known), cuts as (select ride_id, i - 1 as position, array_to_string(route[i : i + n - 1], ';') as ways from starts, sizes where i + n - 1 <= len(route))
 select ride_id, position, ways from cuts join known using (ways)""")
 def route_known_segments(spark, d):
-    """Known segments anywhere along a route, with the position they start at: every start and every known size, joined on the slice."""
+    """Known segments anywhere along a route, with the position they start at."""
     p = parts(spark, d)
-    known = p.groupBy("ways").agg(F.count("*").alias("hits")).where("hits >= 3 and length(ways) >= 3").select("ways")
-    sizes = known.select(F.size(F.split("ways", ";")).alias("n")).distinct()
-    route = A.sections(spark, d).groupBy("ride_id").agg(routes.ordered("pos", F.col("way_id") % 5).alias("route"))
-    starts = route.join(F.broadcast(sizes), F.col("n") <= F.size("route"))  # a row for each size of a known segment
-    cuts = starts.select("ride_id", "route", "n", F.explode(F.sequence(F.lit(1), F.size("route") - F.col("n") + 1)).alias("i"))
-    cuts = cuts.select("ride_id", (F.col("i") - 1).cast("long").alias("position"), listed(F.slice("route", F.col("i"), F.col("n"))).alias("ways"))
-    return cuts.join(known, "ways").select("ride_id", "position", "ways")
+    known = p.groupBy("ways").agg(F.count("*").alias("hits")).where("hits >= 3 and length(ways) >= 3")
+    known = known.select(F.col("ways").alias("key"), F.split("ways", ";").cast("array<long>").alias("ways"))
+    steps = A.sections(spark, d).select("ride_id", "pos", (F.col("way_id") % 5).alias("way"))
+    return routes.known_along(steps, known).select("ride_id", "position", F.col("key").alias("ways"))
 
 
 RANKS = A.SECTIONS + ", a as (select ride_id, sum(len_m) as x, avg(maxspeed) as y from sections group by ride_id), r as (select (rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0e0) as rx, (rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0e0) as ry from a)"

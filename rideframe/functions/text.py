@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -40,12 +42,12 @@ def iso_epoch(text: Column) -> Column:
 
 
 def _plain(value: str | None):
+    """As ``coerced`` has it; a number that JSON can't hold is text."""
     value = (value or "").strip()
-    for kind in (int, float):
-        try:
-            return kind(value)
-        except ValueError:
-            pass
+    if re.fullmatch(r"[+-]?[0-9]+", value) and abs(int(value)) < 1 << 63:
+        return int(value)
+    if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", value) and math.isfinite(float(value)):
+        return float(value)
     return value or None
 
 

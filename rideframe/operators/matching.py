@@ -66,14 +66,15 @@ def viterbi(points: DataFrame, nodes: DataFrame, reach_m: float, sigma: float, b
     """ride_id, chunk, seq, node_id: the likeliest node of each point that has a candidate.
 
     Gaussian emission of the distance to the node, exponential transition of the difference
-    between the step of the points and that of the nodes. Inherently sequential, so a chunk
-    of a ride is one pandas group (200 points at most in production).
+    between the step of the points and that of the nodes. A point without a candidate parts its
+    chunk, as its neighbours aren't adjacent. Whole rides are settled in one Python pass a task.
+    ``roads.network_match`` measures along the roads instead.
     """
-    met = candidates(points, nodes, ["ride_id", "chunk", "seq"], reach_m)
+    w = Window.partitionBy("ride_id", "chunk").orderBy("seq")
+    numbered = points.withColumn("nth", F.row_number().over(w).cast("long"))
+    met = candidates(numbered, nodes, ["ride_id", "chunk", "seq", "nth"], reach_m)
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seq", "node_id"])
-        steps = [g for _, g in rows.groupby("seq", sort=True)]
+    def solve(steps: list[pd.DataFrame]) -> list:
         score, back = -0.5 * (steps[0]["distance_m"].to_numpy() / sigma) ** 2, []
         for a, b in zip(steps, steps[1:]):
             walked = haversine_np(a["lat"].iloc[0], a["lon"].iloc[0], b["lat"].iloc[0], b["lon"].iloc[0])
@@ -86,9 +87,26 @@ def viterbi(points: DataFrame, nodes: DataFrame, reach_m: float, sigma: float, b
         for a, b in zip(reversed(steps[:-1]), reversed(back)):
             at = int(b[at])
             out.append(a["node_id"].iloc[at])
-        return pd.DataFrame({"ride_id": rows["ride_id"].iloc[0], "chunk": rows["chunk"].iloc[0], "seq": [g["seq"].iloc[0] for g in steps], "node_id": out[::-1]})
-
-    return met.groupBy("ride_id", "chunk").applyInPandas(solve, "ride_id long, chunk long, seq long, node_id long")
+        return out[::-1]
+
+    def settle(rows: pd.DataFrame, _) -> pd.DataFrame:
+        rows = rows.sort_values(["ride_id", "chunk", "nth", "node_id"], ignore_index=True)
+        ride, chunk, nth = (rows[c].to_numpy() for c in ("ride_id", "chunk", "nth"))
+        same = (ride[1:] == ride[:-1]) & (chunk[1:] == chunk[:-1])
+        begin = np.flatnonzero(np.r_[True, ~same | (nth[1:] != nth[:-1])])
+        steps = [rows.iloc[a:z] for a, z in zip(begin, [*begin[1:], len(rows)])]
+        joined = [bool(same[a - 1] and nth[a] == nth[a - 1] + 1) for a in begin[1:]]
+        found, part = [], steps[:1]
+        for step, goes_on in zip(steps[1:], joined):
+            if not goes_on:
+                found += solve(part)
+                part = []
+            part.append(step)
+        found += solve(part)
+        heads = rows.iloc[begin]
+        return pd.DataFrame({"ride_id": heads["ride_id"], "chunk": heads["chunk"], "seq": heads["seq"], "node_id": found})
+
+    return by_whole_rides(met, "seq", settle, "ride_id long, chunk long, seq long, node_id long")
 
 
 def haversine_np(lat1, lon1, lat2, lon2):

@@ -275,6 +275,24 @@ def stitched(chunks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return seams.join(connectors(edges, seams.select("u", "v")), ["u", "v"], "left").select("ride_id", "chunk", "u", "v", "length_m")
 
 
+def known_along(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """ride_id, position, key: where a known sequence of ways stands in a route; steps: ride_id, pos (from 0), way; known: key, ways.
+
+    Every step with the one after it meets the sequences that begin with the two, and only those
+    that meet are compared whole, against the route's ways by ride. So rows stay narrow in
+    every shuffle, whatever lengths the known sequences have. Sequences of one way meet by it alone.
+    """
+    ways = F.transform(F.array_sort(F.collect_list(F.struct("pos", "way"))), lambda x: x["way"])
+    routes_ = steps.groupBy("ride_id").agg(ways.alias("route"))
+    order = Window.partitionBy("ride_id").orderBy("pos")
+    begun = steps.select("ride_id", F.col("pos").alias("position"), F.col("way").alias("first"), F.lead("way").over(order).alias("second"))
+    told = known.select("key", "ways", F.get("ways", F.lit(0)).alias("first"), F.get("ways", F.lit(1)).alias("second"))
+    met = begun.join(told.where("size(ways) > 1"), ["first", "second"]).select("ride_id", "position", "key", "ways")
+    alone = begun.join(told.where("size(ways) = 1").drop("second"), "first").select("ride_id", "position", "key")
+    whole = F.slice("route", (F.col("position") + 1).cast("int"), F.size("ways")) == F.col("ways")
+    return met.join(routes_, "ride_id").where(whole).select("ride_id", "position", "key").unionByName(alone)
+
+
 def polyline(points: Column, digits: int = 5) -> Column:
     """Encoded polyline of an array of structs (lat, lon): zigzag deltas in groups of five bits, all in built-in functions."""
     scale = 10.0**digits

@@ -179,6 +179,28 @@ def ride_features(points: DataFrame, segment: str) -> DataFrame:
     return out.withColumn("stops_per_km", F.col("stops") / F.greatest(F.col("length_m") / 1000.0, F.lit(0.1)))
 
 
+def complete_features(points: DataFrame, segment: str, junctions: DataFrame, roads: DataFrame) -> DataFrame:
+    """``ride_features`` of each segment with its junctions and its road, in one table.
+
+    junctions: ride_id, seq, node_id, a row for each junction that a point is near; n_junctions counts the
+    different ones a segment meets, and junctions_per_km takes them by its length. roads: ride_id, seq,
+    highway, surface, maxspeed of the road under a point, if any: on_road, paved_share and
+    mean_maxspeed weigh points by their step, n_classes counts classes. A segment without a
+    road has nulls there and on_road 0.
+    """
+    own = points.select("ride_id", "seq", segment, "step_mm")
+    met = own.join(junctions, ["ride_id", "seq"]).groupBy("ride_id", segment).agg(F.count_distinct("node_id").alias("n_junctions"))
+    under = own.join(roads, ["ride_id", "seq"], "left").withColumn("found", F.col("highway").isNotNull())
+    weight = lambda c: F.sum(F.when(c, F.col("step_mm")).otherwise(0))
+    road = under.groupBy("ride_id", segment).agg(
+        (weight(F.col("found")) / F.nullif(F.sum("step_mm"), F.lit(0))).alias("on_road"), (weight(F.col("surface").isin(PAVED)) / F.nullif(weight(F.col("found")), F.lit(0))).alias("paved_share"),
+        (F.sum(F.col("maxspeed") * F.col("step_mm")) / F.nullif(weight(F.col("maxspeed").isNotNull()), F.lit(0))).alias("mean_maxspeed"), F.count_distinct("highway").alias("n_classes"),
+    )
+    out = ride_features(points, segment).join(road, ["ride_id", segment], "left").join(met, ["ride_id", segment], "left")
+    out = out.withColumn("n_junctions", F.coalesce("n_junctions", F.lit(0)))
+    return out.withColumn("junctions_per_km", F.col("n_junctions") / F.greatest(F.col("length_m") / 1000.0, F.lit(0.1)))
+
+
 def zone_scores(features: DataFrame, long_m: float = 5000.0, steep: float = 8.0) -> DataFrame:
     """A score from 0 to 1 for each of the five training zones, by binned traits and the weights of ZONES."""
     binned = lambda c, edges: sum((F.when(c >= e, 1.0).otherwise(0.0) for e in edges), F.lit(0.0)) / len(edges)
@@ -192,16 +214,19 @@ def zone_scores(features: DataFrame, long_m: float = 5000.0, steep: float = 8.0)
     return features.withColumns({zone: sum((w * (1.0 - t[k[1:]] if k[0] == "-" else t[k]) for k, w in parts), F.lit(0.0)) for zone, parts in ZONES.items()})
 
 
-def propose_boundaries(points: DataFrame, turn: float, stop_mps: float, least_m: float) -> DataFrame:
-    """Points where a way begins, the heading turns by more than ``turn`` radians or the rider stops, at least ``least_m`` after the boundary before.
+def propose_boundaries(points: DataFrame, turn: float, stop_mps: float, least_m: float, attributes: list[str] = ()) -> DataFrame:
+    """Points where a way begins, one of its ``attributes`` changes, the heading turns by more than ``turn`` radians or the rider stops, at least ``least_m`` after the boundary before.
 
-    points: ride_id, seq, cum_mm, heading_delta, speed_mps, way_id. The guard compares with the
+    points: ride_id, seq, cum_mm, heading_delta, speed_mps, way_id, attributes. An attribute that becomes known or unknown changes. The guard compares with the
     last boundary that stays, so close candidates thin out to one every ``least_m`` and no long
     piece is left without one. Only candidates reach Python, many rides in one pass a task.
     """
     w = Window.partitionBy("ride_id").orderBy("seq")
     way = ~F.col("way_id").eqNullSafe(F.lag("way_id").over(w))
-    why = F.when(way, "way").when(F.abs("heading_delta") > turn, "turn").when(F.col("speed_mps") < stop_mps, "stop")
+    why = F.when(way, "way")
+    for c in attributes:
+        why = why.when(~F.col(c).eqNullSafe(F.lag(c).over(w)), c)
+    why = why.when(F.abs("heading_delta") > turn, "turn").when(F.col("speed_mps") < stop_mps, "stop")
     cuts = points.withColumn("why", F.when(F.row_number().over(w) > 1, why)).where("why is not null")
     least = round(1000 * least_m)
 

@@ -13,12 +13,20 @@ NODE = "_id long, _lat double, _lon double"
 WAY = "_id long, nd array<struct<_ref:long>>, tag array<struct<_k:string,_v:string>>"
 
 
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """ride_id (file stem), seq, lat, lon, elv, time of all track segments, in file order."""
+def read_gpx(spark: SparkSession, path: str, name: str = r"([^/]*)\.(?i:gpx)$") -> DataFrame:
+    """ride_id, segment, i, seq, lat, lon, elv, time of all track segments, in file order.
+
+    ride_id is what the first group of ``name`` finds in the file's path: its stem. Segments are numbered from 0 in
+    their file, by the block they were read in and their order there, which is the file's whatever
+    the splits; i counts the points of a segment and seq those of a file.
+    """
     raw = spark.read.format("xml").option("rowTag", "trkseg").option("ignoreNamespace", True).schema(TRKSEG).load(path)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"(?i)\.gpx$", "")
-    rows = raw.select(stem.alias("ride_id"), F.monotonically_increasing_id().alias("segment"), F.posexplode("trkpt").alias("i", "p"))
-    return rows.select("ride_id", "segment", "i", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("elv"), F.try_to_timestamp(F.col("p.time")).alias("time"))
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "trkpt")
+    order = Window.partitionBy("file").orderBy("block", "row")
+    before = F.coalesce(F.sum(F.coalesce(F.size("trkpt"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    raw = raw.select(F.coalesce(F.nullif(F.regexp_extract("file", name, 1), F.lit("")), F.regexp_extract("file", r"([^/]*)$", 1)).alias("ride_id"), (F.row_number().over(order) - 1).cast("long").alias("segment"), before.cast("long").alias("before"), "trkpt")
+    rows = raw.select("ride_id", "segment", "before", F.posexplode("trkpt").alias("i", "p"))
+    return rows.select("ride_id", "segment", "i", (F.col("before") + F.col("i")).alias("seq"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("elv"), F.try_to_timestamp(F.col("p.time")).alias("time"))
 
 
 def read_gpx_extensions(spark: SparkSession, path: str) -> DataFrame:
