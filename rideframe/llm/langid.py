@@ -49,14 +49,6 @@ class TextModel:
         chance = -np.log(BINS) - np.log1p(BINS / max(1.0, counts.sum()))
         self.logs = np.vstack([np.log(smooth / smooth.sum(axis=1, keepdims=True)), np.full((1, BINS), chance)]).T.copy()
 
-    @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
-        languages = sorted({lang for lang, _ in rows})
-        counts = np.zeros((len(languages), BINS))
-        for lang, text in rows:
-            counts[languages.index(lang)] += np.bincount(trigram_bins(text), minlength=BINS)
-        return cls(languages, counts)
-
     def __call__(self, text: str) -> tuple[int, np.ndarray]:
         bins = trigram_bins(text)
         if not len(bins):
@@ -64,9 +56,19 @@ class TextModel:
         return len(bins), self.logs[bins].mean(axis=0) * min(len(bins), EVIDENCE)
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for lang, texts in batch.groupby("lang")["text"]:
+            counts = sum(np.bincount(trigram_bins(x), minlength=BINS) for x in texts)
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"lang": lang, "bin": at, "n": counts[at]})
+
+
 def fit_text_model(docs: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
     """Fit on the labelled documents of least hash in each language: a bounded sample, the same on every run.
 
+    The driver gets the sample's trigram counts, at most BINS numbers a language, and no texts.
+
     The languages are those of all labelled rows, however rare. Rows over the hash threshold
     of their language, which leaves twice its part on average, stay on the executors.
     """
@@ -74,12 +76,16 @@ def fit_text_model(docs: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
     labelled = labelled.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
     counts = labelled.groupBy("lang").count().collect()  # one row a language
     if not counts:
-        return TextModel.fit([])
+        return TextModel([], np.zeros((0, BINS)))
     part = max(LANGUAGE_ROWS, rows // len(counts))
     limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 2 * part / r["count"]) * (1 << 40)))])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = labelled.where(F.col("h") < F.element_at(limits, F.col("lang"))).withColumn("place", place).where(F.col("place") <= part)
-    return TextModel.fit([(r["lang"], r["text"]) for r in sample.select("lang", "text").collect()])
+    found = sample.select("lang", "text").mapInPandas(_counted, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(r["lang"] for r in counts)
+    table = np.zeros((len(languages), BINS))
+    table[np.searchsorted(languages, found["lang"]), found["bin"]] = found["n"]
+    return TextModel(languages, table)
 
 
 def _evidence(model: TextModel):

@@ -213,6 +213,46 @@ PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header><h
 <footer>All rights</footer><script>if (a<b) "</p>"</script></body></html>"""
 
 
+def test_language_fusion_equals_a_plain_version(spark):
+    """Posteriors of every row from the text model's logs, host levels and tables of evidence, all by hand."""
+    rng = random.Random(12)
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["strasse", "wagen", "hund"], "cc": ["perro", "coche", "calle"]}
+    rows = []
+    for i in range(40):
+        lang = rng.choice("abc") * 2
+        text = " ".join(rng.choice(words[lang]) for _ in range(rng.choice([0, 1, 1, 2, 5])))
+        rows.append((i, text, rng.choice([lang, None, "xx", lang]), rng.choice([lang, "", "zz"]), rng.choice(["h1", "h2", None]), rng.choice(["p", "q"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, suffix string, host string, path string")
+    model = langid.fit_text_model(spark.createDataFrame([(k, " ".join(w), lang) for k, (lang, w) in enumerate(words.items())], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify_languages(df, model, F.col("lang"), F.col("suffix"), [F.col("host"), F.col("path")]).collect()}
+
+    names, strength = model.languages, 20.0
+    assert names == ["aa", "bb", "cc", langid.UNKNOWN]
+    value = lambda v: "none" if not v else v if v in names else "other"
+    logs = {r[0]: model(r[1]) for r in rows}
+    by_text = {i: int(np.argmax(x)) if n else None for i, (n, x) in logs.items()}
+    share = lambda own, above: (np.bincount([by_text[i] for i in own if by_text[i] is not None], minlength=4) + strength * above) / (sum(by_text[i] is not None for i in own) + strength)
+    everything = np.bincount([k for k in by_text.values() if k is not None], minlength=4)
+    top = (everything + 1.0) / (everything.sum() + 4.0)
+
+    def table(column):
+        out = {}
+        for k, name in enumerate(names):
+            c = {v: sum(value(r[column]) == v and by_text[r[0]] == k for r in rows) + (5.0 if v == name else 1.0) for v in [*names, "other", "none"]}
+            out[k] = {v: np.log(x / sum(c.values())) for v, x in c.items()}
+        return out
+
+    mark, suffix = table(2), table(3)
+    for r in rows:
+        host = share([q[0] for q in rows if q[4] == r[4]], top)
+        place = share([q[0] for q in rows if q[4:] == r[4:]], host)
+        score = np.array([np.log(place[k]) + mark[k][value(r[2])] + suffix[k][value(r[3])] + logs[r[0]][1][k] for k in range(4)])
+        posterior = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        k = int(score.argmax())
+        assert got[r[0]].lang == names[k] and abs(got[r[0]].posterior - posterior[k]) < 1e-9
+        assert got[r[0]].kept == (logs[r[0]][0] > 0 and names[k] != langid.UNKNOWN and posterior[k] >= 0.5)
+
+
 def test_html(spark):
     want = "Title & more\n\nFirst paragraph with a link inside.\n\nShort.\n\nNext € one\n\none\n\ntwo"
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p><"), (5, "u", "<script>x")], "page_id long, url string, html string")
