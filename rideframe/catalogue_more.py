@@ -180,8 +180,8 @@ def xml_dict(spark, d):
 @query("select event_id, unnest(['0=' || (event_id % 90), '1=7', 'power=' || (event_id % 300) || '.5', 'note=' || event_type]) as leaf from events")
 def json_leaves(spark, d):
     """Leaves at any depth by the last part of their path, without nulls."""
-    x = xml_dict(spark, d).select("event_id", F.explode(text.json_leaves(F.col("json"))).alias("l"))
-    return x.select("event_id", F.concat_ws("=", "l.key", "l.value").alias("leaf"))
+    leaves = text.leaf_rows(xml_dict(spark, d), ["event_id"], "json")
+    return leaves.select("event_id", F.concat_ws("=", "key", "value").alias("leaf"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then 1::int end as line, case when event_id % 3 = 0 then cast(length(props) as int) end as col from events")

@@ -8,9 +8,11 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rideframe.storage import written
+
 
 def error_context(text: Column, position: Column, window: int = 60) -> Column:
     """(line, col, snippet) of a position counted from 0: both from 1, and the text around it over a caret.
@@ -99,6 +101,31 @@ def json_leaves(column: Column) -> Column:
     return F.pandas_udf(run, "array<struct<key:string,value:string>>")(column)
 
 
+def leaf_rows(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``keys``, place, key, value: a row for every leaf of a JSON object or list of any depth, by the last part of its path.
+
+    Each round opens one level of what is nested yet, all rows at once, until nothing is; the
+    rounds are as many as the deepest text has levels. place holds the positions down to the
+    leaf, so that sorting by it gives the order of the text. Numbers and truth values are text as in JSON; nulls,
+    empty containers, and texts that don't parse or are no container have no leaves.
+    """
+    spark = rows.sparkSession
+    kind = F.schema_of_variant("v")
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    front = written(rows.select(*keys, F.array().cast("array<int>").alias("place"), F.try_parse_json(column).alias("v")).where(F.col("v").isNotNull() & nested), "level")
+    out: list[DataFrame] = []
+    while not front.isEmpty():
+        inner = front.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        inner = inner.select(*keys, F.concat("place", F.array("pos")).alias("place"), F.coalesce("key", F.col("pos").cast("string")).alias("key"), F.col("value").alias("v"))
+        inner = written(inner.withColumn("nested", nested), "level")
+        out.append(inner.where(~F.col("nested") & (F.schema_of_variant("v") != "VOID")).select(*keys, "place", "key", F.variant_get("v", "$", "string").alias("value")))
+        front = inner.where("nested").select(*keys, "place", "v")
+    found = spark.createDataFrame([], f"{', '.join(f'`{k}` {dict(rows.dtypes)[k]}' for k in keys)}, place array<int>, key string, value string") if not out else out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found
+
+
 def json_error(column: Column) -> Column:
     """Where a JSON text stops to parse, counted from 1, and why; nulls where it parses or is null."""
 

@@ -62,3 +62,29 @@ def test_boundaries_where_attributes_change(spark):
     got = [(r.seq, r.why) for r in segments.propose_boundaries(df, 3.0, 0.1, 100.0, ["highway", "surface"]).orderBy("seq").collect()]
     assert got == [(4, "highway"), (7, "surface")]
     assert segments.propose_boundaries(df, 3.0, 0.1, 100.0).isEmpty()
+
+
+def plain_leaves(value, place=()):
+    for i, (k, v) in enumerate(sorted(value.items()) if isinstance(value, dict) else enumerate(value)):
+        if isinstance(v, dict | list):
+            yield from plain_leaves(v, (*place, i))
+        elif v is not None:
+            yield (*place, i), str(k), v if isinstance(v, str) else json.dumps(v)
+
+
+def test_leaves_of_any_depth_equal_a_plain_version(spark):
+    rng = random.Random(6)
+
+    def drawn(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice([None, True, 3, -2.5, "x", "", "\u00e9 y"])
+        n = rng.randint(0, 3)
+        return {k: drawn(depth - 1) for k in rng.sample("abcd", n)} if kind < 0.7 else [drawn(depth - 1) for _ in range(n)]
+
+    values = [drawn(6) for _ in range(60)]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(values)] + [(100, "["), (101, None), (102, "3"), (103, "{}")]
+    got = text.leaf_rows(spark.createDataFrame(rows, "id long, j string"), ["id"], "j").collect()
+    want = [(i, p, k, v) for i, value in enumerate(values) if isinstance(value, dict | list) for p, k, v in plain_leaves(value)]
+    assert sorted((r.id, tuple(r.place), r.key, r.value) for r in got) == sorted(want)
+    assert text.leaf_rows(spark.createDataFrame([], "id long, j string"), ["id"], "j").count() == 0
