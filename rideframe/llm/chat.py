@@ -73,7 +73,8 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
     Null texts and roles are empty; null conv_ids are one conversation; rows that repeat are
     turns of their own. A conversation is one row by its nature, so it must fit in a task;
-    rows of all others are shuffled once, by conv_id, and never meet.
+    rows of all others are shuffled once, by conv_id, and never meet. An empty table gives an
+    empty result; further columns are left out.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     one = render_turn(F.col("role"), F.col("text"), F.lit(False))

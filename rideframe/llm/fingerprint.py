@@ -100,6 +100,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = 32, ring_rows: int = 100
     words has the fingerprint of no terms, and two of those are alike (1.0). Rows of one
     doc_id with different texts follow each other by hash; rows that repeat in full are
     fingerprinted once and returned as often as given. Null doc_ids come last. An empty table gives an empty result.
+    A very long text is as many terms as it has, summed up before the shuffle.
     """
     rows = docs.select(key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))

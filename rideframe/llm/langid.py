@@ -130,7 +130,7 @@ def identify_languages(docs: DataFrame, model: TextModel, declared: Column, addr
     UNKNOWN is fused like any language. kept is false if it is the likeliest, if the text has
     no letters or if the posterior is under ``least``; without labelled rows nothing is kept.
     Null texts are empty. Rows that repeat get equal results; an empty table gives an empty
-    result.
+    result. A very long text is read whole in one task.
     """
     langs = model.languages
     known = F.array(*[F.lit(x) for x in langs])

@@ -99,7 +99,8 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", weights: list[float]
     alone. So a source misses its target by less than one document, most of which ``_settle``
     takes back. Draws depend on ids and
     seed only: reruns agree. Null and wordless texts have size 0 and take nothing; null
-    sources are one source; rows that repeat are documents of their own.
+    sources are one source; rows that repeat are documents of their own. An empty table gives
+    an empty result; very long texts are counted whole.
     """
     base = docs.select(key_of(id_column).alias("id"), F.xxhash64("text").alias("tie"), F.col("source").cast("string").alias("source"), word_count(F.coalesce("text", F.lit(""))).alias("size"))
     base = written(base, "sizes")

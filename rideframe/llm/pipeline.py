@@ -51,7 +51,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; a row that repeats adds its copies to the first."""
+    """Every document as often as the mix takes it, however long; a row that repeats adds its copies to the first."""
     docs = with_ids(docs)
     mix = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"))
     texts = docs.withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"])
@@ -59,7 +59,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy of every document in sequences of 2048 tokens; repeated rows are packed once each."""
+    """Every copy of every document in sequences of 2048 tokens; repeated rows are packed once each, and long texts are cut into pieces."""
     return packing.best_fit_packing(docs)
 
 

@@ -152,7 +152,8 @@ def fertility_rules(docs: DataFrame, folder: str | None = None, width: float = 1
     doc_id, counts, metrics, base_failed, kept and reason ('base', or the metric that is out
     of its band, or null). Bands are fitted on the rows that pass the base rules, per language
     (or script) and length class (power of two of words). Null, empty and wordless texts fail
-    the base rules; repeated rows get equal verdicts; an empty table gives an empty result.
+    the base rules; repeated rows get equal verdicts; an empty table gives an empty result. A
+    very long text is measured whole in one task.
     """
     measured = measure(docs, folder).withColumn("class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
     measured = written(measured.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))), "fertility")

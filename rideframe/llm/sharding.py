@@ -52,7 +52,8 @@ def assign_shards(rows: DataFrame, key: str, shards: list[str], slots: int = 819
     """``rows`` with slot and shard columns (those of the same name are replaced); one row per input row.
 
     The table is broadcast: it has ``slots`` rows, a parameter. A row's place depends on its
-    key alone, so equal keys go together, and a changed list of shards moves few others.
+    key alone, so equal keys go together, and a changed list of shards moves few others. A null
+    key has a place of its own; an empty table gives an empty result, whatever other columns it has.
     """
     kept = [c for c in rows.columns if c.lower() not in ("slot", "shard")]
     table = lookup_table(rows.sparkSession, shards, slots)

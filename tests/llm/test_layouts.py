@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from rideframe.llm import queries, timeparts, tokenfiles, whitening
+from rideframe.llm import chat, packing, pipeline, queries, sharding, timeparts, tokenfiles, whitening
 
 DOCS = "doc_id long, text string, shard int, ids string"
 
@@ -159,7 +159,7 @@ def clicks(n, seed=1):
     return out
 
 
-@pytest.mark.parametrize("n,limit", [(600, 3), (600, 20), (300, 100_000), (40, 1)])
+@pytest.mark.parametrize("n,limit", [(150, 3), (300, 20), (40, 1)])
 def test_time_partitions_equal_brute_force(spark, n, limit):
     data, early = clicks(n), datetime(2024, 3, 1)
     df = spark.createDataFrame(data, CLICKS).repartition(5)
@@ -194,3 +194,31 @@ def test_a_second_rewrite_touches_nothing(spark):
     two = timeparts.write_layout(df, queries.click_moment(), 15, ["arrived_at", "click_id"], previous=one)
     assert {r.path for r in two.paths().collect()} == paths
     assert two.files.where("not stays").isEmpty()
+
+
+def test_repeated_rows_without_an_id_are_packed_in_many_blocks(spark):
+    """All rows alike: each has a place of its own, and no block has them all."""
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    out = packing.best_fit_packing(docs, block_rows=100)
+    assert out.count() == 2000 and out.select("sequence_id", "offset").distinct().count() == 2000
+    assert "spot" not in out.columns
+
+
+def test_stage_cuts_bytes_and_words(spark):
+    """Text without spaces and long words go by their bytes, short words by their number."""
+    chinese = "".join(chr(0x4E00 + i * 37 % 2000) for i in range(400))
+    long_words = " ".join(chr(97 + i % 26) * 30 for i in range(40))
+    short_words = " ".join(f"w{i % 9}x{i}" for i in range(52))
+    texts = [(chinese, 1), (chinese, 2), (long_words, 3), (long_words, 4), (short_words, 5), (short_words, 6), ("alone here", 7)]
+    docs = spark.createDataFrame([(i, f"{chr(96 + i)}{i}{i} {t} {i}{i}z", "x", "s", 1) for t, i in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs, "").collect()}
+    assert all(t not in got[i] and 4 <= len(got[i]) <= 10 for t, i in texts[:6]) and got[7] == "g77 alone here 77z"
+
+
+def test_empty_tables_of_shards_conversations_and_pages(spark, tmp_path):
+    empty = spark.createDataFrame([], "k string, slot string")
+    assert sharding.assign_shards(empty, "k", ["a", "b"], 11).collect() == []
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "some text", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.llm_page_languages(spark, str(tmp_path)).collect() == []
