@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideframe import catalogue_more, storage
+from rideframe import catalogue_more, catalogue_rules, storage
 from rideframe.catalogue import COSTS, FEATURES
-from rideframe.catalogue_routes import NODES, OVERLAP, ends, nodes
+from rideframe.catalogue_routes import NODES, OVERLAP, ends, listed, nodes
 from rideframe.catalogue_rules import _FLOW, _PENALTY, WAY_TAGS, tagged, tagged_sql
 from rideframe.operators import access, corridors, matching, network, roads, routes, segments, signal, simplify, turns
 from rideframe.plans import adapters as A
-from rideframe.registry import query
-from rideframe.sources import pbf, readers, stored
+from rideframe.registry import SQL, query
+from rideframe.sources import matches, pbf, readers, stored
 from rideframe.streaming import state
 
 #: Roads of the driver's tables: steps of the paths, both ways, whose ends are this close.
@@ -358,3 +358,31 @@ def gpx_rides(spark, d):
 def profile_nodes(spark, d):
     """Barriers of nodes, to cargo bikes too, and traffic lights."""
     return junction_nodes(spark, d)
+
+
+# ---- files of chunks, requests and matches
+
+@query(SQL["chunk_payload"])
+def payload_files(spark, d):
+    """Chunk payloads written as JSON, a folder a ride, and read back with their schema."""
+    path = storage.new_folder(spark, "payloads")
+    matches.write_payloads(catalogue_rules.chunk_payload(spark, d), path)
+    return matches.read_payloads(spark, path).select("ride_id", "n", "coordinates_e6", "timestamps", "radiuses", "chunk")
+
+
+@query(f"with p as ({SQL['chunk_payload']}) select ride_id, chunk, 'annotations=nodes,distance&gaps=ignore&geometries=geojson&overview=full&radiuses=' || radiuses || '&steps=false&tidy=true&timestamps=' || timestamps as parameters from p")
+def match_requests(spark, d):
+    """The parameters of the request of every chunk, by name."""
+    asked = matches.match_requests(catalogue_rules.chunk_payload(spark, d), F.col("coordinates_e6"))
+    told = F.transform(F.array_sort(F.map_entries("parameters")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return asked.select("ride_id", "chunk", F.array_join(told, "&").alias("parameters"))
+
+
+@query(f"with m as ({SQL['match_results']}) select ride_id, code, route_nodes, case when matched then 'matched' else 'gap' end as status from m")
+def match_files(spark, d):
+    """Results written as JSON, those without a matching apart as gaps, and read back."""
+    r = catalogue_more.results(spark, d)
+    path = storage.new_folder(spark, "matches")
+    matches.write_matches(r, path)
+    back = matches.read_matches(spark, path, ", ".join(f"{c} {t}" for c, t in r.dtypes))
+    return back.select("ride_id", "code", listed(F.col("route_nodes")).alias("route_nodes"), "status")

@@ -68,10 +68,15 @@ def missing_rides(results: DataFrame, rides: DataFrame) -> DataFrame:
     return low(results).join(low(rides).select("k").distinct(), "k", "left_anti").select("ride_id").distinct()
 
 
+#: What a matching service is asked for besides the chunk itself.
+PARAMETERS = {"geometries": "geojson", "overview": "full", "steps": "false", "gaps": "ignore", "tidy": "true", "annotations": "nodes,distance"}
+#: Columns of written payloads; ride_id is in the folder's name.
+PAYLOAD = "chunk string, n long, coordinates_e6 string, timestamps string, radiuses string, ride_id long"
+
+
 def match_requests(payloads: DataFrame, polyline: Column) -> DataFrame:
     """What a matching service is asked for each chunk: polyline6, parameters, timestamps and radiuses."""
-    told = {"geometries": "geojson", "overview": "full", "steps": "false", "gaps": "ignore", "tidy": "true", "annotations": "nodes,distance"}
-    fixed = F.create_map(*[F.lit(x) for kv in told.items() for x in kv])
+    fixed = F.create_map(*[F.lit(x) for kv in PARAMETERS.items() for x in kv])
     own = F.create_map(F.lit("timestamps"), F.col("timestamps"), F.lit("radiuses"), F.col("radiuses"))
     return payloads.withColumns({"polyline6": polyline, "parameters": F.map_filter(F.map_concat(fixed, own), lambda _, v: v.isNotNull())})
 
@@ -81,12 +86,22 @@ def write_payloads(payloads: DataFrame, path: str) -> None:
     payloads.repartition("ride_id").sortWithinPartitions("ride_id", "chunk").write.partitionBy("ride_id").mode("overwrite").json(path)
 
 
+def read_payloads(spark: SparkSession, path: str, schema: str = PAYLOAD) -> DataFrame:
+    """What ``write_payloads`` wrote."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_matches(results: DataFrame, path: str) -> None:
     """Results with a matching under status=matched, the others under status=gap."""
     status = F.when(F.col("matching").isNull(), "gap").otherwise("matched")
     results.withColumn("status", status).write.partitionBy("status").mode("overwrite").json(path)
 
 
+def read_matches(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """What ``write_matches`` wrote, with status; ``columns`` is the schema of what was written."""
+    return spark.read.schema(f"{columns}, status string").json(path)
+
+
 def upsert_ways(ways: DataFrame) -> DataFrame:
     """(way_id, tags) of the last version of every way."""
     return ways.groupBy("way_id").agg(F.max_by("tags", "version").alias("tags"))
