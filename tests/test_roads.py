@@ -135,8 +135,8 @@ def test_ways_equal_dijkstra(spark, nodes, n):
 
 
 def test_deep_ways_leave_few_tables_and_unreachable_ones_stop(spark, monkeypatch):
-    """A way of 30 edges, and a target without ways in, whose source could reach 300 nodes."""
-    edges = [(i, i + 1, 1.0) for i in range(30)] + [(1000 + i, 1001 + i, 1.0) for i in range(300)] + [(7777, 7778, 1.0)]
+    """A way of 16 edges, and a target without ways in, whose source could reach 300 nodes."""
+    edges = [(i, i + 1, 1.0) for i in range(16)] + [(1000 + i, 1001 + i, 1.0) for i in range(300)] + [(7777, 7778, 1.0)]
     seen, write = [], routes.written
 
     def counted(df, name):
@@ -145,9 +145,9 @@ def test_deep_ways_leave_few_tables_and_unreachable_ones_stop(spark, monkeypatch
 
     monkeypatch.setattr(routes, "written", counted)
     df = spark.createDataFrame(edges, EDGES)
-    far = routes.connector_nodes(df, spark.createDataFrame([(0, 30)], PAIRS)).collect()[0]
-    assert far.length_m == 30.0 and far.nodes == list(range(31))
-    assert seen.count("pairs") == 16  # both ends move: half as many rounds as edges
+    far = routes.connector_nodes(df, spark.createDataFrame([(0, 16)], PAIRS)).collect()[0]
+    assert far.length_m == 16.0 and far.nodes == list(range(17))
+    assert seen.count("pairs") == 9  # both ends move: half as many rounds as edges
     seen.clear()
     got = routes.connectors(df, spark.createDataFrame([(1000, 7777)], PAIRS)).collect()[0]
     assert got.length_m is None and seen.count("pairs") <= 3
