@@ -100,6 +100,29 @@ def cut_words(docs, words):
     return out
 
 
+def cut_both(docs, length, words):
+    """{doc_id: text without the bytes of repeated strings of so many bytes, or of repeated passages of so many words}, judged on the input."""
+    raw = {i: (t or "").encode() for i, t in docs}
+    spans = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for i, b in raw.items()}
+    told = {i: [raw[i][a:z] for a, z in s] for i, s in spans.items()}
+    strings, passages = Counter(), Counter()
+    for i, b in raw.items():
+        strings.update(b[k : k + length] for k in range(len(b) - length + 1))
+        passages.update(tuple(told[i][k : k + words]) for k in range(len(told[i]) - words + 1))
+    out = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if strings[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        for k in range(len(told[i]) - words + 1):
+            if passages[tuple(told[i][k : k + words])] > 1:
+                a, z = spans[i][k][0], spans[i][k + words - 1][1]
+                gone[a:z] = b"\1" * (z - a)
+        out[i] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
 def pieces(encode, text, capacity=2048):
     import numpy as np
 

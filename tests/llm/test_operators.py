@@ -373,7 +373,9 @@ def test_pipeline(spark):
     pairs = [(r.doc_id, r.text) for r in kept.collect()]
     assert {r.doc_id for r in one.collect()} == {i for i, v in brute.classes(pairs).items() if v[0] == i}
     cut = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, one, data).collect()}
-    assert cut == brute.cut_words([(r.doc_id, r.text) for r in one.collect()], 51)
+    before = [(r.doc_id, r.text) for r in one.collect()]
+    assert cut == brute.cut_both(before, 400, 51)  # the stage cuts by bytes and by words
+    assert sum(map(len, cut.values())) <= sum(map(len, brute.cut_words(before, 51).values()))
     assert corpus_pipeline.run(spark, data).count() > 0
 
 
