@@ -16,19 +16,12 @@ from rideframe.llm.graph import components
 TREES, DEPTH = 32, 8
 #: The shortest prefix, against which recall is measured: it loses one pair in 20 million at similarity 0.8.
 FLOOR = 4
-#: Recall is measured with every document whose id is divisible by this as a query.
-QUERY_STEP = 20
+#: Recall is measured with every document whose id is divisible by this as a query, and with so many invented near copies of each.
+QUERY_STEP, COPIES = 20, 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def prefix_depth(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the matched prefix until a pair at the threshold meets in some tree with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
-
-
 class Shingles:
     """Sets of n-word shingles as sorted 64-bit fingerprints."""
 
@@ -70,8 +63,43 @@ class Forest:
         level = mixed(least).reshape(self.trees, DEPTH) >> np.uint64(56)
         return (level * self.place).sum(axis=1, dtype=np.uint64)
 
+    def _hashed(self, x: np.ndarray, j: int) -> np.ndarray:
+        return (x ^ self.flip[j]) * self.scale[j]
 
-def _signed(n: int):
+    def planted(self, shingles: np.ndarray, threshold: float, copies: int = COPIES) -> np.ndarray:
+        """Invented near copies of a set, counted by the longest prefix that they share with it in some trie: DEPTH + 1 numbers.
+
+        A copy loses and gains as many shingles as the threshold allows, so it is as hard to
+        find as a link can be. A level is shared if its least shingle stays and no new one is
+        less. The choice depends on the set alone. Sets that can have no other within the
+        threshold (below 0.8: of three shingles or fewer) get no copies.
+        """
+        n = len(shingles)
+        lost = int(n * (1 - threshold) / (1 + threshold) + 1e-9)
+        new = lost + int((n - lost) / (n + lost + 1) >= threshold - 1e-9)
+        if not new:
+            return np.zeros(DEPTH + 1, np.int64)
+        levels = self.trees * DEPTH
+        at, least = np.empty(levels, np.int64), np.empty(levels, np.uint64)
+        for j in range(levels):
+            x = self._hashed(shingles, j)
+            at[j] = x.argmin()
+            least[j] = x[at[j]]
+        seeds = mixed(splitmix(copies, 211) ^ shingles[0])
+        stays = np.ones((copies, levels), bool)
+        for c, seed in enumerate(seeds):
+            order = mixed(shingles ^ seed)
+            if lost:
+                stays[c] = order[at] > np.partition(order, lost - 1)[lost - 1]
+        for begin in range(0, new, 512):
+            fresh = mixed(seeds[:, None] + np.arange(begin + 1, min(begin + 512, new) + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+            for j in range(levels):
+                stays[:, j] &= self._hashed(fresh, j).min(axis=1) > least[j]
+        shared = np.cumprod(stays.reshape(copies, self.trees, DEPTH), axis=2).sum(axis=2).max(axis=1)
+        return np.bincount(shared, minlength=DEPTH + 1)
+
+
+def _signed(n: int, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, forest = Shingles(n), Forest()
         with np.errstate(over="ignore"):
@@ -80,11 +108,12 @@ def _signed(n: int):
                 for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
                     s = shingles(text)
                     if not len(s):
-                        rows.append((doc_id, key, 0, 0, 0, None))
+                        rows.append((doc_id, key, 0, 0, 0, None, None))
                         continue
                     a, b = (mixed(s * k + np.uint64(1)).sum(dtype=np.uint64) for k in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)))
-                    rows.append((doc_id, key, len(s), a.astype(np.int64), b.astype(np.int64), forest(s).astype(np.int64)))
-                yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "set_a", "set_b", "signature"])
+                    planted = forest.planted(s, threshold) if doc_id % QUERY_STEP == 0 else None
+                    rows.append((doc_id, key, len(s), a.astype(np.int64), b.astype(np.int64), forest(s).astype(np.int64), planted))
+                yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "set_a", "set_b", "signature", "planted"])
 
     return run
 
@@ -240,17 +269,35 @@ class _Join:
         dropped(nodes)
         return out
 
-    def recall(self) -> dict[int, float]:
-        """Share of the queries' links that prefixes of each length find, of those that the shortest finds."""
-        found = {r["depth"]: r["n"] for r in self.verified(FLOOR, True).groupBy("depth").agg(F.sum("times").alias("n")).collect()}
-        total = sum(found.values())
-        return {d: sum(n for k, n in found.items() if k >= d) / total if total else 1.0 for d in range(FLOOR, DEPTH + 1)}
+    def query_links(self) -> dict[int, int]:
+        """Links of the queries that prefixes of FLOOR levels find, by the longest prefix that they share."""
+        found = self.verified(FLOOR, True)
+        out = {r["depth"]: r["n"] for r in found.groupBy("depth").agg(F.sum("times").alias("n")).collect()}
+        dropped(found)
+        return out
 
 
-def chosen_depth(threshold: float, target: float, recall: dict[int, float]) -> int:
-    """Shorten the prefix until a pair at the threshold meets with the target probability and the measured recall reaches it too."""
-    depth = prefix_depth(threshold, target)
-    while depth > FLOOR and recall[depth] < target:
+def planted_links(filled: DataFrame) -> dict[int, int]:
+    """Invented links of the queries by the longest prefix that they share; a set counts once however many rows have it."""
+    once = filled.where("planted is not null").groupBy("rep").agg(F.first("planted").alias("planted"))
+    return {r["depth"]: r["n"] for r in once.select(F.posexplode("planted").alias("depth", "n")).groupBy("depth").agg(F.sum("n").alias("n")).collect()}
+
+
+def missed_share(depth: int, threshold: float, links: dict[int, int], weight: float) -> float:
+    """Share of links that prefixes of ``depth`` levels miss: measured links, and ``weight`` more at the threshold that miss as chance has it."""
+    chance = (1 - threshold**depth) ** TREES
+    return (sum(n for d, n in links.items() if d < depth) + weight * chance) / (sum(links.values()) + weight)
+
+
+def chosen_depth(threshold: float, target: float, *measured: dict[int, int]) -> int:
+    """Shorten the prefix from all levels until each table of measured links is found to the target share.
+
+    Few links prove little, so each table is joined by as many links of chance as one miss in
+    them would be within the target: without links chance decides, with many the measure.
+    """
+    weight = 1 / max(1 - target, 1e-9)
+    depth = DEPTH
+    while depth > FLOOR and any(missed_share(depth, threshold, links, weight) > 1 - target for links in measured or ({},)):
         depth -= 1
     return depth
 
@@ -265,10 +312,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, target:
     (class_id, class_key) is the row that stands for the class.
 
     Equal sets are one representative. Its signatures stand in TREES tries. The prefix by
-    which representatives meet is shortened from DEPTH levels until a pair at the threshold
-    meets with probability ``target`` in some trie, and further until the links of a fixed
-    query set (ids divisible by QUERY_STEP, against all rows) are found to that share, as
-    measured. What meets in a node is verified exactly, in groups of about ``block_shingles``
+    which representatives meet is shortened from DEPTH levels until a fixed query set (ids
+    divisible by QUERY_STEP) finds the share ``target`` both of its links among all rows and
+    of COPIES invented near copies of each query, which lie at the threshold. What meets in a node is verified exactly, in groups of about ``block_shingles``
     shingles (large nodes: ``block_rows`` sets a block), from which only counts and a spanning
     forest leave.
 
@@ -279,13 +325,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, target:
     """
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select(key_of().alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    signed = written(narrow.mapInPandas(_signed(n), "doc_id long, text_key long, n int, set_a long, set_b long, signature array<long>"), "forest")
+    signed = written(narrow.mapInPandas(_signed(n, threshold), "doc_id long, text_key long, n int, set_a long, set_b long, signature array<long>, planted array<long>"), "forest")
     filled = signed.where("n > 0").withColumn("rep", F.xxhash64("set_a", "set_b", "n"))
     source = F.min(F.struct("doc_id", "text_key")).alias("src")
     reps = filled.groupBy("rep").agg(source, F.count("*").alias("copies"), F.first("n").alias("size"), F.first("signature").alias("signature"))  # equal sets, equal signatures
     reps = written(reps.withColumn("query", F.pmod(F.col("src.doc_id"), F.lit(QUERY_STEP)) == 0), "sets")
     join = _Join(narrow, reps, threshold, n, block_rows, block_shingles)
-    found = join.verified(chosen_depth(threshold, target, join.recall()))
+    found = join.verified(chosen_depth(threshold, target, planted_links(filled), join.query_links()))
     classes = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = reps.select("rep", "src", "copies").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")

@@ -56,7 +56,36 @@ def test_jaccard_equals_brute_force(docs, rows, empty):
 
 
 def test_prefix_is_shortened_to_the_target():
-    assert [jaccard.prefix_depth(0.8, t) for t in (0.9, 0.999, 0.9999)] == [8, 7, 6]
+    assert [jaccard.chosen_depth(0.8, t) for t in (0.9, 0.999, 0.9999)] == [8, 7, 6]
+    assert jaccard.chosen_depth(0.8, 0.9999, {8: 10**6}) == 8  # many links, all found by the longest prefix
+    assert jaccard.chosen_depth(0.8, 0.9999, {8: 10**6}, {8: 10**6, 5: 10**3}) == 5
+    assert jaccard.chosen_depth(0.8, 0.9999, {8: 10, 0: 10}) == jaccard.FLOOR
+
+
+def test_planted_copies_miss_as_chance_has_it(spark):
+    forest, shingles = jaccard.Forest(), jaccard.Shingles(5)
+    with np.errstate(over="ignore"):
+        for n_words in (9, 40, 160):
+            found = sum(forest.planted(shingles(" ".join(f"{k}w{i}" for i in range(n_words))), 0.8, 100) for k in range(30))
+            n = n_words - 4
+            lost = int(n / 9 + 1e-9)
+            new = lost + ((n - lost) / (n + lost + 1) >= 0.8 - 1e-9)
+            alike = (n - lost) / (n + new)
+            assert found.sum() == 3000 and alike >= 0.8
+            for depth in (4, 6, 8):
+                chance = (1 - alike**depth) ** jaccard.TREES
+                assert abs(found[:depth].sum() / 3000 - chance) < 0.005 + chance
+        assert forest.planted(shingles("a b c d e f g"), 0.8).sum() == 0  # three shingles: nothing else is that near
+        assert forest.planted(shingles("w " * 3 + " ".join(map(str, range(5000)))), 0.8, 4).sum() == 4
+
+
+def test_planted_links_count_a_set_once(docs, rows):
+    signed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.lit(0).cast("long").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    twice = signed.unionByName(signed)
+    schema = "doc_id long, text_key long, n int, set_a long, set_b long, signature array<long>, planted array<long>"
+    counted = [jaccard.planted_links(x.mapInPandas(jaccard._signed(5, 0.8), schema).where("n > 0").withColumn("rep", F.xxhash64("set_a", "set_b", "n"))) for x in (signed, twice)]
+    assert counted[0] == counted[1] and sum(counted[0].values()) >= 100
+    assert jaccard.chosen_depth(0.8, 0.9999, counted[0]) in (5, 6)
 
 
 def test_quality_counts_equal_brute_force(docs, rows, empty):
