@@ -336,9 +336,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, target:
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = reps.select("rep", "src", "copies").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
     named = written(named.select("rep", "src", "copies", F.coalesce("class_id", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "named")
+    dropped(reps, found)
     least = named.groupBy("class").agg(F.min("src").alias("least"))
-    named = written(spread_join(named, least, "class", "inner").select("rep", "least", "copies", "links"), "classes")
-    out = spread_join(written(filled.select("doc_id", "text_key", "rep"), "members"), named, "rep", "inner")
+    classed = written(spread_join(named, least, "class", "inner").select("rep", "least", "copies", "links"), "classes")
+    dropped(named)
+    out = spread_join(written(filled.select("doc_id", "text_key", "rep"), "members"), classed, "rep", "inner")
     out = out.select("doc_id", F.col("least.doc_id").alias("class_id"), F.col("links").alias("n_links"), (F.col("copies") - 1).alias("n_copies"), "text_key", F.col("least.text_key").alias("class_key"))
     none = F.lit(0).cast("long")
     alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies"), "text_key", F.col("text_key").alias("class_key"))
