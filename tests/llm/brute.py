@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -222,3 +224,32 @@ def relayout(clicks, limit, early):
         ids = ",".join("" if r[2] is None else str(r[2]) for r in own)
         out[at] = (len(own), new, not same, hashlib.sha256(ids.encode()).hexdigest())
     return out
+
+
+def fused(model, rows, strength=20.0, least=0.5):
+    """(lang, posterior, kept) by id of rows (id, text, declared, address, host levels from coarse to fine), by hand."""
+    names, size = model.languages, len(model.languages)
+    value = lambda v: "none" if not v else v.lower() if v.lower() in names else "other"
+    logs = {r[0]: model(r[1]) for r in rows}
+    by_text = {i: int(np.argmax(x)) if n else None for i, (n, x) in logs.items()}
+    counts = lambda own: np.bincount([by_text[i] for i in own if by_text[i] is not None], minlength=size)
+    share = lambda own, above: (counts(own) + strength * above) / (counts(own).sum() + strength)
+    top = (counts(by_text) + 1.0) / (counts(by_text).sum() + float(size))
+
+    def table(column):
+        out = []
+        for k, name in enumerate(names):
+            c = {v: sum(value(r[column]) == v and by_text[r[0]] == k for r in rows) + (5.0 if v == name else 1.0) for v in [*names, "other", "none"]}
+            out.append({v: np.log(x / sum(c.values())) for v, x in c.items()})
+        return out
+
+    mark, suffix, out = table(2), table(3), {}
+    for i, _, declared, address, levels in rows:
+        prior = top
+        for k in range(1, len(levels) + 1):
+            prior = share([q[0] for q in rows if q[4][:k] == levels[:k]], prior)
+        score = np.array([np.log(prior[k]) + mark[k][value(declared)] + suffix[k][value(address)] + logs[i][1][k] for k in range(size)])
+        posterior = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        k = int(score.argmax())
+        out[i] = (names[k], posterior[k], bool(logs[i][0] > 0 and names[k] != "und" and posterior[k] >= least))
+    return out

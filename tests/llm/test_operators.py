@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import urllib.parse
 
 import brute
 import duckdb
@@ -255,31 +256,32 @@ def test_language_fusion_equals_a_plain_version(spark):
     model = langid.fit_text_model(spark.createDataFrame([(k, " ".join(w), lang) for k, (lang, w) in enumerate(words.items())], "doc_id long, text string, lang string"))
     got = {r.doc_id: r for r in langid.identify_languages(df, model, F.col("lang"), F.col("suffix"), [F.col("host"), F.col("path")]).collect()}
 
-    names, strength = model.languages, 20.0
-    assert names == ["aa", "bb", "cc", langid.UNKNOWN]
-    value = lambda v: "none" if not v else v if v in names else "other"
-    logs = {r[0]: model(r[1]) for r in rows}
-    by_text = {i: int(np.argmax(x)) if n else None for i, (n, x) in logs.items()}
-    share = lambda own, above: (np.bincount([by_text[i] for i in own if by_text[i] is not None], minlength=4) + strength * above) / (sum(by_text[i] is not None for i in own) + strength)
-    everything = np.bincount([k for k in by_text.values() if k is not None], minlength=4)
-    top = (everything + 1.0) / (everything.sum() + 4.0)
-
-    def table(column):
-        out = {}
-        for k, name in enumerate(names):
-            c = {v: sum(value(r[column]) == v and by_text[r[0]] == k for r in rows) + (5.0 if v == name else 1.0) for v in [*names, "other", "none"]}
-            out[k] = {v: np.log(x / sum(c.values())) for v, x in c.items()}
-        return out
-
-    mark, suffix = table(2), table(3)
-    for r in rows:
-        host = share([q[0] for q in rows if q[4] == r[4]], top)
-        place = share([q[0] for q in rows if q[4:] == r[4:]], host)
-        score = np.array([np.log(place[k]) + mark[k][value(r[2])] + suffix[k][value(r[3])] + logs[r[0]][1][k] for k in range(4)])
-        posterior = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
-        k = int(score.argmax())
-        assert got[r[0]].lang == names[k] and abs(got[r[0]].posterior - posterior[k]) < 1e-9
-        assert got[r[0]].kept == (logs[r[0]][0] > 0 and names[k] != langid.UNKNOWN and posterior[k] >= 0.5)
+    assert model.languages == ["aa", "bb", "cc", langid.UNKNOWN]
+    for i, (lang, posterior, kept) in brute.fused(model, [(*r[:4], r[4:]) for r in rows]).items():
+        assert got[i].lang == lang and abs(got[i].posterior - posterior) < 1e-9 and got[i].kept == kept
+
+
+def test_page_languages_equal_a_plain_version_and_agree_without_the_markup(spark):
+    """Every page of the smallest tables; with its markup withheld, text, address and host tell the declared language."""
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in queries.llm_page_languages(spark, folder).collect()}
+    pages = queries.table(spark, folder, "pages")
+    texts = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    model = langid.fit_text_model(queries.table(spark, folder, "documents"))
+    rows = []
+    for r in pages.collect():
+        host = (urllib.parse.urlsplit(r.url or "").hostname or "").lower()
+        path = re.match(r"/([a-z]{2})(?:/|$)", urllib.parse.urlsplit(r.url or "").path.lower())
+        labels = host.split(".")
+        declared = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", r.html or "", re.I)
+        rows.append((r.page_id, texts[r.page_id], declared and declared[1].lower(), path[1] if path else labels[-1], (labels[-1], ".".join(labels[-2:]), host)))
+    want = brute.fused(model, rows)
+    assert len(got) == len(rows) == len(want)
+    for i, (lang, posterior, kept) in want.items():
+        assert (got[i].lang, got[i].kept) == (lang, kept) and abs(got[i].posterior - posterior) < 1e-9
+    withheld = brute.fused(model, [(i, t, None, a, h) for i, t, _, a, h in rows])
+    told = [(declared, withheld[i][0]) for i, text, declared, *_ in rows if declared in model.languages and text]
+    assert len(told) >= 10 and sum(x == y for x, y in told) >= 0.9 * len(told)
 
 
 def test_html(spark):
