@@ -247,7 +247,8 @@ COORDS = A.TRACK + ", legs as (select ride_id, seq // 10 as leg, list({'a': roun
 
 @query(f"with {COORDS}, k as (select *, coalesce(case when b is not null then {OVERLAP.format(a='b', b='c', most=64)} end, 0) as k from prev) select ride_id, sum(len(c) - k)::bigint as n_points, sum(k)::bigint as n_dropped from k group by ride_id")
 def coord_merge(spark, d):
-    c = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 10).alias("chunk")).agg(routes.ordered("seq", F.struct(F.round("lat", 3), F.round("lon", 2))).alias("nodes"))
+    """Points left and dropped where legs overlap in rounded places; whole thousandths and hundredths, as a half is rounded by its decimal digits otherwise."""
+    c = A.trackpoints(spark, d).groupBy("ride_id", F.floor(F.col("seq") / 10).alias("chunk")).agg(routes.ordered("seq", F.struct(F.round(F.col("lat") * 1000).alias("a"), F.round(F.col("lon") * 100).alias("b"))).alias("nodes"))
     own = F.size("nodes").cast("long")
     c = c.withColumn("before", F.lag("nodes").over(Window.partitionBy("ride_id").orderBy("chunk")))
     c = c.withColumn("k", F.when(F.col("before").isNotNull(), network.overlap(F.col("before"), F.col("nodes"), 64)).otherwise(0).cast("long"))
