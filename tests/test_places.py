@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from rideframe.operators import matching
+from rideframe.operators import matching, roads
 
 POINTS, NODES = "ride_id long, seq long, lat double, lon double", "node_id long, nlat double, nlon double"
 
@@ -52,3 +52,28 @@ def test_viterbi_looks_at_places_and_takes_the_least_id(piled):
     want = matching.viterbi(p.selectExpr("*", "0L as chunk"), single, 60.0, 20.0, 50.0).collect()
     assert len(got) and sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert max(looked) <= places
+
+
+def test_a_point_meets_few_of_many_roads(spark, monkeypatch):
+    """Every second road lies on another, and all but a few points are on one: those meet only what is near."""
+    met, real = [], roads.road_candidates
+
+    def counted(points, lines, keys, reach_m):
+        out = real(points, lines, keys, reach_m)
+        met.append((lines.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(roads, "road_candidates", counted)
+    rng = random.Random(6)
+    lines = [(2 * i + k, 1000 + i, 200.0, 51.5 + i / 100_000, 0.0, 51.5 + i / 100_000, 0.003) for i in range(60) for k in (1, 0)]
+    points = [(1, i, 51.5 + rng.randrange(60) / 100_000, rng.random() * 0.003) for i in range(50)] + [(2, 0, 51.5, -0.0005), (2, 1, 51.6, 0.0), (2, 2, None, 0.0)]
+    keys = ["ride_id", "seq"]
+    p = spark.createDataFrame(points, POINTS)
+    r = spark.createDataFrame(lines, "u long, v long, len_m double, ulat double, ulon double, vlat double, vlon double")
+    got = {(x.ride_id, x.seq): (x.u, x.v) for x in roads.nearest_road(p, r, keys, 60.0).collect()}
+    whole = {}
+    for x in real(p, r, keys, 60.0).collect():
+        own = (round(x.distance_m, 3), x.u, x.v)
+        whole[x.ride_id, x.seq] = min(own, whole.get((x.ride_id, x.seq), own))
+    assert got == {q[:2]: whole.get(q[:2], (0, None, None))[1:] for q in points}
+    assert {n for n, _ in met} == {60} and sum(n for _, n in met) < 53 * 20
