@@ -275,22 +275,25 @@ def stitched(chunks: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return seams.join(connectors(edges, seams.select("u", "v")), ["u", "v"], "left").select("ride_id", "chunk", "u", "v", "length_m")
 
 
+def _met(routes_: DataFrame, known: DataFrame) -> DataFrame:
+    """ride_id, position, key, ways: stretches of routes (ride_id, route) that have the length and the hash of a known sequence."""
+    told = known.where("size(ways) > 0").withColumns({"n": F.size("ways"), "h": F.xxhash64("ways")})
+    lengths = told.select("n").distinct()
+    stretches = F.transform(F.sequence(F.lit(0), F.size("route") - F.col("n")), lambda i: F.struct(i.cast("long").alias("position"), F.xxhash64(F.slice("route", i + 1, F.col("n"))).alias("h")))
+    cuts = routes_.crossJoin(F.broadcast(lengths)).where(F.size("route") >= F.col("n")).select("ride_id", "n", F.explode(stretches).alias("s")).select("ride_id", "n", "s.*")
+    return cuts.join(told, ["n", "h"]).select("ride_id", "position", "key", "ways")
+
+
 def known_along(steps: DataFrame, known: DataFrame) -> DataFrame:
     """ride_id, position, key: where a known sequence of ways stands in a route; steps: ride_id, pos (from 0), way; known: key, ways.
 
-    Every step with the one after it meets the sequences that begin with the two, and only those
-    that meet are compared whole, against the route's ways by ride. So rows stay narrow in
-    every shuffle, whatever lengths the known sequences have. Sequences of one way meet by it alone.
+    Every stretch of a route of a length that a known sequence has meets those of its hash, and only what meets is
+    compared whole. So a step has one narrow row for each length, however many sequences begin alike.
     """
     ways = F.transform(F.array_sort(F.collect_list(F.struct("pos", "way"))), lambda x: x["way"])
-    routes_ = steps.groupBy("ride_id").agg(ways.alias("route"))
-    order = Window.partitionBy("ride_id").orderBy("pos")
-    begun = steps.select("ride_id", F.col("pos").alias("position"), F.col("way").alias("first"), F.lead("way").over(order).alias("second"))
-    told = known.select("key", "ways", F.get("ways", F.lit(0)).alias("first"), F.get("ways", F.lit(1)).alias("second"))
-    met = begun.join(told.where("size(ways) > 1"), ["first", "second"]).select("ride_id", "position", "key", "ways")
-    alone = begun.join(told.where("size(ways) = 1").drop("second"), "first").select("ride_id", "position", "key")
+    routes_ = steps.groupBy("ride_id").agg(ways.cast(dict(known.dtypes)["ways"]).alias("route"))
     whole = F.slice("route", (F.col("position") + 1).cast("int"), F.size("ways")) == F.col("ways")
-    return met.join(routes_, "ride_id").where(whole).select("ride_id", "position", "key").unionByName(alone)
+    return _met(routes_, known).join(routes_, "ride_id").where(whole).select("ride_id", "position", "key")
 
 
 def polyline(points: Column, digits: int = 5) -> Column:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from rideframe.operators import matching, roads
+from rideframe.operators import matching, roads, routes
 
 POINTS, NODES = "ride_id long, seq long, lat double, lon double", "node_id long, nlat double, nlon double"
 
@@ -77,3 +77,10 @@ def test_a_point_meets_few_of_many_roads(spark, monkeypatch):
         whole[x.ride_id, x.seq] = min(own, whole.get((x.ride_id, x.seq), own))
     assert got == {q[:2]: whole.get(q[:2], (0, None, None))[1:] for q in points}
     assert {n for n, _ in met} == {60} and sum(n for _, n in met) < 53 * 20
+
+
+def test_sequences_that_begin_alike_do_not_all_meet(spark):
+    """Of 200 sequences with the same first two ways, a stretch meets its own only."""
+    known = spark.createDataFrame([(k, [1, 1, k]) for k in range(200)], "key long, ways array<long>")
+    taken = spark.createDataFrame([(r, [1, 1, 10 * r, 5]) for r in range(10)], "ride_id long, route array<long>")
+    assert sorted((x.ride_id, x.position, x.key) for x in routes._met(taken, known).collect()) == [(r, 0, 10 * r) for r in range(10)]
