@@ -208,3 +208,21 @@ def test_spliced_routes_equal_a_plain_version(spark):
         assert (t.n_nodes, t.open_seams, t.missing_steps) == (len(nodes), opened, missing)
         assert (t.length_m or 0.0) == pytest.approx(length)
     assert [r.kind for r in got[97]] == ["chunk"] * 4 + ["open"] and totals[97].open_seams == 1
+
+
+def test_nodes_of_many_edges_give_off_short_ones_first(spark, monkeypatch):
+    """Every node leads to all others, to the next five by short edges: a search holds the few labels near its ends, not all nodes of all roots."""
+    n = 40
+    edges = [(i, j, 1.0 if (j - i) % n <= 5 else 100.0) for i in range(n) for j in range(n) if i != j]
+    rows, write = [], routes.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "labels":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(routes, "written", counted)
+    got = routes.connectors(spark.createDataFrame(edges, EDGES), spark.createDataFrame([(i, (i + 7) % n) for i in range(n)], PAIRS)).collect()
+    assert len(got) == n and all(r.length_m == 2.0 for r in got)
+    assert max(rows) <= n * (11 + 6)  # all nodes from both ends: 2 * n * n
