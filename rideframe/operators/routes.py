@@ -107,9 +107,8 @@ def merge_run_lists(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def chunk_runs(path: DataFrame, size: int, keys: list[str]) -> DataFrame:
     """Runs inside chunks of ``size`` steps."""
-    rows = path.withColumn("chunk", F.floor(F.col("pos") / size).cast("long")).withColumn("ride", F.col("ride_id"))
-    rows = rows.withColumn("ride_id", F.struct("ride", "chunk"))
-    return run_lengths(rows, keys).select(F.col("ride_id.ride").alias("ride_id"), F.col("ride_id.chunk").alias("chunk"), "run_idx", *keys, "n", "length_m")
+    rows = path.withColumn("chunk", F.floor(F.col("pos") / size).cast("long"))
+    return run_lengths(rows, keys, ("ride_id", "chunk")).select("ride_id", "chunk", "run_idx", *keys, "n", "length_m")
 
 
 def tree_mean(values: Column) -> Column:
