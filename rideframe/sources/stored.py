@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rideframe import storage
+
 Merge = Callable[[DataFrame], DataFrame]
 
 
@@ -40,16 +42,19 @@ class StoredTable:
         numbered upwards. Rows without a key go.
         """
         rows = rows.where(F.col(self.key).isNotNull()).select(*self.columns)
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+        # written once, as it is read once for its buckets and once to be merged
+        rows = storage.written(rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")), "batch")
         touched = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most `buckets` rows
         own = self._rows().where(F.col("bucket").isin(sorted(touched)))
         have = {r["bucket"] for r in own.groupBy("bucket").agg(F.max("batch").alias("b")).where(F.col("b") >= batch).collect()}
         todo = sorted(touched - have)
         if not todo:
+            storage.dropped(rows)
             return []
         both = own.where(F.col("bucket").isin(todo)).select(*self.columns).unionByName(rows.where(F.col("bucket").isin(todo)).select(*self.columns))
         out = self.merge(both).select(*self.columns, F.lit(batch).cast("long").alias("batch"), F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket"))
         out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        storage.dropped(rows)
         return todo
 
 

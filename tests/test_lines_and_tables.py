@@ -104,3 +104,19 @@ def test_a_batch_that_failed_half_way_is_completed(spark, tmp_path):
     rest = table.upsert(rows, 1)
     assert sorted(done + rest) == [0, 1, 2, 3]
     assert table.read().count() == 20 and {r.hits for r in table.read().collect()} == {1}
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    table = stored.StoredTable(spark, str(tmp_path / "ways"), "way_id", "way_id long, version int, tags string", stored.last_version("way_id", "version"), 8)
+    rows = spark.createDataFrame([(i % 7, i, "x") for i in range(30)], "way_id long, version int, tags string")
+    for batch in range(2):
+        table.upsert(rows.mapInPandas(told, rows.schema), batch)
+        assert seen.value == 30 * (batch + 1)
+    assert table.read().count() == 7
