@@ -68,3 +68,16 @@ def test_the_same_map_in_xml_and_binary(spark, tmp_path):
     one = readers.way_edges(pbf.map_ways(binary), pbf.map_nodes(binary).drop("tags")).select(*columns)
     two = readers.way_edges(readers.read_osm_ways(spark, str(tmp_path / "map.osm")), xml).select(*columns)
     assert one.count() > 100 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_blobs_of_a_table_hold_all_rows_and_kinds(spark):
+    """Blobs of mixed kinds, written and read by columns; other kinds are not read where one is asked for."""
+    nodes, ways = drawn(300, 5)
+    rows = [("node", i, a, b, None, t or None) for i, a, b, t in nodes] + [("way", i, None, None, refs, t) for i, refs, t in ways]
+    random.Random(1).shuffle(rows)
+    blobs = pbf.table_blobs(spark.createDataFrame(rows, pbf.SCHEMA), 40)
+    plain = lambda df: sorted((r.kind, r.id, r.nodes, tuple(sorted(r.tags.items()))) for r in df.collect())
+    want = sorted((kind, i, refs, tuple(sorted((t or {}).items()))) for kind, i, _, _, refs, t in rows)
+    assert plain(pbf.blob_table(blobs)) == want
+    for kind in pbf.KINDS:
+        assert plain(pbf.blob_table(blobs, (kind,))) == [r for r in want if r[0] == kind]
