@@ -49,9 +49,14 @@ def read_osm_nodes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).where("abs(lat) <= 90 and abs(lon) <= 180")
 
 
-def way_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """u, v, way_id, dir, seq, len_m, both ways, of the ways all of whose nodes have a place; other ways keep their tags but have no edges."""
+def way_edges(ways: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """u, v, way_id, dir, seq, len_m, both ways, of the ways all of whose nodes have a place; other ways keep their tags but have no edges.
+
+    Whole ways are sorted in ``parts`` partitions, else in as many as Spark chooses.
+    """
     placed = ways.select("way_id", F.posexplode("nodes").alias("seq", "node_id")).join(nodes, "node_id", "left")
+    if parts:
+        placed = placed.repartition(parts, "way_id")
     w = Window.partitionBy("way_id").orderBy("seq")
     step = placed.withColumns({"v": F.lead("node_id").over(w), "vlat": F.lead("lat").over(w), "vlon": F.lead("lon").over(w), "whole": F.every(F.col("lat").isNotNull()).over(Window.partitionBy("way_id"))})
     step = step.where("whole and v is not null").withColumn("len_m", geo.haversine(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")))

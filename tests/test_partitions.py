@@ -6,6 +6,7 @@ import pytest
 
 from rideframe.operators import network, routes
 from rideframe.plans import adapters as A
+from rideframe.sources import readers
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -29,3 +30,11 @@ def test_runs_of_chunks_stay_with_their_ride(spark, capsys):
     p = A.node_path(spark, DATA)
     routes.merge_run_lists(routes.chunk_runs(p, 3, ["way_id"]), ["way_id"]).explain()
     assert capsys.readouterr().out.count("Exchange ") == 1
+
+
+def test_edges_of_ways_are_sorted_in_so_many_partitions(spark):
+    ways = spark.createDataFrame([(w, [w, w + 1, w + 2]) for w in range(50)], "way_id long, nodes array<long>")
+    nodes = spark.createDataFrame([(i, 51.0 + i / 1000, 0.0) for i in range(51)], "node_id long, lat double, lon double")
+    edges = readers.way_edges(ways, nodes, 13)
+    assert edges.rdd.getNumPartitions() == 13
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, readers.way_edges(ways, nodes).collect()))
