@@ -20,25 +20,22 @@ _TRACKED = "ride_id long, point_id long, us long, lat double, lon double, part l
 _STATE = "lat double, lon double, at long, part long, cum_mm long, ids array<long>, times array<long>, lats array<double>, lons array<double>"
 
 
-def _advance(lat, lon, at, part, cum, rows: pd.DataFrame, gap_us: int):
-    """Steps of rows in order of time after a last point (at None: none); and what the next ones begin with."""
-    times = rows["us"].to_numpy()
-    before = np.r_[times[:1] if at is None else [at], times[:-1]]
-    lats, lons = rows["lat"].to_numpy(float), rows["lon"].to_numpy(float)
-    # a point without a place leaves the last one in force
-    placed = ~(np.isnan(lats) | np.isnan(lons))
-    steps, last_lat, last_lon = np.zeros(len(rows), np.int64), lat, lon
-    new = times - before > gap_us
-    for i in np.flatnonzero(placed | new):
-        if new[i]:
-            last_lat = last_lon = None
-        if placed[i]:
-            if last_lat is not None:
-                steps[i] = round(1000 * float(haversine_np(last_lat, last_lon, lats[i], lons[i])))
-            last_lat, last_lon = float(lats[i]), float(lons[i])
-    parts = part + np.cumsum(new)
-    out = rows.assign(part=parts, step_mm=steps, cum_mm=cum + np.cumsum(steps))
-    return out, (last_lat, last_lon, int(times[-1]), int(parts[-1]), int(cum + steps.sum()))
+def _advance(lat, lon, at, part, cum, us: np.ndarray, lats: np.ndarray, lons: np.ndarray, gap_us: int):
+    """Parts and steps of points in order of time after a last one (at None: none); and what the next ones begin with."""
+    new = us - np.r_[us[:1] if at is None else [at], us[:-1]] > gap_us
+    parts, steps = part + np.cumsum(new), np.zeros(len(us), np.int64)
+    # a point without a place leaves the last one of its part in force
+    placed = np.flatnonzero(~(np.isnan(lats) | np.isnan(lons)))
+    if len(placed):
+        far = haversine_np(np.r_[np.nan if lat is None else lat, lats[placed[:-1]]], np.r_[np.nan if lon is None else lon, lons[placed[:-1]]], lats[placed], lons[placed])
+        follows = (np.r_[part, parts[placed[:-1]]] == parts[placed]) & ~np.isnan(far)
+        steps[placed[follows]] = np.rint(1000 * far[follows]).astype(np.int64)
+        lat, lon, own = float(lats[placed[-1]]), float(lons[placed[-1]]), parts[placed[-1]]
+    else:
+        own = part
+    if own != parts[-1]:
+        lat = lon = None
+    return parts, steps, (lat, lon, int(us[-1]), int(parts[-1]), int(cum + steps.sum()))
 
 
 def tracked_stream(points: DataFrame, gap_s: float, late: str) -> DataFrame:
@@ -54,19 +51,21 @@ def tracked_stream(points: DataFrame, gap_s: float, late: str) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         lat, lon, at, part, cum, *held = state.get if state.exists else (None, None, None, 0, 0, [], [], [], [])
-        waiting = [pd.DataFrame({"point_id": held[0], "us": held[1], "lat": np.array(held[2], float), "lon": np.array(held[3], float)})]
+        waiting = [tuple(np.array(x, kind) for x, kind in zip(held, (np.int64, np.int64, float, float)))]
         for batch in batches:
-            waiting.append(batch[batch["us"].notna()][["point_id", "us", "lat", "lon"]])
-        rows = pd.concat([w for w in waiting if len(w)] or waiting[:1], ignore_index=True).sort_values(["us", "point_id"], ignore_index=True)
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready = rows[rows["us"] < mark]
-        if len(ready):
-            out, (lat, lon, at, part, cum) = _advance(lat, lon, at, part, cum, ready, gap_us)
-            yield out.assign(ride_id=key[0])[["ride_id", "point_id", "us", "lat", "lon", "part", "step_mm", "cum_mm"]]
-        rest = rows[rows["us"] >= mark]
-        state.update((lat, lon, at, part, cum, rest["point_id"].tolist(), rest["us"].tolist(), rest["lat"].tolist(), rest["lon"].tolist()))
-        if len(rest):
-            state.setTimeoutTimestamp(max(int(rest["us"].min()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            if len(batch):
+                waiting.append(tuple(batch[c].to_numpy() for c in ("point_id", "us", "lat", "lon")))
+        ids, us, lats, lons = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*waiting))
+        order = np.lexsort((ids, us))
+        ids, us, lats, lons = ids[order], us[order], lats[order].astype(float), lons[order].astype(float)
+        n = int(np.searchsorted(us, state.getCurrentWatermarkMs() * 1000))  # points that the watermark has passed
+        if n:
+            before = cum
+            parts, steps, (lat, lon, at, part, cum) = _advance(lat, lon, at, part, cum, us[:n], lats[:n], lons[:n], gap_us)
+            yield pd.DataFrame({"ride_id": np.full(n, key[0]), "point_id": ids[:n], "us": us[:n], "lat": lats[:n], "lon": lons[:n], "part": parts, "step_mm": steps, "cum_mm": before + np.cumsum(steps)}, copy=False)
+        state.update((lat, lon, at, part, cum, ids[n:].tolist(), us[n:].tolist(), lats[n:].tolist(), lons[n:].tolist()))
+        if n < len(us):
+            state.setTimeoutTimestamp(max(int(us[n]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     grouped = points.where("ride_id is not null and time is not null").withColumn("us", F.unix_micros("time")).withWatermark("time", late).groupBy("ride_id")
     out = grouped.applyInPandasWithState(run, _TRACKED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

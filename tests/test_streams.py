@@ -1,5 +1,6 @@
 """Stateful streams against the same by windows, over shuffled late points."""
 
+import os
 import random
 import time
 from datetime import datetime, timedelta
@@ -7,8 +8,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from rideframe import catalogue_roads, storage
 from rideframe.streaming import state
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 START = datetime(2024, 1, 1)
 COLUMNS = ["ride_id", "point_id", "time", "part", "step_mm", "cum_mm"]
 
@@ -79,3 +82,22 @@ def test_running_means_of_a_library(spark, tmp_path):
         own = [(i, x) for k, i, x in rows if k == key and i is not None]
         assert seen[key] == (len(own), pytest.approx(sum(x for _, x in own) / len(own)), max(i for i, _ in own))
     assert set(seen) == set("abcdef")
+
+
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_a_week_is_one_batch_of_the_stream(spark, monkeypatch):
+    """However many partitions the points come in."""
+    folders, new = [], storage.new_folder
+    monkeypatch.setattr(storage, "new_folder", lambda s, name: folders.append(new(s, name)) or folders[-1])
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        n = catalogue_roads.streamed_rides(spark, DATA).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n == spark.read.parquet(f"{DATA}/events.parquet").count()
+    out = next(f for f in folders if "/tracked-" in f).removeprefix("file:")
+    assert len([x for x in os.listdir(f"{out}-state/offsets") if not x.startswith(".")]) <= 8  # five weeks, the end, and what it sets free
