@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,17 @@ def test_polylines_come_back(spark):
     assert rows[-1].t == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
     for s, r in zip(shapes, rows):
         assert [(round(x.lat, 5), round(x.lon, 5)) for x in r.b] == s
+
+
+def test_merged_parts_are_cut_from_lists(monkeypatch):
+    """Many parts in one pass equal each by itself, and none is cut from the table by itself."""
+    rng, rows = random.Random(9), []
+    for ride_id in range(60):
+        for part in range(rng.randrange(1, 3)):
+            own = [(float(rng.randrange(1, 9)), (rng.choice(["primary", "secondary"]), rng.choice(["asphalt", "gravel", None]), "good", rng.choice([20.0, math.nan]), None)) for _ in range(rng.randrange(1, 6))]
+            costs = [math.nan] + [segments.boundary_cost(a[1], b[1]) for a, b in zip(own, own[1:])]
+            told = segments.merge_part(costs, [s[0] for s in own], [s[1] for s in own], 0.6)
+            rows += [(ride_id, part, len(rows), metres, cost, *tags, segment) for (metres, tags), cost, segment in zip(own, costs, told)]
+    df = pd.DataFrame(rows, columns=["ride_id", "part", "pos", "len_m", "cost", "highway", "surface", "smoothness", "maxspeed", "cycleway", "want"])
+    monkeypatch.setattr(pd.DataFrame, "iloc", property(lambda _: pytest.fail("a part is cut from the table")))
+    assert segments._merge_rides(0.6)(df, None)["segment_id"].tolist() == df["want"].tolist()
