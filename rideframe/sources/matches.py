@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rideframe.storage import write_folders
+
 #: Numbers of elevations, times and lengths may come as strings, so those are read as text and cast.
 RUN = "struct<way_id:long,dir:int,edge_count:long,length_m:double>"
 LEG = f"struct<annotation:struct<nodes:array<long>,distance:array<double>>,weight:double,duration:double,distance:double,runs:array<{RUN}>>"
@@ -83,7 +85,8 @@ def match_requests(payloads: DataFrame, polyline: Column) -> DataFrame:
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
     """One folder a ride, JSON lines by chunk; rides are spread over tasks."""
-    payloads.repartition("ride_id").sortWithinPartitions("ride_id", "chunk").write.partitionBy("ride_id").mode("overwrite").json(path)
+    line = F.to_json(F.struct(*[c for c in payloads.columns if c != "ride_id"]))
+    write_folders(payloads, path, "ride_id", line, ["chunk"], "json")
 
 
 def read_payloads(spark: SparkSession, path: str, schema: str = PAYLOAD) -> DataFrame:

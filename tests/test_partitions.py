@@ -4,6 +4,9 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from rideframe import storage
 from rideframe.operators import network, routes
 from rideframe.plans import adapters as A
 from rideframe.sources import readers
@@ -38,3 +41,22 @@ def test_edges_of_ways_are_sorted_in_so_many_partitions(spark):
     edges = readers.way_edges(ways, nodes, 13)
     assert edges.rdd.getNumPartitions() == 13
     assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, readers.way_edges(ways, nodes).collect()))
+
+
+def test_folders_are_written_by_tasks_and_named_as_partitions(spark, tmp_path):
+    """The driver moves no file: Spark's writer left its own marks; values are escaped as Spark's writer does."""
+    rows = [("a/b=c", 2, "second ☃"), ("a/b=c", 1, "first"), (None, 1, "none"), ("7", 1, ""), ("é %", 1, "x")]
+    df = spark.createDataFrame(rows, "k string, i int, value string")
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    for _ in range(2):  # the second replaces the first
+        storage.write_folders(df, ours, "k", F.col("value"), ["i"], "txt")
+    df.repartition(1, "k").sortWithinPartitions("k", "i").drop("i").write.partitionBy("k").text(theirs)
+    told = lambda p: sorted((r.k or "", r.value) for r in spark.read.schema("value string, k string").text(p).collect())
+    assert told(ours) == told(theirs) == sorted((k or "", v) for k, _, v in rows)
+    names = lambda p: {x.name for x in os.scandir(p) if x.is_dir()}
+    assert names(ours) == names(theirs) and {x.name for x in os.scandir(ours)} == names(ours)
+    assert all(os.listdir(os.path.join(ours, x)) == ["part-00000.txt"] for x in names(ours))
+    with open(os.path.join(ours, "k=a%2Fb%3Dc", "part-00000.txt")) as f:
+        assert f.read() == "first\nsecond ☃\n"
+    storage.write_folders(df.where("false"), ours, "k", F.col("value"), ["i"], "txt")
+    assert spark.read.schema("value string").text(ours).count() == 0
