@@ -6,8 +6,11 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rideframe import catalogue, catalogue_roads
 from rideframe.operators import roads, routes
 from test_routes import plain_haversine
 
@@ -226,3 +229,24 @@ def test_nodes_of_many_edges_give_off_short_ones_first(spark, monkeypatch):
     got = routes.connectors(spark.createDataFrame(edges, EDGES), spark.createDataFrame([(i, (i + 7) % n) for i in range(n)], PAIRS)).collect()
     assert len(got) == n and all(r.length_m == 2.0 for r in got)
     assert max(rows) <= n * (11 + 6)  # all nodes from both ends: 2 * n * n
+
+
+def test_matching_takes_roads_of_any_length(spark):
+    """A cut at 400 m left most steps of the paths out of the network."""
+    data = "/root/testdata/sf0.001"
+    all_roads = catalogue_roads.road_edges(spark, data, None)
+    assert all_roads.where(F.col("len_m") > catalogue_roads.ROAD_M).count() > 0
+    matched = catalogue.queries()["viterbi_roads"](spark, data).join(all_roads, ["u", "v"])
+    assert matched.where(F.col("len_m") > catalogue_roads.ROAD_M).count() > 0
+
+
+def test_transitions_in_blocks_equal_those_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(0, 9, 40), rng.integers(0, 9, 40)
+    ways = roads._Ways(u, v, rng.integers(1, 60, 40).astype(float), 150.0)
+    side = lambda n: {"u": rng.integers(0, 11, n), "v": rng.integers(0, 11, n), "len_m": rng.integers(40, 60, n).astype(float), "offset_m": rng.integers(0, 40, n).astype(float)}
+    a, b, score = side(30), side(20), rng.integers(-3, 0, 30).astype(float)
+    whole = roads._moved(a, b, ways, score, 50.0, 120.0, 50.0)
+    monkeypatch.setattr(roads, "SUMS", 60)
+    parts = roads._moved(a, b, ways, score, 50.0, 120.0, 50.0)
+    assert np.isfinite(whole[0]).any() and (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
