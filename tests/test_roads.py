@@ -250,3 +250,13 @@ def test_transitions_in_blocks_equal_those_at_once(monkeypatch):
     monkeypatch.setattr(roads, "SUMS", 60)
     parts = roads._moved(a, b, ways, score, 50.0, 120.0, 50.0)
     assert np.isfinite(whole[0]).any() and (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_points_of_one_place_meet_the_roads_once(spark, monkeypatch):
+    met, best = [], roads._best
+    monkeypatch.setattr(roads, "_best", lambda points, *a: met.append(points.count()) or best(points, *a))
+    rows = made({0: (51.0, 0.0), 1: (51.0, 0.002)}, [(0, 1)])
+    points = [(ride, seq, 51.0 + seq * 1e-4, 0.001) for ride in range(20) for seq in range(3)] + [(20, 0, None, 0.001), (20, 1, 51.2, None)]
+    got = roads.nearest_road(spark.createDataFrame(points, POINTS), spark.createDataFrame(rows, ROADS), ["ride_id", "seq"], 60.0).collect()
+    assert met[0] == 3 and len(got) == len(points)
+    assert all((r.u, r.v) == (0, 1) for r in got if r.ride_id < 20) and all(r.u is None for r in got if r.ride_id == 20)
