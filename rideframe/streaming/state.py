@@ -92,16 +92,8 @@ LIBRARY = "segment_key string, hits long, mean_tss double, last_ride long"
 def library_stream(scores: DataFrame) -> DataFrame:
     """LIBRARY of a stream of (segment_key, ride_id, tss): hits, running mean and last ride of every segment that a batch touches.
 
-    The state of a segment is its entry; an entry comes out anew whenever it changes (update
-    mode). Rows without a key or score don't count.
+    The state of a segment is its sum, hits and last ride, as Spark's streaming aggregation keeps them, so Python is not
+    called for each key; an entry comes out anew whenever it changes (update mode). Rows without a key or score don't count.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits, total, last = state.get if state.exists else (0, 0.0, -1)
-        for batch in batches:
-            hits, total, last = hits + len(batch), total + float(batch["tss"].sum()), max(last, int(batch["ride_id"].max()))
-        state.update((hits, total, last))
-        yield pd.DataFrame({"segment_key": [key[0]], "hits": [hits], "mean_tss": [total / hits], "last_ride": [last]})
-
     rows = scores.where("segment_key is not null and tss is not null and ride_id is not null")
-    return rows.groupBy("segment_key").applyInPandasWithState(run, LIBRARY, "hits long, total double, last long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("segment_key").agg(F.count("*").alias("hits"), F.avg("tss").alias("mean_tss"), F.max("ride_id").alias("last_ride"))

@@ -101,3 +101,11 @@ def test_a_week_is_one_batch_of_the_stream(spark, monkeypatch):
     assert n == spark.read.parquet(f"{DATA}/events.parquet").count()
     out = next(f for f in folders if "/tracked-" in f).removeprefix("file:")
     assert len([x for x in os.listdir(f"{out}-state/offsets") if not x.startswith(".")]) <= 8  # five weeks, the end, and what it sets free
+
+
+def test_a_library_stream_calls_no_python_for_its_keys(spark):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 1.5), ("b", 3, 1.0)], "segment_key string, ride_id long, tss double")
+    out = state.library_stream(rows)
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+    assert ", ".join(f"{c} {t.replace('bigint', 'long')}" for c, t in out.dtypes) == state.LIBRARY
+    assert {tuple(r) for r in out.collect()} == {("a", 2, 1.0, 2), ("b", 1, 1.0, 3)}
