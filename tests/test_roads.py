@@ -260,3 +260,36 @@ def test_points_of_one_place_meet_the_roads_once(spark, monkeypatch):
     got = roads.nearest_road(spark.createDataFrame(points, POINTS), spark.createDataFrame(rows, ROADS), ["ride_id", "seq"], 60.0).collect()
     assert met[0] == 3 and len(got) == len(points)
     assert all((r.u, r.v) == (0, 1) for r in got if r.ride_id < 20) and all(r.u is None for r in got if r.ride_id == 20)
+
+
+def test_a_search_holds_a_part_of_the_sources_at_a_time(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(24), rng.randrange(24), float(rng.randrange(1, 9))) for _ in range(90)]
+    held, write = [], routes.written
+
+    def counted(df, name):
+        out = write(df, name)
+        held.append(out.where("side = 0").select("root").distinct().count() if name == "labels" else 0)
+        return out
+
+    monkeypatch.setattr(routes, "written", counted)
+    monkeypatch.setattr(routes, "SOURCES", 12)
+    asked = [(u, v) for u in range(24) for v in (3, 17)]
+    got = routes.connector_nodes(spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, PAIRS)).collect()
+    assert 0 < max(held) < 24 and {(r.u, r.v) for r in got} == set(asked)
+    least, out = {}, {}
+    for u, v, w in edges:
+        least[u, v] = min(w, least.get((u, v), math.inf))
+    for (u, v), w in least.items():
+        out.setdefault(u, []).append((v, w))
+    for r in got:
+        best, heap = {r.u: 0.0}, [(0.0, r.u)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            for y, w in out.get(x, ()):
+                if d + w < best.get(y, math.inf):
+                    best[y] = d + w
+                    heapq.heappush(heap, (d + w, y))
+        assert r.length_m == best.get(r.v)
+        if r.length_m is not None:
+            assert (r.nodes[0], r.nodes[-1]) == (r.u, r.v) and sum(least[e] for e in zip(r.nodes, r.nodes[1:])) == r.length_m
